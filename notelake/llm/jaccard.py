@@ -55,6 +55,8 @@ def depth_of(cost: np.ndarray, n: int, percent: int, typical: float) -> int:
     beyond the typical ones, shared out over the L matches that each must have.
     """
     base = n - least_overlap(n, percent)
+    if cost[min(n, base + DEPTHS[-1]) - 1] <= 2 * typical:
+        return 1  # dear shingles come last, and the longest prefix has none
     best, least = 1, np.inf
     for depth in DEPTHS:
         if base + depth > n:
@@ -93,7 +95,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int, live
                     own = counts[(distinct >> np.uint64(64 - bits)).astype(np.int64)]
                     # Counts near the typical one are noise: order those by hash alone.
                     rank = np.where(own <= 2 * typical, 0, own)
-                    order = np.argsort(rank, kind="stable")
+                    order = np.argsort(rank, kind="stable") if rank.any() else np.arange(n)
                     level = depth_of(own[order].astype(np.float64), n, percent, typical)
                     order = order[: n - least_overlap(n, percent) + level]
                     chosen = distinct[order]
@@ -140,11 +142,16 @@ def _shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
     return hash_counts(docs.select("text"), fill, COUNT_BITS)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of signatures whose sets are similar enough, by their texts (sig, text)."""
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of signatures whose sets are similar enough, by the texts of documents
+    that have them: ``sets`` has (sig, least_id), ``docs`` (doc_id, text)."""
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    ids = stored(sigs.join(sets, "sig").select(F.col("least_id").alias("doc_id")), "pair-ids")
+    texts = stored(_texts(docs.join(small_or_plain(ids), "doc_id", "left_semi"), width), "set-texts")
     one = texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+    both = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,35 +196,40 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     posts = stored(posts, "live-postings")
 
     # What the positional bound allows: no match before a document's first live shingle.
-    reach = posts.groupBy("sig").agg(F.min("n").alias("n"), F.min("pos").alias("first"))
-    involved = stored(reach.join(sets, "sig").select("sig", "n", "first", "least_id"), "linkable")
-    ids = involved.select(F.col("least_id").alias("doc_id"))
-    texts = _texts(chosen.join(small_or_plain(ids), "doc_id", "left_semi"), width).join(involved.select("sig"), "sig", "left_semi")
-    texts = stored(texts.dropDuplicates(["sig"]), "set-texts")
-
-    live = posts.join(involved.select("sig", "first"), "sig")
-    centre = live.groupBy("token").agg(F.min(F.struct((F.col("first") * 1000 / F.col("n")).cast("int").alias("off"), F.col("n").alias("cn"), F.col("sig").alias("centre"))).alias("c"))
+    reach = posts.groupBy("sig").agg(F.min("pos").alias("first"))
+    live = stored(posts.join(reach, "sig"), "live-reach")
+
+    off = (F.col("first") * 1000 / F.col("n")).cast("int").alias("off")
+    centre = live.groupBy("token").agg(F.min(F.struct(off, F.col("n").alias("cn"), F.col("sig").alias("centre"))).alias("c"))
     star = live.join(centre, "token").where("c.centre <> sig").groupBy("sig", F.col("c.centre").alias("centre")).agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.min("c.cn").alias("cn"))
-    star = star.where(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent)
-    best = star.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("shared"), "centre"))).where("k <= 2")
+    # Only a first choice of pairs to verify: what it leaves out is a candidate below.
+    star = star.where((F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent) & (F.col("shared") * 25 >= F.col("n")))
+    best = star.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("shared"), "centre"))).where("k = 1")
     pairs = best.select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b")).distinct()
-    links = stored(verified(pairs, texts, width, percent), "star-links")
+    links = stored(verified(pairs, chosen, sets, width, percent), "star-links")
 
     part = components(links)
     placed = live.join(part.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
+    # Shingles beyond the posted prefix.
+    placed = placed.withColumn("unread", F.greatest(F.ceil(F.col("n") * percent / 100).cast("int") - F.col("depth"), F.lit(0)))
     split = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     open_ = stored(placed.join(split, "token", "left_semi"), "open-postings")
-    x = open_.select("token", *[F.col(c).alias(f"{c}_x") for c in ("sig", "n", "first", "depth", "comp")])
-    y = open_.select("token", *[F.col(c).alias(f"{c}_y") for c in ("sig", "n", "first", "depth", "comp")])
+    x, y = (open_.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "first", "depth", "unread", "comp")]) for k in "xy")
+    # overlap * (100 + percent) >= percent * (n_x + n_y) for similar sets
+    needed = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent)).cast("int")
     both = x.join(y, "token").where(
         (F.col("sig_x") < F.col("sig_y"))
         & (F.col("comp_x") != F.col("comp_y"))
         & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
-        # overlap * (100 + percent) >= percent * (n_x + n_y) for similar sets
-        & (F.least(F.col("n_x") - F.col("first_x"), F.col("n_y") - F.col("first_y")) * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)
+        & (F.least(F.col("n_x") - F.col("first_x"), F.col("n_y") - F.col("first_y")) >= needed)
+    )
+    rest = both.groupBy(F.col("sig_x").alias("a"), F.col("sig_y").alias("b")).agg(
+        F.count("*").alias("shared"), F.min(F.least("depth_x", "depth_y")).alias("depth"), F.min(needed - F.greatest("unread_x", "unread_y")).alias("least_shared")
     )
-    rest = both.groupBy(F.col("sig_x").alias("a"), F.col("sig_y").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("depth_x", "depth_y")).alias("depth")).where("shared >= depth")
-    more = stored(verified(rest, texts, width, percent), "cross-links")
+    # Up to the end of the prefix that ends first all matches are among the shared ones; the rest
+    # of that document can add no more than its unread shingles.
+    rest = rest.where((F.col("shared") >= F.col("depth")) & (F.col("shared") >= F.col("least_shared")))
+    more = stored(verified(rest, chosen, sets, width, percent), "cross-links")
     every = components(links.unionByName(more))
 
     classes = sets.join(every.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
