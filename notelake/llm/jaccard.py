@@ -28,9 +28,9 @@ from notelake.llm.common import Words, components, hash_bits, hash_counts, marke
 
 WIDTH = 5
 PERCENT = 80
-#: Sizes of the two fixed tables: 4 MB of counts, 16 MB of bits.
+#: Sizes of the two fixed tables: 2**20 counts, 2**25 bits (4 MB).
 COUNT_BITS = 20
-LIVE_BITS = 27
+LIVE_BITS = 25
 #: Prefix lengthenings that a document may choose from.
 DEPTHS = (1, 2, 3, 4, 6, 8)
 
@@ -69,10 +69,11 @@ def depth_of(cost: np.ndarray, n: int, percent: int, typical: float) -> int:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int, live: np.ndarray | None = None) -> DataFrame:
-    """_POSTS rows of each document's prefix. With ``live``, only of shingles marked there, and one
-    row without a token for each document besides."""
+    """_POSTS rows of each document's prefix, in the order that _shingle_counts() gives. With
+    ``live``, only of shingles marked there, and one row without a token for each document besides."""
     bits = int(len(counts)).bit_length() - 1
-    typical = max(float(counts.mean()), 1.0)
+    typical = max(float(np.exp2(counts / 10.0).mean()) - 1, 1.0)
+    size_of = np.exp2(np.arange(256) / 10.0) - 1
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,11 +93,11 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int, live
                         head.append((mine, n, doc))
                     if not n or doc is None:
                         continue
-                    own = counts[(distinct >> np.uint64(64 - bits)).astype(np.int64)]
+                    own = size_of[counts[(distinct >> np.uint64(64 - bits)).astype(np.int64)]]
                     # Counts near the typical one are noise: order those by hash alone.
                     rank = np.where(own <= 2 * typical, 0, own)
                     order = np.argsort(rank, kind="stable") if rank.any() else np.arange(n)
-                    level = depth_of(own[order].astype(np.float64), n, percent, typical)
+                    level = depth_of(own[order], n, percent, typical)
                     order = order[: n - least_overlap(n, percent) + level]
                     chosen = distinct[order]
                     at = np.arange(len(chosen), dtype=np.int32)
@@ -139,7 +140,9 @@ def _shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
             found = np.concatenate(list(row_shingles(Words(part.column("text")), width)))
             table += np.bincount((found >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(table)).astype(table.dtype)
 
-    return hash_counts(docs.select("text"), fill, COUNT_BITS)
+    # To a tenth of a power of two: an order needs no more, and a byte each travels lightly.
+    counts = hash_counts(docs.select("text"), fill, COUNT_BITS)
+    return np.minimum(np.round(10 * np.log2(1 + counts.astype(np.float64))), 255).astype(np.uint8)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
@@ -196,7 +199,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     posts = stored(posts, "live-postings")
 
     # What the positional bound allows: no match before a document's first live shingle.
-    reach = posts.groupBy("sig").agg(F.min("pos").alias("first"))
+    reach = posts.groupBy("sig").agg(F.min("pos").alias("first"), F.count("*").alias("posted"))
     live = stored(posts.join(reach, "sig"), "live-reach")
 
     off = (F.col("first") * 1000 / F.col("n")).cast("int").alias("off")
@@ -214,20 +217,22 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = placed.withColumn("unread", F.greatest(F.ceil(F.col("n") * percent / 100).cast("int") - F.col("depth"), F.lit(0)))
     split = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     open_ = stored(placed.join(split, "token", "left_semi"), "open-postings")
-    x, y = (open_.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "first", "depth", "unread", "comp")]) for k in "xy")
+    x, y = (open_.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "first", "posted", "depth", "unread", "comp")]) for k in "xy")
     # overlap * (100 + percent) >= percent * (n_x + n_y) for similar sets
     needed = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent)).cast("int")
+    # Up to the end of the prefix that ends first all matches are among the shared shingles; the
+    # rest of that document can add no more than its unread ones.
+    least_shared = needed - F.greatest("unread_x", "unread_y")
     both = x.join(y, "token").where(
         (F.col("sig_x") < F.col("sig_y"))
         & (F.col("comp_x") != F.col("comp_y"))
         & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
         & (F.least(F.col("n_x") - F.col("first_x"), F.col("n_y") - F.col("first_y")) >= needed)
+        & (F.least("posted_x", "posted_y") >= least_shared)
     )
     rest = both.groupBy(F.col("sig_x").alias("a"), F.col("sig_y").alias("b")).agg(
-        F.count("*").alias("shared"), F.min(F.least("depth_x", "depth_y")).alias("depth"), F.min(needed - F.greatest("unread_x", "unread_y")).alias("least_shared")
+        F.count("*").alias("shared"), F.min(F.least("depth_x", "depth_y")).alias("depth"), F.min(least_shared).alias("least_shared")
     )
-    # Up to the end of the prefix that ends first all matches are among the shared ones; the rest
-    # of that document can add no more than its unread shingles.
     rest = rest.where((F.col("shared") >= F.col("depth")) & (F.col("shared") >= F.col("least_shared")))
     more = stored(verified(rest, chosen, sets, width, percent), "cross-links")
     every = components(links.unionByName(more))
