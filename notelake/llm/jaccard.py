@@ -9,8 +9,8 @@ must show before it is verified (for two documents, the smaller of their two L).
 
 Only shingles that two different sets post are kept ("live"). Linking then goes in two steps, so
 that a group of near copies doesn't make all its pairs: first each document is verified against
-the most central document that posts its live shingles, and links are merged to components; then
-all candidate pairs between different components are verified, after the positional bound. Any
+the most central documents that post its live shingles, and links are merged to components, which
+is repeated with central documents of other components; then all candidate pairs between different components are verified, after the positional bound. Any
 link inside a component changes nothing, so no class differs from that of an all-pairs join.
 """
 
@@ -31,6 +31,8 @@ PERCENT = 80
 #: Sizes of the two fixed tables: 2**20 counts, 2**25 bits (4 MB).
 COUNT_BITS = 20
 LIVE_BITS = 25
+#: Rounds that verify each document against a central one of another component.
+MERGES = 1
 #: Prefix lengthenings that a document may choose from.
 DEPTHS = (1, 2, 3, 4, 6, 8)
 
@@ -150,8 +152,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, per
     that have them: ``sets`` has (sig, least_id), ``docs`` (doc_id, text)."""
     pairs = stored(pairs.select("a", "b"), "pairs")
     sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    ids = stored(sigs.join(sets, "sig").select(F.col("least_id").alias("doc_id")), "pair-ids")
-    texts = stored(_texts(docs.join(small_or_plain(ids), "doc_id", "left_semi"), width), "set-texts")
+    ids = stored(sigs.join(sets, "sig").select("sig", F.col("least_id").alias("doc_id")), "pair-ids")
+    texts = stored(docs.join(small_or_plain(ids), "doc_id").select("sig", "text"), "set-texts")
     one = texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
@@ -161,13 +163,17 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, per
             for part in slices(batch, "text_b", 4 << 20):
                 # A centre's text comes many times on end: take each distinct text's set once.
                 left = part.column("text_a").dictionary_encode()
-                sets = [np.unique(x) for x in row_shingles(Words(left.dictionary), width)]
+                own = [np.unique(x) for x in row_shingles(Words(left.dictionary), width)]
+                names = [signature(x) if len(x) else None for x in own]
                 where = left.indices.to_numpy(zero_copy_only=False)
+                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
                 keep = []
                 for k, found in enumerate(row_shingles(Words(part.column("text_b")), width)):
-                    mine, other = np.unique(found), sets[where[k]]
+                    mine, other = np.unique(found), own[where[k]]
                     shared = len(np.intersect1d(mine, other, assume_unique=True))
-                    keep.append(100 * shared >= percent * (len(mine) + len(other) - shared))
+                    # An id that comes with several texts brings them all: only the pair's own count.
+                    right = names[where[k]] == a[k] and len(mine) > 0 and signature(mine) == b[k]
+                    keep.append(right and 100 * shared >= percent * (len(mine) + len(other) - shared))
                 mask = pa.array(keep, pa.bool_())
                 yield record(["a", "b"], [part.column("a").filter(mask), part.column("b").filter(mask)])
 
@@ -202,14 +208,11 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reach = posts.groupBy("sig").agg(F.min("pos").alias("first"), F.count("*").alias("posted"))
     live = stored(posts.join(reach, "sig"), "live-reach")
 
-    off = (F.col("first") * 1000 / F.col("n")).cast("int").alias("off")
-    centre = live.groupBy("token").agg(F.min(F.struct(off, F.col("n").alias("cn"), F.col("sig").alias("centre"))).alias("c"))
-    star = live.join(centre, "token").where("c.centre <> sig").groupBy("sig", F.col("c.centre").alias("centre")).agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.min("c.cn").alias("cn"))
-    # Only a first choice of pairs to verify: what it leaves out is a candidate below.
-    star = star.where((F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent) & (F.col("shared") * 25 >= F.col("n")))
-    best = star.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("shared"), "centre"))).where("k = 1")
-    pairs = best.select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b")).distinct()
-    links = stored(verified(pairs, chosen, sets, width, percent), "star-links")
+    links = stored(verified(_centre_pairs(live.withColumn("comp", F.col("sig")), percent), chosen, sets, width, percent), "star-links")
+    for _ in range(MERGES):
+        part = components(links)
+        placed = live.join(part.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
+        links = links.unionByName(stored(verified(_centre_pairs(placed, percent), chosen, sets, width, percent), "merge-links"))
 
     part = components(links)
     placed = live.join(part.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
@@ -245,14 +248,22 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id"))
 
 
-def _texts(docs: DataFrame, width: int) -> DataFrame:
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sigs = [signature(np.unique(x)) if len(x) else None for x in row_shingles(Words(part.column("text")), width)]
-                yield record(["sig", "text"], [pa.array(sigs, pa.int64()), part.column("text")])
+def _centre_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """For each set the two likeliest links (a, b) to a central set of another component.
 
-    return docs.select("text").mapInArrow(sign, "sig long, text string").where("sig IS NOT NULL")
+    Of the sets that post a shingle two may be its centres: that with the fewest unshared shingles
+    before the first live one, and the like of another component.
+    """
+    off = F.struct((F.col("first") * 1000 / F.col("n")).cast("int").alias("off"), F.col("n").alias("cn"), F.col("sig").alias("centre"), F.col("comp").alias("cc"))
+    one = live.groupBy("token").agg(F.min(off).alias("c"))
+    near = live.join(one, "token")
+    two = near.where("comp <> c.cc").groupBy("token").agg(F.min(off).alias("d"))
+    near = near.join(two, "token").withColumn("to", F.when(F.col("comp") != F.col("c.cc"), F.col("c")).otherwise(F.col("d")))
+    star = near.groupBy("sig", F.col("to.centre").alias("centre")).agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.min("to.cn").alias("cn"))
+    # Only a first choice of pairs to verify: what it leaves out is a candidate later on.
+    star = star.where((F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent) & (F.col("shared") * 25 >= F.col("n")))
+    best = star.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("shared"), "centre"))).where("k <= 2")
+    return best.select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
