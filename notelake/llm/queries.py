@@ -25,7 +25,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
-    return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json")))
+    return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), folds=True))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,20 +10,21 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from notelake.llm.common import _SPACE, strings, text_bytes
+from notelake.llm.common import _SPACE, Words, strings, text_bytes
 
 #: White space outside ASCII, and separators that some patterns count as such (fixed values).
 _OTHER_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
 #: Pieces kept with their ids between batches; about 200 bytes each.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 700_000
 
-_loaded: dict[str, ColumnEncoder] = {}
+_loaded: dict[tuple[str, bool], ColumnEncoder] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -36,16 +37,19 @@ def vocabulary(name: str) -> str:
 class ColumnEncoder:
     """Ids of string columns. Special tokens' strings inside a text are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, folds: bool = False):
+        """``folds``: the vocabulary lowers its input and drops white space, so that words alone,
+        with A-Z lowered, have the same ids."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.folds = folds
         self.cache: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, distinct: list[str]) -> list[bytes]:
         cache = self.cache
@@ -61,22 +65,13 @@ class ColumnEncoder:
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of row i, ``end_id`` last, are ``ids[offsets[i]:offsets[i + 1]]``."""
-        data, offsets = text_bytes(column)
-        n = len(offsets) - 1
-        space = _SPACE[data]
-        cut = space.copy()
-        cut[1:] &= ~space[:-1]
-        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
-        places = np.append(np.flatnonzero(cut), len(data))
-        encoded = strings(data, places).dictionary_encode()
-        pieces = self._pieces(encoded.dictionary.to_pylist())
+        codes, distinct, first = self._cut(column)
+        n = len(first) - 1
+        pieces = self._pieces(distinct.to_pylist())
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         start = np.zeros(len(pieces) + 1, np.int64)
         np.cumsum(size, out=start[1:])
         pool = np.frombuffer(b"".join(pieces), np.uint32)
-        codes = encoded.indices.to_numpy(zero_copy_only=False)
-        # One end id follows the last piece of each row: it is a piece of its own.
-        first = np.searchsorted(places[:-1], offsets)
         lengths = size[codes]
         done = np.zeros(len(codes) + 1, np.int64)
         np.cumsum(lengths, out=done[1:])
@@ -101,16 +96,30 @@ class ColumnEncoder:
         ids[real] = pool[from_pool]
         return ids, out_offsets
 
+    def _cut(self, column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(codes, distinct, first): the pieces of row i are ``distinct[codes[first[i]:first[i + 1]]]``."""
+        if self.folds:
+            words = Words(column)
+            return words.codes, words.distinct, words.first
+        data, offsets = text_bytes(column)
+        space = _SPACE[data]
+        cut = space.copy()
+        cut[1:] &= ~space[:-1]
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+        places = np.append(np.flatnonzero(cut), len(data))
+        encoded = strings(data, places).dictionary_encode()
+        return encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary, np.searchsorted(places[:-1], offsets)
+
     def _odd(self, column: pa.Array) -> list[int]:
         found = pc.fill_null(pc.match_substring_regex(column, _OTHER_SPACE), False)
         return np.flatnonzero(found.to_numpy(zero_copy_only=False)).tolist()
 
 
-def encoder(path: str) -> ColumnEncoder:
+def encoder(path: str, folds: bool = False) -> ColumnEncoder:
     """One encoder for each worker process and vocabulary."""
-    if path not in _loaded:
-        _loaded[path] = ColumnEncoder(path)
-    return _loaded[path]
+    if (path, folds) not in _loaded:
+        _loaded[path, folds] = ColumnEncoder(path, folds)
+    return _loaded[path, folds]
 
 
 def crc(ids: np.ndarray) -> int:

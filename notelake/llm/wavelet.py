@@ -175,12 +175,13 @@ class Shard:
         return values
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = SHARD_TOKENS, folds: bool = False) -> DataFrame:
     """Encodes all texts, writes shards in ascending order of id to ``path``, returns that table.
 
     Rows are range-partitioned by id; (part, shard) orders the shards, and ``first_token`` counts
     the ids before a shard in its part. Null texts count as empty, a null id comes first; rows that
-    repeat an id are kept, in order of their texts; no rows give an empty table.
+    repeat an id are kept, in order of their texts; no rows give an empty table. ``folds``: see
+    tokens.ColumnEncoder.
     """
     spark = session_of(docs)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -188,7 +189,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     ordered = chosen.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, shard, first = encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        enc, part, shard, first = encoder(tokenizer_path, folds), TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         names: list[int | None] = []
@@ -203,7 +204,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
             return out
 
         for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
+            for piece in slices(batch, "text"):
                 tokens, offsets = enc.encode(piece.column("text"), end_id)
                 names += piece.column("doc_id").to_pylist()
                 ids.append(tokens.astype(np.uint16) if tokens.max() < 65536 else tokens)
