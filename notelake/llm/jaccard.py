@@ -9,8 +9,8 @@ must show before it is verified (for two documents, the smaller of their two L).
 
 Only shingles that two different sets post are kept ("live"). Linking then goes in two steps, so
 that a group of near copies doesn't make all its pairs: first each document is verified against
-the most central documents that post its live shingles, and links are merged to components, which
-is repeated with central documents of other components; then all candidate pairs between different components are verified, after the positional bound. Any
+two of the most central documents that post its live shingles, and links are merged to components;
+then all candidate pairs between different components are verified, after the positional bound. Any
 link inside a component changes nothing, so no class differs from that of an all-pairs join.
 """
 
@@ -31,8 +31,6 @@ PERCENT = 80
 #: Sizes of the two fixed tables: 2**20 counts, 2**25 bits (4 MB).
 COUNT_BITS = 20
 LIVE_BITS = 25
-#: Rounds that verify each document against a central one of another component.
-MERGES = 1
 #: Prefix lengthenings that a document may choose from.
 DEPTHS = (1, 2, 3, 4, 6, 8)
 
@@ -208,11 +206,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reach = posts.groupBy("sig").agg(F.min("pos").alias("first"), F.count("*").alias("posted"))
     live = stored(posts.join(reach, "sig"), "live-reach")
 
-    links = stored(verified(_centre_pairs(live.withColumn("comp", F.col("sig")), percent), chosen, sets, width, percent), "star-links")
-    for _ in range(MERGES):
-        part = components(links)
-        placed = live.join(part.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
-        links = links.unionByName(stored(verified(_centre_pairs(placed, percent), chosen, sets, width, percent), "merge-links"))
+    links = stored(verified(_centre_pairs(live, percent), chosen, sets, width, percent), "star-links")
 
     part = components(links)
     placed = live.join(part.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
@@ -249,16 +243,16 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _centre_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """For each set the two likeliest links (a, b) to a central set of another component.
+    """For each set the two likeliest links (a, b) to central sets.
 
-    Of the sets that post a shingle two may be its centres: that with the fewest unshared shingles
-    before the first live one, and the like of another component.
+    The centre of a shingle's sets is that with the fewest unshared shingles before its first live
+    one; for the centre itself it is the next.
     """
-    off = F.struct((F.col("first") * 1000 / F.col("n")).cast("int").alias("off"), F.col("n").alias("cn"), F.col("sig").alias("centre"), F.col("comp").alias("cc"))
+    off = F.struct((F.col("first") * 1000 / F.col("n")).cast("int").alias("off"), F.col("n").alias("cn"), F.col("sig").alias("centre"))
     one = live.groupBy("token").agg(F.min(off).alias("c"))
     near = live.join(one, "token")
-    two = near.where("comp <> c.cc").groupBy("token").agg(F.min(off).alias("d"))
-    near = near.join(two, "token").withColumn("to", F.when(F.col("comp") != F.col("c.cc"), F.col("c")).otherwise(F.col("d")))
+    two = near.where("sig <> c.centre").groupBy("token").agg(F.min(off).alias("d"))
+    near = near.join(two, "token").withColumn("to", F.when(F.col("sig") != F.col("c.centre"), F.col("c")).otherwise(F.col("d")))
     star = near.groupBy("sig", F.col("to.centre").alias("centre")).agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.min("to.cn").alias("cn"))
     # Only a first choice of pairs to verify: what it leaves out is a candidate later on.
     star = star.where((F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent) & (F.col("shared") * 25 >= F.col("n")))
