@@ -40,11 +40,11 @@ class Packer:
     """Fills sequences from a pool of waiting pieces.
 
     A piece is (example, start, length, loss). A piece's loss-bearing tokens are its last
-    ``loss`` ones (in instruction data the answer follows the prompt). ``close(sequence)`` gets
-    the pieces of each finished sequence, in order.
+    ``loss`` ones (in instruction data the answer follows the prompt). ``take()`` gives the finished
+    sequences, each a list of pieces in order.
     """
 
-    def __init__(self, limits: Limits, pool: int = 512):
+    def __init__(self, limits: Limits, pool: int = 256):
         self.limits, self.pool = limits, pool
         self.most = np.array([limits.tokens, limits.segments, limits.loss], np.float64)
         self.waiting: list[tuple[int, int, int, int]] = []
@@ -52,6 +52,8 @@ class Packer:
         self.done: list[list[tuple[int, int, int, int]]] = []
 
     def add(self, pieces: list[tuple[int, int, int, int]]) -> None:
+        self.done += [[p] for p in pieces if p[2] == self.limits.tokens]  # nothing else fits with these
+        pieces = [p for p in pieces if p[2] != self.limits.tokens]
         self.waiting += pieces
         self.size = np.concatenate([self.size, np.array([(p[2], 1, p[3]) for p in pieces], np.float64).reshape(-1, 3)])
         while len(self.waiting) >= self.pool:
@@ -78,7 +80,7 @@ class Packer:
             chosen.append(self.waiting[k])
             free[k] = False
             left -= self.size[k]
-        rest = [self.waiting[k] for k in np.flatnonzero(free)]
+        rest, size = [p for p, stays in zip(self.waiting, free.tolist(), strict=True) if stays], self.size[free]
         if left[0] > 0 and left[1] > 0 and rest:  # cut one to fill what is left
             for k, (example, start, length, loss) in enumerate(rest):
                 room = min(int(left[0]), length)
@@ -89,11 +91,12 @@ class Packer:
                     left -= (room, 1, head_loss)
                     if room < length:
                         rest[k] = (example, start + room, length - room, loss - head_loss)
+                        size[k] = length - room, 1, loss - head_loss
                     else:
                         del rest[k]
+                        size = np.delete(size, k, axis=0)
                     break
-        self.waiting = rest
-        self.size = np.array([(p[2], 1, p[3]) for p in rest], np.float64).reshape(-1, 3)
+        self.waiting, self.size = rest, size
         total = sum(p[2] for p in chosen)
         if total == self.limits.tokens:
             self.done.append(chosen)
@@ -161,7 +164,7 @@ def pack_documents(
         held: dict[int, tuple[int | None, np.ndarray, int]] = {}  # examples with pieces that wait
         serial = 0
 
-        def packed(last: bool = False) -> Iterator[pa.RecordBatch]:
+        def packed() -> Iterator[pa.RecordBatch]:
             nonlocal sequence
             rows: list[tuple] = []
             for pieces in packer.take():
