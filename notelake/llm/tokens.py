@@ -68,33 +68,25 @@ class ColumnEncoder:
         codes, distinct, first = self._cut(column)
         n = len(first) - 1
         pieces = self._pieces(distinct.to_pylist())
+        pieces.append(array("I", [end_id]).tobytes())
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         start = np.zeros(len(pieces) + 1, np.int64)
         np.cumsum(size, out=start[1:])
-        pool = np.frombuffer(b"".join(pieces), np.uint32)
-        lengths = size[codes]
-        done = np.zeros(len(codes) + 1, np.int64)
-        np.cumsum(lengths, out=done[1:])
-        row_ids = done[first[1:]] - done[first[:-1]]
-        odd = self._odd(column)
-        out_offsets = np.zeros(n + 1, np.int64)
-        whole = {i: np.frombuffer(self._ids([column[i].as_py()])[0], np.uint32) for i in odd}
-        for i, ids in whole.items():
-            row_ids[i] = len(ids)
-        np.cumsum(row_ids + 1, out=out_offsets[1:])
+        pool = pa.LargeListArray.from_arrays(pa.array(start), pa.array(np.frombuffer(b"".join(pieces), np.uint32)))
+        # The end id is a piece of its own that follows each row's pieces.
+        row = np.repeat(np.arange(n), np.diff(first))
+        order = np.full(len(codes) + n, len(pieces) - 1, np.int32)
+        order[np.arange(len(codes)) + row] = codes
+        taken = pool.take(pa.array(order))
+        ids = taken.values.to_numpy(zero_copy_only=False)
+        ends = first[1:] + np.arange(1, n + 1)
+        offsets = np.concatenate([[0], taken.offsets.to_numpy()[ends]])
+        whole = {i: np.frombuffer(self._ids([column[i].as_py()])[0], np.uint32) for i in self._odd(column)}
         if whole:
-            parts = []
-            for i in range(n):
-                ids = whole[i] if i in whole else np.concatenate([pool[start[c] : start[c + 1]] for c in codes[first[i] : first[i + 1]]] or [np.zeros(0, np.uint32)])
-                parts += [ids, np.array([end_id], np.uint32)]
-            return np.concatenate(parts), out_offsets
-        ids = np.empty(out_offsets[-1], np.uint32)
-        real = np.ones(len(ids), bool)
-        real[out_offsets[1:] - 1] = False
-        ids[out_offsets[1:] - 1] = end_id
-        from_pool = np.repeat(start[codes] - done[:-1], lengths) + np.arange(done[-1])
-        ids[real] = pool[from_pool]
-        return ids, out_offsets
+            end = np.array([end_id], np.uint32)
+            parts = [np.concatenate([whole[i], end]) if i in whole else ids[offsets[i] : offsets[i + 1]] for i in range(n)]
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, offsets
 
     def _cut(self, column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """(codes, distinct, first): the pieces of row i are ``distinct[codes[first[i]:first[i + 1]]]``."""

@@ -45,8 +45,8 @@ def encode_shard(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray,
     blobs = [out.compress(table)]
     now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for b in range(bits - 1, -1, -1):
-        one = (now >> b & 1).astype(bool)
-        blobs.append(out.compress(np.packbits(one, bitorder="little").tobytes()))
+        one = (now & now.dtype.type(1 << b)) != 0
+        blobs.append(out.compress(np.packbits(one, bitorder="little")))
         if b:
             now = np.concatenate([now[~one], now[one]])
     sizes = np.array([len(x) for x in blobs], "<i8").tobytes()
