@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +121,8 @@ class ToxicityModel:
             return
         rng = np.random.default_rng(17)
         plain = [features(w) for w in positive]
-        near = kernel([features(w) for w in negative], plain).max(axis=1)
+        # Feature maps are large: a thousand words' at a time.
+        near = np.concatenate([kernel([features(w) for w in negative[a : a + 1000]], plain).max(axis=1) for a in range(0, len(negative), 1000)])
         hard = np.argsort(-near, kind="stable")[:1200].tolist()
         other = rng.permutation(len(negative))[:800].tolist()
         chosen = [negative[k] for k in sorted({*hard, *other})]
@@ -145,13 +147,13 @@ class ToxicityModel:
 
     @staticmethod
     def _examples(rows: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
-        """Words whose contexts are toxic beyond chance, and the words of clean texts."""
+        """Words whose contexts are toxic beyond chance, and the commonest 20,000 words of clean texts."""
         contexts: tuple[dict[str, set], dict[str, set]] = (defaultdict(set), defaultdict(set))
         for text, label in sorted(set(rows)):
             for words in _sentence_words(text):
                 for k, w in enumerate(words):
                     if SHORTEST <= len(w) <= LONGEST:
-                        contexts[label][w].add((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
+                        contexts[label][w].add(crc32(f"{words[k - 1] if k else ''} {words[k + 1] if k + 1 < len(words) else ''}".encode()))
         clean, toxic = contexts
         total = sum(map(len, toxic.values())) + sum(map(len, clean.values()))
         if not toxic or not clean:
@@ -166,7 +168,7 @@ class ToxicityModel:
                 if n * (share * np.log(share / base) + against) > np.log(types) + 3 and share > 0.6:
                     positive.append(w)
         near = set(positive)
-        return positive[:400], [w for w in sorted(clean) if w not in near][:60_000]
+        return positive[:400], [w for w in sorted(clean, key=lambda w: (-len(clean[w]), w)) if w not in near][:20_000]
 
     def words(self, words: list[str]) -> np.ndarray:
         """Decision values of words of SHORTEST to LONGEST letters; those without a shared gain get the bias."""
