@@ -31,7 +31,9 @@ from notelake.llm.labelled import Logistic, fold, sample
 
 DECAY = 0.6
 SPAN = 7
-LANDMARKS = 64
+LANDMARKS = 128
+#: Positive words to learn from, those with the most toxic contexts first.
+POSITIVES = 200
 SHORTEST, LONGEST = 3, 24
 THRESHOLD = 0.5
 #: Letters: a-z are 1 to 26, others share five more numbers; 0 pads.
@@ -77,7 +79,19 @@ def kernel(a: list[dict[int, float]], b: list[dict[int, float]]) -> np.ndarray:
     return out
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 60) -> tuple[np.ndarray, float]:
+def spread(maps: list[dict[int, float]], many: int) -> list[dict[int, float]]:
+    """Landmarks that cover a list of feature maps: each next one is the least similar to those before."""
+    out, near = [], np.full(len(maps), -1.0)
+    for _ in range(min(many, len(maps))):
+        k = int(np.argmin(near))
+        if near[k] > 0.999:
+            break
+        out.append(maps[k])
+        near = np.maximum(near, kernel(maps, [maps[k]])[:, 0])
+    return out
+
+
+def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Hinge loss and ridge, by dual coordinate descent; y is -1 or 1. Returns (w, bias)."""
     x1 = np.column_stack([x, np.ones(len(x))])
     w, alpha, top = np.zeros(x1.shape[1]), np.zeros(len(x1)), c * weight
@@ -116,14 +130,14 @@ class ToxicityModel:
         self.bias = 0.0
         self.prior = (sum(y for _, y in rows) + 1) / (len(rows) + 2)
         self.calibrate: Logistic | None = None
-        positive, negative = self._examples(rows)
+        positive, negative, seen = self._examples(rows)
         if not positive or not negative:
             return
         rng = np.random.default_rng(17)
         plain = [features(w) for w in positive]
         # Feature maps are large: a thousand words' at a time.
         near = np.concatenate([kernel([features(w) for w in negative[a : a + 1000]], plain).max(axis=1) for a in range(0, len(negative), 1000)])
-        hard = np.argsort(-near, kind="stable")[:1200].tolist()
+        hard = np.argsort(-near, kind="stable")[:2000].tolist()
         other = rng.permutation(len(negative))[:800].tolist()
         chosen = [negative[k] for k in sorted({*hard, *other})]
         varied = [w[:p] + "abcdefghijklmnopqrstuvwxyz"[rng.integers(26)] + w[p:] for w in positive for p in range(1, len(w)) if len(w) < LONGEST]
@@ -131,10 +145,12 @@ class ToxicityModel:
         y = np.array([1.0] * (len(positive) + len(varied)) + [-1.0] * len(chosen))
         maps = [features(w) for w in words]
         half = LANDMARKS // 2
-        marks = [maps[k] for k in rng.permutation(len(positive))[:half]] + [maps[len(positive) + len(varied) + k] for k in rng.permutation(len(chosen))[:half]]
+        marks = spread(maps[: len(positive)], half) + spread(maps[len(positive) + len(varied) :], half)
         values, vectors = np.linalg.eigh(kernel(marks, marks))
         root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
         share = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
+        # A word counts by the contexts that it was seen in.
+        share *= np.sqrt([seen.get(w, 1) for w in words])
         w, self.bias = linear_svm(kernel(maps, marks) @ root, y, share)
         alpha = root @ w
         dense = np.zeros(_LETTERS**3)
@@ -146,8 +162,9 @@ class ToxicityModel:
         self.calibrate = Logistic(self.texts(pa.array([t for t, _ in rows], pa.string())), labels)
 
     @staticmethod
-    def _examples(rows: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
-        """Words whose contexts are toxic beyond chance, and the commonest 20,000 words of clean texts."""
+    def _examples(rows: list[tuple[str, int]]) -> tuple[list[str], list[str], dict[str, int]]:
+        """Words whose contexts are toxic beyond chance, the commonest 20,000 other words of clean
+        texts, and how many contexts of its own side each has."""
         contexts: tuple[dict[str, set], dict[str, set]] = (defaultdict(set), defaultdict(set))
         for text, label in sorted(set(rows)):
             for words in _sentence_words(text):
@@ -157,7 +174,7 @@ class ToxicityModel:
         clean, toxic = contexts
         total = sum(map(len, toxic.values())) + sum(map(len, clean.values()))
         if not toxic or not clean:
-            return [], []
+            return [], [], {}
         base = sum(map(len, toxic.values())) / total
         types = len(set(toxic) | set(clean))
         positive = []
@@ -168,7 +185,9 @@ class ToxicityModel:
                 if n * (share * np.log(share / base) + against) > np.log(types) + 3 and share > 0.6:
                     positive.append(w)
         near = set(positive)
-        return positive[:400], [w for w in sorted(clean, key=lambda w: (-len(clean[w]), w)) if w not in near][:20_000]
+        positive.sort(key=lambda w: (-len(toxic[w]), w))
+        negative = [w for w in sorted(clean, key=lambda w: (-len(clean[w]), w)) if w not in near][:20_000]
+        return positive[:POSITIVES], negative, {w: len(toxic[w] if w in near else clean[w]) for w in [*near, *negative]}
 
     def words(self, words: list[str]) -> np.ndarray:
         """Decision values of words of SHORTEST to LONGEST letters; those without a shared gain get the bias."""
