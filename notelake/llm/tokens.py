@@ -22,7 +22,7 @@ from notelake.llm.common import _SPACE, Words, strings, text_bytes
 _OTHER_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
 #: Pieces kept with their ids between batches; about 200 bytes each.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 
 #: What parts words that are encoded together.
 _MARK = "~"
