@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions.text import distinct_tokens, index_terms, query_tokens, stem
 from notelake.operators.index import document_frequency
+from notelake.operators.lineage import cut
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -148,7 +149,7 @@ def relaxed_groups(phrases: DataFrame, groups: DataFrame, occ: DataFrame, length
     size = size.where(f"eligible BETWEEN 1 AND {RELAX_GROUPS} AND NOT (eligible = 1 AND dropped > 1)")
     own = phrases.join(eligible.select("query_id", "group_id"), ["query_id", "group_id"], "left_semi")
     any_ = own.withColumn("word_group", F.col("group_id")).withColumn("group_id", F.lit(0))
-    candidates = ranked(bm25(any_.drop("word_group"), occ, lengths), RELAX_CANDIDATES).select("query_id", "row_id", "rank")
+    candidates = cut(ranked(bm25(any_.drop("word_group"), occ, lengths), RELAX_CANDIDATES).select("query_id", "row_id", "rank"))
     matched = phrase_hits(own, occ).select("query_id", "group_id", "row_id").distinct().join(candidates, ["query_id", "row_id"]).join(eligible.select("query_id", "group_id", "idf"), ["query_id", "group_id"])
     rows = matched.groupBy("query_id", "row_id").agg(F.count("*").alias("hits"), F.sum("idf").alias("idf"), F.min("rank").alias("rank"), F.sort_array(F.collect_list("group_id")).alias("groups")).join(size, "query_id")
     rows = rows.withColumn("coverage", F.col("hits") / F.col("eligible")).withColumn("ratio", F.round(F.col("idf") / F.col("total"), 9))
@@ -165,24 +166,25 @@ def search(queries: DataFrame, occ: DataFrame, lengths: DataFrame, limit: int, g
     Queries without an eligible word abstain. Stages: 1 widened by the glossary, 2 strict,
     3 relaxed.
     """
-    strict = strict_run(queries, 2).persist()
-    groups = signal_groups(strict, occ, lengths).persist()  # a few rows a query, used four times
+    # A few rows a query each, and used several times: computed once.
+    strict = cut(strict_run(queries, 2))
+    groups = cut(signal_groups(strict, occ, lengths))
     signal = groups.where("status = 'eligible'").select("query_id").distinct()
-    relaxed = strict.join(relaxed_groups(strict, groups, occ, lengths), ["query_id", "group_id"], "left_semi").withColumn("run", F.lit(3)).persist()
+    relaxed = cut(strict.join(relaxed_groups(strict, groups, occ, lengths), ["query_id", "group_id"], "left_semi").withColumn("run", F.lit(3)))
     stages = strict.unionByName(relaxed)
     if glossary is not None:
         stages = stages.unionByName(glossary_run(queries, glossary, 1))
-    stages = stages.join(signal, "query_id", "left_semi")
-    found = bm25(stages, occ, lengths).persist()
+    stages = cut(stages.join(signal, "query_id", "left_semi"))
+    found = cut(bm25(stages, occ, lengths))
     first = found.groupBy("query_id").agg(F.min("run").alias("run"))
     return ranked(found.join(first, ["query_id", "run"], "left_semi"), limit).withColumnRenamed("run", "stage")
 
 
 def diagnostics(queries: DataFrame, occ: DataFrame, lengths: DataFrame) -> DataFrame:
     """(query_id, strict_query, zero_hit_terms, relaxed_query, reason) of each query."""
-    strict = strict_run(queries)
-    groups = signal_groups(strict, occ, lengths)
-    kept = relaxed_groups(strict, groups, occ, lengths)
+    strict = cut(strict_run(queries))
+    groups = cut(signal_groups(strict, occ, lengths))
+    kept = cut(relaxed_groups(strict, groups, occ, lengths))
     quoted = F.concat(F.lit('"'), F.col("word"), F.lit('"'))
     line = lambda rows, c: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda s: s[c]), " ")
     every = groups.groupBy("query_id").agg(

@@ -56,7 +56,7 @@ def parse_frontmatter(notes: DataFrame, text_col: str = "text") -> DataFrame:
 
     bad = F.exists(F.col("__head"), lambda x: ~x.rlike(r"^\s+-\s+") & ~x.rlike(r"^[^\s:][^:]*:"))
     error = (
-        F.when(F.element_at("__lines", 1) != "---", "missing frontmatter block")
+        F.when(F.try_element_at("__lines", F.lit(1)) != "---", "missing frontmatter block")
         .when(F.col("__end") == 0, "unterminated frontmatter block")
         .when(F.exists(F.col("__head"), lambda x: x.rlike(r"^\s+[^\s-]")), "unsupported indented line")
         .when(F.exists(F.col("__head"), lambda x: x.rlike(r"^\s*:")), "empty key")
@@ -70,7 +70,7 @@ def parse_frontmatter(notes: DataFrame, text_col: str = "text") -> DataFrame:
         F.map_from_entries(F.transform("__entries", lambda e: F.struct(e["key"], e["items"]))).alias("frontmatter"),
         F.transform(F.filter("__entries", lambda e: ~e["list"]), lambda e: e["key"]).alias("scalars"),
         F.when(F.col("error").isNull(), F.regexp_replace(body, "^\n", "")).alias("body"),
-        (F.col("__end") + 2 + F.when(F.element_at(F.slice("__lines", (F.col("__end") + 2).cast("int"), F.lit(1)), 1) == "", 1).otherwise(0)).cast("int").alias("body_start_line"),
+        (F.col("__end") + 2 + F.when(F.try_element_at("__lines", (F.col("__end") + 2).cast("int")) == "", 1).otherwise(0)).cast("int").alias("body_start_line"),
         "error",
     )
 
