@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; a longer text makes a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library keeps freed memory as it likes
+    _libc = None
 
 #: Rows of a table that may be broadcast: at 8 to 64 bytes each, 64 MB at most.
 BROADCAST_ROWS = 1_000_000
@@ -77,6 +83,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(end, base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the machine: idle workers share an executor's memory with busy ones."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -219,12 +233,11 @@ def hash_bits(df: DataFrame, column: str, bits: int) -> np.ndarray:
         table = None
         for batch in batches:
             if batch.num_rows:
-                table = np.zeros(1 << bits, bool) if table is None else table
-                values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                table[(values >> np.uint64(64 - bits)).astype(np.int64)] = True
+                table = np.zeros((1 << bits) // 8, np.uint8) if table is None else table
+                at = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits))
+                np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
         if table is not None:
-            packed = np.packbits(table)
-            parts = [packed[k * size : (k + 1) * size].tobytes() for k in range(_BLOCKS)]
+            parts = [table[k * size : (k + 1) * size].tobytes() for k in range(_BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["block", "marks"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -204,7 +204,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
             return out
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 8 << 20):
                 tokens, offsets = enc.encode(piece.column("text"), end_id)
                 names += piece.column("doc_id").to_pylist()
                 ids.append(tokens.astype(np.uint16) if tokens.max() < 65536 else tokens)
