@@ -159,7 +159,7 @@ def pack_documents(
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer = encoder(tokenizer_path), Packer(limits)
+        enc, packer = encoder(tokenizer_path, pieces=200_000), Packer(limits)
         sequence = TaskContext.get().partitionId() << 36
         held: dict[int, tuple[int | None, np.ndarray, int]] = {}  # examples with pieces that wait
         serial = 0
@@ -191,7 +191,7 @@ def pack_documents(
                 yield record(names, arrays)
 
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 ids, offsets = enc.encode(part.column("text"), end_id)
                 prompts = part.column("prompt").fill_null(0).to_pylist()
                 pieces: list[tuple[int, int, int, int]] = []

@@ -40,15 +40,15 @@ def vocabulary(name: str) -> str:
 class ColumnEncoder:
     """Ids of string columns. Special tokens' strings inside a text are ordinary text."""
 
-    def __init__(self, path: str, folds: bool = False):
-        """``folds``: the vocabulary lowers its input and drops white space, so that words alone,
+    def __init__(self, path: str, folds: bool = False, pieces: int = CACHE_PIECES):
+        """``pieces``: how many pieces to keep with their ids. ``folds``: the vocabulary lowers its input and drops white space, so that words alone,
         with A-Z lowered, have the same ids."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.folds = folds
+        self.folds, self.pieces = folds, pieces
         self.cache: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -75,7 +75,7 @@ class ColumnEncoder:
             own = [distinct[k] for k in part]
             for k, ids in zip(part, self._word_ids(own) if self.folds else self._ids(own), strict=True):
                 out[k] = ids
-                if len(cache) < CACHE_PIECES and len(distinct[k]) <= 40:
+                if len(cache) < self.pieces and len(distinct[k]) <= 40:
                     cache[distinct[k]] = ids
         return out
 
@@ -123,10 +123,10 @@ class ColumnEncoder:
         return np.flatnonzero(found.to_numpy(zero_copy_only=False)).tolist()
 
 
-def encoder(path: str, folds: bool = False) -> ColumnEncoder:
+def encoder(path: str, folds: bool = False, pieces: int = CACHE_PIECES) -> ColumnEncoder:
     """One encoder for each worker process and vocabulary."""
     if (path, folds) not in _loaded:
-        _loaded[path, folds] = ColumnEncoder(path, folds)
+        _loaded[path, folds] = ColumnEncoder(path, folds, pieces)
     return _loaded[path, folds]
 
 

@@ -183,7 +183,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     repeat an id are kept, in order of their texts; no rows give an empty table. ``folds``: see
     tokens.ColumnEncoder.
     """
-    spark = session_of(docs)
+    spark = session_of(docs, 16)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = chosen.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
