@@ -35,6 +35,8 @@ LANDMARKS = 128
 #: Positive words to learn from, those with the most toxic contexts first.
 POSITIVES = 200
 SHORTEST, LONGEST = 3, 24
+#: Words whose values a worker keeps; about 150 bytes each.
+REMEMBERED = 200_000
 THRESHOLD = 0.5
 #: Letters: a-z are 1 to 26, others share five more numbers; 0 pads.
 _LETTERS = 32
@@ -204,6 +206,23 @@ class ToxicityModel:
                     out[part[r]] += gain[r] / norm
         return out
 
+    def _remembered(self, words: list[str]) -> np.ndarray:
+        """The same as words(), with the values of up to REMEMBERED words kept in the process."""
+        if not hasattr(self, "_known"):
+            self._known: dict[str, float] = {}
+        known = self._known
+        out = np.array([known.get(w, np.nan) for w in words])
+        new = np.flatnonzero(np.isnan(out))
+        if len(new):
+            fresh = [words[k] for k in new]
+            out[new] = self.words(fresh)
+            for w, v in zip(fresh[: max(0, REMEMBERED - len(known))], out[new].tolist(), strict=False):
+                known[w] = v
+        return out
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+
     def texts(self, column: pa.Array) -> np.ndarray:
         """The worst word's decision value of each text; the bias for texts without words."""
         words = Words(column)
@@ -214,7 +233,7 @@ class ToxicityModel:
         value = np.full(len(terms), self.bias)
         fit = np.flatnonzero((sizes >= SHORTEST) & (sizes <= LONGEST))
         if len(fit):
-            value[fit] = self.words([terms[k] for k in fit])
+            value[fit] = self._remembered([terms[k] for k in fit])
         for k in np.flatnonzero(sizes > LONGEST).tolist():  # a long run of letters: overlapping windows
             parts = {terms[k][a : a + LONGEST] for a in range(0, len(terms[k]), LONGEST // 2)}
             value[k] = max([self.bias, *self.words([p for p in parts if len(p) >= SHORTEST]).tolist()])
