@@ -34,7 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids, placed in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), with_ids=True)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), with_ids=True, slice_mb=2, pieces_kept=200_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_copies), ("substring_dedup", drop_repeated_passages), ("decontamination", drop_contaminated), ("packing", pack)]

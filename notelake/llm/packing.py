@@ -141,6 +141,8 @@ def pack_documents(
     limits: Limits | None = None,
     prompt_tokens_col: str | None = None,
     with_ids: bool = False,
+    slice_mb: int = 8,
+    pieces_kept: int = 600_000,
 ) -> DataFrame:
     """Pieces of all documents, each with its place in a packed sequence.
 
@@ -151,15 +153,16 @@ def pack_documents(
     With ``prompt_tokens_col`` the first so many ids of a document bear no loss; without it, all
     do. Null texts count as empty (the end id alone); null ids stay null; repeated rows are packed
     each; no rows give no pieces; other columns are ignored. A text of any length is cut.
+    ``slice_mb`` and ``pieces_kept`` trade a worker's memory for speed.
     """
-    session_of(docs)
+    session_of(docs, 2 * slice_mb)
     limits = limits or Limits()
     chosen = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(prompt_tokens_col).cast("long") if prompt_tokens_col else F.lit(0).cast("long")).alias("prompt")
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer = encoder(tokenizer_path, pieces=200_000), Packer(limits)
+        enc, packer = encoder(tokenizer_path, pieces=pieces_kept), Packer(limits)
         sequence = TaskContext.get().partitionId() << 36
         held: dict[int, tuple[int | None, np.ndarray, int]] = {}  # examples with pieces that wait
         serial = 0
@@ -191,7 +194,7 @@ def pack_documents(
                 yield record(names, arrays)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", slice_mb << 20):
                 ids, offsets = enc.encode(part.column("text"), end_id)
                 prompts = part.column("prompt").fill_null(0).to_pylist()
                 pieces: list[tuple[int, int, int, int]] = []
