@@ -16,6 +16,7 @@ its worst word; a logistic curve turns it into a score.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from zlib import crc32
@@ -161,35 +162,46 @@ class ToxicityModel:
                 dense[u] += a * v
         self.weights = dense
         labels = np.array([y for _, y in rows], np.float64)
-        self.calibrate = Logistic(self.texts(pa.array([t for t, _ in rows], pa.string())), labels)
+        texts = record(["text"], [pa.array([t for t, _ in rows], pa.string())])
+        self.calibrate = Logistic(np.concatenate([self.texts(part.column("text")) for part in slices(texts, "text")]), labels)
 
-    @staticmethod
-    def _examples(rows: list[tuple[str, int]]) -> tuple[list[str], list[str], dict[str, int]]:
+    @classmethod
+    def _examples(cls, rows: list[tuple[str, int]]) -> tuple[list[str], list[str], dict[str, int]]:
         """Words whose contexts are toxic beyond chance, the commonest 20,000 other words of clean
         texts, and how many contexts of its own side each has."""
-        contexts: tuple[dict[str, set], dict[str, set]] = (defaultdict(set), defaultdict(set))
+        codes: dict[str, int] = {}
+        # A word's code and its context, eight bytes for each place: sets of them would take hundreds of MB.
+        word, context = (array("I"), array("I")), (array("I"), array("I"))
         for text, label in sorted(set(rows)):
             for words in _sentence_words(text):
                 for k, w in enumerate(words):
                     if SHORTEST <= len(w) <= LONGEST:
-                        contexts[label][w].add(crc32(f"{words[k - 1] if k else ''} {words[k + 1] if k + 1 < len(words) else ''}".encode()))
-        clean, toxic = contexts
-        total = sum(map(len, toxic.values())) + sum(map(len, clean.values()))
-        if not toxic or not clean:
+                        word[label].append(codes.setdefault(w, len(codes)))
+                        context[label].append(crc32(f"{words[k - 1] if k else ''} {words[k + 1] if k + 1 < len(words) else ''}".encode()))
+        clean, toxic = (cls._distinct(word[y], context[y], len(codes)) for y in (0, 1))
+        if not sum(clean) or not sum(toxic):
             return [], [], {}
-        base = sum(map(len, toxic.values())) / total
-        types = len(set(toxic) | set(clean))
-        positive = []
-        for w, own in sorted(toxic.items()):
-            n, share = len(own) + len(clean.get(w, ())), len(own) / (len(own) + len(clean.get(w, ())))
-            if share > base:
+        base = sum(toxic) / (sum(clean) + sum(toxic))
+        positive, negative = [], []
+        for w, code in sorted(codes.items()):
+            n, share = toxic[code] + clean[code], toxic[code] / (toxic[code] + clean[code])
+            if toxic[code] and share > base:
                 against = 0.0 if share == 1 else (1 - share) * np.log((1 - share) / (1 - base))
-                if n * (share * np.log(share / base) + against) > np.log(types) + 3 and share > 0.6:
+                if n * (share * np.log(share / base) + against) > np.log(len(codes)) + 3 and share > 0.6:
                     positive.append(w)
-        near = set(positive)
-        positive.sort(key=lambda w: (-len(toxic[w]), w))
-        negative = [w for w in sorted(clean, key=lambda w: (-len(clean[w]), w)) if w not in near][:20_000]
-        return positive[:POSITIVES], negative, {w: len(toxic[w] if w in near else clean[w]) for w in [*near, *negative]}
+                    continue
+            if clean[code]:
+                negative.append(w)
+        positive.sort(key=lambda w: (-toxic[codes[w]], w))
+        negative.sort(key=lambda w: (-clean[codes[w]], w))
+        negative = negative[:20_000]
+        return positive[:POSITIVES], negative, {w: toxic[codes[w]] for w in positive} | {w: clean[codes[w]] for w in negative}
+
+    @staticmethod
+    def _distinct(word: array, context: array, types: int) -> list[int]:
+        """How many different contexts each word code has."""
+        pairs = np.unique(np.frombuffer(word, np.uint32).astype(np.uint64) << np.uint64(32) | np.frombuffer(context, np.uint32))
+        return np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=types).tolist()
 
     def words(self, words: list[str]) -> np.ndarray:
         """Decision values of words of SHORTEST to LONGEST letters; those without a shared gain get the bias."""
