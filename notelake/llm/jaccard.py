@@ -9,19 +9,26 @@ must show before it is verified (for two documents, the smaller of their two L).
 
 Only shingles that two different sets post are kept ("live"). Linking then goes in two steps, so
 that a group of near copies doesn't make all its pairs: first each document is verified against
-two of the most central documents that post its live shingles, and links are merged to components;
-then all candidate pairs between different components are verified, after the positional bound. Any
-link inside a component changes nothing, so no class differs from that of an all-pairs join.
+a few of the documents that its live shingles name as centres, and links are merged to components;
+then all candidate pairs between different components are verified, after the positional bound and
+the bitmap bound. Any link inside a component changes nothing, so no class differs from that of an
+all-pairs join.
+
+The bitmap bound: each set keeps the parity of its shingles in SKETCH_LONGS * 64 hashed cells. A
+cell whose parities differ holds at least one shingle that only one of two sets has, so cells that
+differ never outnumber those shingles, and a pair with too many isn't similar enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.llm.common import Words, components, hash_bits, hash_counts, marked, record, row_shingles, session_of, slices, small_or_plain, stored
@@ -31,10 +38,17 @@ PERCENT = 80
 #: Sizes of the two fixed tables: 2**20 counts, 2**25 bits (4 MB).
 COUNT_BITS = 20
 LIVE_BITS = 25
+#: 64-bit words of a set's parity bitmap.
+SKETCH_LONGS = 16
+_WORDS = [f"s{i}" for i in range(SKETCH_LONGS)]
+#: Sets that each shingle names as centres, and those that a set is verified against at first.
+CENTRES = 3
+LINKS = 3
 #: Prefix lengthenings that a document may choose from.
 DEPTHS = (1, 2, 3, 4, 6, 8)
 
-_POSTS = "token long, sig long, n int, pos int, depth int, doc_id long"
+_POSTS = "token long, sig long, n int, pos int, depth int, doc_id long, sketch array<long>"
+_NAMES = ["token", "sig", "n", "pos", "depth", "doc_id", "sketch"]
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -47,6 +61,14 @@ def signature(distinct: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(distinct.tobytes()) - (1 << 63)
 
 
+def sketch(distinct: np.ndarray) -> list[int]:
+    """The parity bitmap of a set of shingles, as signed 64-bit integers."""
+    # Other bits than those that counts and live shingles go by.
+    cell = (distinct & np.uint64(SKETCH_LONGS * 64 - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=SKETCH_LONGS * 64) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def depth_of(cost: np.ndarray, n: int, percent: int, typical: float) -> int:
     """How many matches a document asks for, by the estimated cost of its candidates.
 
@@ -90,7 +112,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int, live
                     n = len(distinct)
                     mine = signature(distinct) if n else None
                     if live is not None:
-                        head.append((mine, n, doc))
+                        head.append((mine, n, doc, sketch(distinct) if n else None))
                     if not n or doc is None:
                         continue
                     own = size_of[counts[(distinct >> np.uint64(64 - bits)).astype(np.int64)]]
@@ -114,7 +136,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int, live
                 many = [len(x) for x in token]
                 if many:
                     yield record(
-                        ["token", "sig", "n", "pos", "depth", "doc_id"],
+                        _NAMES,
                         [
                             np.concatenate(token).view(np.int64),
                             np.repeat(np.array(sig, np.int64), many),
@@ -122,13 +144,14 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int, live
                             np.concatenate(pos),
                             np.repeat(np.array(depth, np.int32), many),
                             np.repeat(np.array(row, np.int64), many),
+                            pa.nulls(sum(many), pa.list_(pa.int64())),
                         ],
                     )
                 if head:
                     cols = list(zip(*head, strict=True))
                     none = pa.nulls(len(head), pa.int64())
                     few = pa.nulls(len(head), pa.int32())
-                    yield record(["token", "sig", "n", "pos", "depth", "doc_id"], [none, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), few, few, pa.array(cols[2], pa.int64())])
+                    yield record(_NAMES, [none, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), few, few, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64()))])
 
     return docs.mapInArrow(post, _POSTS)
 
@@ -197,13 +220,15 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = stored(posted.where("low < high").select("token"), "live-shingles")
     table = hash_bits(shared, "token", LIVE_BITS)
     found = stored(prefixes(chosen, counts, width, percent, table), "prefixes")
-    heads = found.where("token IS NULL").select("doc_id", "sig", "n")
+    heads = found.where("token IS NULL").select("doc_id", "sig", "n", "sketch")
     sets = heads.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least_id"))
     posts = found.where("token IS NOT NULL").join(shared, "token").select("token", "sig", "n", "pos", "depth").distinct()
     posts = stored(posts, "live-postings")
 
     # What the positional bound allows: no match before a document's first live shingle.
     reach = posts.groupBy("sig").agg(F.min("pos").alias("first"), F.count("*").alias("posted"))
+    maps = heads.where("sig IS NOT NULL").groupBy("sig").agg(F.first("sketch").alias("sketch"))
+    reach = reach.join(maps, "sig").select(*reach.columns, *[F.get("sketch", F.lit(i)).alias(w) for i, w in enumerate(_WORDS)])
     live = stored(posts.join(reach, "sig"), "live-reach")
 
     links = stored(verified(_centre_pairs(live, percent), chosen, sets, width, percent), "star-links")
@@ -214,18 +239,21 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = placed.withColumn("unread", F.greatest(F.ceil(F.col("n") * percent / 100).cast("int") - F.col("depth"), F.lit(0)))
     split = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     open_ = stored(placed.join(split, "token", "left_semi"), "open-postings")
-    x, y = (open_.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "first", "posted", "depth", "unread", "comp")]) for k in "xy")
+    x, y = (open_.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "first", "posted", "depth", "unread", "comp", *_WORDS)]) for k in "xy")
     # overlap * (100 + percent) >= percent * (n_x + n_y) for similar sets
     needed = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent)).cast("int")
     # Up to the end of the prefix that ends first all matches are among the shared shingles; the
     # rest of that document can add no more than its unread ones.
     least_shared = needed - F.greatest("unread_x", "unread_y")
+    # Shingles that only one of two similar sets has: (100 + percent) * those <= (100 - percent) * (n_x + n_y)
+    differing = _differing(*[[F.col(f"{w}_{k}") for w in _WORDS] for k in "xy"])
     both = x.join(y, "token").where(
         (F.col("sig_x") < F.col("sig_y"))
         & (F.col("comp_x") != F.col("comp_y"))
         & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
         & (F.least(F.col("n_x") - F.col("first_x"), F.col("n_y") - F.col("first_y")) >= needed)
         & (F.least("posted_x", "posted_y") >= least_shared)
+        & (differing * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent))
     )
     rest = both.groupBy(F.col("sig_x").alias("a"), F.col("sig_y").alias("b")).agg(
         F.count("*").alias("shared"), F.min(F.least("depth_x", "depth_y")).alias("depth"), F.min(least_shared).alias("least_shared")
@@ -242,21 +270,30 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id"))
 
 
+def _differing(x: list[Column], y: list[Column]) -> Column:
+    """Cells in which two parity bitmaps differ."""
+    return reduce(add, [F.bit_count(p.bitwiseXOR(q)) for p, q in zip(x, y, strict=True)])
+
+
 def _centre_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """For each set the two likeliest links (a, b) to central sets.
+    """For each set a few likely links (a, b) to other sets.
 
-    The centre of a shingle's sets is that with the fewest unshared shingles before its first live
-    one; for the centre itself it is the next.
+    Each shingle names CENTRES of its sets by hash. A set keeps those of its shingles' centres that
+    the bounds leave, LINKS of them by one order for all sets, so that large groups meet in few.
     """
-    off = F.struct((F.col("first") * 1000 / F.col("n")).cast("int").alias("off"), F.col("n").alias("cn"), F.col("sig").alias("centre"))
-    one = live.groupBy("token").agg(F.min(off).alias("c"))
-    near = live.join(one, "token")
-    two = near.where("sig <> c.centre").groupBy("token").agg(F.min(off).alias("d"))
-    near = near.join(two, "token").withColumn("to", F.when(F.col("sig") != F.col("c.centre"), F.col("c")).otherwise(F.col("d")))
-    star = near.groupBy("sig", F.col("to.centre").alias("centre")).agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.min("to.cn").alias("cn"))
+    own = F.struct("sig", "n", *_WORDS)
+    pick = [F.min(F.struct(F.xxhash64("sig", "token", F.lit(k)).alias("h"), own.alias("c"))).alias(f"c{k}") for k in range(CENTRES)]
+    near = live.join(live.groupBy("token").agg(*pick), "token")
+
+    def likely(c: Column) -> Column:
+        fits = F.least(F.col("n"), c["n"]) * 100 >= F.greatest(F.col("n"), c["n"]) * percent
+        same = _differing([F.col(w) for w in _WORDS], [c[w] for w in _WORDS]) * (100 + percent) <= (F.col("n") + c["n"]) * (100 - percent)
+        return F.when((c["sig"] != F.col("sig")) & fits & same, c["sig"])
+
+    found = near.select("sig", F.array_distinct(F.array_compact(F.array(*[likely(F.col(f"c{k}.c")) for k in range(CENTRES)]))).alias("to"))
+    star = found.select("sig", F.explode("to").alias("centre")).distinct()
     # Only a first choice of pairs to verify: what it leaves out is a candidate later on.
-    star = star.where((F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent) & (F.col("shared") * 25 >= F.col("n")))
-    best = star.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("shared"), "centre"))).where("k <= 2")
+    best = star.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy(F.xxhash64("centre"), "centre"))).where(F.col("k") <= LINKS)
     return best.select(F.least("sig", "centre").alias("a"), F.greatest("sig", "centre").alias("b")).distinct()
 
 

@@ -262,3 +262,15 @@ def test_exchange_finds_alternating_classes():
             pairs[a, b] = pairs[b, a] = 50
     of = brown.exchange_clusters(pairs, classes=2)
     assert len(set(of[:3].tolist())) == 1 and len(set(of[3:6].tolist())) == 1 and of[0] != of[3]
+
+
+def test_bitmaps_never_differ_in_more_cells_than_sets_do():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 40, 300, 5000):
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for changed in (0, 1, n // 10, n // 2, n):
+            other = np.unique(np.concatenate([base[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64)]))
+            mine = np.unique(base)
+            differ = sum((p ^ q).bit_count() if p ^ q >= 0 else ((p ^ q) & ((1 << 64) - 1)).bit_count() for p, q in zip(jaccard.sketch(mine), jaccard.sketch(other), strict=True))
+            assert differ <= len(np.setxor1d(mine, other))
+            assert changed or differ == 0
