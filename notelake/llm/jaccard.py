@@ -278,11 +278,14 @@ def _differing(x: list[Column], y: list[Column]) -> Column:
 def _centre_pairs(live: DataFrame, percent: int) -> DataFrame:
     """For each set a few likely links (a, b) to other sets.
 
-    Each shingle names CENTRES of its sets by hash. A set keeps those of its shingles' centres that
+    Each shingle names CENTRES of its sets, one as central and the others by hash. A set keeps those of its shingles' centres that
     the bounds leave, LINKS of them by one order for all sets, so that large groups meet in few.
     """
     own = F.struct("sig", "n", *_WORDS)
-    pick = [F.min(F.struct(F.xxhash64("sig", "token", F.lit(k)).alias("h"), own.alias("c"))).alias(f"c{k}") for k in range(CENTRES)]
+    # The first is the set with the fewest unshared shingles: sets that link with few link with such.
+    off = (F.col("first") * 1000 / F.col("n")).cast("int")
+    orders = [F.struct(off if k == 0 else F.lit(0), F.xxhash64("sig", "token", F.lit(k))) for k in range(CENTRES)]
+    pick = [F.min(F.struct(h.alias("h"), own.alias("c"))).alias(f"c{k}") for k, h in enumerate(orders)]
     near = live.join(live.groupBy("token").agg(*pick), "token")
 
     def likely(c: Column) -> Column:
