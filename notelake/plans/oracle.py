@@ -125,6 +125,7 @@ _GROUPS = f"""gw AS (SELECT query_id, group_id, min(array_to_string(terms, ' '))
 gdf AS (SELECT query_id, group_id, count(DISTINCT row_id) AS df FROM hits GROUP BY ALL),
 sg AS (SELECT query_id, group_id, word, coalesce(df, 0) AS df, CASE WHEN word IN ({_STOP}) THEN 'stopword' WHEN coalesce(df, 0) = 0 THEN 'zero_hit'
     WHEN n >= 30 AND df >= 10 AND df / n >= 0.8e0 THEN 'low_signal' ELSE 'eligible' END AS status, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM gw LEFT JOIN gdf USING (query_id, group_id) CROSS JOIN st)"""
+_CONTEXTS = "contexts AS (SELECT query_id, body AS context FROM ranked JOIN notes ON row_id = path)"
 _QRELS = "qrels AS (SELECT item_id AS query_id, path FROM notes JOIN benchmark ON contains(body, benchmark.text))"
 _METRICS = f"""{_QRELS}, tot AS (SELECT query_id, count(*) AS total, sum(CASE WHEN r <= 3 THEN 1 / log2(r + 1.0e0) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path) AS r FROM qrels) GROUP BY 1),
 got AS (SELECT query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1.0e0)) AS dcg FROM ranked JOIN qrels ON ranked.query_id = qrels.query_id AND ranked.row_id = qrels.path GROUP BY ALL),
@@ -182,6 +183,8 @@ SQL = {
     "usage_top_documents": f"WITH {_USAGE} SELECT value, count FROM (SELECT lower(document) AS value, count(*) AS count, min(event_id) AS f FROM log WHERE document IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 10)",
     "usage_evidence": f"WITH {_USAGE}, c AS (SELECT count(*) AS events, count(*) FILTER (command = 'view') AS searches, count(*) FILTER (command = 'click') AS retrieves, count(*) FILTER (command = 'view' AND duration_ms < 10) AS no_answer_searches, count(*) FILTER (status <> 'ok') AS errors FROM log), r AS (SELECT *, round(errors / events::DOUBLE, 4) AS error_rate, round(no_answer_searches / searches::DOUBLE, 4) AS no_answer_rate FROM c) SELECT *, CASE WHEN events < 30 OR searches < 10 OR retrieves < 5 THEN 'collect_more' WHEN no_answer_rate >= 0.2 THEN 'watch' ELSE 'ready' END AS decision FROM r",
     "ir_metrics": _search([("or", 2)], 3, f", {_METRICS} SELECT * FROM metrics"),
+    "agent_sufficiency": _search([("or", 2)], 1, f", {_CONTEXTS}, facts AS (SELECT query_id, unnest([query, text]) AS fact FROM topics) SELECT query_id, count(*) AS facts, count(*) FILTER (contains(lower(context), lower(fact))) AS covered, round(count(*) FILTER (contains(lower(context), lower(fact))) / count(*)::DOUBLE, 4) AS coverage FROM contexts JOIN facts USING (query_id) GROUP BY query_id"),
+    "context_reduction": _search([("or", 2)], 1, f", {_CONTEXTS}, corpus AS (SELECT sum(ceil(length(body) / 4.0e0)) AS all_tokens FROM notes) SELECT query_id, ceil(length(context) / 4.0e0)::BIGINT AS returned, round(1 - ceil(length(context) / 4.0e0) / all_tokens, 4) AS reduction FROM contexts, corpus"),
     "slice_metrics": _search([("or", 2)], 3, f", {_METRICS} SELECT CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, count(*) AS topics, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg FROM metrics GROUP BY 1"),
     "golden_prefix_compare": _search([("or", 2), ("strict", 0)], 3, ", m AS (SELECT query_id, list(row_id ORDER BY rank) AS mine FROM ranked WHERE run = 2 GROUP BY 1), g AS (SELECT query_id, list(row_id ORDER BY rank) AS want FROM ranked WHERE run = 0 AND rank <= 1 GROUP BY 1) SELECT query_id, CASE WHEN mine IS NULL THEN 'missing' WHEN want IS NULL THEN 'unexpected' WHEN mine[1:len(want)] = want THEN 'match' ELSE 'differs' END AS verdict FROM m FULL JOIN g USING (query_id)"),
     "latency_percentiles": "WITH p AS (SELECT event_type AS command, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT command, round(min(value), 3) AS min, round(median(value), 3) AS p50, round(max(value) FILTER (i = floor((n - 1) * 0.95e0 + 0.5e0)), 3) AS p95, round(max(value), 3) AS max FROM p GROUP BY 1",

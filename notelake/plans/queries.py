@@ -155,6 +155,15 @@ def retrieve_docs_budget(spark, sf):
     return packed.select("query_id", F.sha2("context", 256).alias("context_sha256"), "used_tokens", "sources")
 
 
+def retrieve_passages_budget(spark, sf):
+    rows = _passages(spark, sf)
+    occ, lens = index.occurrences(rows, index.PASSAGE_WEIGHTS, "passage_id"), index.row_lengths(rows, index.PASSAGE_WEIGHTS, "passage_id")
+    top = search.ranked(search.bm25(search.or_run(_talk_topics(spark, sf)), occ, lens), LIMIT)
+    sources = rows.withColumn("lines", F.concat_ws(":", "start_line", "end_line")).withColumnRenamed("text", "body")
+    packed = retrieve.packets(top, sources, 800, heading=True)
+    return packed.select("query_id", F.sha2("context", 256).alias("context_sha256"), "used_tokens", "sources")
+
+
 def lexical_pairs(spark, sf):
     notes, topics = _notes(spark, sf).select("path", X.words_of(F.col("body")).alias("tw")), _topics(spark, sf).select("query_id", X.words_of(F.col("text")).alias("qw"))
     return notes.crossJoin(F.broadcast(topics)).select("query_id", "path", F.round(lexical_similarity(F.col("qw"), F.col("tw")), 4).alias("similarity")).where("similarity >= 0.55")
@@ -279,6 +288,24 @@ def golden_prefix_compare(spark, sf):
     return evaluate.golden_prefix(run(search.or_run(_topics(spark, sf)), LIMIT), run(search.strict_run(_topics(spark, sf)), 1))
 
 
+def _contexts(spark, sf):
+    """The best note of each topic that has any: (query_id, context)."""
+    top = search.ranked(search.bm25(search.or_run(_topics(spark, sf)), *_index(spark, sf)), 1)
+    return top.join(_notes(spark, sf).select(F.col("path").alias("row_id"), F.col("body").alias("context")), "row_id").select("query_id", "context")
+
+
+def agent_sufficiency(spark, sf):
+    topics = _topics(spark, sf)
+    facts = topics.select("query_id", F.explode(F.array("query", "text")).alias("fact"))
+    return evaluate.sufficiency(_contexts(spark, sf), facts)
+
+
+def context_reduction(spark, sf):
+    corpus = _notes(spark, sf).agg(F.sum(X.approx_tokens(F.col("body"))).alias("corpus"))
+    returned = _contexts(spark, sf).select("query_id", X.approx_tokens(F.col("context")).alias("returned"))
+    return returned.crossJoin(F.broadcast(corpus)).select("query_id", "returned", evaluate.token_reduction(F.col("returned"), F.col("corpus")).alias("reduction"))
+
+
 def latency_percentiles(spark, sf):
     return evaluate.latency_summary(usage_of_events(_table(spark, sf, "events")), "command", "duration_ms")
 
@@ -309,8 +336,8 @@ def writeback_summary(spark, sf):
 
 NAMES = (
     token_counts, safe_prefix_stems, slugs, doc_frequency, bm25_strict_docs, bm25_or_docs, bm25_prefix_docs, bm25_glossary_docs, bm25_passages, search_filtered, rrf_docs, signal_groups, relaxed_search, abstain_diagnostics,
-    grep_baseline, snippet_window, passage_split, section_extract, line_range, needle_snippet, retrieve_docs_budget, lexical_pairs, simhash_md5, find_similar, secret_findings, redacted, schema_validate, vault_stats, type_counts, tag_counts,
+    grep_baseline, snippet_window, passage_split, section_extract, line_range, needle_snippet, retrieve_docs_budget, retrieve_passages_budget, lexical_pairs, simhash_md5, find_similar, secret_findings, redacted, schema_validate, vault_stats, type_counts, tag_counts,
     glossary_expand, glossary_lookup, glossary_validate, glossary_suggest, explain_matches, sha256_signatures, manifest_diff, index_staleness, create_outcomes, append_outcomes, usage_summary, usage_by_command, usage_top_documents,
-    usage_evidence, ir_metrics, slice_metrics, golden_prefix_compare, latency_percentiles, metric_deltas, writeback_decisions, writeback_summary,
+    usage_evidence, ir_metrics, slice_metrics, golden_prefix_compare, agent_sufficiency, context_reduction, latency_percentiles, metric_deltas, writeback_decisions, writeback_summary,
 )
 QUERIES = {f.__name__: f for f in NAMES}

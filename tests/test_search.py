@@ -93,3 +93,10 @@ def test_append_outcomes(spark):
     rows = docs(spark, "have this")
     asks = spark.createDataFrame([("0.md", "have", None), ("0.md", "new", None), ("0.md", "new", "0"), ("9.md", "x", None)], "path string, addition string, expected_sha256 string")
     assert [r["outcome"] for r in changes.append_notes(asks, rows).orderBy("path", "addition", "expected_sha256").collect()] == ["noop", "update", "conflict", "missing"]
+
+
+def test_sufficiency_ignores_case_and_counts_topics_without_facts(spark):
+    contexts = spark.createDataFrame([(1, "The Lamp is RED"), (2, "nothing")], "query_id long, context string")
+    facts = spark.createDataFrame([(1, "lamp IS red"), (1, "blue")], "query_id long, fact string")
+    got = {r.query_id: (r.facts, r.covered, r.coverage) for r in evaluate.sufficiency(contexts, facts).collect()}
+    assert got == {1: (2, 1, 0.5), 2: (0, 0, 1.0)}
