@@ -1,15 +1,18 @@
 """LM scoring with Brown class-based bigrams.
 
-The frequent words are put into classes by exchange clustering: words move, one at a time, to the
-class that raises the likelihood of the class bigrams most. All other words make a class of their
-own, and so does the end of a text, which also stands before a text's first word. A text's
-probability is the product over its tokens of a class transition, smoothed with the class's own
-frequency, and a word's emission from its class. In the class of other words a discount (from the
-numbers of words seen once and twice) leaves the mass of words never seen.
-
-Counts go over all training texts. The model that travels is bounded: FREQUENT - 2 words with
-classes, and the counts of at most TABLE_WORDS words of at most TABLE_BYTES bytes. Every other word
-meets its count in a shuffled join, so all counts are exact at any size.
+The most frequent words are put into classes by exchange clustering: words move, one at a time, to
+the class that raises the likelihood of the class bigrams most. Every other word that occurs LEAST
+times or more then joins the class that the classes of its own neighbours fit best; the number of
+classes follows how many words have one, and the class bigrams are counted anew over all of them.
+Rarer words make a class of their own, and so does the end of a text, which also stands before a
+text's first word. A text's probability is the product over its tokens of a class transition,
+smoothed with the class's own frequency, and a word's emission from its class. In the class of
+rarer words a discount (from the numbers of words seen once and twice) leaves the mass of words
+never seen.
+
+Counts go over all training texts. The table of words that travels is bounded: at most TABLE_WORDS
+words of at most TABLE_BYTES bytes. Every other word meets its count and its class in a shuffled
+join, so all counts, classes and transitions are the same at any size of the table.
 """
 
 from __future__ import annotations
@@ -26,16 +29,20 @@ from pyspark.sql import functions as F
 from notelake.llm.common import Words, hash_counts, record, session_of, slices, stored
 from notelake.llm.labelled import fold
 
-#: States of the word bigram table, a power of two: words, the class of others, the end.
+#: States of the exchange's word bigram table, a power of two: words, the class of others, the end.
 FREQUENT = 1024
+#: Classes at least; twice the cube root of the number of words with a class, if that is more.
 CLASSES = 48
+#: Occurrences from which a word has a class of its own neighbours' choice.
+LEAST = 5
 SWEEPS = 6
 TABLE_WORDS = 200_000
 TABLE_BYTES = 40
 _BASE = 0.1
 _SMOOTH = 5.0
 
-_ROWS = "row long, doc_id long, n_tokens long, n_known long, base double, score double, word string, times int"
+_PAIRS = "a string, a_class int, b string, b_class int, times long"
+_ROWS = f"row long, doc_id long, n_tokens long, n_known long, base double, score double, word string, {_PAIRS}"
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -99,15 +106,16 @@ def exchange_clusters(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = S
 
 @dataclass
 class BrownModel:
-    """Everything that scoring needs but the counts of words outside the table."""
+    """Everything that scoring needs but the counts and classes of words outside the table."""
 
     table: pa.Array  # words with their counts at hand, the frequent ones first
     counts: np.ndarray
-    state: np.ndarray  # of each word of the table; the last entry is that of any other word
-    classes: np.ndarray
+    state: np.ndarray  # the class of each word of the table; the last entry is that of rarer words
+    complete: bool  # no word outside the table has a class
+    complete_short: bool  # none of at most TABLE_BYTES bytes has
     transition: np.ndarray  # log10 by (class before, class)
+    in_class: np.ndarray  # tokens of each class's words
     emission: np.ndarray  # log10 by table word
-    end_emission: float
     tokens: int
     types: int
     ends: int
@@ -119,19 +127,92 @@ class BrownModel:
         return np.log10((count + _BASE) / (self.tokens + _BASE * (self.types + 1)))
 
 
-def _states(words: Words, table: pa.Array, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(state of each token with the ends put in, where each row's tokens begin)."""
+def _find(words: Words, table: pa.Array) -> np.ndarray:
+    """Where each distinct word is in the table; its length for words outside."""
     at = pc.index_in(words.distinct, value_set=table) if len(table) else pa.nulls(len(words.distinct), pa.int32())
-    own = state[pc.fill_null(at, len(table)).to_numpy(zero_copy_only=False)]
+    return pc.fill_null(at, len(table)).to_numpy(zero_copy_only=False)
+
+
+def _open(words: Words, at: np.ndarray, outside: int, complete: bool, complete_short: bool) -> np.ndarray:
+    """The distinct words whose class, or having none, only a join can tell."""
+    out = at == outside
+    if complete:
+        return np.zeros(len(at), bool)
+    if complete_short:
+        out &= pc.binary_length(words.distinct).to_numpy(zero_copy_only=False) > TABLE_BYTES
+    return out
+
+
+def _laid(words: Words, own: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the values of all tokens with the ends put in, where each word is, where each row begins)."""
     n = len(words.first) - 1
     begin = words.first[:-1] + np.arange(n)
-    out = np.full(len(words.codes) + n, -1, np.int64)
-    out[np.arange(len(words.codes)) + np.repeat(np.arange(n), np.diff(words.first))] = own[words.codes] if len(words.codes) else 0
-    return out, begin
+    place = np.arange(len(words.codes)) + np.repeat(np.arange(n), np.diff(words.first))
+    out = np.full(len(words.codes) + n, end, np.int64)
+    out[place] = own[words.codes] if len(words.codes) else 0
+    return out, place, begin
+
+
+def _shifted(x: np.ndarray, first: int) -> np.ndarray:
+    return np.concatenate([[first], x[:-1]])
+
+
+def _open_pairs(words: Words, own: np.ndarray, place: np.ndarray, open_: np.ndarray, begin: np.ndarray | None, end: int) -> tuple[np.ndarray, list]:
+    """(which adjacent pairs hold an open word, the columns row and _PAIRS of these, counted for
+    each row, or over all without ``begin``)."""
+    d = len(words.distinct)
+    # A value for each token: its class, or its word behind the classes.
+    word = np.full(len(own), -1, np.int64)
+    word[place] = np.where(open_, np.arange(d), -1)[words.codes] if len(place) else 0
+    value = np.where(word >= 0, end + 1 + word, own)
+    before = _shifted(value, end)
+    pick = (value > end) | (before > end)
+    if begin is None:
+        row = np.zeros(int(pick.sum()), np.int64)
+    else:
+        row = np.searchsorted(begin, np.flatnonzero(pick), side="right") - 1
+    keys, times = np.unique(np.stack([row, before[pick], value[pick]]), axis=1, return_counts=True)
+    columns: list = [keys[0]]
+    for side in keys[1:]:
+        named = side > end
+        at = pa.array(np.where(named, side - end - 1, 0), mask=~named)
+        columns += [words.distinct.take(at).cast(pa.string()), pa.array(np.where(named, 0, side).astype(np.int32), mask=named)]
+    return pick, [*columns, times.astype(np.int64)]
+
+
+def _resolved(pairs: DataFrame, classes: DataFrame, other: int) -> DataFrame:
+    """Open pairs with the classes of their words put in; words without one are in ``other``."""
+    for side in ("a", "b"):
+        named = classes.select(F.col("word").alias(side), F.col("class").alias("__class"))
+        met = pairs.where(F.col(side).isNotNull()).join(named, side, "left").withColumn(f"{side}_class", F.coalesce("__class", F.lit(other))).drop("__class")
+        pairs = pairs.where(F.col(side).isNull()).unionByName(met)
+    return pairs
+
+
+def _assign(neighbours: DataFrame, joint: np.ndarray, classes: int) -> DataFrame:
+    """(word, c, class): for each word of (word, c, near) the class whose bigrams fit its neighbours
+    best. ``near`` lists (slot, n): classes before the word, then, behind these, classes after it."""
+    smooth = joint + _SMOOTH * np.outer(joint.sum(axis=1) + 1, joint.sum(axis=0) + 1) / (joint.sum() + 1) ** 2
+    before = np.log(smooth / smooth.sum(axis=1, keepdims=True) / smooth.sum(axis=0, keepdims=True))[:, :classes]
+    after = np.log(smooth / smooth.sum(axis=1, keepdims=True))[:classes].T
+    fit = np.concatenate([before, after])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = batch.column("near")
+                row = pc.list_parent_indices(near).to_numpy(zero_copy_only=False)
+                flat = near.flatten()
+                counts = np.zeros((batch.num_rows, len(fit)))
+                counts[row, flat.field("slot").to_numpy(zero_copy_only=False)] = flat.field("n").to_numpy(zero_copy_only=False)
+                yield record(["word", "c", "class"], [batch.column("word"), batch.column("c"), np.argmax(np.round(counts @ fit, 6), axis=1).astype(np.int32)])
 
+    return neighbours.mapInArrow(assign, "word string, c long, class int")
 
-def learn(train: DataFrame) -> tuple[BrownModel, DataFrame]:
-    """The model of the texts of (text), and the table (word, c) of all words' counts."""
+
+def learn(train: DataFrame) -> tuple[BrownModel, DataFrame, DataFrame]:
+    """The model of the texts of (text), and the tables (word, c) of all words' counts and
+    (word, c, class) of the classes that words other than the most frequent have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,40 +242,105 @@ def learn(train: DataFrame) -> tuple[BrownModel, DataFrame]:
         words, counts = found["word"].combine_chunks().cast(pa.large_string()), found["c"].to_numpy().astype(np.int64)
     frequent = min(len(words), FREQUENT - 2)
     states = frequent + 2
-    other, end = frequent, frequent + 1
-    state = np.full(len(words) + 1, other, np.int64)
-    state[:frequent] = np.arange(frequent)
-    top, top_state = words[:frequent], np.append(np.arange(frequent), other)
+    top, top_state = words[:frequent], np.append(np.arange(frequent), frequent)
 
     def pairs(table: np.ndarray, batch: pa.RecordBatch) -> None:
         for part in slices(batch, "text"):
-            own, begin = _states(Words(part.column("text")), top, top_state)
-            own[own < 0] = end
-            before = np.concatenate([[end], own[:-1]])
-            table += np.bincount(before * FREQUENT + own, minlength=FREQUENT * FREQUENT).astype(table.dtype)
+            w = Words(part.column("text"))
+            own, _, _ = _laid(w, top_state[_find(w, top)], frequent + 1)
+            table += np.bincount(_shifted(own, frequent + 1) * FREQUENT + own, minlength=FREQUENT * FREQUENT).astype(table.dtype)
 
     wide = hash_counts(train.select("text"), pairs, (FREQUENT * FREQUENT).bit_length() - 1).reshape(FREQUENT, FREQUENT)
     bigrams = wide[:states, :states].astype(np.float64)
-    of = exchange_clusters(bigrams)
+    often = sum(r["types"] for r in steps if r["least"] >= LEAST)
+    of = exchange_clusters(bigrams, max(CLASSES, 2 * round(often ** (1 / 3))))
     n_classes = int(of.max()) + 1
+    other, end = n_classes - 2, n_classes - 1
     member = np.zeros((states, n_classes))
     member[np.arange(states), of] = 1
-    joint = member.T @ bigrams @ member
+
+    # Further words: the classes next to them, of the frequent words.
+    complete = often <= int((counts >= LEAST).sum())
+    complete_short = least is not None and least <= LEAST or held <= TABLE_WORDS
+    top_class = of[top_state]
+    rare = np.append(counts < LEAST, False)
+    rare[:frequent] = True
+
+    def next_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = Words(part.column("text"))
+                at = _find(w, words)
+                wanted = ~rare[at]
+                wanted[at == len(words)] = _open(w, at, len(words), complete, complete_short)[at == len(words)]
+                own, place, _ = _laid(w, top_class[np.minimum(at, frequent)], end)
+                pick = wanted[w.codes]
+                code, where = w.codes[pick].astype(np.int64), place[pick]
+                slot = np.concatenate([_shifted(own, end)[where], n_classes + own[where + 1]])
+                pair, n = np.unique(np.tile(code, 2) * (2 * n_classes) + slot, return_counts=True)
+                yield record(["word", "slot", "n"], [w.distinct.take(pa.array(pair // (2 * n_classes))).cast(pa.string()), (pair % (2 * n_classes)).astype(np.int32), n.astype(np.int64)])
+
+    near = train.select("text").mapInArrow(next_to, "word string, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    near = near.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("near")).join(vocabulary.where(F.col("c") >= LEAST), "word").select("word", "c", "near")
+    classes = stored(_assign(near, member.T @ bigrams @ member, n_classes - 2), "word-classes")
+    state = np.full(len(words) + 1, other, np.int64)
+    state[:frequent] = of[:frequent]
+    if len(words) > frequent:
+        given = classes.where(fits & (F.col("c") >= least)).toArrow()  # TABLE_WORDS rows at most
+        at = pc.index_in(given["word"].combine_chunks().cast(pa.large_string()), value_set=words).to_numpy(zero_copy_only=False)
+        state[at.astype(np.int64)] = given["class"].to_numpy()
+
+    # The bigrams of all classes; pairs with a word that isn't in the table are joined.
+    bits = max(10, int(n_classes * n_classes - 1).bit_length())
+
+    def closed(table: np.ndarray, batch: pa.RecordBatch) -> None:
+        for part in slices(batch, "text"):
+            w = Words(part.column("text"))
+            at = _find(w, words)
+            own, place, _ = _laid(w, state[at], end)
+            keep = np.ones(len(own), bool)
+            if not complete:
+                open_ = np.zeros(len(own), bool)
+                open_[place] = _open(w, at, len(words), complete, complete_short)[w.codes]
+                keep = ~open_ & ~_shifted(open_, False)
+            table += np.bincount((_shifted(own, end) * n_classes + own)[keep], minlength=1 << bits).astype(table.dtype)
+
+    joint = hash_counts(train.select("text"), closed, bits)[: n_classes * n_classes].reshape(n_classes, n_classes).astype(np.float64)
+    if not complete:
+
+        def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    w = Words(part.column("text"))
+                    at = _find(w, words)
+                    own, place, _ = _laid(w, state[at], end)
+                    _, columns = _open_pairs(w, own, place, _open(w, at, len(words), complete, complete_short), None, end)
+                    yield record([x.split()[0] for x in _PAIRS.split(", ")], columns[1:])
+
+        met = _resolved(stored(train.select("text").mapInArrow(opened, _PAIRS), "open-pairs"), classes, other)
+        for r in met.groupBy("a_class", "b_class").agg(F.sum("times").alias("n")).collect():  # a row for each pair of classes
+            joint[r["a_class"], r["b_class"]] += r["n"]
     single = joint.sum(axis=0) + 0.5
     transition = np.log10((joint + _SMOOTH * single / single.sum()) / (joint.sum(axis=1, keepdims=True) + _SMOOTH))
 
     in_class = np.bincount(of[:frequent], weights=counts[:frequent].astype(np.float64), minlength=n_classes)
-    other_tokens = float(tokens - ends - counts[:frequent].sum())
-    other_types = float(types - (ends > 0) - frequent)
+    joined = 0
+    for r in classes.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        in_class[r["class"]] += r["c"]
+        joined += r["n"]
+    other_tokens = float(tokens - ends - in_class.sum())
+    other_types = float(types - (ends > 0) - frequent - joined)
     seen = {r["least"]: r["types"] for r in steps}
     once, twice = seen.get(1, 0), seen.get(2, 0)
     discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95)
+    own = state[: len(words)]
     emission = np.zeros(len(words))
-    emission[:frequent] = np.log10(counts[:frequent] / in_class[of[:frequent]]) if frequent else 0
+    has = own != other
+    emission[has] = np.log10(counts[has] / in_class[own[has]])
     if other_tokens:
-        emission[frequent:] = np.log10((counts[frequent:] - discount) / other_tokens)
-    model = BrownModel(words, counts, state, of, transition, emission, 0.0, int(tokens), int(types), int(ends), other_tokens, other_types, discount)
-    return model, vocabulary
+        emission[~has] = np.log10((counts[~has] - discount) / other_tokens)
+    model = BrownModel(words, counts, state, complete, complete_short, transition, in_class, emission, int(tokens), int(types), int(ends), other_tokens, other_types, discount)
+    return model, vocabulary, classes
 
 
 def score_texts(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0) -> DataFrame:
@@ -210,7 +356,7 @@ def score_texts(docs: DataFrame, train: Column | None = None, id_col: str = "doc
     spark = session_of(docs)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out_of = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
-    model, vocabulary = learn(chosen.where(~out_of if train is None else train))
+    model, vocabulary, classes = learn(chosen.where(~out_of if train is None else train))
     sent = spark.sparkContext.broadcast(model)
     numbered = chosen.withColumn("row", F.monotonically_increasing_id())
 
@@ -218,34 +364,40 @@ def score_texts(docs: DataFrame, train: Column | None = None, id_col: str = "doc
         m = sent.value
         names = [x.split()[0] for x in _ROWS.split(", ")]
         end = int(m.state[-1]) + 1
+        tail_kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64())
         base_of = m.base(m.counts)
         base_end = float(m.base(np.array([m.ends]))[0])
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
                 n = part.num_rows
-                at = pc.fill_null(pc.index_in(words.distinct, value_set=m.table), -1).to_numpy(zero_copy_only=False) if len(m.table) else np.full(len(words.distinct), -1)
-                known = at >= 0
-                own, begin = _states(words, m.table, m.state)
-                own[own < 0] = end
-                before = np.concatenate([[end], own[:-1]])
-                steps = m.transition[m.classes[before], m.classes[own]]
-                token_base = np.where(known, base_of[at] if len(base_of) else 0.0, 0.0)[words.codes]
-                token_emit = np.where(known, m.emission[at] if len(base_of) else 0.0, 0.0)[words.codes]
+                at = _find(words, m.table)
+                known = at < len(m.table)
+                own, place, begin = _laid(words, m.state[at], end)
+                steps = m.transition[_shifted(own, end), own]
+                open_ = _open(words, at, len(m.table), m.complete, m.complete_short)
+                if open_.any():
+                    pick, columns = _open_pairs(words, own, place, open_, begin, end)
+                    steps[pick] = 0.0
+                token_base = np.append(base_of, 0.0)[at][words.codes]
+                token_emit = np.append(m.emission, 0.0)[at][words.codes]
                 sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[words.first])
                 n_words = np.diff(words.first)
                 total = np.add.reduceat(steps, begin) + sums(token_emit)
                 rows = part.column("row").to_numpy(zero_copy_only=False)
                 n_known = sums(known[words.codes].astype(np.int64)) + (m.ends > 0)
                 nulls = lambda kind, k: pa.nulls(k, kind)
-                yield record(names, [rows, part.column("doc_id"), n_words + 1, n_known, sums(token_base) + base_end, total, nulls(pa.string(), n), nulls(pa.int32(), n)])
+                yield record(names, [rows, part.column("doc_id"), n_words + 1, n_known, sums(token_base) + base_end, total, *[nulls(kind, n) for kind in tail_kinds]])
+                if open_.any():
+                    k = len(columns[0])
+                    yield record(names, [rows[columns[0]], *[nulls(kind, k) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string())], *columns[1:]])
                 rare = ~known[words.codes]
                 if rare.any():
                     which = np.repeat(np.arange(n), n_words)[rare].astype(np.int64)
                     pair, times = np.unique(which * len(words.distinct) + words.codes[rare], return_counts=True)
                     k = len(pair)
                     text = words.distinct.take(pa.array(pair % len(words.distinct)))
-                    yield record(names, [rows[pair // len(words.distinct)], nulls(pa.int64(), k), nulls(pa.int64(), k), nulls(pa.int64(), k), nulls(pa.float64(), k), nulls(pa.float64(), k), text.cast(pa.string()), times.astype(np.int32)])
+                    yield record(names, [rows[pair // len(words.distinct)], nulls(pa.int64(), k), nulls(pa.int64(), k), nulls(pa.int64(), k), nulls(pa.float64(), k), nulls(pa.float64(), k), text.cast(pa.string()), *[nulls(kind, k) for kind in tail_kinds[1:-1]], times.astype(np.int64)])
 
     local = stored(numbered.mapInArrow(score, _ROWS), "lm-rows")
     c = F.coalesce(F.col("c"), F.lit(0)).cast("double")
@@ -253,10 +405,21 @@ def score_texts(docs: DataFrame, train: Column | None = None, id_col: str = "doc
     unseen = model.discount * model.other_types / model.other_tokens if model.other_tokens else 1.0
     emitted = F.when(c > 0, (c - model.discount) / (model.other_tokens or 1.0)).otherwise(F.lit(max(unseen, 1e-12)))
     tail = local.where("word IS NOT NULL").select("row", "word", "times").join(vocabulary, "word", "left")
+    if not model.complete:
+        tail = tail.join(classes.select("word", "class"), "word", "left")
+        emitted = F.when(F.col("class").isNotNull(), c / F.element_at(F.array(*[F.lit(float(x)) for x in model.in_class]), F.col("class") + 1)).otherwise(emitted)
     tail = tail.groupBy("row").agg(
         F.sum(F.col("times") * F.log10((c + _BASE) / floor)).alias("tail_base"), F.sum(F.col("times") * F.log10(emitted)).alias("tail_score"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("tail_known")
     )
-    heads = local.where("word IS NULL").drop("word", "times").join(tail, "row", "left")
+    heads = local.where("n_tokens IS NOT NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "score").join(tail, "row", "left")
+    if model.complete:
+        heads = heads.withColumn("tail_steps", F.lit(0.0))
+    else:
+        size = len(model.transition)
+        steps = spark.createDataFrame([(k // size, k % size, float(x)) for k, x in enumerate(model.transition.ravel())], "a_class int, b_class int, step double")
+        opened = local.where("n_tokens IS NULL AND word IS NULL").select("row", *[x.split()[0] for x in _PAIRS.split(", ")])
+        met = _resolved(opened, classes, size - 2).join(F.broadcast(steps), ["a_class", "b_class"])
+        heads = heads.join(met.groupBy("row").agg(F.sum(F.col("times") * F.col("step")).alias("tail_steps")), "row", "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     return heads.select(
         "doc_id",
@@ -265,5 +428,5 @@ def score_texts(docs: DataFrame, train: Column | None = None, id_col: str = "doc
         (F.col("n_known") + zero("tail_known")).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("tail_base")).alias("base_score"),
-        (F.col("score") + zero("tail_score")).alias("score"),
+        (F.col("score") + zero("tail_score") + zero("tail_steps")).alias("score"),
     )

@@ -274,3 +274,25 @@ def test_bitmaps_never_differ_in_more_cells_than_sets_do():
             differ = sum((p ^ q).bit_count() if p ^ q >= 0 else ((p ^ q) & ((1 << 64) - 1)).bit_count() for p, q in zip(jaccard.sketch(mine), jaccard.sketch(other), strict=True))
             assert differ <= len(np.setxor1d(mine, other))
             assert changed or differ == 0
+
+
+def test_brown_gives_words_behind_the_frequent_ones_classes(spark, monkeypatch):
+    rng = random.Random(4)
+    kinds = [[f"{k}{i}{'x' * (50 if i == 7 else 0)}" for i in range(60)] for k in "abc"]
+    rows = [(i, " ".join(rng.choice(kinds[k % 3]) for k in range(30))) for i in range(120)]
+    monkeypatch.setattr(brown, "FREQUENT", 32)
+    monkeypatch.setattr(brown, "CLASSES", 3)
+
+    def scores():
+        return {r["doc_id"]: r["score"] for r in brown.score_texts(frame(spark, rows)).collect()}
+
+    whole = scores()
+    model, _, classes = brown.learn(frame(spark, rows))
+    of = {r["word"]: r["class"] for r in classes.collect()} | dict(zip(model.table.to_pylist(), model.state.tolist(), strict=False))
+    # Words of a kind stand in the same places, so no class has words of two kinds; all but the end and rarer words have one.
+    sets = [{of[w] for w in kind} for kind in kinds]
+    assert len(of) == 180 and sum(map(len, sets)) == len(set.union(*sets)) and int(model.state[-1]) not in set.union(*sets)
+    # Without the table all classes come from joins, with the same scores.
+    monkeypatch.setattr(brown, "TABLE_WORDS", 40)
+    joined = scores()
+    assert all(math.isclose(whole[i], joined[i], rel_tol=1e-9) for i in whole)
