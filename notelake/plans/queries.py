@@ -85,8 +85,9 @@ def _passages(spark, sf):
 
 
 def _talk_topics(spark, sf):
-    first = _table(spark, sf, "conversations").where("turn = 0 AND conv_id % 10 = 0")
-    return first.select(F.col("conv_id").alias("query_id"), F.array_join(F.slice(F.split(F.regexp_replace("text", "\n", " "), " "), 1, 3), " ").alias("query"))
+    """The first turn of every conversation as a query, whole."""
+    turns = _table(spark, sf, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    return turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.min(F.struct("turn", "text"))["text"].alias("query"))
 
 
 def bm25_passages(spark, sf):

@@ -16,3 +16,12 @@ def test_append_outcomes_sees_whole_texts(spark, tmp_path):
     got = sorted((r["path"], r["outcome"]) for r in queries.append_outcomes(spark, str(tmp_path)).collect())
     # 2 goes to 3, 3 to 4, 4 to 5 and 5 to itself.
     assert got == [("docs/00000003.md", "secret"), ("docs/00000004.md", "update"), ("docs/00000005.md", "noop"), ("docs/00000005.md", "update")]
+
+
+def test_every_conversation_asks_with_its_whole_first_turn(spark, tmp_path):
+    turns = [(c, t, "user", f"same old words {'zebra' if t == 0 else 'other'}{c}") for c in (3, 7, 10, 11) for t in (0, 1)]
+    table(spark, tmp_path, "conversations", "conv_id long, turn long, role string, text string", *turns)
+    strict = queries.bm25_passages(spark, str(tmp_path)).collect()
+    assert sorted((r["query_id"], r["row_id"], r["rank"]) for r in strict) == sorted((c, f"talk/{c}:1:2", 1) for c in (3, 7, 10, 11))
+    packets = {r["query_id"]: r["sources"] for r in queries.retrieve_passages_budget(spark, str(tmp_path)).collect()}
+    assert packets.keys() == {3, 7, 10, 11} and all(p.startswith(f"talk/{c}") for c, p in packets.items())
