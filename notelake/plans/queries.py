@@ -175,7 +175,10 @@ def simhash_md5(spark, sf):
 
 
 def find_similar(spark, sf):
-    return similar.find_similar(_topics(spark, sf).select("query_id", "text"), _notes(spark, sf), spark.sql("SELECT cast(null AS bigint) AS query_id, '' AS path, 0.0D AS similarity WHERE false"), LIMIT)
+    topics, notes = _topics(spark, sf).select("query_id", "text"), _notes(spark, sf)
+    found = search.search(topics.withColumnRenamed("text", "query"), *_index(spark, sf), LIMIT)
+    hits = similar.hits_with_similarity(found.select("query_id", F.col("row_id").alias("path")), topics, notes)
+    return similar.find_similar(topics, notes, hits, LIMIT)
 
 
 def secret_findings(spark, sf):

@@ -25,3 +25,11 @@ def test_every_conversation_asks_with_its_whole_first_turn(spark, tmp_path):
     assert sorted((r["query_id"], r["row_id"], r["rank"]) for r in strict) == sorted((c, f"talk/{c}:1:2", 1) for c in (3, 7, 10, 11))
     packets = {r["query_id"]: r["sources"] for r in queries.retrieve_passages_budget(spark, str(tmp_path)).collect()}
     assert packets.keys() == {3, 7, 10, 11} and all(p.startswith(f"talk/{c}") for c, p in packets.items())
+
+
+def test_find_similar_keeps_hits_of_the_index_at_any_similarity(spark, tmp_path):
+    long = " ".join(f"w{k}" for k in range(300))
+    table(spark, tmp_path, "documents", DOCUMENTS, (1, "zebra " + long, "en", "s", 0), (2, long, "en", "s", 0), (3, "quite another text", "en", "s", 0))
+    table(spark, tmp_path, "benchmark", "item_id long, text string", (1, "zebra qqq"), (2, "zebra"))
+    got = {(r["query_id"], r["path"]): r["similarity"] for r in queries.find_similar(spark, str(tmp_path)).collect()}
+    assert got[1, "docs/00000001.md"] == 0.5
