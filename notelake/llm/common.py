@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +54,63 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as what is written inside is done; else they stay until the driver
+    happens to collect its garbage. The session's own setting comes back afterwards."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def written(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
+    """The frame written as Parquet to a path and read back."""
+    with tidy(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written as Parquet to the shared folder and read back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Tables of one computation in the shared folder, deleted when they are no longer read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """As stored(), but gone after drop()."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        return written(df, path)
+
+    def drop(self) -> None:
+        """Deletes the tables; frames that read them can't be used after this."""
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths.clear()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -270,14 +322,16 @@ def record(names: list[str], arrays: list) -> pa.RecordBatch:
 # --- connected components --------------------------------------------------------------
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, owner: Scratch | None = None) -> DataFrame:
     """(node, root): root is the smallest node connected to node, over edges (a, b) of longs.
 
     Alternating large and small stars: edges move to ever smaller centres until every node hangs
     on its component's smallest. Nodes and edges stay on the executors; each round is written to
-    the shared folder. Nodes without edges are absent.
+    the shared folder, and what the round before wrote is deleted (the result's table with ``owner``). Nodes without edges are absent.
+    Rounds grow with the logarithm of a component's longest path: 60 do for any that has an id.
     """
-    now = stored(edges.where("a != b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "edges")
+    scratch, last = Scratch(edges.sparkSession), Scratch(edges.sparkSession)
+    now = scratch.stored(edges.where("a != b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         both = now.unionByName(now.selectExpr("v AS u", "u AS v"))
@@ -285,12 +339,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(centre, "u").where("v > u").selectExpr("v AS u", "m AS v").where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        now = stored(small, "edges")
+        now = last.stored(small, "edges")
+        scratch.drop()
+        scratch, last = last, scratch
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before:
             break
         before = seen
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    if owner is not None:
+        owner.paths += scratch.paths
     roots = now.selectExpr("u AS node", "v AS root")
     return roots.unionByName(now.selectExpr("v AS node", "v AS root").distinct())
