@@ -27,7 +27,7 @@ CACHE_PIECES = 600_000
 #: What parts words that are encoded together.
 _MARK = "~"
 
-_loaded: dict[tuple[str, bool], ColumnEncoder] = {}
+_loaded: dict[tuple[str, bool, int], ColumnEncoder] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -124,10 +124,17 @@ class ColumnEncoder:
 
 
 def encoder(path: str, folds: bool = False, pieces: int = CACHE_PIECES) -> ColumnEncoder:
-    """One encoder for each worker process and vocabulary."""
-    if (path, folds) not in _loaded:
-        _loaded[path, folds] = ColumnEncoder(path, folds, pieces)
-    return _loaded[path, folds]
+    """One encoder for each worker process: that of another vocabulary or size makes room."""
+    key = path, folds, pieces
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = ColumnEncoder(path, folds, pieces)
+    return _loaded[key]
+
+
+def forget() -> None:
+    """Drops the process's encoder, so that an idle worker doesn't hold its pieces."""
+    _loaded.clear()
 
 
 def crc(ids: np.ndarray) -> int:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from notelake.llm.common import Words, record, session_of, slices
 from notelake.llm.labelled import Logistic, fold, sample
+from notelake.llm.tokens import forget
 
 DECAY = 0.6
 SPAN = 7
@@ -125,6 +126,12 @@ def _sentence_words(text: str) -> Iterator[list[str]]:
         yield [w for w in ("".join(c for c in x if c.isalpha()).lower() for x in sentence.split()) if w]
 
 
+def _windows(run: str) -> Iterator[str]:
+    """A long run of letters in overlapping windows: any word of up to half of one lies whole in some."""
+    for a in range(0, max(1, len(run) - LONGEST // 2), LONGEST // 2):
+        yield run[a : a + LONGEST]
+
+
 class ToxicityModel:
     """Learned from (text, label) pairs."""
 
@@ -247,8 +254,8 @@ class ToxicityModel:
         if len(fit):
             value[fit] = self._remembered([terms[k] for k in fit])
         for k in np.flatnonzero(sizes > LONGEST).tolist():  # a long run of letters: overlapping windows
-            parts = {terms[k][a : a + LONGEST] for a in range(0, len(terms[k]), LONGEST // 2)}
-            value[k] = max([self.bias, *self.words([p for p in parts if len(p) >= SHORTEST]).tolist()])
+            parts = [p for p in sorted(set(_windows(terms[k]))) if len(p) >= SHORTEST]
+            value[k] = max([self.bias, *[self.words(parts[a : a + 5000]).max() for a in range(0, len(parts), 5000)]])
         of_word = bare.indices.to_numpy(zero_copy_only=False)[words.codes] if len(words.codes) else np.zeros(0, np.int64)
         out = np.full(n, self.bias)
         full = np.flatnonzero(np.diff(words.first) > 0)
@@ -259,15 +266,18 @@ class ToxicityModel:
 
     def _spelled(self, words: Words, terms: list[str], sizes: np.ndarray, of_word: np.ndarray, out: np.ndarray) -> None:
         """Words spelled out: four or more single letters on end are read as one word."""
-        single = np.concatenate([[False], sizes[of_word] == 1, [False]])
-        change = np.flatnonzero(single[1:] != single[:-1])
-        for a, b in zip(change[::2].tolist(), change[1::2].tolist(), strict=True):
-            if b - a >= 4:
-                row = int(np.searchsorted(words.first, a, side="right")) - 1
-                b = min(b, int(words.first[row + 1]))
-                run = "".join(terms[of_word[k]] for k in range(a, b))
-                parts = [run[s : s + LONGEST] for s in range(0, max(1, len(run) - LONGEST // 2), LONGEST // 2)]
-                parts = [p for p in parts if len(p) >= SHORTEST]
+        row_of = np.repeat(np.arange(len(out)), np.diff(words.first))
+        at = np.flatnonzero(sizes[of_word] == 1)
+        if not len(at):
+            return
+        # A run ends where the next single letter isn't the next word or stands in another text.
+        new = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(row_of[at]) > 0)])
+        starts = np.flatnonzero(new)
+        for k, n in zip(starts.tolist(), np.diff(np.append(starts, len(at))).tolist(), strict=True):
+            if n >= 4:
+                row = int(row_of[at[k]])
+                run = "".join(terms[of_word[i]] for i in at[k : k + n].tolist())
+                parts = [p for p in _windows(run) if len(p) >= SHORTEST]
                 if parts:
                     out[row] = max(out[row], *self.words(parts).tolist())
 
@@ -310,6 +320,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     sent = spark.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
