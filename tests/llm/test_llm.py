@@ -50,11 +50,13 @@ def brute_classes(rows):
 
     own = [(i, shingles(t)) for i, t in rows]
     root = {i: i for i, _ in own if i is not None}
+    links = [(a, b) for a, x in own for b, y in own if a is not None and b is not None and x and y and 100 * len(x & y) >= 80 * len(x | y)]
     for _ in own:
-        for a, x in own:
-            for b, y in own:
-                if a is not None and b is not None and x and y and 100 * len(x & y) >= 80 * len(x | y):
-                    root[a] = root[b] = min(root[a], root[b])
+        before = dict(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
     return sorted((i if i is not None else -1, len(s), root[i] if i is not None else -1) for i, s in own)
 
 
@@ -74,6 +76,35 @@ def test_jaccard_chain_of_copies(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_classes(rows)
 
 
+def test_jaccard_with_hot_passages_and_many_near_copies(spark):
+    rng = random.Random(8)
+    hot = words(rng, 60)
+    groups = [words(rng, 120).split() for _ in range(4)]
+    rows = []
+    for k in range(120):
+        w = list(groups[k % 4])
+        for _ in range(rng.choice((0, 1, 2, 3, 6))):
+            w[rng.randrange(120)] = f"e{rng.randrange(40)}"
+        rows.append((k, " ".join(w)))
+    # Long texts of shared passages, some of them near copies; a passage that very many texts have.
+    blocks = [words(rng, 150) for _ in range(12)]
+    for k in range(40):
+        rows.append((200 + k, " ".join(rng.sample(blocks, 6)) + " " + words(rng, rng.choice((5, 200)))))
+    rows += [(300 + k, hot + " " + words(rng, 3 + k % 15)) for k in range(60)]
+    rng.shuffle(rows)
+    got = jaccard.join_classes(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_classes(rows)
+
+
+def test_one_of_each_goes_by_id_and_text(spark):
+    rng = random.Random(9)
+    a, b = words(rng, 50), words(rng, 50)
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b), (4, None), (4, ""), (None, a), (2, a + " more")]
+    kept = jaccard.one_of_each(frame(spark, rows).withColumnRenamed("lang", "gone_id"))
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept.collect()) == sorted([(1, a), (2, b), (4, ""), (4, ""), (0, a)])
+    assert jaccard.one_of_each(frame(spark, []).limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 9), (9, 8), (3, 4), (5, 5)], "a long, b long")
     assert {(r["node"], r["root"]) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7), (9, 7)}
@@ -92,6 +123,77 @@ def test_substrings_cut_later_copies_only(spark):
     assert len(cut[1]["text"].split()) < 50 + 51 and cut[1].asDict().keys() == {c.split()[0] for c in SCHEMA.split(", ")}
 
 
+def brute_spans(rows):
+    """The rule of repeated_spans() over (id, text) with one text for each id, without Spark."""
+    cut = {}
+    for i, t in sorted((i, t) for i, t in rows if i is not None and t):
+        raw = t.encode()
+        ends = substrings.chunk_ends(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).tolist()
+        cut[i] = raw, [0, *ends]
+    count = lambda raw: len(re.findall(rb"[^\x20\x09-\x0D]+", raw))
+    first, found = {}, []
+    for i, (raw, at) in cut.items():
+        pairs = [(a, b, c) for a, b, c in zip(at, at[1:], at[2:])] or [(at[0], at[1], at[1])]
+        chain = []
+        for a, b, c in [*pairs, (None, None, None)]:
+            owner = None
+            if a is not None:
+                j, where = first.setdefault(raw[a:c], (i, a))
+                owner = j if j != i or a >= where + c - a else None
+            if owner is not None:
+                chain.append((a, b, c, owner))
+            elif chain:
+                owned = {}
+                for k, (a, b, c, o) in enumerate(chain):
+                    # A word that a cut parts counts for the piece it begins in, as in the operator.
+                    begin = count(raw[:b]) - count(raw[:a]) + (k + 1 == len(chain)) * (count(raw[:c]) - count(raw[:b]))
+                    owned[o] = owned.get(o, 0) + begin
+                top, name = max((w, -o) for o, w in owned.items())
+                if sum(owned.values()) >= substrings.MIN_WORDS and top >= substrings.MIN_OWNED:
+                    found.append((i, chain[0][0], chain[-1][2] - chain[0][0], sum(owned.values()), -name, top))
+                chain = []
+    return sorted(found)
+
+
+def test_spans_match_brute_force(spark):
+    rng = random.Random(12)
+    lines = [words(rng, 10) + "\n" for _ in range(9)]
+    passages = [words(rng, 70) for _ in range(5)]
+    rows = [(k, lines[k] + words(rng, 40)) for k in range(9)]
+    # Lines that occur one by one before they stand together twice.
+    rows += [(10, words(rng, 30) + "\n" + "".join(lines[:7]) + words(rng, 30)), (11, words(rng, 20) + "\n" + "".join(lines[:7]) + words(rng, 5))]
+    for k in range(20, 60):
+        parts = [words(rng, rng.randint(1, 60)) for _ in range(3)] + rng.sample(passages, 2)
+        rng.shuffle(parts)
+        rows.append((k, rng.choice([" ", "\n"]).join(parts)))
+    rows += [(70, passages[0] + " " + passages[0] + " " + passages[0]), (71, "same " * 200), (72, "x" * 5000), (73, "y" * 40), (74, "x" * 5000), (80, None), (81, ""), (82, words(rng, 2500) + passages[1])]
+    got = substrings.repeated_spans(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"], r["words"], r["source_id"], r["owned_words"]) for r in got) == brute_spans(rows)
+    assert any(r["doc_id"] == 11 and r["source_id"] == 10 for r in got) and not any(r["doc_id"] == 10 for r in got)
+
+
+def test_rows_that_share_an_id_are_cut_by_their_own_spans(spark):
+    rng = random.Random(13)
+    passage, other = words(rng, 90), "é" * 700 + " " + words(rng, 300)
+    rows = [(1, passage), (2, passage + " end"), (2, other), (3, "Ü " + other), (4, None), (None, passage), (2, passage + " end")]
+    docs = frame(spark, rows).withColumnRenamed("lang", "span_doc").withColumnRenamed("source", "span_cuts")
+    cut = substrings.without_spans(docs, substrings.repeated_spans(docs)).collect()
+    texts = sorted((r["doc_id"] or 0, r["text"] or "") for r in cut)
+    assert (2, other) in texts and (0, passage) in texts and (1, passage) in texts and (4, "") in texts and len(texts) == len(rows)
+    assert all(len(t.split()) < 30 for i, t in texts if i == 3 or i == 2 and t != other)
+    none = frame(spark, []).limit(0)
+    assert substrings.without_spans(none, substrings.repeated_spans(none)).count() == 0
+
+
+def test_toxicity_of_a_text_ignores_its_neighbours():
+    rng = random.Random(14)
+    rows = [(f"{words(rng, 6)} {w} {words(rng, 5)}.", int(w == "wxother")) for _ in range(200) for w in ("wxother", "kettle")]
+    model = toxicity.ToxicityModel(rows)
+    texts = ["ends in a", "z w x o t h e r there", "", None, "a b c", "w x o t h", "e r", "calm words only"]
+    alone = [model.scores(pa.array([t], pa.string()))[0] for t in texts]
+    assert np.allclose(model.scores(pa.array(texts, pa.string())), alone) and alone[1] > 0.5 > alone[-1]
+
+
 def test_chunk_ends_ignore_what_stands_before():
     rng = random.Random(3)
     a, b = words(rng, 200).encode(), words(rng, 30).encode()
@@ -271,7 +373,7 @@ def test_bitmaps_never_differ_in_more_cells_than_sets_do():
         for changed in (0, 1, n // 10, n // 2, n):
             other = np.unique(np.concatenate([base[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64)]))
             mine = np.unique(base)
-            differ = sum((p ^ q).bit_count() if p ^ q >= 0 else ((p ^ q) & ((1 << 64) - 1)).bit_count() for p, q in zip(jaccard.sketch(mine), jaccard.sketch(other), strict=True))
+            differ = jaccard.differing(jaccard.parity(mine, 1024), jaccard.parity(other, 4096))
             assert differ <= len(np.setxor1d(mine, other))
             assert changed or differ == 0
 
