@@ -31,6 +31,10 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[list(b".,;:!?")] = True
 
 
 # --- session and shared folder -------------------------------------------------------
@@ -156,6 +160,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def sign_starts(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is one of .,;:!? right after a letter from a to z in any case."""
+    out = _SIGN[data]
+    out[1:] &= _LETTER[data[:-1]]
+    out[:1] = False
+    return out
+
+
 def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Strings over one buffer without copying it."""
     offsets = np.ascontiguousarray(offsets, dtype=np.int64)
@@ -166,10 +178,11 @@ class Words:
     """The words of a column: maximal runs of bytes other than space and tab to carriage return.
 
     ``codes[k]`` is the place of word k in ``distinct``; the words of row i are
-    ``codes[first[i]:first[i + 1]]``. A-Z are lowered if ``lower``.
+    ``codes[first[i]:first[i + 1]]``. A-Z are lowered if ``lower``; with ``signs`` a word also ends
+    before a sign that follows a letter.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = True):
+    def __init__(self, column: pa.Array, lower: bool = True, signs: bool = False):
         data, offsets = text_bytes(column)
         if lower:
             data = _LOWER[data]
@@ -180,6 +193,10 @@ class Words:
         begins = ~space
         begins[1:] &= space[:-1] | edge[1:n]
         ends = ~space
+        if signs:
+            after = sign_starts(data)
+            begins |= after
+            edge[:n] |= after
         ends[:-1] &= space[1:] | edge[1:n]
         self.starts = np.flatnonzero(begins)
         self.stops = np.flatnonzero(ends) + 1

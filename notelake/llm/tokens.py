@@ -3,7 +3,8 @@
 Both vocabularies here split a text before they merge, and never join what stands before a run
 of white space with what stands after it. A text is therefore cut where white space begins, the
 distinct pieces are encoded, and the ids are put back in order: the same ids as for the whole
-text. Texts with white space outside ASCII, where that cut could differ, are encoded whole.
+text. They also part letters from a sign such as a full stop after them, so a cut is made there
+too: a word is one piece whatever sign follows it. Texts with white space outside ASCII, where that cut could differ, are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from notelake.llm.common import _SPACE, Words, strings, text_bytes
+from notelake.llm.common import _SPACE, Words, sign_starts, strings, text_bytes
 
 #: White space outside ASCII, and separators that some patterns count as such (fixed values).
 _OTHER_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
@@ -107,12 +108,13 @@ class ColumnEncoder:
     def _cut(self, column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """(codes, distinct, first): the pieces of row i are ``distinct[codes[first[i]:first[i + 1]]]``."""
         if self.folds:
-            words = Words(column)
+            words = Words(column, signs=True)
             return words.codes, words.distinct, words.first
         data, offsets = text_bytes(column)
         space = _SPACE[data]
         cut = space.copy()
         cut[1:] &= ~space[:-1]
+        cut |= sign_starts(data)
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         places = np.append(np.flatnonzero(cut), len(data))
         encoded = strings(data, places).dictionary_encode()

@@ -1,9 +1,10 @@
 """Token-id output: one wavelet matrix per shard, readable without unpacking the ids.
 
-A shard is one compressed byte string: a header, the documents' ids and token counts, and one
-bit-plane per bit of the largest id, most significant first. In each plane the ids of the level
-above are stably parted by that bit, zeros first. With counts of ones before every 512 bits,
-access, count, rank and select each take one or two probes per plane.
+A shard is one byte string: a header, the compressed table of the documents' ids and token counts,
+a directory, and one bit-plane per bit of the largest id, most significant first. In each plane the
+ids of the level above are stably parted by that bit, zeros first. Planes are compressed in blocks
+of BLOCK_BITS bits; the directory has each block's place and the ones before it, so access, count,
+rank and select each unpack one or two blocks a plane, whatever the shard's size.
 
 Shards are rows of a Parquet table, written by Spark's committer into the shared folder: a lost
 task leaves nothing behind, and no machine needs another's disk. ``Shard`` also reads the bytes
@@ -22,12 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.llm.common import record, session_of, slices
+from notelake.llm.common import record, session_of, slices, written
 from notelake.llm.tokens import crc, encoder
 
-MAGIC = b"NLWM0001"
-_HEAD = struct.Struct("<8sQQII")
-_RANK_BITS = 512
+MAGIC = b"NLWM0002"
+#: The magic, ids, documents, bits of an id, bytes of the documents' table.
+_HEAD = struct.Struct("<8sQQIQ")
+BLOCK_BITS = 1 << 16
+#: Blocks that a reader keeps unpacked.
+_KEPT = 256
 
 #: Tokens at which a shard is closed; a document is never split, so one long document makes a longer shard.
 SHARD_TOKENS = 1 << 20
@@ -41,68 +45,79 @@ def encode_shard(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray,
     bits = max(1, int(ids.max()).bit_length()) if n else 1
     out = zstandard.ZstdCompressor(level=level)
     valid = np.array([x is not None for x in doc_ids], bool)
-    table = np.packbits(valid).tobytes() + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.asarray(counts, "<i8").tobytes()
-    blobs = [out.compress(table)]
+    docs = out.compress(np.packbits(valid).tobytes() + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.asarray(counts, "<i8").tobytes())
     now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    step = BLOCK_BITS // 8
+    blobs: list[bytes] = []
+    ranks = []
     for b in range(bits - 1, -1, -1):
         one = (now & now.dtype.type(1 << b)) != 0
-        blobs.append(out.compress(np.packbits(one, bitorder="little")))
+        plane = np.packbits(one, bitorder="little")
+        blobs += [out.compress(plane[at : at + step]) for at in range(0, len(plane), step)]
+        full = np.zeros(-(-len(plane) // step) * step, np.uint8)
+        full[: len(plane)] = plane
+        ones = np.bitwise_count(full.view(np.uint64)).reshape(-1, step // 8).sum(axis=1, dtype=np.int64)
+        ranks.append(np.concatenate([[0], np.cumsum(ones)]))
         if b:
             now = np.concatenate([now[~one], now[one]])
-    sizes = np.array([len(x) for x in blobs], "<i8").tobytes()
-    return _HEAD.pack(MAGIC, n, len(doc_ids), bits, len(blobs)) + sizes + b"".join(blobs)
+    directory = np.array([len(x) for x in blobs], "<u4").tobytes() + np.concatenate(ranks).astype("<i8").tobytes()
+    return _HEAD.pack(MAGIC, n, len(doc_ids), bits, len(docs)) + docs + directory + b"".join(blobs)
 
 
 class Shard:
-    """A shard read from its bytes. Planes are unpacked when first needed."""
+    """A shard read from its bytes. Blocks are unpacked when first needed."""
 
     def __init__(self, payload: bytes):
-        magic, self.n, self.n_docs, self.bits, blobs = _HEAD.unpack_from(payload)
+        magic, self.n, self.n_docs, self.bits, size = _HEAD.unpack_from(payload)
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
-        sizes = np.frombuffer(payload, "<i8", blobs, _HEAD.size)
-        ends = _HEAD.size + 8 * blobs + np.cumsum(sizes)
-        self._blobs = [payload[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-        self._planes: dict[int, np.ndarray] = {}
-        self._ranks: dict[int, np.ndarray] = {}
-
-    def _bytes(self, k: int) -> bytes:
-        return zstandard.ZstdDecompressor().decompress(self._blobs[k])
+        self._payload, self._docs = payload, (_HEAD.size, _HEAD.size + size)
+        self.blocks = -(-self.n // BLOCK_BITS)
+        at = _HEAD.size + size
+        sizes = np.frombuffer(payload, "<u4", self.bits * self.blocks, at).astype(np.int64)
+        at += 4 * len(sizes)
+        self._ranks = np.frombuffer(payload, "<i8", self.bits * (self.blocks + 1), at).reshape(self.bits, -1)
+        self._starts = at + 8 * self._ranks.size + np.concatenate([[0], np.cumsum(sizes)])
+        self._kept: dict[int, np.ndarray] = {}
+        self._unpack = zstandard.ZstdDecompressor()
 
     def documents(self) -> tuple[list[int | None], np.ndarray]:
         """(document ids, tokens of each), in order."""
-        table = self._bytes(0)
+        table = self._unpack.decompress(self._payload[slice(*self._docs)])
         mask = (self.n_docs + 7) // 8
         valid = np.unpackbits(np.frombuffer(table, np.uint8, mask))[: self.n_docs]
         ids = np.frombuffer(table, "<i8", self.n_docs, mask).tolist()
         counts = np.frombuffer(table, "<i8", self.n_docs, mask + 8 * self.n_docs)
         return [x if v else None for x, v in zip(ids, valid, strict=True)], counts
 
-    def _plane(self, k: int) -> np.ndarray:
-        """The packed bits of plane k, 0 the most significant, padded to whole rank blocks."""
-        if k not in self._planes:
-            raw = np.frombuffer(self._bytes(k + 1), np.uint8)
-            padded = np.zeros((self.n // _RANK_BITS + 1) * _RANK_BITS // 8, np.uint8)
-            padded[: len(raw)] = raw
-            self._planes[k] = padded
-            ones = np.bitwise_count(padded.view(np.uint64)).reshape(-1, _RANK_BITS // 64).sum(axis=1, dtype=np.int64)
-            self._ranks[k] = np.concatenate([[0], np.cumsum(ones)])
-        return self._planes[k]
+    def _read(self, j: int) -> bytes:
+        return self._unpack.decompress(self._payload[self._starts[j] : self._starts[j + 1]])
+
+    def _block(self, k: int, j: int) -> np.ndarray:
+        """The packed bits of block j of plane k, 0 the most significant."""
+        at = k * self.blocks + j
+        if at not in self._kept:
+            if len(self._kept) >= _KEPT:
+                del self._kept[next(iter(self._kept))]
+            self._kept[at] = np.frombuffer(self._read(at), np.uint8)
+        return self._kept[at]
 
     def _bit(self, k: int, i: int) -> int:
-        return int(self._plane(k)[i >> 3]) >> (i & 7) & 1
+        return int(self._block(k, i // BLOCK_BITS)[i % BLOCK_BITS >> 3]) >> (i & 7) & 1
 
     def _ones(self, k: int, i: int) -> int:
         """Ones of plane k before place i."""
-        plane, block = self._plane(k), i // _RANK_BITS
-        count = int(self._ranks[k][block])
-        at, end = block * _RANK_BITS // 8, i >> 3
-        count += int(np.bitwise_count(plane[at:end]).sum())
-        return count + (int(plane[end]) & ((1 << (i & 7)) - 1)).bit_count()
+        j, rest = divmod(i, BLOCK_BITS)
+        count = int(self._ranks[k, j])
+        if rest:
+            block = self._block(k, j)
+            count += int(np.bitwise_count(block[: rest >> 3]).sum())
+            if rest & 7:
+                count += (int(block[rest >> 3]) & ((1 << (rest & 7)) - 1)).bit_count()
+        return count
 
     def _zeros(self, k: int) -> int:
-        self._plane(k)
-        return self.n - int(self._ranks[k][-1])
+        return self.n - int(self._ranks[k, -1])
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -138,15 +153,10 @@ class Shard:
 
     def _select_bit(self, k: int, bit: int, j: int) -> int:
         """The place of the (j + 1)-th such bit of plane k."""
-        low, high = 0, self.n
-        while low < high:
-            mid = (low + high) // 2
-            ones = self._ones(k, mid + 1)
-            if (ones if bit else mid + 1 - ones) > j:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+        before = self._ranks[k] if bit else np.minimum(np.arange(self.blocks + 1) * BLOCK_BITS, self.n) - self._ranks[k]
+        at = int(np.searchsorted(before, j, side="right")) - 1
+        bits = np.unpackbits(self._block(k, at), count=min(BLOCK_BITS, self.n - at * BLOCK_BITS), bitorder="little")
+        return at * BLOCK_BITS + int(np.flatnonzero(bits == bit)[j - int(before[at])])
 
     def select(self, token: int, j: int) -> int:
         """The place of the token's (j + 1)-th occurrence; -1 if there are fewer."""
@@ -166,7 +176,8 @@ class Shard:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         values = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(np.frombuffer(self._bytes(k + 1), np.uint8), count=self.n, bitorder="little").astype(bool)
+            plane = b"".join([self._read(k * self.blocks + j) for j in range(self.blocks)])
+            one = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n, bitorder="little").astype(bool)
             zeros = self.n - int(np.count_nonzero(one))
             above = np.empty(self.n, kind)
             above[~one] = values[:zeros]
@@ -178,15 +189,18 @@ class Shard:
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = SHARD_TOKENS, folds: bool = False) -> DataFrame:
     """Encodes all texts, writes shards in ascending order of id to ``path``, returns that table.
 
-    Rows are range-partitioned by id; (part, shard) orders the shards, and ``first_token`` counts
+    Rows are range-partitioned by id, those that share one (or have none) by a hash of the text as
+    well; (part, shard) orders the shards, and ``first_token`` counts
     the ids before a shard in its part. Null texts count as empty, a null id comes first; rows that
-    repeat an id are kept, in order of their texts; no rows give an empty table. ``folds``: see
-    tokens.ColumnEncoder.
+    repeat an id are kept, in the order of that hash and of their texts; no rows give an empty table;
+    other columns are ignored. A document lies whole in one shard, so a text of any length is
+    encoded in one worker (about 40 bytes a byte of it). ``folds``: see tokens.ColumnEncoder.
     """
     spark = session_of(docs, 16)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = chosen.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    chosen = chosen.withColumn("key", F.xxhash64("text"))
+    ordered = chosen.repartitionByRange(parts, "doc_id", "key").sortWithinPartitions("doc_id", "key", "text").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, shard, first = encoder(tokenizer_path, folds), TaskContext.get().partitionId(), 0, 0
@@ -214,8 +228,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
         if names:
             yield close()
 
-    ordered.mapInArrow(encode, SHARD_SCHEMA).write.option("compression", "none").parquet(path)
-    return spark.read.schema(SHARD_SCHEMA).parquet(path)
+    return written(ordered.mapInArrow(encode, SHARD_SCHEMA), path, "none")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

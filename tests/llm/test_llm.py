@@ -229,18 +229,33 @@ def test_packing_covers_all_ids_within_limits(spark):
     assert sum(r["loss_tokens"] for r in rows) == sum(max(0, len(t) - 5) for t in want)
 
 
-def test_wavelet_shard_answers():
+@pytest.mark.parametrize("n", [5000, 200_000, 2 * wavelet.BLOCK_BITS])
+def test_wavelet_shard_answers(n):
     rng = np.random.default_rng(5)
-    ids = rng.integers(0, 300, 5000).astype(np.uint32)
-    shard = wavelet.Shard(wavelet.encode_shard(ids, [4, None], np.array([2000, 3000])))
+    ids = np.sort(rng.integers(0, 300, n)).astype(np.uint32) if n % 2 else rng.integers(0, 300, n).astype(np.uint32)
+    shard = wavelet.Shard(wavelet.encode_shard(ids, [4, None], np.array([2000, n - 2000])))
     assert (shard.ids() == ids).all() and shard.documents()[0] == [4, None]
-    for i in (0, 511, 512, 4999):
+    for i in (0, 511, 512, n // 2, n - 1):
         assert shard.access(i) == ids[i]
     for token in (0, 17, 299, 300, 5000):
         where = np.flatnonzero(ids == token)
-        assert shard.count(token) == len(where) and shard.rank(token, 2500) == (where < 2500).sum()
+        assert shard.count(token) == len(where) and shard.rank(token, n // 2) == (where < n // 2).sum()
         assert [shard.select(token, j) for j in range(3)] == [*where[:3].tolist(), -1, -1, -1][:3]
-        assert shard.select(token, len(where)) == -1
+        assert shard.select(token, len(where)) == -1 and (not len(where) or shard.select(token, len(where) - 1) == where[-1])
+
+
+def test_wavelet_access_reads_a_block_of_each_plane():
+    ids = np.random.default_rng(6).integers(0, 256, 8 * wavelet.BLOCK_BITS).astype(np.uint32)
+    shard = wavelet.Shard(wavelet.encode_shard(ids, [1], np.array([len(ids)])))
+    assert shard.access(300_000) == ids[300_000] and len(shard._kept) <= shard.bits == 8
+
+
+def test_wavelet_rows_without_or_with_one_id(spark, tmp_path):
+    rows = [(None, "a b"), (None, "c"), (5, "x y"), (5, "x y"), (5, ""), (2, None)]
+    path = vocabulary("word_bpe_49k.json")
+    got = wavelet.read_documents(wavelet.write_shards(frame(spark, rows), str(tmp_path / "w"), path, folds=True)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, 2, 5, 5, 5] and sum(r["n_tokens"] for r in got) == got[-1]["start"] + got[-1]["n_tokens"]
+    assert wavelet.read_documents(wavelet.write_shards(frame(spark, []).limit(0), str(tmp_path / "e"), path, folds=True)).count() == 0
 
 
 def test_wavelet_round_trip(spark, tmp_path):
