@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,43 +22,72 @@ def _digest(gram: str) -> int:
     return int(hashlib.md5(gram.encode()).hexdigest()[:15], 16)
 
 
-@lru_cache(1 << 17)
-def _votes(gram: str) -> np.ndarray:
-    """+1 for each set bit of the gram's digest, -1 for each other."""
-    value = _digest(gram)
-    return np.array([1 if value >> k & 1 else -1 for k in range(BITS)], np.int64)
-
-
-def fingerprint(text: str | None) -> int | None:
-    """Bit k is set where four-grams with bit k outnumber those without; null without words."""
+def _line(text: str | None) -> str:
     words = regex.findall(WORD, (text or "").lower())
-    if not words:
-        return None
-    line = f"  {' '.join(words)}  "
-    grams = Counter(line[i : i + GRAM] for i in range(len(line) - GRAM + 1))
+    return f"  {' '.join(words)}  " if words else ""
+
+
+def fingerprints(texts: list[str | None]) -> list[int | None]:
+    """Of each text: bit k is set where four-grams with bit k outnumber those without; None without
+    words. Each different gram of the batch is hashed once."""
+    lines = [_line(t) for t in texts]
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(x) for x in lines])
+    if not len(points):
+        return [None] * len(texts)
+    letters, code = np.unique(points, return_inverse=True)
+    if len(letters) > 1 << 15:  # four codes wouldn't fit in a key: halve the batch, or the text's letters are too many
+        half = len(texts) // 2
+        return [*fingerprints(texts[:half]), *fingerprints(texts[half:])] if half else [_slow(texts[0])]
+    code = code.astype(np.int64)
+    n = len(code) - GRAM + 1
+    key = ((code[:n] << 45) | (code[1 : n + 1] << 30) | (code[2 : n + 2] << 15) | code[3 : n + 3]).astype(np.int64)
+    distinct, place = np.unique(key, return_inverse=True)
+    chars = letters[np.stack([distinct >> 45 & 32767, distinct >> 30 & 32767, distinct >> 15 & 32767, distinct & 32767], axis=1)]
+    text = chars.astype(np.uint32).tobytes().decode("utf-32-le")
+    digests = np.array([_digest(text[i : i + GRAM]) for i in range(0, len(text), GRAM)], np.int64)
+    votes = (2 * (digests[:, None] >> np.arange(BITS) & 1) - 1).astype(np.int8)
+    out: list[int | None] = []
+    for line, end in zip(lines, ends.tolist(), strict=True):
+        if not line:
+            out.append(None)
+            continue
+        total = np.zeros(BITS, np.int64)
+        for at in range(end - len(line), end - GRAM + 1, 1 << 16):
+            total += votes[place[at : min(at + (1 << 16), end - GRAM + 1)]].sum(axis=0, dtype=np.int64)
+        out.append(int((total > 0) @ (np.int64(1) << np.arange(BITS))))
+    return out
+
+
+def _slow(text: str | None) -> int | None:
+    """The same for one text, gram by gram."""
+    line = _line(text)
     total = np.zeros(BITS, np.int64)
-    for gram, n in grams.items():
-        total += n * _votes(gram)
-    return sum(1 << k for k in np.flatnonzero(total > 0).tolist())
+    for i in range(len(line) - GRAM + 1):
+        total += 2 * (_digest(line[i : i + GRAM]) >> np.arange(BITS) & 1) - 1
+    return int((total > 0) @ (np.int64(1) << np.arange(BITS))) if line else None
 
 
 @F.pandas_udf(LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
-    return texts.map(fingerprint).astype("Int64")
+    out: list[int | None] = []
+    for at in range(0, len(texts), 200):
+        out += fingerprints([None if t is None or t is pd.NA else t for t in texts[at : at + 200]])
+    return pd.Series(out, index=texts.index, dtype="Int64")
 
 
 def simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fingerprint) of each text with words.
 
     No built-in sums 60 signed votes per gram without a row for each; an Arrow UDF hashes each
-    distinct gram of a text once.
+    distinct gram of a batch once.
     """
     return docs.select(id_col, _fingerprints(F.col(text_col)).alias("fingerprint")).where("fingerprint IS NOT NULL")
 
 
 def fingerprint_similarity(a: Column, b: Column) -> Column:
-    """The share of equal bits."""
-    return F.lit(1.0) - F.bit_count(a.bitwiseXOR(b)) / F.lit(float(BITS))
+    """The share of equal bits, to four places."""
+    return F.round(F.lit(1.0) - F.bit_count(a.bitwiseXOR(b)) / F.lit(float(BITS)), 4)
 
 
 def lexical_similarity(query_words: Column, text_words: Column) -> Column:

@@ -93,5 +93,5 @@ def words_of(text: Column) -> Column:
 def fit(text: Column, room: Column) -> Column:
     """The text cut to so many characters, with a mark where there is room for one."""
     mark = F.lit("\n[truncated]\n")
-    cut = F.concat(F.rtrim(F.substring(text, F.lit(1), room - 13)), mark)
+    cut = F.concat(F.regexp_replace(F.substring(text, F.lit(1), room - 13), r"\s+$", ""), mark)
     return F.when(room <= 0, "").when(F.char_length(text) <= room, text).when(room <= 13, F.substring(text, F.lit(1), room)).otherwise(cut)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.functions.text import words_of
+from notelake.operators.lineage import cut, sent
+
 
 def per_topic(run: DataFrame, qrels: DataFrame, topics: DataFrame, k: int) -> DataFrame:
     """(query_id, recall, mrr, ndcg) at k for every topic. ``run`` has (query_id, path, rank), of
@@ -23,6 +26,25 @@ def per_topic(run: DataFrame, qrels: DataFrame, topics: DataFrame, k: int) -> Da
     return joined.select("query_id", F.round(recall, 6).alias("recall"), F.round(F.when(F.col("first").isNull(), 0.0).otherwise(1.0 / F.col("first")), 6).alias("mrr"), F.round(F.when(zero("idcg") == 0, 0.0).otherwise(zero("dcg") / F.col("idcg")), 6).alias("ndcg"))
 
 
+def holders(items: DataFrame, notes: DataFrame) -> DataFrame:
+    """(query_id, path): the notes (path, body) that hold the whole text of an item (query_id, text).
+
+    A note that holds an item has each of its inner words as a word: notes and items meet by the
+    item's rarest inner word, and are then compared. Items with fewer than three words meet all notes.
+    """
+    inner = F.expr("slice(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]+', 0), 2, greatest(size(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]+', 0)) - 2, 0))")
+    words = items.select("query_id", F.explode(F.array_distinct(inner)).alias("w"))
+    has = notes.select("path", F.explode(words_of(F.col("body"))).alias("w")).join(sent(words.select("w").distinct()), "w", "left_semi")
+    df = has.groupBy("w").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "w")
+    rarest = cut(words.join(sent(df), "w", "left").withColumn("k", F.row_number().over(order)).where("k = 1").select("query_id", "w"))
+    met = has.join(sent(rarest), "w").select("query_id", "path")
+    short = items.join(rarest, "query_id", "left_anti").select("query_id")
+    met = met.unionByName(short.crossJoin(notes.select("path")))
+    pairs = met.join(items, "query_id").join(notes.select("path", "body"), "path")
+    return pairs.where(F.contains("body", F.col("text"))).select("query_id", "path")
+
+
 def by_slice(metrics: DataFrame, topics: DataFrame) -> DataFrame:
     """Mean metrics by the topics' category."""
     mean = lambda c: F.round(F.avg(c), 4).alias(c)

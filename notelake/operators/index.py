@@ -1,8 +1,17 @@
-"""The full-text index as plain tables, and its incremental upkeep."""
+"""The full-text index as plain tables, and its incremental upkeep.
+
+An index has postings, one row for each term and row that holds it, with the weighted number of
+its occurrences and their places, and a manifest, one row for each indexed row. On disk postings
+are sorted by term in ranges, so that a batch of queries reads what its terms need. An update
+writes the postings of changed rows alone, under a new version; the manifest says which version of
+a row counts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions.text import index_terms
@@ -12,12 +21,30 @@ NOTE_WEIGHTS = {"path": 0.1, "type": 1.5, "title": 8.0, "description": 4.0, "tag
 PASSAGE_WEIGHTS = {"type": 1.5, "title": 8.0, "tags": 6.0, "systems": 5.0, "heading": 4.0, "text": 1.0, "content": 3.0}
 
 
-def occurrences(rows: DataFrame, weights: dict[str, float], key: str = "path") -> DataFrame:
-    """(row_id, field, weight, pos, term): every term of every indexed column, one row each.
+@dataclass(frozen=True)
+class Index:
+    """``postings`` has (term, row_id, f, places), where f sums the weights of a term's occurrences
+    and places lists (field, weight, pos); ``lengths`` has (row_id, len). With ``live``, (row_id,
+    version), only postings of that version of a row count."""
 
-    Written partitioned or sorted by term, this is the inverted index; it holds positions, so
-    phrases of several terms match too.
-    """
+    postings: DataFrame
+    lengths: DataFrame
+    live: DataFrame | None = None
+
+    def of(self, terms: DataFrame) -> DataFrame:
+        """The postings (term, row_id, f, places) of a few terms (term)."""
+        found = self.postings.join(terms, "term", "left_semi")
+        if self.live is not None:
+            found = found.join(self.live, ["row_id", "version"], "left_semi").drop("version")
+        return found
+
+    def all(self) -> DataFrame:
+        """All postings that count."""
+        return self.postings if self.live is None else self.postings.join(self.live, ["row_id", "version"], "left_semi").drop("version")
+
+
+def occurrences(rows: DataFrame, weights: dict[str, float], key: str = "path") -> DataFrame:
+    """(row_id, field, weight, pos, term): every term of every indexed column, one row each."""
     fields = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(w).alias("weight"), index_terms(F.col(c)).alias("terms")) for c, w in weights.items()])
     per_field = rows.select(F.col(key).alias("row_id"), F.explode(fields).alias("f"))
     return per_field.select("row_id", F.col("f.field").alias("field"), F.col("f.weight").alias("weight"), F.posexplode("f.terms").alias("pos", "term"))
@@ -31,9 +58,75 @@ def row_lengths(rows: DataFrame, weights: dict[str, float], key: str = "path") -
     return rows.select(F.col(key).alias("row_id"), total.alias("len"))
 
 
-def document_frequency(occ: DataFrame) -> DataFrame:
+def built(rows: DataFrame, weights: dict[str, float], key: str = "path") -> Index:
+    """The index of the rows, as plans over them."""
+    places = F.collect_list(F.struct("field", "weight", "pos")).alias("places")
+    postings = occurrences(rows, weights, key).groupBy("term", "row_id").agg(F.sum("weight").alias("f"), places)
+    return Index(postings, row_lengths(rows, weights, key))
+
+
+def update(rows: DataFrame, weights: dict[str, float], folder: str, key: str = "path", text_col: str = "body") -> dict[str, int]:
+    """Brings the index in a folder up to date with the rows, and counts what changed.
+
+    Without an index there it is built in full. Only rows whose text's size or digest differ are
+    read again; rows that are gone leave the manifest. Rows that repeat a key count once each.
+    """
+    spark = rows.sparkSession
+    now = signatures(rows, key, text_col)
+    last = _versions(spark, folder)
+    version = last + 1
+    if last < 0:
+        changed, kept = rows, None
+    else:
+        old = spark.read.parquet(f"{folder}/manifest-{last}")
+        diff = manifest_diff(old, now)
+        counts = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}  # four kinds at most
+        if not counts.keys() - {"same"}:
+            return {"version": last, **counts}
+        fresh = diff.where("change IN ('added', 'updated')").select(F.col("path").alias(key))
+        changed = rows.join(fresh, key, "left_semi")
+        kept = old.join(diff.where("change = 'same'").select("path"), "path", "left_semi")
+    index = built(changed, weights, key)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = index.postings.repartitionByRange(parts, "term", "row_id").sortWithinPartitions("term", "row_id")
+    ranged.write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/postings/version={version}")
+    manifest = signatures(changed, key, text_col).join(index.lengths.withColumnRenamed("row_id", "path"), "path").withColumn("version", F.lit(version))
+    manifest = manifest if kept is None else manifest.unionByName(kept)
+    # The manifest comes last: until it is there, readers see the version before.
+    manifest.write.option("compression", "zstd").parquet(f"{folder}/manifest-{version}")
+    return {"version": version, "added": spark.read.parquet(f"{folder}/manifest-{version}").count()} if last < 0 else {"version": version, **counts}
+
+
+def read(spark: SparkSession, folder: str) -> Index:
+    """The index in a folder, as the last update left it."""
+    version = _versions(spark, folder)
+    if version < 0:
+        raise FileNotFoundError(f"no index in {folder}")
+    manifest = spark.read.parquet(f"{folder}/manifest-{version}")
+    postings = spark.read.parquet(f"{folder}/postings").where(F.col("version") <= version)
+    lengths = manifest.select(F.col("path").alias("row_id"), "len")
+    if version == 0:
+        return Index(postings.drop("version"), lengths)
+    return Index(postings, lengths, manifest.select(F.col("path").alias("row_id"), "version"))
+
+
+def repaired(rows: DataFrame, weights: dict[str, float], folder: str, key: str = "path", text_col: str = "body") -> Index:
+    """The index in a folder, updated first if it is missing or stale."""
+    update(rows, weights, folder, key, text_col)
+    return read(rows.sparkSession, folder)
+
+
+def _versions(spark: SparkSession, folder: str) -> int:
+    """The newest version whose manifest is complete; -1 without any."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest-*/_SUCCESS")) or []
+    return max([int(f.getPath().getParent().getName().rsplit("-", 1)[1]) for f in done], default=-1)
+
+
+def document_frequency(index: Index) -> DataFrame:
     """(term, df)."""
-    return occ.select("term", "row_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    return index.all().groupBy("term").agg(F.count("*").alias("df"))
 
 
 def signatures(rows: DataFrame, key: str = "path", text_col: str = "body") -> DataFrame:

@@ -4,13 +4,30 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Rows that may be sent to all tasks: words, queries, ids, of up to a few hundred bytes each.
+SENT_ROWS = 200_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="notelake-"))
+    return (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()).rstrip("/")
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A broadcast hint if the frame is counted to have few rows; else the frame as it is, which
+    joins by a shuffle. For narrow frames that are cheap to count."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The frame computed once and checkpointed in the folder of spark.checkpoint.dir (a temporary
     one only where none is set), so that later plans start from it."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="notelake-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -25,14 +25,16 @@ def create_notes(requests: DataFrame, notes: DataFrame, folder: str = "knowledge
 
 
 def append_notes(requests: DataFrame, notes: DataFrame) -> DataFrame:
-    """(path, outcome, new_text): missing, secret, conflict, noop or update. ``requests`` has
-    (path, addition, expected_sha256); a null expectation isn't checked."""
+    """(path, outcome, new_text): missing, conflict, empty, secret, noop or update, the first that
+    holds. ``requests`` has (path, addition, expected_sha256); a null or empty expectation isn't
+    checked."""
     joined = requests.join(notes.select("path", "body"), "path", "left")
-    addition = F.trim("addition")
+    addition = F.regexp_replace("addition", r"^\s+|\s+$", "")
     outcome = (
         F.when(F.col("body").isNull(), "missing")
+        .when((F.col("expected_sha256") != "") & (F.col("expected_sha256") != F.sha2("body", 256)), "conflict")
+        .when(F.coalesce(addition, F.lit("")) == "", "empty")
         .when(_has_secret(F.col("addition")), "secret")
-        .when(F.col("expected_sha256") != F.sha2("body", 256), "conflict")
         .when(F.contains("body", addition), "noop")
         .otherwise("update")
     )

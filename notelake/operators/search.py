@@ -6,17 +6,22 @@ matches when each group has a phrase that it holds. All queries of a batch run a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.functions.text import distinct_tokens, index_terms, query_tokens, stem
-from notelake.operators.index import document_frequency
-from notelake.operators.lineage import cut
+from notelake.functions.text import distinct_tokens, fold, index_terms, query_tokens, stem
+from notelake.operators.index import Index
+from notelake.operators.lineage import cut, sent
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 #: Words too common to tell anything.
-STOPWORDS = "a an and are as at be by como com da das de do dos e em for from how in is it na no o of on or os para por que the to um uma was what with".split()
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "com", "da", "das", "de", "do", "dos", "e", "em", "for", "from", "in", "into", "is", "it", "na", "nas", "no", "nos", "o", "of", "on", "or", "os", "ou", "para", "por", "que", "sem", "the", "to", "um", "uma", "with",
+)
+RANKERS = ("bm25", "rrf")
+#: Distinct words of a batch that a scan for substrings carries along.
+SENT_WORDS = 20_000
 LOW_SIGNAL_ROWS, LOW_SIGNAL_DF, LOW_SIGNAL_SHARE = 30, 10, 0.8
 RELAX_GROUPS, RELAX_CANDIDATES, RELAX_COVERAGE, RELAX_RATIO, RELAX_RATIO_DROPPED = 8, 20, 0.6, 0.81, 0.65
 
@@ -48,49 +53,103 @@ def prefix_run(queries: DataFrame, run: int = 3) -> DataFrame:
     return _phrases(once, run, F.lit(0), index_terms(F.col("stem")), True)
 
 
+def query_groups(queries: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """(query_id, group_id, members, grown): each word of a query with its synonyms of the glossary
+    (title, aliases, status), in order; equal groups count once. ``grown`` queries are those that
+    the glossary widens."""
+    from notelake.operators.glossary import token_groups
+
+    words = query_words(queries).withColumn("low", fold(F.col("token")))
+    if terms is None:
+        return words.select("query_id", F.col("pos").alias("group_id"), F.array("token").alias("members"), F.lit(False).alias("grown"))
+    wide = words.join(sent(token_groups(terms)), F.col("low") == F.col("token_low"), "left")
+    # The word itself comes first, then its synonyms in order.
+    others = F.filter("members", lambda m: fold(m) != F.col("low"))
+    grouped = wide.select("query_id", "pos", F.concat(F.array("token"), F.coalesce(others, F.expr("cast(array() as array<string>)"))).alias("members"))
+    grouped = grouped.withColumn("grown", F.max(F.size("members") > 1).over(Window.partitionBy("query_id")))
+    key = F.array_join(F.array_sort(F.transform("members", fold)), "\n")
+    once = grouped.withColumn("k", F.row_number().over(Window.partitionBy("query_id", key).orderBy("pos"))).where("k = 1")
+    return once.select("query_id", F.col("pos").alias("group_id"), "members", "grown")
+
+
+def group_run(groups: DataFrame, run: int) -> DataFrame:
+    """Of each group (query_id, group_id, members) a word must occur."""
+    each = groups.select("query_id", "group_id", F.posexplode("members").alias("k", "member"))
+    out = each.select("query_id", F.lit(run).alias("run"), F.col("group_id").cast("int").alias("group_id"), (F.col("group_id") * 1000 + F.col("k")).cast("int").alias("phrase_id"), index_terms(F.col("member")).alias("terms"), F.lit(False).alias("prefix"))
+    return out.where(F.size("terms") > 0)
+
+
 def glossary_run(queries: DataFrame, terms: DataFrame, run: int = 1) -> DataFrame:
     """Every word, or a synonym of it, must occur; no rows for queries that the glossary doesn't
     widen. ``terms`` has (title, aliases, status)."""
-    from notelake.operators.glossary import token_groups
-
-    words = query_words(queries).withColumn("low", F.lower("token"))
-    wide = words.join(token_groups(terms), F.col("low") == F.col("token_low"), "left")
-    grown = wide.where("members IS NOT NULL").select("query_id").distinct()
-    options = wide.join(grown, "query_id", "left_semi").select("query_id", "pos", F.explode(F.array_distinct(F.concat(F.array("low"), F.coalesce("members", F.expr("cast(array() as array<string>)"))))).alias("option"))
-    numbered = options.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "option")))
-    return numbered.select("query_id", F.lit(run).alias("run"), F.col("pos").cast("int").alias("group_id"), F.col("k").cast("int").alias("phrase_id"), index_terms(F.col("option")).alias("terms"), F.lit(False).alias("prefix")).where(F.size("terms") > 0)
-
-
-def phrase_hits(phrases: DataFrame, occ: DataFrame) -> DataFrame:
-    """(query_id, run, group_id, phrase_id, row_id, f): the weighted occurrences of each phrase in
-    each row that has it. A prefix phrase sums all terms that begin with its last."""
-    keyed = phrases.where("NOT prefix").select("query_id", "run", "group_id", "phrase_id", F.size("terms").alias("m"), F.posexplode("terms").alias("k", "term"))
-    placed = keyed.join(occ, "term").withColumn("at", F.col("pos") - F.col("k"))
-    whole = placed.groupBy("query_id", "run", "group_id", "phrase_id", "row_id", "field", "at").agg(F.max("m").alias("m"), F.count("*").alias("found"), F.max("weight").alias("weight")).where("found = m")
-    hits = whole.groupBy("query_id", "run", "group_id", "phrase_id", "row_id").agg(F.sum("weight").alias("f"))
-    starts = phrases.where("prefix").select("query_id", "run", "group_id", "phrase_id", F.element_at("terms", -1).alias("stem"))
-    # The vocabulary is matched once for each distinct stem; stems are as few as query words.
-    vocabulary = occ.select("term").distinct().join(starts.select("stem").distinct(), F.startswith(F.col("term"), F.col("stem")))
-    grown = starts.join(vocabulary, "stem").join(occ, "term").groupBy("query_id", "run", "group_id", "phrase_id", "row_id").agg(F.sum("weight").alias("f"))
-    return hits.unionByName(grown)
-
-
-def bm25(phrases: DataFrame, occ: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(query_id, run, row_id, score) of the rows that match; smaller scores are better.
-
-    Every phrase of a run counts, also one of an OR group that another phrase satisfied. A phrase
-    that over half of the rows have counts next to nothing.
-    """
-    hits = phrase_hits(phrases, occ)
-    stats = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"))
-    df = hits.groupBy("query_id", "run", "phrase_id").agg(F.count("*").alias("df"))
-    weighed = hits.join(df, ["query_id", "run", "phrase_id"]).join(lengths, "row_id").crossJoin(F.broadcast(stats))
+    return group_run(query_groups(queries, terms).where("grown"), run)
+
+
+def variants(queries: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """The runs that fusion merges: strict 0, widened 1, any word 2 (of two words or more, else it is
+    the strict one again) and prefixes 3."""
+    many = query_words(queries).groupBy("query_id").count().where("count > 1").select("query_id")
+    runs = strict_run(queries, 0).unionByName(or_run(queries, 2).join(many, "query_id", "left_semi")).unionByName(prefix_run(queries, 3))
+    return runs if terms is None else runs.unionByName(glossary_run(queries, terms, 1))
+
+
+def _keyed(phrases: DataFrame) -> DataFrame:
+    """Phrases with a key that equal ones share."""
+    return phrases.withColumn("key", F.concat(F.array_join("terms", " "), F.when(F.col("prefix"), "*").otherwise("")))
+
+
+def phrase_rows(phrases: DataFrame, index: Index) -> DataFrame:
+    """(key, row_id, f): the weighted occurrences of each different phrase in each row that has it.
+    A prefix phrase sums all terms that begin with its last. Only the batch's terms are read."""
+    once = _keyed(phrases).select("key", "terms", "prefix").distinct()
+    words = once.where("NOT prefix").select(F.explode("terms").alias("term"))
+    stems = once.where("prefix").select("key", F.element_at("terms", -1).alias("stem"))
+    postings = index.of(sent(words.distinct()))
+    single = once.where("NOT prefix AND size(terms) = 1").select("key", F.element_at("terms", 1).alias("term")).join(postings, "term").select("key", "row_id", "f")
+    keyed = once.where("NOT prefix AND size(terms) > 1").select("key", F.size("terms").alias("m"), F.posexplode("terms").alias("k", "term"))
+    placed = keyed.join(postings, "term").select("key", "m", "k", "row_id", F.explode("places").alias("p")).withColumn("at", F.col("p.pos") - F.col("k"))
+    whole = placed.groupBy("key", "row_id", F.col("p.field").alias("field"), "at").agg(F.max("m").alias("m"), F.count("*").alias("found"), F.max("p.weight").alias("weight")).where("found = m")
+    several = whole.groupBy("key", "row_id").agg(F.sum("weight").alias("f"))
+    # The vocabulary is matched once for each different stem; a stem has five letters at least, so they join by these.
+    head = lambda c: F.substring(c, 1, 5)
+    vocabulary = index.postings.select("term").distinct().withColumn("head", head("term"))
+    begins = stems.withColumn("head", head("stem")).join(vocabulary, "head").where(F.startswith("term", F.col("stem"))).select("key", "term")
+    begins = cut(begins)
+    grown = begins.join(index.of(sent(begins.select("term").distinct())), "term").groupBy("key", "row_id").agg(F.sum("f").alias("f"))
+    return single.unionByName(several).unionByName(grown)
+
+
+def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
+    """(query_id, run, group_id, phrase_id, row_id): the rows that have each phrase."""
+    return _keyed(phrases).select("query_id", "run", "group_id", "phrase_id", "key").join(phrase_rows(phrases, index), "key").drop("key", "f")
+
+
+def phrase_scores(phrases: DataFrame, index: Index) -> DataFrame:
+    """(key, row_id, part, df): what each different phrase adds to a row's score, and in how many
+    rows it is. A phrase that over half of the rows have counts next to nothing."""
+    rows = phrase_rows(phrases, index)
+    stats = index.lengths.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"))  # one row
+    df = rows.groupBy("key").agg(F.count("*").alias("df"))
+    weighed = rows.join(sent(df), "key").join(index.lengths, "row_id").crossJoin(F.broadcast(stats))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, 1e-6).otherwise(raw)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = weighed.groupBy("query_id", "run", "row_id").agg((-F.sum(part)).alias("score"), F.count_distinct("group_id").alias("groups"))
-    needed = phrases.groupBy("query_id", "run").agg(F.count_distinct("group_id").alias("needed"))
-    return scored.join(needed, ["query_id", "run"]).where("groups = needed").select("query_id", "run", "row_id", "score")
+    return weighed.select("key", "row_id", part.alias("part"), "df")
+
+
+def scored(phrases: DataFrame, parts: DataFrame) -> DataFrame:
+    """(query_id, run, row_id, score) of the rows that match, from phrase_scores(); smaller scores
+    are better. Every phrase of a run counts, also one of a group that another phrase satisfied."""
+    keyed = _keyed(phrases).select("query_id", "run", "group_id", "key")
+    needed = keyed.groupBy("query_id", "run").agg(F.count_distinct("group_id").alias("needed"))
+    met = keyed.join(needed, ["query_id", "run"]).join(parts, "key")
+    total = met.groupBy("query_id", "run", "row_id").agg((-F.sum("part")).alias("score"), F.count_distinct("group_id").alias("groups"), F.max("needed").alias("needed"))
+    return total.where("groups = needed").select("query_id", "run", "row_id", "score")
+
+
+def bm25(phrases: DataFrame, index: Index) -> DataFrame:
+    """(query_id, run, row_id, score) of the rows that match the phrases of a batch."""
+    return scored(phrases, phrase_scores(phrases, index))
 
 
 def ranked(scores: DataFrame, limit: int) -> DataFrame:
@@ -101,11 +160,18 @@ def ranked(scores: DataFrame, limit: int) -> DataFrame:
 
 
 def rrf(runs: DataFrame, limit: int) -> DataFrame:
-    """Reciprocal-rank fusion of ranked runs: (query_id, row_id, rrf_score, best_rank, rank)."""
-    once = runs.groupBy("query_id", "run", "row_id").agg(F.min("rank").alias("rank"))
-    fused = once.groupBy("query_id", "row_id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 12).alias("rrf_score"), F.min("rank").alias("best_rank"), F.min(F.struct("run", "rank")).alias("seen"))
+    """Reciprocal-rank fusion of ranked runs: (query_id, row_id, rrf_score, best_rank, score, rank).
+
+    ``score`` is that of the run whose entry stands for the row: runs in order, each replacing the
+    one before if its rank or its score is better.
+    """
+    once = runs.groupBy("query_id", "run", "row_id").agg(F.min(F.struct("rank", "score")).alias("r"))
+    entries = F.array_sort(F.collect_list(F.struct("run", F.col("r.rank").alias("rank"), F.col("r.score").alias("score"))))
+    fused = once.groupBy("query_id", "row_id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("r.rank"))), 12).alias("rrf_score"), F.min("r.rank").alias("best_rank"), F.min(F.struct("run", "r.rank")).alias("seen"), entries.alias("e"))
+    kept = F.aggregate(F.slice("e", F.lit(2), F.size("e")), F.element_at("e", 1), lambda old, new: F.when((new["rank"] < old["rank"]) | (new["score"] < old["score"]), new).otherwise(old))
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "best_rank", "seen", "row_id")
-    return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("seen")
+    ranked_ = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return ranked_.select("query_id", "row_id", "rrf_score", "best_rank", kept["score"].alias("score"), "rank")
 
 
 def matches_filters(rows: DataFrame, type_: str | None = None, tags: list[str] | None = None, systems: list[str] | None = None) -> DataFrame:
@@ -127,80 +193,143 @@ def search_filtered(scores: DataFrame, rows: DataFrame, limit: int, **filters) -
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def signal_groups(phrases: DataFrame, occ: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(query_id, group_id, word, df, status, idf) of a strict run's groups: stopword, zero_hit,
-    low_signal or eligible."""
-    words = phrases.groupBy("query_id", "group_id").agg(F.min(F.array_join("terms", " ")).alias("word"))
-    df = phrase_hits(phrases, occ).select("query_id", "group_id", "row_id").distinct().groupBy("query_id", "group_id").agg(F.count("*").alias("df"))
-    n = lengths.agg(F.count("*").cast("double").alias("n"))
-    table = words.join(df, ["query_id", "group_id"], "left").withColumn("df", F.coalesce("df", F.lit(0))).crossJoin(F.broadcast(n))
+def signal_groups(groups: DataFrame, index: Index) -> DataFrame:
+    """(query_id, group_id, members, df, status, idf) of groups as query_groups() gives them:
+    stopword, zero_hit, low_signal or eligible. Stopword groups of widened queries are left out."""
+    phrases = group_run(groups, 0)
+    df = phrase_hits(phrases, index).select("query_id", "group_id", "row_id").distinct().groupBy("query_id", "group_id").agg(F.count("*").alias("df"))
+    n = index.lengths.agg(F.count("*").cast("double").alias("n"))  # one row
+    table = groups.join(df, ["query_id", "group_id"], "left").withColumn("df", F.coalesce("df", F.lit(0))).crossJoin(F.broadcast(n))
     low = (F.col("n") >= LOW_SIGNAL_ROWS) & (F.col("df") >= LOW_SIGNAL_DF) & (F.col("df") / F.col("n") >= LOW_SIGNAL_SHARE)
-    status = F.when(F.col("word").isin(*STOPWORDS), "stopword").when(F.col("df") == 0, "zero_hit").when(low, "low_signal").otherwise("eligible")
+    common = F.forall("members", lambda m: F.lower(m).isin(*STOPWORDS))
+    status = F.when(common, "stopword").when(F.col("df") == 0, "zero_hit").when(low, "low_signal").otherwise("eligible")
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    return table.select("query_id", "group_id", "word", "df", status.alias("status"), idf.alias("idf"))
+    return table.where(~(F.col("grown") & common)).select("query_id", "group_id", "members", "df", status.alias("status"), idf.alias("idf"))
 
 
-def relaxed_groups(phrases: DataFrame, groups: DataFrame, occ: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(query_id, group_id): the groups that a relaxed query keeps, those of the candidate row that
-    covers the most signal. Queries with too many groups, or whose best row covers too little, have
-    none."""
-    eligible = groups.where("status = 'eligible'")
+def relaxed_groups(groups: DataFrame, index: Index) -> DataFrame:
+    """(query_id, group_id, enough): the groups that a relaxed query keeps, those of the candidate
+    row that covers the most signal. ``groups`` is what signal_groups() gives. Queries with too many
+    groups, or whose best row covers too little, have none; a single group that is left of several
+    isn't ``enough``."""
+    eligible = cut(groups.where("status = 'eligible'"))
     size = groups.groupBy("query_id").agg(F.count_if(F.col("status") == "eligible").alias("eligible"), F.count_if(F.col("status") != "eligible").alias("dropped"), F.sum(F.when(F.col("status") == "eligible", F.col("idf"))).alias("total"))
-    size = size.where(f"eligible BETWEEN 1 AND {RELAX_GROUPS} AND NOT (eligible = 1 AND dropped > 1)")
-    own = phrases.join(eligible.select("query_id", "group_id"), ["query_id", "group_id"], "left_semi")
-    any_ = own.withColumn("word_group", F.col("group_id")).withColumn("group_id", F.lit(0))
-    candidates = cut(ranked(bm25(any_.drop("word_group"), occ, lengths), RELAX_CANDIDATES).select("query_id", "row_id", "rank"))
-    matched = phrase_hits(own, occ).select("query_id", "group_id", "row_id").distinct().join(candidates, ["query_id", "row_id"]).join(eligible.select("query_id", "group_id", "idf"), ["query_id", "group_id"])
+    size = size.where(f"eligible BETWEEN 1 AND {RELAX_GROUPS}")
+    own = group_run(eligible.join(size.where("eligible > 1").select("query_id"), "query_id", "left_semi"), 0)
+    parts = cut(phrase_scores(own, index))
+    any_ = own.withColumn("group_id", F.lit(0))
+    candidates = ranked(scored(any_, parts), RELAX_CANDIDATES).select("query_id", "row_id", "rank")
+    hits = _keyed(own).select("query_id", "group_id", "key").join(parts.select("key", "row_id"), "key").select("query_id", "group_id", "row_id").distinct()
+    matched = hits.join(candidates, ["query_id", "row_id"]).join(eligible.select("query_id", "group_id", "idf"), ["query_id", "group_id"])
     rows = matched.groupBy("query_id", "row_id").agg(F.count("*").alias("hits"), F.sum("idf").alias("idf"), F.min("rank").alias("rank"), F.sort_array(F.collect_list("group_id")).alias("groups")).join(size, "query_id")
     rows = rows.withColumn("coverage", F.col("hits") / F.col("eligible")).withColumn("ratio", F.round(F.col("idf") / F.col("total"), 9))
-    enough = (F.col("hits") >= 2) & (F.col("coverage") >= RELAX_COVERAGE) & (F.col("ratio") >= F.when(F.col("dropped") > 0, RELAX_RATIO_DROPPED).otherwise(RELAX_RATIO))
-    rows = rows.where((F.col("eligible") == 1) | enough)
+    rows = rows.where((F.col("hits") >= 2) & (F.col("coverage") >= RELAX_COVERAGE) & (F.col("ratio") >= F.when(F.col("dropped") > 0, RELAX_RATIO_DROPPED).otherwise(RELAX_RATIO)))
     order = Window.partitionBy("query_id").orderBy(F.desc("ratio"), F.desc("coverage"), F.desc("hits"), "rank")
-    best = rows.withColumn("k", F.row_number().over(order)).where("k = 1")
-    return best.select("query_id", F.explode("groups").alias("group_id"))
+    best = rows.withColumn("k", F.row_number().over(order)).where("k = 1").select("query_id", F.explode("groups").alias("group_id"), F.lit(True).alias("enough"))
+    alone = eligible.join(size.where("eligible = 1"), "query_id").select("query_id", "group_id", (F.col("dropped") <= 1).alias("enough"))
+    return best.unionByName(alone)
 
 
-def search(queries: DataFrame, occ: DataFrame, lengths: DataFrame, limit: int, glossary: DataFrame | None = None) -> DataFrame:
-    """(query_id, stage, row_id, score, rank): the first stage of each query that finds anything.
+def search(queries: DataFrame, index: Index, limit: int, glossary: DataFrame | None = None, ranker: str = "bm25", rows: DataFrame | None = None, type_: str | None = None, tags: list[str] | None = None, systems: list[str] | None = None) -> DataFrame:
+    """(query_id, stage, row_id, score, rank): the best rows of each query (query_id, query).
 
-    Queries without an eligible word abstain. Stages: 1 widened by the glossary, 2 strict,
-    3 relaxed.
+    With bm25, the first stage that finds anything: 1 widened by the glossary, 2 strict, 3 relaxed;
+    queries without an eligible word abstain. With rrf, the fusion of all variants, stage 0. Filters
+    go over the first max(20 * limit, 100) candidates and need ``rows`` (path, type, tags, systems).
+    Queries without words have no rows.
     """
-    # A few rows a query each, and used several times: computed once.
+    if limit <= 0:
+        raise ValueError("limit must be positive")
+    if ranker not in RANKERS:
+        raise ValueError("ranker must be 'bm25' or 'rrf'")
+    filters = {"type_": type_, "tags": tags, "systems": systems}
+    filtered = any(filters.values())
+    if filtered and rows is None:
+        raise ValueError("filters need rows")
+    wide = max(limit * 20, 100)
+    if ranker == "rrf":
+        runs = cut(variants(queries, glossary))
+        found = rrf(ranked(bm25(runs, index), wide), wide).withColumn("stage", F.lit(0))
+    else:
+        found = ranked(_first_stage(queries, index, glossary), wide if filtered else limit).withColumnRenamed("run", "stage")
+    if filtered:
+        found = found.join(matches_filters(rows, **filters).select(F.col("path").alias("row_id")), "row_id", "left_semi")
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    return found.where(F.col("rank") <= limit).select("query_id", "stage", "row_id", "score", "rank")
+
+
+def _first_stage(queries: DataFrame, index: Index, glossary: DataFrame | None) -> DataFrame:
+    """(query_id, run, row_id, score) of the first stage of each query that finds anything."""
+    groups = cut(query_groups(queries, glossary))
+    state = cut(signal_groups(groups, index))
+    signal = state.where("status = 'eligible'").select("query_id").distinct()
+    strict = strict_run(queries, 2)
+    first = cut((strict if glossary is None else strict.unionByName(group_run(groups.where("grown"), 1))).join(signal, "query_id", "left_semi"))
+    found = cut(bm25(first, index))
+    # Only queries that found nothing so far are relaxed.
+    open_ = signal.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    kept = relaxed_groups(state.join(open_, "query_id", "left_semi"), index).where("enough")
+    relaxed = cut(group_run(state.join(kept, ["query_id", "group_id"], "left_semi"), 3))
+    every = found.unionByName(bm25(relaxed, index))
+    least = found.groupBy("query_id").agg(F.min("run").alias("run")).unionByName(relaxed.select("query_id", "run").distinct())
+    return every.join(least, ["query_id", "run"], "left_semi")
+
+
+def fts_string(groups: DataFrame, out: str) -> DataFrame:
+    """(query_id, out): the groups (query_id, group_id, members) as a query string: words in quotes,
+    several members of a group in parentheses with OR between, groups with AND between."""
+    quoted = F.transform("members", lambda m: F.concat(F.lit('"'), m, F.lit('"')))
+    one = F.when(F.size("members") == 1, quoted[0]).otherwise(F.concat(F.lit("("), F.array_join(quoted, " OR "), F.lit(")")))
+    lists = groups.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("group_id", one.alias("s")))).alias("l"))
+    return lists.select("query_id", F.array_join(F.transform("l", lambda x: x["s"]), " AND ").alias(out))
+
+
+def diagnostics(queries: DataFrame, index: Index, glossary: DataFrame | None = None) -> DataFrame:
+    """(query_id, strict_query, zero_hit_terms, relaxed_query, relaxation_applied, reason) of each
+    query: reason is no_signal where no word is eligible or no relaxation helps, else empty. Where
+    the strict query has rows the terms and the relaxed query are empty."""
+    tokens = queries.select("query_id", query_tokens(F.col("query")).alias("tokens"))
+    strict_text = tokens.select("query_id", F.array_join(F.transform("tokens", lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " ").alias("strict_query"))
+    state = cut(signal_groups(cut(query_groups(queries, glossary)), index))
     strict = cut(strict_run(queries, 2))
-    groups = cut(signal_groups(strict, occ, lengths))
-    signal = groups.where("status = 'eligible'").select("query_id").distinct()
-    relaxed = cut(strict.join(relaxed_groups(strict, groups, occ, lengths), ["query_id", "group_id"], "left_semi").withColumn("run", F.lit(3)))
-    stages = strict.unionByName(relaxed)
-    if glossary is not None:
-        stages = stages.unionByName(glossary_run(queries, glossary, 1))
-    stages = cut(stages.join(signal, "query_id", "left_semi"))
-    found = cut(bm25(stages, occ, lengths))
-    first = found.groupBy("query_id").agg(F.min("run").alias("run"))
-    return ranked(found.join(first, ["query_id", "run"], "left_semi"), limit).withColumnRenamed("run", "stage")
-
-
-def diagnostics(queries: DataFrame, occ: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(query_id, strict_query, zero_hit_terms, relaxed_query, reason) of each query."""
-    strict = cut(strict_run(queries))
-    groups = cut(signal_groups(strict, occ, lengths))
-    kept = cut(relaxed_groups(strict, groups, occ, lengths))
-    quoted = F.concat(F.lit('"'), F.col("word"), F.lit('"'))
-    line = lambda rows, c: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda s: s[c]), " ")
-    every = groups.groupBy("query_id").agg(
-        line(F.struct("group_id", quoted.alias("q")), "q").alias("strict_query"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") == "zero_hit", F.col("word")))), " ").alias("zero_hit_terms"), F.count_if(F.col("status") == "eligible").alias("eligible")
+    found = cut(bm25(strict, index).select("query_id").distinct()).withColumn("found", F.lit(True))
+    open_ = state.join(found, "query_id", "left_anti")
+    kept = cut(relaxed_groups(open_, index))
+    relaxed = fts_string(state.join(kept, ["query_id", "group_id"], "left_semi"), "relaxed")
+    zero = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("group_id", F.when(F.col("status") == "zero_hit", F.col("members")[0]).alias("w")))), lambda x: x["w"]), lambda w: w.isNotNull())
+    every = state.groupBy("query_id").agg(F.array_join(zero, " ").alias("zero"), F.count_if(F.col("status") == "eligible").alias("eligible"))
+    joined = strict_text.join(every, "query_id", "left").join(found, "query_id", "left").join(relaxed, "query_id", "left").join(kept.select("query_id", "enough").distinct(), "query_id", "left")
+    silent = F.coalesce(F.col("eligible"), F.lit(0)) == 0
+    has_rows = F.coalesce("found", F.lit(False)) & ~silent
+    applied = F.coalesce("enough", F.lit(False)) & ~has_rows & ~silent
+    empty = F.lit("")
+    blank = F.col("strict_query") == ""
+    return joined.select(
+        "query_id",
+        "strict_query",
+        F.when(blank | has_rows, empty).otherwise(F.coalesce("zero", empty)).alias("zero_hit_terms"),
+        F.when(has_rows | silent, empty).otherwise(F.coalesce("relaxed", empty)).alias("relaxed_query"),
+        applied.alias("relaxation_applied"),
+        F.when(blank | has_rows | applied, empty).otherwise("no_signal").alias("reason"),
     )
-    relaxed = groups.join(kept, ["query_id", "group_id"], "left_semi").groupBy("query_id").agg(line(F.struct("group_id", quoted.alias("q")), "q").alias("relaxed_query"))
-    reason = F.when((F.col("eligible") == 0) | F.col("relaxed_query").isNull(), "no_signal").when(F.col("relaxed_query") == F.col("strict_query"), "strict").otherwise("relaxed")
-    return every.join(relaxed, "query_id", "left").select("query_id", "strict_query", "zero_hit_terms", F.coalesce("relaxed_query", F.lit("")).alias("relaxed_query"), reason.alias("reason"))
 
 
 def grep(queries: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
     """(query_id, row_id, rank): rows whose path and text hold all words as substrings, by path.
-    The batch of queries is sent to all tasks; it is as small as what a user types."""
+
+    A scan for each batch, which this operator stands for: distinct words are found first, each in
+    every text once; a row has those of them that it holds, and a query meets the rows by one of
+    its words, the first, before the others are compared.
+    """
     words = queries.select("query_id", F.transform(distinct_tokens(query_tokens(F.col("query"))), F.lower).alias("words")).where(F.size("words") > 0)
+    every = [r["w"] for r in words.select(F.explode("words").alias("w")).distinct().limit(SENT_WORDS + 1).collect()]
     hay = rows.select(F.col("path").alias("row_id"), F.lower(F.concat("path", F.lit("\n"), "body")).alias("hay"))
-    hits = hay.join(words, F.forall("words", lambda w: F.contains(F.col("hay"), w))).select("query_id", "row_id")
+    if len(every) > SENT_WORDS:  # more than is typed: no list to send along
+        hits = hay.join(words, F.forall("words", lambda w: F.contains(F.col("hay"), w))).select("query_id", "row_id")
+    else:
+        held = hay.select("row_id", F.filter(F.array(*map(F.lit, every)) if every else F.expr("cast(array() as array<string>)"), lambda w: F.contains(F.col("hay"), w)).alias("held"))
+        by_first = words.withColumn("w", F.element_at("words", 1))
+        hits = held.select("row_id", "held", F.explode("held").alias("w")).join(sent(by_first), "w").where(F.size(F.array_except("words", "held")) == 0).select("query_id", "row_id")
     order = Window.partitionBy("query_id").orderBy("row_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
@@ -220,4 +349,10 @@ def snippets(results: DataFrame, rows: DataFrame, queries: DataFrame, column: st
     return best.select("query_id", "row_id", text.alias("snippet"))
 
 
-__all__ = ["bm25", "diagnostics", "document_frequency", "glossary_run", "grep", "or_run", "prefix_run", "ranked", "rrf", "search", "search_filtered", "snippets", "strict_run"]
+def best_snippets(results: DataFrame, rows: DataFrame, queries: DataFrame, body: str = "body") -> DataFrame:
+    """(query_id, row_id, snippet): of the content column if it holds a query word, else of the
+    body if that does, else of the one that has any text."""
+    both = snippets(results, rows, queries, "content").withColumnRenamed("snippet", "c").join(snippets(results, rows, queries, body).withColumnRenamed("snippet", "b"), ["query_id", "row_id"])
+    marked = lambda c: F.contains(c, F.lit("[")) & F.contains(c, F.lit("]"))
+    chosen = F.when(marked(F.col("c")), F.col("c")).when(marked(F.col("b")), F.col("b")).when(F.col("c") != "", F.col("c")).otherwise(F.col("b"))
+    return both.select("query_id", "row_id", chosen.alias("snippet"))

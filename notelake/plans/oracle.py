@@ -1,12 +1,23 @@
-"""DuckDB SQL for the engine's queries over the same tables."""
+"""DuckDB SQL for the engine's queries over the same tables.
+
+Constants are written out here a second time, on purpose: a wrong one in the engine shows.
+"""
 
 from __future__ import annotations
 
-from notelake.functions.text import SECRETS
-from notelake.operators.index import NOTE_WEIGHTS, PASSAGE_WEIGHTS
-from notelake.operators.search import STOPWORDS
 from notelake.plans.queries import GLOSSARY
 
+#: Fixed values.
+NOTE_WEIGHTS = {"path": 0.1, "type": 1.5, "title": 8.0, "description": 4.0, "tags": 6.0, "aliases": 6.0, "systems": 5.0, "signals": 5.0, "body": 0.2, "content": 3.0}
+PASSAGE_WEIGHTS = {"type": 1.5, "title": 8.0, "tags": 6.0, "systems": 5.0, "heading": 4.0, "text": 1.0, "content": 3.0}
+STOPWORDS = "a an and are as at be by com da das de do dos e em for from in into is it na nas no nos o of on or os ou para por que sem the to um uma with"
+SECRETS = (
+    ("private key block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("AWS access key", r"AKIA[0-9A-Z]{16}"),
+    ("GitHub token", r"gh[pousr]_[A-Za-z0-9]{20,}"),
+    ("token assignment", r"""token = "[0-9a-f]{40}\""""),
+)
+
 _FIELDS = r"'(?i)\b(path|type|title|description|tags|extra|body|content):'"
 _WORDS = r"'[\p{L}\p{N}_]+'"
 _NOTES = """notes AS (
@@ -68,9 +79,8 @@ def _run(kind: str, run: int) -> str:
         return f"SELECT query_id, {run} AS run, 0 AS group_id, pos AS phrase_id, {_terms('token')} AS terms, false AS prefix FROM qwords"
     if kind == "prefix":
         return f"SELECT query_id, {run}, 0, min(pos), {_terms('stem')}, true FROM (SELECT query_id, pos, {_stem('token')} AS stem FROM qwords) WHERE stem IS NOT NULL GROUP BY query_id, stem"
-    return f"""SELECT query_id, {run}, pos, row_number() OVER (PARTITION BY query_id ORDER BY pos, option), {_terms('option')}, false FROM (
-        SELECT DISTINCT query_id, pos, unnest(list_distinct(list_concat([lower(token)], coalesce(members, [])))) AS option FROM qwords LEFT JOIN tgroups ON lower(token) = token_low
-        WHERE query_id IN (SELECT query_id FROM qwords JOIN tgroups ON lower(token) = token_low))"""
+    only = " WHERE grown" if kind == "glossary" else ""
+    return f"SELECT query_id, {run}, group_id, group_id * 1000 + k, {_terms('member')}, false FROM (SELECT query_id, group_id, unnest(members) AS member, generate_subscripts(members, 1) - 1 AS k FROM groups{only})"
 
 
 def _stem(token: str) -> str:
@@ -84,19 +94,22 @@ _TGROUPS = f"""terms0 AS (SELECT * FROM (VALUES {_TERM_ROWS}) AS g(title, aliase
 tw AS (SELECT {_words("title || ' ' || array_to_string(aliases, ' ')")} AS members FROM terms0 WHERE status = 'approved'),
 te AS (SELECT unnest(members) AS token_low, members FROM tw),
 tgroups AS (SELECT token_low, list_sort(list_distinct(flatten(list(members)))) AS members FROM te GROUP BY token_low)"""
-_BASE = f"WITH {_NOTES}, {_TOPICS}, {_QWORDS}, {_TGROUPS}, {_occ('notes', 'path', NOTE_WEIGHTS)}"
+_MEMBERS = """gmem AS (SELECT query_id, pos, list_concat([token], list_filter(coalesce(members, []::VARCHAR[]), lambda m: lower(m) <> lower(token))) AS members FROM qwords LEFT JOIN tgroups ON lower(token) = token_low),
+ggrow AS (SELECT *, max((len(members) > 1)::INT) OVER (PARTITION BY query_id) = 1 AS grown, array_to_string(list_sort(list_transform(members, lambda m: lower(m))), chr(10)) AS gkey FROM gmem),
+groups AS (SELECT query_id, min(pos) AS group_id, arg_min(members, pos) AS members, any_value(grown) AS grown FROM ggrow GROUP BY query_id, gkey)"""
+_BASE = f"WITH {_NOTES}, {_TOPICS}, {_QWORDS}, {_TGROUPS}, {_MEMBERS}, {_occ('notes', 'path', NOTE_WEIGHTS)}"
 
 
-def _search(runs: list[tuple[str, int]], limit: int, out: str = "SELECT query_id, row_id, round(score, 6) AS score, rank FROM ranked") -> str:
+def _search(runs: list[tuple[str, int]], limit: int, out: str = "SELECT query_id, row_id, round(score, 6) AS score, rank FROM ranked", base: str = "") -> str:
     phrases = " UNION ALL ".join(f"SELECT * FROM ({_run(k, r)}) WHERE len(terms) > 0" for k, r in runs)
     names = "query_id, run, group_id, phrase_id, terms, prefix"
-    return f"{_BASE}, phrases({names}) AS ({phrases.replace('WHERE len(terms) > 0', f'AS z({names}) WHERE len(terms) > 0')}), {_BM25}, {_ranked(limit)} {out}"
+    return f"{base or _BASE}, phrases({names}) AS ({phrases.replace('WHERE len(terms) > 0', f'AS z({names}) WHERE len(terms) > 0')}), {_BM25}, {_ranked(limit)} {out}"
 
 
 _SIMILAR = f"""tx AS (SELECT path, {_words("body")} AS tw FROM notes), qx AS (SELECT query_id, {_words("text")} AS qw FROM topics),
 lex AS (SELECT query_id, path, round(len(list_intersect(qw, tw))::DOUBLE / len(qw), 4) AS similarity FROM tx CROSS JOIN qx WHERE len(qw) > 0 AND len(tw) > 0)"""
 _WRITE = f"""{_SIMILAR}, top1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, path) AS k FROM lex WHERE similarity >= 0.55) WHERE k = 1),
-wb AS (SELECT query_id, path, CASE WHEN NOT coalesce(similarity >= 0.7, false) THEN 'create' WHEN contains(body, trim(text)) THEN 'noop' WHEN query_id % 9 = 0 THEN 'conflict' ELSE 'update' END AS action
+wb AS (SELECT query_id, path, CASE WHEN NOT coalesce(similarity >= 0.7, false) THEN 'create' WHEN query_id % 9 = 0 THEN 'conflict' WHEN contains(body, trim(text)) THEN 'noop' ELSE 'update' END AS action
     FROM topics LEFT JOIN top1 USING (query_id) LEFT JOIN notes USING (path))"""
 _USAGE = "log AS (SELECT event_id, ts, event_type AS command, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, value AS duration_ms, user_id::VARCHAR AS document FROM events)"
 _SLUG = "CASE WHEN trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'untitled' ELSE trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-') END"
@@ -120,11 +133,62 @@ lv AS (SELECT *, length(regexp_extract(t, '^(#{1,6})\s+(.+?)\s*$', 1)) AS level,
 _SPLIT = rf"""{_TALK}, sec AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY path ORDER BY line) AS s FROM lv),
 parts0 AS (SELECT path, coalesce(max(heading) FILTER (level > 0), 'Document') AS heading, min(line) AS start_line, max(line) AS end_line, regexp_replace(coalesce(string_agg(t, chr(10) ORDER BY line) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS text FROM sec GROUP BY path, s),
 parts AS (SELECT *, path || ':' || start_line || ':' || end_line AS passage_id, 'talk' AS type, '' AS title, '' AS tags, '' AS systems, 'talk' || chr(10) || heading AS content FROM parts0 WHERE text <> '')"""
-_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
-_GROUPS = f"""gw AS (SELECT query_id, group_id, min(array_to_string(terms, ' ')) AS word FROM phrases GROUP BY ALL),
-gdf AS (SELECT query_id, group_id, count(DISTINCT row_id) AS df FROM hits GROUP BY ALL),
-sg AS (SELECT query_id, group_id, word, coalesce(df, 0) AS df, CASE WHEN word IN ({_STOP}) THEN 'stopword' WHEN coalesce(df, 0) = 0 THEN 'zero_hit'
-    WHEN n >= 30 AND df >= 10 AND df / n >= 0.8e0 THEN 'low_signal' ELSE 'eligible' END AS status, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM gw LEFT JOIN gdf USING (query_id, group_id) CROSS JOIN st)"""
+_PARTS = f"WITH {_SPLIT}, {_TOPICS}, {_QWORDS}, {_TGROUPS}, {_MEMBERS}, {_occ('parts', 'passage_id', PASSAGE_WEIGHTS)}"
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS.split())
+#: The state of each group, by the hits of run 0.
+_GROUPS = f"""gdf AS (SELECT query_id, group_id, count(DISTINCT row_id) AS df FROM hits WHERE run = 0 GROUP BY ALL),
+common AS (SELECT *, len(list_filter(members, lambda m: lower(m) NOT IN ({_STOP}))) = 0 AS stop FROM groups),
+sg AS (SELECT query_id, group_id, members, coalesce(df, 0) AS df, CASE WHEN stop THEN 'stopword' WHEN coalesce(df, 0) = 0 THEN 'zero_hit'
+    WHEN n >= 30 AND df >= 10 AND df / n >= 0.8e0 THEN 'low_signal' ELSE 'eligible' END AS status, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM common LEFT JOIN gdf USING (query_id, group_id) CROSS JOIN st WHERE NOT (grown AND stop))"""
+#: What a query without hits so far keeps when it is relaxed. ``had`` lists the queries with hits.
+_RELAX = """part AS (SELECT query_id, run, group_id, phrase_id, row_id, CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * len / mean)) AS part FROM raws),
+sizes AS (SELECT query_id, count(*) FILTER (status = 'eligible') AS eligible, count(*) FILTER (status <> 'eligible') AS dropped, sum(idf) FILTER (status = 'eligible') AS total FROM sg GROUP BY 1),
+op AS (SELECT query_id, group_id, idf, eligible, dropped, total FROM sg JOIN sizes USING (query_id) WHERE status = 'eligible' AND eligible <= 8 AND query_id NOT IN (SELECT query_id FROM had)),
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9), row_id) AS rank FROM (SELECT query_id, row_id, -sum(part) AS s FROM part JOIN op USING (query_id, group_id) WHERE run = 0 AND eligible > 1 GROUP BY 1, 2)) WHERE rank <= 20),
+mt AS (SELECT DISTINCT c.query_id, c.row_id, c.rank, op.group_id, idf, eligible, dropped, total FROM cand c JOIN hits h ON h.query_id = c.query_id AND h.row_id = c.row_id AND h.run = 0 JOIN op ON op.query_id = h.query_id AND op.group_id = h.group_id),
+rr AS (SELECT query_id, row_id, rank, eligible, dropped, count(*) AS k, count(*) / eligible AS coverage, round(sum(idf) / any_value(total), 9) AS ratio, list(group_id) AS gs FROM mt GROUP BY query_id, row_id, rank, eligible, dropped),
+pick AS (SELECT query_id, gs FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ratio DESC, coverage DESC, k DESC, rank) AS o FROM rr WHERE k >= 2 AND coverage >= 0.6e0 AND ratio >= CASE WHEN dropped > 0 THEN 0.65e0 ELSE 0.81e0 END) WHERE o = 1),
+kept AS (SELECT query_id, unnest(gs) AS group_id, true AS enough FROM pick UNION ALL SELECT query_id, group_id, dropped <= 1 FROM op WHERE eligible = 1)"""
+_LADDER = f"""{_GROUPS}, sig AS (SELECT DISTINCT query_id FROM sg WHERE status = 'eligible'),
+f12 AS (SELECT * FROM scores WHERE run IN (1, 2) AND query_id IN (SELECT query_id FROM sig)), had AS (SELECT DISTINCT query_id FROM f12), {_RELAX},
+f3 AS (SELECT query_id, 3 AS run, row_id, -sum(part) AS score FROM part JOIN kept USING (query_id, group_id) WHERE run = 0 AND enough GROUP BY query_id, row_id HAVING count(DISTINCT group_id) = (SELECT count(*) FROM kept k2 WHERE k2.query_id = part.query_id)),
+ladder AS (SELECT * FROM f12 UNION ALL SELECT * FROM f3),
+stage AS (SELECT * FROM ladder JOIN (SELECT query_id, min(run) AS run FROM ladder GROUP BY 1) USING (query_id, run)),
+top3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), row_id) AS rk FROM stage) WHERE rk <= 3)"""
+_DIAGNOSE = f"""{_GROUPS}, had AS (SELECT DISTINCT query_id FROM scores WHERE run = 2), {_RELAX},
+zr AS (SELECT query_id, string_agg(members[1], ' ' ORDER BY group_id) FILTER (status = 'zero_hit') AS zero, count(*) FILTER (status = 'eligible') AS eligible FROM sg GROUP BY 1),
+fx AS (SELECT query_id, string_agg(CASE WHEN len(members) = 1 THEN '"' || members[1] || '"' ELSE '("' || array_to_string(members, '" OR "') || '")' END, ' AND ' ORDER BY group_id) AS relaxed, bool_and(enough) AS enough FROM sg JOIN kept USING (query_id, group_id) GROUP BY 1),
+dg AS (SELECT t.query_id, coalesce(array_to_string(list_transform(toks, lambda x: '"' || x || '"'), ' '), '') AS strict_query, coalesce(zero, '') AS zero, coalesce(eligible, 0) = 0 AS silent, t.query_id IN (SELECT query_id FROM had) AND coalesce(eligible, 0) > 0 AS rows_, coalesce(relaxed, '') AS relaxed, coalesce(enough, false) AS enough FROM qall t LEFT JOIN zr USING (query_id) LEFT JOIN fx USING (query_id))
+SELECT query_id, strict_query, CASE WHEN strict_query = '' OR rows_ THEN '' ELSE zero END AS zero_hit_terms, CASE WHEN rows_ OR silent THEN '' ELSE relaxed END AS relaxed_query, enough AND NOT rows_ AND NOT silent AS relaxation_applied,
+    CASE WHEN strict_query = '' OR rows_ OR (enough AND NOT silent) THEN '' ELSE 'no_signal' END AS reason FROM dg"""
+
+
+def _snippet(column: str) -> str:
+    """The snippet of a column of d, for words ``wanted``."""
+    ts = _terms(column)
+    start = f"list_position(list_transform(range(0, greatest(len({ts}) - 12, 0) + 1), lambda i: len(list_intersect({ts}[i + 1:i + 12], wanted))), list_max(list_transform(range(0, greatest(len({ts}) - 12, 0) + 1), lambda i: len(list_intersect({ts}[i + 1:i + 12], wanted))))) - 1"
+    return f"(SELECT CASE WHEN s > 0 THEN '...' ELSE '' END || coalesce(array_to_string(list_transform(x[s + 1:s + 12], lambda t: CASE WHEN list_contains(wanted, t) THEN '[' || t || ']' ELSE t END), ' '), '') || CASE WHEN s + 12 < len(x) THEN '...' ELSE '' END FROM (SELECT {ts} AS x, {start} AS s))"
+
+
+#: Snippets of (query_id, row_id) in ``shown``.
+_SNIPPETS = f"""dw AS (SELECT s.query_id, s.row_id, n.content, n.body, list_transform(q.toks, lambda t: lower(t)) AS wanted FROM shown s JOIN notes n ON n.path = s.row_id JOIN qall q USING (query_id)),
+cb AS (SELECT query_id, row_id, {_snippet('content')} AS c, {_snippet('body')} AS b FROM dw),
+snip AS (SELECT query_id, row_id, CASE WHEN contains(c, '[') AND contains(c, ']') THEN c WHEN contains(b, '[') AND contains(b, ']') THEN b WHEN c <> '' THEN c ELSE b END AS snippet FROM cb)"""
+
+
+def _packets(most: int) -> str:
+    """A context of each query from up to three sources (query_id, row_id, rk) in top3."""
+    steps = ["pk0 AS (SELECT query_id, '' AS ctx, false AS over, []::VARCHAR[] AS ps FROM topics)"]
+    prefix = "'path: ' || n.path || chr(10) || 'title: ' || n.title || chr(10) || 'type: ' || n.type || chr(10) || 'tags: ' || array_to_string(list_filter(string_split(n.tags, ' '), lambda t: t <> ''), ', ') || chr(10) || 'snippet: ' || s.snippet || chr(10) || 'content:' || chr(10)"
+    for k in (1, 2, 3):
+        steps.append(f"""a{k} AS (SELECT p.*, {prefix} AS prefix, n.body, CASE WHEN ctx = '' THEN '' ELSE chr(10) || '---' || chr(10) END AS sep FROM pk{k - 1} p LEFT JOIN top3 t ON t.query_id = p.query_id AND t.rk = {k} LEFT JOIN notes n ON n.path = t.row_id LEFT JOIN snip s ON s.query_id = t.query_id AND s.row_id = t.row_id),
+b{k} AS (SELECT *, {most} - length(ctx) - length(sep) - length(prefix) AS room FROM a{k}),
+c{k} AS (SELECT *, CASE WHEN length(body) <= room THEN body WHEN room <= 13 THEN body[1:greatest(room, 0)] ELSE regexp_replace(body[1:room - 13], '\\s+$', '') || chr(10) || '[truncated]' || chr(10) END AS fitted, over OR prefix IS NULL OR room <= 0 AS stays FROM b{k}),
+e{k} AS (SELECT *, CASE WHEN stays THEN ctx ELSE ctx || {_redact('(sep || prefix || fitted)')} END AS nctx FROM c{k}),
+pk{k} AS (SELECT query_id, nctx AS ctx, stays OR length(nctx) >= {most} OR length(fitted) >= room AS over, CASE WHEN stays THEN ps ELSE list_append(ps, regexp_extract(prefix, '^path: (.*)', 1)) END AS ps FROM e{k})""")
+    return ", ".join(steps)
+
+
 _CONTEXTS = "contexts AS (SELECT query_id, body AS context FROM ranked JOIN notes ON row_id = path)"
 _QRELS = "qrels AS (SELECT item_id AS query_id, path FROM notes JOIN benchmark ON contains(body, benchmark.text))"
 _METRICS = f"""{_QRELS}, tot AS (SELECT query_id, count(*) AS total, sum(CASE WHEN r <= 3 THEN 1 / log2(r + 1.0e0) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path) AS r FROM qrels) GROUP BY 1),
@@ -132,6 +196,19 @@ got AS (SELECT query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank
 metrics AS (SELECT t.query_id, round(CASE WHEN coalesce(total, 0) = 0 THEN 1 ELSE coalesce(hits, 0) / total::DOUBLE END, 6) AS recall, round(coalesce(1.0e0 / first, 0), 6) AS mrr, round(CASE WHEN coalesce(idcg, 0) = 0 THEN 0 ELSE coalesce(dcg, 0) / idcg END, 6) AS ndcg
     FROM topics t LEFT JOIN tot USING (query_id) LEFT JOIN got USING (query_id))""".replace("SELECT query_id, count(*) AS hits", "SELECT ranked.query_id, count(*) AS hits")
 
+#: Four-grams of the lowered words with two spaces around them; 60 bits of each one's md5 vote.
+_SIMHASH = f"""WITH {_NOTES}, ln AS (SELECT path, '  ' || array_to_string(ws, ' ') || '  ' AS l FROM (SELECT path, regexp_extract_all(lower(body), {_WORDS}) AS ws FROM notes) WHERE len(ws) > 0),
+gr AS (SELECT path, g, count(*) AS n FROM (SELECT path, unnest(list_transform(range(1, length(l) - 2), lambda i: l[i:i + 3])) AS g FROM ln) GROUP BY ALL),
+hs AS (SELECT g, ('0x' || md5(g)[1:15])::BIGINT AS h FROM (SELECT DISTINCT g FROM gr)),
+vt AS (SELECT path, {", ".join(f"sum(CASE WHEN (h >> {k}) & 1 = 1 THEN n ELSE -n END) AS b{k}" for k in range(60))} FROM gr JOIN hs USING (g) GROUP BY path)
+SELECT path, ({" + ".join(f"CASE WHEN b{k} > 0 THEN {1 << k}::BIGINT ELSE 0 END" for k in range(60))})::BIGINT AS fingerprint FROM vt"""
+_VARIANTS = [("strict", 0), ("or", 2), ("prefix", 3), ("glossary", 1)]
+_STAGES = [("groups", 0), ("glossary", 1), ("strict", 2)]
+#: Entries of a row in its runs: a later run's replaces one with a worse rank or a worse score.
+_FUSED = """, es AS (SELECT query_id, row_id, list({'k': rank, 's': score} ORDER BY run) AS e, round(sum(1.0e0 / (60 + rank)), 12) AS s, min(rank) AS best_rank, min(run * 1000 + rank) AS seen FROM ranked GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, best_rank, seen, row_id) AS k, list_reduce(e, lambda o, n: CASE WHEN n.k < o.k OR n.s < o.s THEN n ELSE o END) AS w FROM es)
+SELECT query_id, row_id, round(s, 6) AS rrf_score, best_rank, round(w.s, 6) AS score, k AS rank FROM fr WHERE k <= 3"""
+
 SQL = {
     "token_counts": f"WITH {_NOTES} SELECT path, len({_tokens('body')}) AS query_words, len({_terms('body')}) AS terms, ceil(length(body) / 4.0e0)::BIGINT AS tokens FROM notes",
     "safe_prefix_stems": f"SELECT token, {_stem('token')} AS stem FROM (SELECT DISTINCT unnest({_tokens('text')}) AS token FROM documents) WHERE {_stem('token')} IS NOT NULL",
@@ -141,20 +218,24 @@ SQL = {
     "bm25_or_docs": _search([("or", 2)], 3),
     "bm25_prefix_docs": _search([("prefix", 3)], 3),
     "bm25_glossary_docs": _search([("glossary", 1)], 3),
-    "bm25_passages": f"WITH {_SPLIT}, topics AS (SELECT conv_id AS query_id, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:3], ' ') AS query FROM conversations WHERE turn = 0 AND conv_id % 10 = 0), {_QWORDS}, {_occ('parts', 'passage_id', PASSAGE_WEIGHTS)}, phrases AS (SELECT * FROM ({_run('strict', 0)}) WHERE len(terms) > 0), {_BM25}, {_ranked(3)} SELECT query_id, row_id, round(score, 6) AS score, rank FROM ranked",
+    "bm25_passages": f"WITH {_SPLIT}, topics AS (SELECT conv_id AS query_id, arg_min(text, turn) AS query FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id), {_QWORDS}, {_occ('parts', 'passage_id', PASSAGE_WEIGHTS)}, phrases AS (SELECT * FROM ({_run('strict', 0)}) WHERE len(terms) > 0), {_BM25}, {_ranked(3)} SELECT query_id, row_id, round(score, 6) AS score, rank FROM ranked",
     "search_filtered": _search([("or", 2)], 100, ", kept AS (SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM ranked r JOIN notes ON path = row_id WHERE list_contains(string_split(lower(tags), ' '), 'en')) SELECT query_id, row_id, round(score, 6) AS score, k AS rank FROM kept WHERE k <= 3"),
-    "rrf_docs": _search(
-        [("strict", 0), ("or", 2), ("prefix", 3)],
-        100,
-        ", fused AS (SELECT query_id, row_id, round(sum(1.0e0 / (60 + rank)), 12) AS s, min(rank) AS best_rank, min(run * 1000 + rank) AS seen FROM ranked GROUP BY ALL), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, best_rank, seen, row_id) AS k FROM fused) SELECT query_id, row_id, round(s, 6) AS rrf_score, best_rank, k AS rank FROM fr WHERE k <= 3",
-    ),
-    "signal_groups": _search([("strict", 0)], 1, f", {_GROUPS} SELECT query_id, group_id, word, df, status, round(idf, 6) AS idf FROM sg"),
+    "rrf_docs": _search(_VARIANTS, 100, _FUSED),
+    "rrf_passages": _search(_VARIANTS, 100, _FUSED, _PARTS),
+    "signal_groups": _search([("groups", 0)], 1, f", {_GROUPS} SELECT query_id, group_id, array_to_string(members, ' ') AS members, df, status, round(idf, 6) AS idf FROM sg"),
+    "relaxed_search": _search(_STAGES, 1, f", {_LADDER} SELECT query_id, run AS stage, row_id, round(score, 6) AS score, rk AS rank FROM top3"),
+    "search_passages": _search(_STAGES, 1, f", {_LADDER} SELECT query_id, run AS stage, row_id, round(score, 6) AS score, rk AS rank FROM top3", _PARTS),
+    "abstain_diagnostics": _search(_STAGES, 1, f", {_DIAGNOSE}"),
+    "diagnostics_passages": _search(_STAGES, 1, f", {_DIAGNOSE}", _PARTS),
+    "snippet_window": _search([("or", 2)], 1, f", shown AS (SELECT query_id, row_id FROM ranked), {_SNIPPETS} SELECT * FROM snip"),
+    "retrieve_docs_budget": _search(_STAGES, 1, f", {_LADDER}, shown AS (SELECT query_id, row_id FROM top3), {_SNIPPETS}, {_packets(3200)} SELECT query_id, 'bm25' AS ranker, sha256(ctx) AS context_sha256, ceil(length(ctx) / 4.0e0)::BIGINT AS used_tokens, len(ps) AS source_count, array_to_string(ps, ' ') AS sources FROM pk3"),
     "grep_baseline": f"WITH {_NOTES}, {_TOPICS}, {_QWORDS}, qs AS (SELECT query_id, list(lower(token)) AS ws FROM qwords GROUP BY 1), hit AS (SELECT query_id, path AS row_id FROM notes JOIN qs ON len(list_filter(ws, lambda w: NOT contains(lower(path || chr(10) || body), w))) = 0) SELECT query_id, row_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY row_id) AS rank FROM hit) WHERE rank <= 20",
     "passage_split": f"WITH {_SPLIT} SELECT path, heading, start_line, end_line, sha256(text) AS text_sha256 FROM parts",
     "section_extract": f"WITH {_TALK}, s0 AS (SELECT path, min(line) AS a, arg_min(level, line) AS l FROM lv WHERE level > 0 AND strip_accents(lower(heading)) = 'user 2' GROUP BY path), e0 AS (SELECT path, min(line) AS b FROM lv JOIN s0 USING (path) WHERE line > a AND level > 0 AND level <= l GROUP BY path) SELECT path, sha256(string_agg(t, chr(10) ORDER BY line)) AS text_sha256 FROM lv JOIN s0 USING (path) LEFT JOIN e0 USING (path) WHERE line >= a AND (b IS NULL OR line < b) GROUP BY path",
     "line_range": f"WITH {_NOTES} SELECT path, array_to_string(string_split(body, chr(10))[2:3], chr(10)) AS text FROM notes",
     "needle_snippet": f"WITH {_NOTES}, nl AS (SELECT path, unnest(string_split(body, chr(10))) AS t, generate_subscripts(string_split(body, chr(10)), 1) AS line FROM notes), at0 AS (SELECT path, min(line) AS a FROM nl WHERE contains(lower(t), 'license version') OR (contains(lower(t), 'license') AND contains(lower(t), 'version')) GROUP BY path) SELECT path, a AS line, string_agg(t, chr(10) ORDER BY nl.line) AS text FROM nl JOIN at0 USING (path) WHERE abs(nl.line - a) <= 1 GROUP BY path, a",
     "lexical_pairs": f"WITH {_NOTES}, {_TOPICS}, {_SIMILAR} SELECT query_id, path, similarity FROM lex WHERE similarity >= 0.55",
+    "simhash_md5": _SIMHASH,
     "secret_findings": f"WITH {_NOTES}, nl AS (SELECT path, unnest(string_split(body, chr(10))) AS t, generate_subscripts(string_split(body, chr(10)), 1) AS line FROM notes), f AS ("
     + " UNION ALL ".join(f"SELECT path, line, '{k}' AS kind, len(regexp_extract_all(t, '{p}')) AS hits FROM nl" for k, p in SECRETS)
     + ") SELECT path, line, kind, hits FROM f WHERE hits > 0",
@@ -177,7 +258,7 @@ SQL = {
     "manifest_diff": f"WITH {_NOTES}, o AS (SELECT path, body FROM notes WHERE NOT ends_with(path, '3.md')), n AS (SELECT path, CASE WHEN tags = 'de' THEN body || '!' ELSE body END AS body FROM notes WHERE NOT ends_with(path, '7.md')) SELECT path, CASE WHEN o.body IS NULL THEN 'added' WHEN n.body IS NULL THEN 'removed' WHEN o.body <> n.body THEN 'updated' ELSE 'same' END AS change FROM o FULL JOIN n USING (path)",
     "index_staleness": f"WITH {_NOTES}, d AS (SELECT ends_with(path, '3.md') AS a, ends_with(path, '7.md') AS r, tags = 'de' AS u FROM notes) SELECT count(*) FILTER (NOT a AND NOT r AND u) AS changed, count(*) FILTER (a) AS missing, count(*) FILTER (r) AS removed, count(*) FILTER (NOT a AND NOT r AND NOT u) AS fresh FROM d",
     "create_outcomes": f"WITH {_NOTES}, there AS (SELECT DISTINCT 'knowledge/' || {_SLUG.format("type || ' ' || tags")} || '.md' AS path FROM notes WHERE tags = 'en'), rq AS (SELECT source || ' ' || lang AS title, text FROM documents), p AS (SELECT *, 'knowledge/' || {_SLUG.format('title')} || '.md' AS path FROM rq) SELECT path, CASE WHEN {_secret('text')} THEN 'secret' WHEN path IN (SELECT path FROM there) THEN 'exists' ELSE 'created' END AS outcome, count(*) AS n FROM p GROUP BY 1, 2",
-    "append_outcomes": f"WITH {_NOTES}, rq AS (SELECT 'docs/' || lpad((doc_id + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END)::VARCHAR, 8, '0') || '.md' AS path, text[1:60] AS addition, doc_id % 7 = 1 AS wrong FROM documents), oc AS (SELECT rq.path, addition, body, CASE WHEN body IS NULL THEN 'missing' WHEN {_secret('addition')} THEN 'secret' WHEN wrong THEN 'conflict' WHEN contains(body, trim(addition)) THEN 'noop' ELSE 'update' END AS outcome FROM rq LEFT JOIN notes USING (path)) SELECT path, outcome, sha256(CASE WHEN outcome = 'update' THEN body || CASE WHEN ends_with(body, chr(10)) THEN chr(10) ELSE chr(10) || chr(10) END || trim(addition) || chr(10) ELSE body END) AS text_sha256 FROM oc",
+    "append_outcomes": f"WITH {_NOTES}, rq AS (SELECT 'docs/' || lpad((doc_id + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END)::VARCHAR, 8, '0') || '.md' AS path, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS addition, doc_id % 7 = 1 AS wrong FROM documents), oc AS (SELECT rq.path, addition, body, CASE WHEN body IS NULL THEN 'missing' WHEN wrong THEN 'conflict' WHEN coalesce(addition, '') = '' THEN 'empty' WHEN {_secret('addition')} THEN 'secret' WHEN contains(body, addition) THEN 'noop' ELSE 'update' END AS outcome FROM rq LEFT JOIN notes USING (path)) SELECT path, outcome, sha256(CASE WHEN outcome = 'update' THEN body || CASE WHEN ends_with(body, chr(10)) THEN chr(10) ELSE chr(10) || chr(10) END || addition || chr(10) ELSE body END) AS text_sha256 FROM oc",
     "usage_summary": f"WITH {_USAGE} SELECT count(*) AS events, count(*) FILTER (command = 'view') AS searches, count(*) FILTER (command = 'click') AS retrieves, count(*) FILTER (command IN ('purchase', 'signup')) AS writes, count(*) FILTER (status <> 'ok') AS errors, round(sum(coalesce(duration_ms, 0)) / count(*), 3) AS avg_duration_ms FROM log",
     "usage_by_command": f"WITH {_USAGE} SELECT command, count(*) AS events, count(*) FILTER (status <> 'ok') AS errors FROM log GROUP BY 1",
     "usage_top_documents": f"WITH {_USAGE} SELECT value, count FROM (SELECT lower(document) AS value, count(*) AS count, min(event_id) AS f FROM log WHERE document IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 10)",

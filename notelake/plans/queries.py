@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from notelake.functions import text as X
 from notelake.functions.fingerprints import lexical_similarity, simhash
 from notelake.operators import checks, evaluate, glossary, index, passages, retrieve, search, similar, usage
 from notelake.operators import notes as changes
+from notelake.operators.lineage import sent, shared_folder
 from notelake.sources.notes import notes_of_conversations, notes_of_documents, usage_of_events
 
 LIMIT = 3
@@ -31,10 +34,26 @@ def _topics(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"), F.col("text"))
 
 
-def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The index, kept by the session: the same plan over the same files is built once."""
-    rows = _notes(spark, sf)
-    return index.occurrences(rows, WEIGHTS).persist(), index.row_lengths(rows, WEIGHTS).persist()
+#: Where the indexes of a session's tables are, by application, table and weights.
+_folders: dict[tuple[str, str, str], str] = {}
+
+
+def _stored_index(spark: SparkSession, sf: str, name: str, rows: DataFrame, weights: dict[str, float], key: str) -> index.Index:
+    """The index of a table's rows in the shared folder, written when the session first asks for it."""
+    known = spark.sparkContext.applicationId, sf, name
+    if known not in _folders:
+        folder = f"{shared_folder(spark)}/index-{name}-{uuid.uuid4().hex}"
+        index.update(rows, weights, folder, key, "text" if key == "passage_id" else "body")
+        _folders[known] = folder
+    return index.read(spark, _folders[known])
+
+
+def _index(spark: SparkSession, sf: str) -> index.Index:
+    return _stored_index(spark, sf, "notes", _notes(spark, sf), WEIGHTS, "path")
+
+
+def _passage_index(spark: SparkSession, sf: str) -> index.Index:
+    return _stored_index(spark, sf, "passages", _passages(spark, sf), index.PASSAGE_WEIGHTS, "passage_id")
 
 
 def _glossary(spark: SparkSession) -> DataFrame:
@@ -60,23 +79,23 @@ def slugs(spark, sf):
 
 
 def doc_frequency(spark, sf):
-    return index.document_frequency(_index(spark, sf)[0])
+    return index.document_frequency(_index(spark, sf))
 
 
 def bm25_strict_docs(spark, sf):
-    return _scores(search.ranked(search.bm25(search.strict_run(_topics(spark, sf)), *_index(spark, sf)), LIMIT))
+    return _scores(search.ranked(search.bm25(search.strict_run(_topics(spark, sf)), _index(spark, sf)), LIMIT))
 
 
 def bm25_or_docs(spark, sf):
-    return _scores(search.ranked(search.bm25(search.or_run(_topics(spark, sf)), *_index(spark, sf)), LIMIT))
+    return _scores(search.ranked(search.bm25(search.or_run(_topics(spark, sf)), _index(spark, sf)), LIMIT))
 
 
 def bm25_prefix_docs(spark, sf):
-    return _scores(search.ranked(search.bm25(search.prefix_run(_topics(spark, sf)), *_index(spark, sf)), LIMIT))
+    return _scores(search.ranked(search.bm25(search.prefix_run(_topics(spark, sf)), _index(spark, sf)), LIMIT))
 
 
 def bm25_glossary_docs(spark, sf):
-    return _scores(search.ranked(search.bm25(search.glossary_run(_topics(spark, sf), _glossary(spark)), *_index(spark, sf)), LIMIT))
+    return _scores(search.ranked(search.bm25(search.glossary_run(_topics(spark, sf), _glossary(spark)), _index(spark, sf)), LIMIT))
 
 
 def _passages(spark, sf):
@@ -91,38 +110,50 @@ def _talk_topics(spark, sf):
 
 
 def bm25_passages(spark, sf):
-    rows = _passages(spark, sf)
-    occ, lens = index.occurrences(rows, index.PASSAGE_WEIGHTS, "passage_id"), index.row_lengths(rows, index.PASSAGE_WEIGHTS, "passage_id")
-    return _scores(search.ranked(search.bm25(search.strict_run(_talk_topics(spark, sf)), occ, lens), LIMIT))
+    return _scores(search.ranked(search.bm25(search.strict_run(_talk_topics(spark, sf)), _passage_index(spark, sf)), LIMIT))
 
 
 def search_filtered(spark, sf):
-    scores = search.bm25(search.or_run(_topics(spark, sf)), *_index(spark, sf))
+    scores = search.bm25(search.or_run(_topics(spark, sf)), _index(spark, sf))
     return _scores(search.search_filtered(scores, _notes(spark, sf), LIMIT, tags=["EN"]))
 
 
 def _fused(spark, sf):
-    topics = _topics(spark, sf)
-    runs = search.strict_run(topics, 0).unionByName(search.or_run(topics, 2)).unionByName(search.prefix_run(topics, 3))
-    return search.rrf(search.ranked(search.bm25(runs, *_index(spark, sf)), 100), LIMIT)
+    runs = search.variants(_topics(spark, sf), _glossary(spark))
+    return search.rrf(search.ranked(search.bm25(runs, _index(spark, sf)), 100), LIMIT)
 
 
 def rrf_docs(spark, sf):
-    return _fused(spark, sf).select("query_id", "row_id", F.round("rrf_score", 6).alias("rrf_score"), "best_rank", "rank")
+    return _fused(spark, sf).select("query_id", "row_id", F.round("rrf_score", 6).alias("rrf_score"), "best_rank", F.round("score", 6).alias("score"), "rank")
+
+
+def rrf_passages(spark, sf):
+    runs = search.variants(_topics(spark, sf), _glossary(spark))
+    fused = search.rrf(search.ranked(search.bm25(runs, _passage_index(spark, sf)), 100), LIMIT)
+    return fused.select("query_id", "row_id", F.round("rrf_score", 6).alias("rrf_score"), "best_rank", F.round("score", 6).alias("score"), "rank")
 
 
 def signal_groups(spark, sf):
-    groups = search.signal_groups(search.strict_run(_topics(spark, sf)), *_index(spark, sf))
-    return groups.withColumn("idf", F.round("idf", 6))
+    groups = search.signal_groups(search.query_groups(_topics(spark, sf), _glossary(spark)), _index(spark, sf))
+    return groups.select("query_id", "group_id", F.array_join("members", " ").alias("members"), "df", "status", F.round("idf", 6).alias("idf"))
 
 
 def relaxed_search(spark, sf):
-    found = search.search(_topics(spark, sf), *_index(spark, sf), LIMIT, _glossary(spark))
+    found = search.search(_topics(spark, sf), _index(spark, sf), LIMIT, _glossary(spark))
+    return found.select("query_id", "stage", "row_id", F.round("score", 6).alias("score"), "rank")
+
+
+def search_passages(spark, sf):
+    found = search.search(_topics(spark, sf), _passage_index(spark, sf), LIMIT, _glossary(spark))
     return found.select("query_id", "stage", "row_id", F.round("score", 6).alias("score"), "rank")
 
 
 def abstain_diagnostics(spark, sf):
-    return search.diagnostics(_topics(spark, sf), *_index(spark, sf))
+    return search.diagnostics(_topics(spark, sf), _index(spark, sf), _glossary(spark))
+
+
+def diagnostics_passages(spark, sf):
+    return search.diagnostics(_topics(spark, sf), _passage_index(spark, sf), _glossary(spark))
 
 
 def grep_baseline(spark, sf):
@@ -130,8 +161,8 @@ def grep_baseline(spark, sf):
 
 
 def snippet_window(spark, sf):
-    top = search.ranked(search.bm25(search.or_run(_topics(spark, sf)), *_index(spark, sf)), 1)
-    return search.snippets(top, _notes(spark, sf), _topics(spark, sf))
+    top = search.ranked(search.bm25(search.or_run(_topics(spark, sf)), _index(spark, sf)), 1)
+    return search.best_snippets(top, _notes(spark, sf), _topics(spark, sf))
 
 
 def passage_split(spark, sf):
@@ -150,24 +181,26 @@ def needle_snippet(spark, sf):
     return passages.extract_snippet(_notes(spark, sf), "license version", 1)
 
 
+def _packets(found):
+    return found.select("query_id", "ranker", F.sha2("context", 256).alias("context_sha256"), "used_tokens", "source_count", "sources")
+
+
 def retrieve_docs_budget(spark, sf):
-    top = search.ranked(search.bm25(search.or_run(_topics(spark, sf)), *_index(spark, sf)), LIMIT)
-    packed = retrieve.packets(top, _notes(spark, sf), 800)
-    return packed.select("query_id", F.sha2("context", 256).alias("context_sha256"), "used_tokens", "sources")
+    return _packets(retrieve.retrieve(_topics(spark, sf), _index(spark, sf), _notes(spark, sf), LIMIT, 800, _glossary(spark)))
+
+
+def retrieve_docs_auto(spark, sf):
+    return _packets(retrieve.retrieve(_topics(spark, sf), _index(spark, sf), _notes(spark, sf), LIMIT, 800, _glossary(spark), "auto"))
 
 
 def retrieve_passages_budget(spark, sf):
-    rows = _passages(spark, sf)
-    occ, lens = index.occurrences(rows, index.PASSAGE_WEIGHTS, "passage_id"), index.row_lengths(rows, index.PASSAGE_WEIGHTS, "passage_id")
-    top = search.ranked(search.bm25(search.or_run(_talk_topics(spark, sf)), occ, lens), LIMIT)
-    sources = rows.withColumn("lines", F.concat_ws(":", "start_line", "end_line")).withColumnRenamed("text", "body")
-    packed = retrieve.packets(top, sources, 800, heading=True)
-    return packed.select("query_id", F.sha2("context", 256).alias("context_sha256"), "used_tokens", "sources")
+    rows = _passages(spark, sf).withColumn("lines", F.concat_ws(":", "start_line", "end_line")).withColumn("body", F.col("text"))
+    return _packets(retrieve.retrieve(_talk_topics(spark, sf), _passage_index(spark, sf), rows, LIMIT, 800, _glossary(spark), heading=True))
 
 
 def lexical_pairs(spark, sf):
-    notes, topics = _notes(spark, sf).select("path", X.words_of(F.col("body")).alias("tw")), _topics(spark, sf).select("query_id", X.words_of(F.col("text")).alias("qw"))
-    return notes.crossJoin(F.broadcast(topics)).select("query_id", "path", F.round(lexical_similarity(F.col("qw"), F.col("tw")), 4).alias("similarity")).where("similarity >= 0.55")
+    found = similar.lexical_pairs(_topics(spark, sf).select("query_id", "text"), _notes(spark, sf).select("path", F.col("body").alias("text")))
+    return found.select("query_id", "path", F.round("similarity", 4).alias("similarity")).where("similarity >= 0.55")
 
 
 def simhash_md5(spark, sf):
@@ -176,7 +209,7 @@ def simhash_md5(spark, sf):
 
 def find_similar(spark, sf):
     topics, notes = _topics(spark, sf).select("query_id", "text"), _notes(spark, sf)
-    found = search.search(topics.withColumnRenamed("text", "query"), *_index(spark, sf), LIMIT)
+    found = search.search(topics.withColumnRenamed("text", "query"), _index(spark, sf), LIMIT)
     hits = similar.hits_with_similarity(found.select("query_id", F.col("row_id").alias("path")), topics, notes)
     return similar.find_similar(topics, notes, hits, LIMIT)
 
@@ -224,7 +257,7 @@ def glossary_suggest(spark, sf):
 
 def explain_matches(spark, sf):
     topics = _topics(spark, sf)
-    top = search.ranked(search.bm25(search.or_run(topics), *_index(spark, sf)), 1)
+    top = search.ranked(search.bm25(search.or_run(topics), _index(spark, sf)), 1)
     return checks.explain_matches(top, search.query_words(topics), _notes(spark, sf))
 
 
@@ -272,12 +305,13 @@ def usage_evidence(spark, sf):
 
 
 def _qrels(spark, sf):
+    """Notes that hold a whole item are relevant to it."""
     items = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return _notes(spark, sf).join(F.broadcast(items), F.contains(F.col("body"), F.col("text"))).select("query_id", "path", F.lit(1).alias("relevance"))
+    return evaluate.holders(items, _notes(spark, sf)).select("query_id", "path", F.lit(1).alias("relevance"))
 
 
 def ir_metrics(spark, sf):
-    run = search.ranked(search.bm25(search.or_run(_topics(spark, sf)), *_index(spark, sf)), LIMIT).withColumnRenamed("row_id", "path")
+    run = search.ranked(search.bm25(search.or_run(_topics(spark, sf)), _index(spark, sf)), LIMIT).withColumnRenamed("row_id", "path")
     return evaluate.per_topic(run, _qrels(spark, sf), _topics(spark, sf), LIMIT)
 
 
@@ -287,14 +321,14 @@ def slice_metrics(spark, sf):
 
 
 def golden_prefix_compare(spark, sf):
-    occ, lens = _index(spark, sf)
-    run = lambda phrases, k: search.ranked(search.bm25(phrases, occ, lens), k).withColumnRenamed("row_id", "path")
+    held = _index(spark, sf)
+    run = lambda phrases, k: search.ranked(search.bm25(phrases, held), k).withColumnRenamed("row_id", "path")
     return evaluate.golden_prefix(run(search.or_run(_topics(spark, sf)), LIMIT), run(search.strict_run(_topics(spark, sf)), 1))
 
 
 def _contexts(spark, sf):
     """The best note of each topic that has any: (query_id, context)."""
-    top = search.ranked(search.bm25(search.or_run(_topics(spark, sf)), *_index(spark, sf)), 1)
+    top = search.ranked(search.bm25(search.or_run(_topics(spark, sf)), _index(spark, sf)), 1)
     return top.join(_notes(spark, sf).select(F.col("path").alias("row_id"), F.col("body").alias("context")), "row_id").select("query_id", "context")
 
 
@@ -339,8 +373,8 @@ def writeback_summary(spark, sf):
 
 
 NAMES = (
-    token_counts, safe_prefix_stems, slugs, doc_frequency, bm25_strict_docs, bm25_or_docs, bm25_prefix_docs, bm25_glossary_docs, bm25_passages, search_filtered, rrf_docs, signal_groups, relaxed_search, abstain_diagnostics,
-    grep_baseline, snippet_window, passage_split, section_extract, line_range, needle_snippet, retrieve_docs_budget, retrieve_passages_budget, lexical_pairs, simhash_md5, find_similar, secret_findings, redacted, schema_validate, vault_stats, type_counts, tag_counts,
+    token_counts, safe_prefix_stems, slugs, doc_frequency, bm25_strict_docs, bm25_or_docs, bm25_prefix_docs, bm25_glossary_docs, bm25_passages, search_filtered, rrf_docs, rrf_passages, signal_groups, relaxed_search, search_passages, abstain_diagnostics, diagnostics_passages,
+    grep_baseline, snippet_window, passage_split, section_extract, line_range, needle_snippet, retrieve_docs_budget, retrieve_docs_auto, retrieve_passages_budget, lexical_pairs, simhash_md5, find_similar, secret_findings, redacted, schema_validate, vault_stats, type_counts, tag_counts,
     glossary_expand, glossary_lookup, glossary_validate, glossary_suggest, explain_matches, sha256_signatures, manifest_diff, index_staleness, create_outcomes, append_outcomes, usage_summary, usage_by_command, usage_top_documents,
     usage_evidence, ir_metrics, slice_metrics, golden_prefix_compare, agent_sufficiency, context_reduction, latency_percentiles, metric_deltas, writeback_decisions, writeback_summary,
 )

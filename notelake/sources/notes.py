@@ -2,79 +2,120 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions.text import join_text
 
 #: File names that are never notes, and folders that hold none.
-RESERVED = ("AGENTS.md", "CLAUDE.md", "GEMINI.md", "README.md", "SCHEMA.md", "glossary.md", "index.md", "log.md", "CHANGELOG.md", "CONTRIBUTING.md", "LICENSE.md")
+RESERVED = ("index.md", "log.md", "README.md", "AGENTS.md", "CLAUDE.md", "CODEX.md", "copilot-instructions.md", "glossary.md", "HERMES.md", "OPENCODE.md", "SCHEMA.md")
 SKIPPED_FOLDERS = ("_templates",)
+#: The folder inside a vault that holds its settings, logs and reports.
+SETTINGS = ".notelake"
 LIST_KEYS = ("tags", "aliases", "systems", "signals")
 
 
-def is_note(rel: Column, excluded: list[str] | None = None) -> Column:
+def _matching(pattern: str) -> Callable[[Column], Column]:
+    return lambda part: part.rlike(pattern)
+
+
+def is_note(rel: Column, excluded: list[str] | None = None, settings: str = SETTINGS) -> Column:
     """Whether a path inside a folder is a note's. An exclusion is a path, a path's head, one of its
     parts, or a glob over the whole path or a part."""
     parts = F.split(rel, "/")
-    ok = ~F.element_at(parts, -1).isin(*RESERVED) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED_FOLDERS))) & ~rel.rlike(r"(^|/)\.")
+    ok = ~F.element_at(parts, -1).isin(*RESERVED) & ~F.arrays_overlap(parts, F.array(*map(F.lit, [*SKIPPED_FOLDERS, settings])))
     for rule in excluded or []:
         glob = "^" + "".join({"*": ".*", "?": "."}.get(c, "\\" + c if not c.isalnum() and c not in "_/-" else c) for c in rule) + "$"
-        ok = ok & ~((rel == rule) | F.startswith(rel, F.lit(rule.rstrip("/") + "/")) | F.array_contains(parts, rule) | rel.rlike(glob) | F.exists(parts, lambda p, g=glob: p.rlike(g)))
+        ok = ok & ~((rel == rule) | F.startswith(rel, F.lit(rule.rstrip("/") + "/")) | F.array_contains(parts, rule) | rel.rlike(glob) | F.exists(parts, _matching(glob)))
     return ok
 
 
 def read_folder(spark: SparkSession, root: str, excluded: list[str] | None = None) -> DataFrame:
-    """(path, text, sha256) of every Markdown note below a folder."""
+    """(path, text, sha256) of every Markdown note below a folder. Spark's readers leave out files and
+    folders whose names begin with a dot or an underscore."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
-    rel = F.element_at(F.split(F.col("path"), F.lit(root.rstrip("/").rsplit("/", 1)[-1] + "/"), 2), -1)
-    return files.select(rel.alias("path"), F.decode("content", "utf-8").alias("text"), F.sha2("content", 256).alias("sha256")).where(is_note(F.col("path"), excluded))
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = at.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(at).toString().rstrip("/") + "/"
+    # The file's location begins with the folder's, both as URIs; a URI may leave out an empty host.
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9+.-]+):/+", "$1:/")
+    placed = files.withColumn("tail", F.substring(plain(F.col("path")), F.char_length(plain(F.lit(base))) + 1, F.char_length("path")))
+    return placed.select(F.col("tail").alias("path"), F.decode("content", "utf-8").alias("text"), F.sha2("content", 256).alias("sha256")).where(is_note(F.col("path"), excluded))
+
+
+_ENTRY = "struct<key:string,list:boolean,items:array<string>>"
+
+
+def _stripped(value: Column) -> Column:
+    """Without white space, then double quotes, then single quotes at both ends."""
+    for part in (r"^\s+|\s+$", '^"+|"+$', "^'+|'+$"):
+        value = F.regexp_replace(value, part, "")
+    return value
 
 
 def parse_frontmatter(notes: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds frontmatter (a map of key to the list of its values), scalars (keys that aren't lists),
-    body and error; a note that can't be parsed has an error and neither map nor body.
+    body, body_start_line and error; a note that can't be parsed has an error and neither map nor body.
 
-    The head lies between two ``---`` lines. A line is ``key: value``, ``key: [a, b]``, or an
-    indented ``- item`` under a key with an empty value.
+    The head lies between two ``---`` lines. A line is ``key: value``, ``key: [a, b]``, or an item
+    behind two spaces and a dash under a key with an empty value. Of a key that is given twice the
+    last one counts; the error is that of the first bad line. Null texts count as empty.
     """
-    lines = F.split(F.col(text_col), "\n")
-    noted = notes.withColumn("__lines", lines).withColumn("__end", F.array_position(F.slice("__lines", F.lit(2), F.greatest(F.size("__lines"), F.lit(1))), "---"))
-    head = F.filter(F.slice("__lines", F.lit(2), F.greatest(F.col("__end") - 1, F.lit(0)).cast("int")), lambda x: F.trim(x) != "")
-    item = lambda x: F.regexp_replace(F.trim(x), r"""^["']|["']$""", "")
-    inline = lambda v: F.filter(F.transform(F.split(F.regexp_replace(v, r"^\[|\]$", ""), ","), item), lambda x: x != "")
-    # Each line folds into the entries so far: a key opens an entry, an item joins the last one.
-    empty = F.expr("cast(array() as array<struct<key:string,list:boolean,items:array<string>>>)")
-
-    def step(done: Column, line: Column) -> Column:
-        value = F.trim(F.regexp_replace(line, r"^[^:]*:", ""))
-        is_list = (value == "") | value.rlike(r"^\[.*\]$")
-        opened = F.struct(F.trim(F.substring_index(line, ":", 1)).alias("key"), is_list.alias("list"), F.when(value == "", F.expr("cast(array() as array<string>)")).when(is_list, inline(value)).otherwise(F.array(item(value))).alias("items"))
-        last = F.element_at(done, -1)
-        more = F.struct(last["key"].alias("key"), last["list"].alias("list"), F.concat(last["items"], F.array(item(F.regexp_replace(line, r"^\s*-\s*", "")))).alias("items"))
-        return F.when(line.rlike(r"^\s+-\s+"), F.when(F.size(done) > 0, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(more))).otherwise(done)).otherwise(F.concat(done, F.array(opened)))
-
-    bad = F.exists(F.col("__head"), lambda x: ~x.rlike(r"^\s+-\s+") & ~x.rlike(r"^[^\s:][^:]*:"))
-    error = (
-        F.when(F.try_element_at("__lines", F.lit(1)) != "---", "missing frontmatter block")
-        .when(F.col("__end") == 0, "unterminated frontmatter block")
-        .when(F.exists(F.col("__head"), lambda x: x.rlike(r"^\s+[^\s-]")), "unsupported indented line")
-        .when(F.exists(F.col("__head"), lambda x: x.rlike(r"^\s*:")), "empty key")
-        .when(bad, "invalid line")
-    )
-    folded = noted.withColumn("__head", head).withColumn("error", error)
-    folded = folded.withColumn("__entries", F.when(F.col("error").isNull(), F.aggregate("__head", empty, step)))
-    body = F.array_join(F.slice("__lines", (F.col("__end") + 2).cast("int"), F.size("__lines")), "\n")
+    lines_col, end_col, state_col = (_fresh(notes, c) for c in ("lines", "end", "state"))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    noted = notes.withColumn(lines_col, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+    lines, end = F.col(lines_col), F.col(end_col)
+    marks = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), bare)
+    noted = noted.withColumn(end_col, F.array_position(marks, "---"))
+    head = F.slice(lines, F.lit(2), F.greatest(end - 1, F.lit(0)).cast("int"))
+    none = F.expr(f"cast(array() as array<{_ENTRY}>)")
+    empty = F.expr("cast(array() as array<string>)")
+    state = lambda error, key, entries: F.struct(error.cast("string").alias("error"), key.cast("string").alias("key"), entries.alias("entries"))
+    nothing = F.lit(None).cast("string")
+
+    def step(st: Column, raw: Column) -> Column:
+        value = bare(F.regexp_replace(raw, r"^[^:]*:", ""))
+        key = bare(F.substring_index(raw, ":", 1))
+        inner = F.regexp_replace(bare(F.regexp_replace(value, r"^\[|\]$", "")), r"^\s+$", "")
+        listed = F.when(inner == "", empty).otherwise(F.transform(F.split(inner, ","), _stripped))
+        bracket = value.rlike(r"^\[[\s\S]*\]$")
+        entry = F.struct(key.alias("key"), ((value == "") | bracket).alias("list"), F.when(value == "", empty).when(bracket, listed).otherwise(F.array(_stripped(value))).alias("items"))
+        added = F.transform(st["entries"], lambda e: F.struct(e["key"].alias("key"), e["list"].alias("list"), F.when(e["key"] == st["key"], F.concat(e["items"], F.array(_stripped(F.substring(raw, F.lit(5), F.char_length(raw)))))).otherwise(e["items"]).alias("items")))
+        opened = F.concat(F.filter(st["entries"], lambda e: e["key"] != key), F.array(entry))
+        shown = F.regexp_replace(raw, r"\r$", "")
+        return (
+            F.when(st["error"].isNotNull() | (bare(raw) == ""), st)
+            .when(raw.startswith("  - ") & st["key"].isNotNull(), state(nothing, st["key"], added))
+            .when(raw.rlike(r"^\s"), state(F.concat(F.lit("unsupported indented frontmatter line: "), shown), nothing, st["entries"]))
+            .when(~raw.contains(":"), state(F.concat(F.lit("invalid frontmatter line: "), shown), nothing, st["entries"]))
+            .when(key == "", state(F.lit("empty frontmatter key"), nothing, st["entries"]))
+            .otherwise(state(nothing, F.when(value == "", key), opened))
+        )
+
+    folded = noted.withColumn(state_col, F.aggregate(head, state(nothing, nothing, none), step))
+    error = F.when(bare(F.try_element_at(lines, F.lit(1))) != "---", "missing YAML frontmatter block").when(end == 0, "unterminated YAML frontmatter block").otherwise(F.col(state_col)["error"])
+    body = F.array_join(F.slice(lines, (end + 2).cast("int"), F.size(lines)), "\n")
+    blank = bare(F.try_element_at(lines, (end + 2).cast("int"))) == ""
+    entries = F.when(error.isNull(), F.col(state_col)["entries"])
     return folded.select(
         *notes.columns,
-        F.map_from_entries(F.transform("__entries", lambda e: F.struct(e["key"], e["items"]))).alias("frontmatter"),
-        F.transform(F.filter("__entries", lambda e: ~e["list"]), lambda e: e["key"]).alias("scalars"),
-        F.when(F.col("error").isNull(), F.regexp_replace(body, "^\n", "")).alias("body"),
-        (F.col("__end") + 2 + F.when(F.try_element_at("__lines", (F.col("__end") + 2).cast("int")) == "", 1).otherwise(0)).cast("int").alias("body_start_line"),
-        "error",
+        F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["items"]))).alias("frontmatter"),
+        F.transform(F.filter(entries, lambda e: ~e["list"]), lambda e: e["key"]).alias("scalars"),
+        F.when(error.isNull(), F.regexp_replace(body, "^\r?\n", "")).alias("body"),
+        (end + 2 + F.when(blank, 1).otherwise(0)).cast("int").alias("body_start_line"),
+        error.alias("error"),
     )
 
 
+def _fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def index_rows(parsed: DataFrame) -> DataFrame:
     """The index's ten text columns of parsed notes."""
     flat = lambda k: F.coalesce(F.array_join(F.col("frontmatter")[k], " "), F.lit("")).alias(k)

@@ -1,6 +1,6 @@
 import math
 
-from notelake.operators import evaluate, glossary, index, passages, retrieve, search
+from notelake.operators import evaluate, glossary, index, passages, retrieve, search, similar
 from notelake.operators import notes as changes
 from notelake.sources.notes import index_rows, parse_frontmatter, read_folder
 
@@ -13,7 +13,7 @@ def docs(spark, *bodies):
 
 def indexed(rows):
     weights = {"body": 1.0}
-    return index.occurrences(rows, weights), index.row_lengths(rows, weights)
+    return index.built(rows, weights)
 
 
 def queries(spark, *texts):
@@ -22,7 +22,7 @@ def queries(spark, *texts):
 
 def test_bm25_is_the_formula(spark):
     rows = docs(spark, "alpha beta beta", "alpha", "gamma", "delta epsilon")
-    got = {r["row_id"]: r["score"] for r in search.bm25(search.or_run(queries(spark, "beta")), *indexed(rows)).collect()}
+    got = {r["row_id"]: r["score"] for r in search.bm25(search.or_run(queries(spark, "beta")), indexed(rows)).collect()}
     mean = 7 / 4
     want = -math.log((4 - 1 + 0.5) / 1.5) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / mean))
     assert got.keys() == {"0.md"} and math.isclose(got["0.md"], want, rel_tol=1e-12)
@@ -30,37 +30,42 @@ def test_bm25_is_the_formula(spark):
 
 def test_underscore_token_is_a_phrase(spark):
     rows = docs(spark, "foo bar", "bar foo", "foo_bar baz")
-    got = {r["row_id"] for r in search.bm25(search.strict_run(queries(spark, "foo_bar")), *indexed(rows)).collect()}
+    got = {r["row_id"] for r in search.bm25(search.strict_run(queries(spark, "foo_bar")), indexed(rows)).collect()}
     assert got == {"0.md", "2.md"}
 
 
 def test_search_relaxes_and_abstains(spark):
     rows = docs(spark, "rotate credentials now", "oauth flow", "something else", "the last note")
-    out = search.search(queries(spark, "credentials xyzzy", "the", "credentials oauth"), *indexed(rows), 3).collect()
+    out = search.search(queries(spark, "credentials xyzzy", "the", "credentials oauth"), indexed(rows), 3).collect()
     assert {(r["query_id"], r["stage"], r["row_id"]) for r in out} == {(0, 3, "0.md")}
 
 
 def test_rrf_ties_go_to_the_first_seen(spark):
-    runs = spark.createDataFrame([(1, 0, "b", 1), (1, 0, "a", 2), (1, 1, "a", 1), (1, 1, "b", 2)], "query_id int, run int, row_id string, rank int")
-    assert [r["row_id"] for r in search.rrf(runs, 5).orderBy("rank").collect()] == ["b", "a"]
+    runs = spark.createDataFrame([(1, 0, "b", 1, -2.0), (1, 0, "a", 2, -1.0), (1, 1, "a", 1, -3.0), (1, 1, "b", 2, -2.5)], "query_id int, run int, row_id string, rank int, score double")
+    # b's second entry replaces the first by its score, a's by its rank.
+    assert [(r["row_id"], r["score"]) for r in search.rrf(runs, 5).orderBy("rank").collect()] == [("b", -2.5), ("a", -3.0)]
 
 
 def test_glossary_widens(spark):
     terms = spark.createDataFrame([("Kubernetes", ["k8s"], "approved")], "title string, aliases array<string>, status string")
     rows = docs(spark, "kubernetes cluster", "k8s", "other")
-    found = search.bm25(search.glossary_run(queries(spark, "k8s", "other"), terms), *indexed(rows)).collect()
+    found = search.bm25(search.glossary_run(queries(spark, "k8s", "other"), terms), indexed(rows)).collect()
     assert {(r["query_id"], r["row_id"]) for r in found} == {(0, "0.md"), (0, "1.md")}
     assert [r["title"] for r in glossary.lookup(queries(spark, "my k8s"), terms).collect()] == ["Kubernetes"]
 
 
 def test_frontmatter_and_passages(spark, tmp_path):
-    (tmp_path / "v").mkdir()
-    (tmp_path / "v" / "n.md").write_text(NOTE)
-    (tmp_path / "v" / "bad.md").write_text("no head")
-    (tmp_path / "v" / "README.md").write_text(NOTE)
-    parsed = parse_frontmatter(read_folder(spark, str(tmp_path / "v")))
+    # A part of the path that ends like the vault's name.
+    vault = tmp_path / "srv" / "v"
+    (vault / "v" / "v").mkdir(parents=True)
+    (vault / "_templates").mkdir()
+    for name in ("n.md", "README.md", "_templates/t.md", "v/v/deep file.md", "GEMINI.md", "CODEX.md"):
+        (vault / name).write_text(NOTE)
+    (vault / "bad.md").write_text("no head")
+    parsed = parse_frontmatter(read_folder(spark, str(vault)))
     by = {r["path"]: r for r in parsed.collect()}
-    assert by.keys() == {"n.md", "bad.md"} and by["bad.md"]["error"] == "missing frontmatter block"
+    assert by.keys() == {"n.md", "bad.md", "v/v/deep file.md", "GEMINI.md"} and by["bad.md"]["error"] == "missing YAML frontmatter block"
+    parsed = parse_frontmatter(read_folder(spark, str(vault), ["v", "GEMINI.md"]))
     assert by["n.md"]["frontmatter"]["tags"] == ["a", "b"] and by["n.md"]["frontmatter"]["aliases"] == ["x y"]
     assert by["n.md"]["body_start_line"] == 11
     assert index_rows(parsed).first()["title"] == "Deploy"
@@ -68,6 +73,98 @@ def test_frontmatter_and_passages(spark, tmp_path):
     assert [(r["heading"], r["start_line"], r["end_line"], r["text"]) for r in parts] == [("One", 11, 13, "text a"), ("Two", 14, 15, "text b")]
 
 
+def test_frontmatter_lines(spark):
+    heads = {
+        "twice": "title: A\ntags:\n  - x\ntitle: 'B'\ntags: [\"p\", q ]",
+        "indent": "title: A\n   deep: b",
+        "item": "title: A\n  - x",
+        "colon": "title A\n  - x",
+        "key": " \n: v",
+        "empty": "tags: []\naliases:\n",
+    }
+    rows = spark.createDataFrame([(k, f"---\n{h}\n--- \nbody") for k, h in heads.items()] + [("open", "---\na: b"), ("null", None), ("lines", "x")], "path string, text string").withColumnRenamed("path", "lines")
+    got = {r["lines"]: r for r in parse_frontmatter(rows).collect()}
+    assert got["twice"]["frontmatter"] == {"title": ["B"], "tags": ["p", "q"]} and got["twice"]["scalars"] == ["title"] and got["twice"]["body"] == "body"
+    assert got["empty"]["frontmatter"] == {"tags": [], "aliases": []}
+    assert {k: got[k]["error"] for k in ("indent", "item", "colon", "key", "open", "null")} == {
+        "indent": "unsupported indented frontmatter line:    deep: b",
+        "item": "unsupported indented frontmatter line:   - x",
+        "colon": "invalid frontmatter line: title A",
+        "key": "empty frontmatter key",
+        "open": "unterminated YAML frontmatter block",
+        "null": "missing YAML frontmatter block",
+    }
+
+
+def test_search_finds_by_glossary_alone(spark):
+    terms = spark.createDataFrame([("Kubernetes", ["k8s"], "approved")], "title string, aliases array<string>, status string")
+    held = indexed(docs(spark, "kubernetes cluster", "another note", "the end"))
+    asks = queries(spark, "k8s", "k8s xyzzy", "the k8s", "kubernetes k8s")
+    got = {(r["query_id"], r["stage"], r["row_id"]) for r in search.search(asks, held, 3, terms).collect()}
+    assert got == {(0, 1, "0.md"), (1, 3, "0.md"), (2, 3, "0.md"), (3, 1, "0.md")} or got == {(0, 1, "0.md"), (1, 3, "0.md"), (3, 1, "0.md"), (2, 3, "0.md")}
+    told = {r["query_id"]: r for r in search.diagnostics(asks, held, terms).collect()}
+    assert told[0]["reason"] == "" and told[0]["relaxed_query"] == '("k8s" OR "kubernetes")' and told[0]["relaxation_applied"]
+    assert told[1]["zero_hit_terms"] == "xyzzy" and told[1]["strict_query"] == '"k8s" "xyzzy"'
+
+
+def test_diagnostics_know_two_reasons(spark):
+    held = indexed(docs(spark, "rotate credentials now", "oauth flow", "something else", "the last note"))
+    got = {r["query_id"]: tuple(r)[1:] for r in search.diagnostics(queries(spark, "credentials xyzzy", "the", "credentials oauth", "rotate now", "", "xyzzy plugh credentials"), held).collect()}
+    assert got == {
+        0: ('"credentials" "xyzzy"', "xyzzy", '"credentials"', True, ""),
+        1: ('"the"', "", "", False, "no_signal"),
+        2: ('"credentials" "oauth"', "", "", False, "no_signal"),
+        3: ('"rotate" "now"', "", "", False, ""),
+        4: ("", "", "", False, ""),
+        5: ('"xyzzy" "plugh" "credentials"', "xyzzy plugh", '"credentials"', False, "no_signal"),
+    }
+
+
+def test_search_by_fusion_filters_and_bad_arguments(spark):
+    rows = spark.createDataFrame([("a.md", "alpha beta", "t", "x Y", "s"), ("b.md", "alpha", "u", "x", "s"), ("c.md", "alphas", "t", "", "")], "path string, body string, type string, tags string, systems string")
+    held = index.built(rows, {"body": 1.0})
+    found = search.search(queries(spark, "alpha beta"), held, 3, ranker="rrf", rows=rows, tags=["X"], type_="T").collect()
+    assert [(r["row_id"], r["rank"], r["stage"]) for r in found] == [("a.md", 1, 0)]
+    for bad in ({"limit": 0}, {"limit": 1, "ranker": "best"}, {"limit": 1, "tags": ["x"]}):
+        try:
+            search.search(queries(spark, "alpha"), held, **bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+
+
+def test_stored_index_follows_its_rows(spark, tmp_path):
+    weights, folder = {"body": 1.0}, str(tmp_path / "ix")
+    rows = docs(spark, "alpha beta", "beta_gamma", "delta")
+    assert index.update(rows, weights, folder)["version"] == 0 and index.update(rows, weights, folder) == {"version": 0, "same": 3}
+    later = spark.createDataFrame([("0.md", "alpha beta"), ("1.md", "alpha alpha"), ("3.md", "beta beta gamma")], "path string, body string")
+    assert index.update(later, weights, folder) == {"version": 1, "same": 1, "updated": 1, "removed": 1, "added": 1}
+    asks = queries(spark, "alpha", "beta_gamma", "delta", "betas")
+    run = search.or_run(asks).unionByName(search.prefix_run(queries(spark, "gammas", "betating")))
+    fresh = {(r["query_id"], r["run"], r["row_id"], round(r["score"], 9)) for r in search.bm25(run, index.built(later, weights)).collect()}
+    kept = {(r["query_id"], r["run"], r["row_id"], round(r["score"], 9)) for r in search.bm25(run, index.repaired(later, weights, folder)).collect()}
+    assert fresh == kept and {(q, n) for q, _, n, _ in kept} >= {(0, "0.md"), (0, "1.md"), (1, "3.md"), (0, "3.md")}
+    assert {(r["term"], r["df"]) for r in index.document_frequency(index.read(spark, folder)).collect()} == {("alpha", 2), ("beta", 2), ("gamma", 1)}
+
+
+def test_lexical_pairs_and_holders_match_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(40)]
+    texts = [(f"{k}.md", " ".join(rng.choices(vocabulary, k=rng.randint(1, 30)))) for k in range(60)]
+    asks = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(1, 12)))) for k in range(20)] + [(90, ""), (91, texts[5][1]), (92, texts[7][1].split()[0])]
+    q, t = spark.createDataFrame(asks, "query_id long, text string"), spark.createDataFrame(texts, "path string, text string")
+    want = set()
+    for i, a in asks:
+        for path, b in texts:
+            if a and round(len(set(a.split()) & set(b.split())) / len(set(a.split())), 4) >= 0.55:
+                want.add((i, path))
+    assert {(r["query_id"], r["path"]) for r in similar.lexical_pairs(q, t).collect()} == want
+    held = {(i, path) for i, a in asks for path, b in texts if a in b}
+    assert {(r["query_id"], r["path"]) for r in evaluate.holders(q, t.withColumnRenamed("text", "body")).collect()} == held
+
+
 def test_manifest_diff(spark):
     old, new = index.signatures(docs(spark, "a", "b")), index.signatures(docs(spark, "a", "c", "d"))
     assert {(r["path"], r["change"]) for r in index.manifest_diff(old, new).collect()} == {("0.md", "same"), ("1.md", "updated"), ("2.md", "added")}
@@ -75,7 +172,7 @@ def test_manifest_diff(spark):
 
 def test_packets_keep_the_budget(spark):
     rows = spark.createDataFrame([("a.md", "t", "A", "x", "y" * 500), ("b.md", "t", "B", "x", "z")], "path string, type string, title string, tags string, body string")
-    results = spark.createDataFrame([(1, "a.md", 1), (1, "b.md", 2)], "query_id int, row_id string, rank int")
+    results = spark.createDataFrame([(1, "a.md", "s", 1), (1, "b.md", "s", 2)], "query_id int, row_id string, snippet string, rank int")
     full = retrieve.packets(results, rows, 50).first()
     assert full["used_tokens"] <= 50 and full["sources"] == "a.md" and full["context"].endswith("[truncated]\n")
     assert retrieve.packets(results, rows, 500).first()["sources"] == "a.md b.md"
@@ -93,6 +190,20 @@ def test_append_outcomes(spark):
     rows = docs(spark, "have this")
     asks = spark.createDataFrame([("0.md", "have", None), ("0.md", "new", None), ("0.md", "new", "0"), ("9.md", "x", None)], "path string, addition string, expected_sha256 string")
     assert [r["outcome"] for r in changes.append_notes(asks, rows).orderBy("path", "addition", "expected_sha256").collect()] == ["noop", "update", "conflict", "missing"]
+    # The hash is looked at first, and an empty addition is no addition.
+    more = spark.createDataFrame([("0.md", "have", "0"), ("0.md", "AKIA" + "A" * 16, "0"), ("0.md", " \n", None), ("0.md", None, "")], "path string, addition string, expected_sha256 string")
+    assert sorted(r["outcome"] for r in changes.append_notes(more, rows).collect()) == ["conflict", "conflict", "empty", "empty"]
+
+
+def test_retrieve_asks_again_by_fusion(spark):
+    rows = spark.createDataFrame([("a.md", "t", "A", "x y", "rotate credentials", ""), ("b.md", "t", "B", "", "oauth flow", "flow")], "path string, type string, title string, tags string, body string, content string")
+    held = index.built(rows, {"body": 1.0})
+    asks = queries(spark, "rotate credentials", "credentials oauth", "nothing here")
+    plain = {r["query_id"]: r for r in retrieve.retrieve(asks, held, rows).collect()}
+    auto = {r["query_id"]: r for r in retrieve.retrieve(asks, held, rows, ranker="auto").collect()}
+    assert plain[0]["context"] == "path: a.md\ntitle: A\ntype: t\ntags: x, y\nsnippet: [rotate] [credentials]\ncontent:\nrotate credentials" == auto[0]["context"]
+    assert [(plain[k]["sources"], plain[k]["ranker"]) for k in range(3)] == [("a.md", "bm25"), ("", "bm25"), ("", "bm25")]
+    assert [(auto[k]["sources"], auto[k]["ranker"]) for k in range(3)] == [("a.md", "bm25"), ("a.md b.md", "rrf"), ("", "rrf")]
 
 
 def test_sufficiency_ignores_case_and_counts_topics_without_facts(spark):
