@@ -80,12 +80,16 @@ def _read(segment: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """The recovered turns, an array of (role, text)."""
-    return F.transform(segments(formatted), lambda s: F.struct(_read(s)["role"].alias("role"), _read(s)["text"].alias("text")))
+    """The recovered turns, an array of (role, text, head, body): see _read()."""
+    return F.transform(segments(formatted), _read)
 
 
-def _round_trips(turns: Column, formatted: Column) -> Column:
-    return F.coalesce(parse(formatted) == turns, F.lit(False))
+def _turns(read: Column) -> Column:
+    return F.transform(read, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+
+
+def _same(read: Column, turns: Column) -> Column:
+    return F.coalesce(_turns(read) == turns, F.lit(False))
 
 
 def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -98,7 +102,8 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
 
     Null texts and roles count as empty; a null turn number comes first; rows with a null
     conv_id make a conversation of their own; repeated rows are turns each; other columns are
-    ignored; no rows give no rows. A conversation is one value, so its turns meet in one row.
+    ignored; no rows give no rows. A conversation is one value, so its turns meet in one row, and a
+    text of any length is rendered whole.
     """
     chosen = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).alias("t"))
     grouped = chosen.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
@@ -106,26 +111,36 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     numbered = F.concat(F.filter("t", lambda t: t["turn"].isNull()), F.filter("t", lambda t: t["turn"].isNotNull()))
     turns = grouped.select("conv_id", F.transform(numbered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
-    none, all_ = F.transform("turns", lambda t: F.lit(False)), F.transform("turns", lambda t: F.lit(True))
-    conflicting = F.transform("turns", lambda t: ~_round_trips(F.array(t), render(F.array(t), F.array(F.lit(False)))))
-    plain = turns.withColumn("f0", render(F.col("turns"), none))
-    tried = plain.withColumn("f1", F.when(_round_trips(F.col("turns"), F.col("f0")), F.col("f0")).otherwise(render(F.col("turns"), conflicting)))
-    final = tried.withColumn("formatted", F.when(_round_trips(F.col("turns"), F.col("f1")), F.col("f1")).otherwise(render(F.col("turns"), all_)))
-    read = final.select("conv_id", "turns", "formatted", F.transform(segments(F.col("formatted")), _read).alias("read"))
+    flags = lambda value: F.transform("turns", lambda t: F.lit(value))
+    conflicting = F.transform("turns", lambda t: ~_same(parse(render(F.array(t), F.array(F.lit(False)))), F.array(t)))
+    # Each rendering is parsed once; only conversations that differ go on to the next.
+    tried = turns.withColumn("f0", render(F.col("turns"), flags(False))).withColumn("p0", parse(F.col("f0"))).withColumn("ok0", _same(F.col("p0"), F.col("turns")))
+    tried = tried.withColumn("f1", F.when(~F.col("ok0"), render(F.col("turns"), conflicting))).withColumn("p1", F.when(~F.col("ok0"), parse(F.col("f1"))))
+    tried = tried.withColumn("ok1", F.col("ok0") | _same(F.col("p1"), F.col("turns")))
+    tried = tried.withColumn("f2", F.when(~F.col("ok1"), render(F.col("turns"), flags(True)))).withColumn("p2", F.when(~F.col("ok1"), parse(F.col("f2"))))
+    chosen_of = lambda k: F.when(F.col("ok0"), F.col(f"{k}0")).when(F.col("ok1"), F.col(f"{k}1")).otherwise(F.col(f"{k}2"))
+    read = tried.select("conv_id", "turns", chosen_of("f").alias("formatted"), chosen_of("p").alias("read"))
     mask = F.transform("read", lambda t: F.struct(t["head"].alias("skip"), F.when(t["role"] == "assistant", t["body"]).otherwise(0).alias("take"), (F.when(t["role"] == "assistant", 0).otherwise(t["body"]) + 4).alias("then_skip")))
-    return read.select("conv_id", "turns", "formatted", mask.alias("loss_mask"), F.transform("read", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("recovered"))
+    return read.select("conv_id", "turns", "formatted", mask.alias("loss_mask"), _turns(F.col("read")).alias("recovered"))
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """What a loss mask takes from a rendering, unescaped: an array of texts. A taken stretch is
+    escaped if its turn's head says so."""
+    start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<string>)").alias("texts"))
+
+    def step(done: Column, m: Column) -> Column:
+        text = F.substring(formatted, done["at"] + m["skip"], m["take"])
+        flag = F.substring(formatted, done["at"], F.lit(4)) == "<s>\\"
+        own = F.array(F.when(flag, unescape(text)).otherwise(text))
+        return F.struct((done["at"] + m["skip"] + m["take"] + m["then_skip"]).alias("at"), F.when(m["take"] > 0, F.concat(done["texts"], own)).otherwise(done["texts"]).alias("texts"))
+
+    return F.aggregate(mask, start, step)["texts"]
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from what the
-    parser recovered of each formatted conversation."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars): the turns' digest
+    from what the parser recovered, the loss's from what the mask takes of the rendering."""
     whole = F.array_join(F.transform("recovered", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("recovered", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return formatted.select(
-        "conv_id",
-        F.size("recovered").cast("long").alias("n_turns"),
-        F.sha2(whole, 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
-        F.char_length("formatted").cast("long").alias("formatted_chars"),
-    )
+    read = formatted.select("conv_id", "formatted", F.size("recovered").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.array_join(under_mask(F.col("formatted"), F.col("loss_mask")), "").alias("loss"))
+    return read.select("conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
