@@ -8,8 +8,8 @@ value; by the pigeonhole principle that finds every item within RADIUS = 19 bits
 then verified by exact similarity: the weight of the item's shingles that the window has, over
 the item's weight.
 
-The benchmark is small and is sent to all tasks in groups of at most ITEMS_AT_ONCE items; a larger
-benchmark takes more passes over the documents.
+Weights are counted over the whole benchmark. It is sent to all tasks in groups of at most
+ITEMS_AT_ONCE items; a larger benchmark takes more passes over the documents, with the same result.
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import Words, mixed, record, row_shingles, session_of, slices, small_or_plain, stored
+from notelake.llm.common import Words, fresh, mixed, record, row_shingles, session_of, slices, small_or_plain, stored
 
 WIDTH = 5
 THRESHOLD = 0.8
 RADIUS = 19
 ITEMS_AT_ONCE = 2000
 _REACH = RADIUS // 4
+#: Places of a text whose votes are summed at once.
+_STRETCH = 8192
 
 _SCHEMA = "doc_id long, item_id long, similarity double, distance int, first_word long, n_words long"
 
@@ -42,7 +44,9 @@ def simhash(hashes: np.ndarray, weights: np.ndarray) -> int:
 class Items:
     """The index of a group of benchmark items."""
 
-    def __init__(self, rows: list[tuple[int, str]], width: int):
+    def __init__(self, rows: list[tuple[int, str]], width: int, total: int | None = None, counts: dict[int, int] | None = None):
+        """``counts`` has how many of the benchmark's ``total`` items have each shingle, if there
+        are more items than these rows."""
         self.ids, self.width = [i for i, _ in rows], width
         words = Words(pa.array([t for _, t in rows], pa.string()))
         self.lengths = np.diff(words.first)
@@ -51,7 +55,7 @@ class Items:
         for k, own in enumerate(self.sets):
             for h in own.tolist():
                 having[h].append(k)
-        self.weight = {h: 1.0 + float(np.log(len(rows) / len(own))) for h, own in having.items()}
+        self.weight = {h: 1.0 + float(np.log((total or len(rows)) / (counts[h] if counts else len(own)))) for h, own in having.items()}
         self.having = dict(having)
         self.known = np.array(sorted(having), np.uint64)
         self.known_weight = np.array([self.weight[h] for h in self.known.tolist()], np.float64)
@@ -91,36 +95,46 @@ class Items:
         hit = self.known[at] == found
         if not hit.any():
             return {}
-        places = np.flatnonzero(hit)
-        spans: dict[int, set[int]] = defaultdict(set)  # window length -> first words
-        for p in places.tolist():
-            for k in self.having[int(found[p])]:
-                size = int(self.lengths[k])
-                spans[size].update(range(max(0, p - max(size - self.width, 0)), p + 1))
+        places: dict[int, list[int]] = defaultdict(list)  # window length -> shingles around which to look
+        for p in np.flatnonzero(hit).tolist():
+            for size in {int(self.lengths[k]) for k in self.having[int(found[p])]}:
+                places[size].append(p)
         # Shingles that no item has vote with the least weight.
         weights = np.where(hit, self.known_weight[at], 1.0)
-        signs = np.unpackbits(mixed(found).view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1
-        votes = np.zeros((len(found) + 1, 64), np.float32)
-        np.cumsum(signs * weights[:, None].astype(np.float32), axis=0, out=votes[1:])
         best: dict[int, tuple[float, int, int]] = {}
-        for size, starts in spans.items():
+        for size in sorted(places):
             many = max(size - self.width + 1, 1)
-            first = np.array(sorted(s for s in starts if s + many <= len(found) or s == 0), np.int64)
-            last = np.minimum(first + many, len(found))
-            marks = np.packbits(votes[last] - votes[first] > 0, axis=1).view(">u8").ravel().tolist()
-            for a, b, mark in zip(first.tolist(), last.tolist(), marks, strict=True):
-                own = None
-                for k in self.near(mark):
-                    if own is None:
-                        own = set(found[a:b][hit[a:b]].tolist())
-                    shared = sum(self.weight[h] for h in self.sets[k].tolist() if h in own)
-                    similarity = shared / self.total[k] if self.total[k] else 0.0
-                    if similarity >= threshold:
-                        distance = (int(self.marks[k]) ^ mark).bit_count()
-                        if k not in best or (-similarity, distance, a) < (-best[k][0], best[k][1], best[k][2]):
-                            best[k] = similarity, distance, a
+            edge = np.zeros(len(found) + 1, np.int32)  # windows begin from one place to another
+            around = np.array(places[size])
+            np.add.at(edge, np.maximum(around - max(size - self.width, 0), 0), 1)
+            np.add.at(edge, around + 1, -1)
+            first = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            first = first[(first + many <= len(found)) | (first == 0)]
+            while len(first):
+                part, first = first[first < first[0] + _STRETCH], first[first >= first[0] + _STRETCH]
+                self._windows(found, hit, weights, part, many, threshold, best)
         return best
 
+    def _windows(self, found: np.ndarray, hit: np.ndarray, weights: np.ndarray, first: np.ndarray, many: int, threshold: float, best: dict[int, tuple[float, int, int]]) -> None:
+        """Looks up the windows of ``many`` shingles that begin at these places, and keeps each item's best."""
+        base, last = int(first[0]), np.minimum(first + many, len(found))
+        own = slice(base, int(last[-1]))
+        signs = np.unpackbits(mixed(found[own]).view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64) * 2 - 1
+        votes = np.zeros((len(signs) + 1, 64))
+        np.cumsum(signs * weights[own][:, None], axis=0, out=votes[1:])
+        marks = np.packbits(votes[last - base] - votes[first - base] > 0, axis=1).view(">u8").ravel().tolist()
+        for a, b, mark in zip(first.tolist(), last.tolist(), marks, strict=True):
+            has = None
+            for k in self.near(mark):
+                if has is None:
+                    has = set(found[a:b][hit[a:b]].tolist())
+                shared = sum(self.weight[h] for h in self.sets[k].tolist() if h in has)
+                similarity = shared / self.total[k] if self.total[k] else 0.0
+                if similarity >= threshold:
+                    distance = (int(self.marks[k]) ^ mark).bit_count()
+                    if k not in best or (-similarity, distance, a) < (-best[k][0], best[k][1], best[k][2]):
+                        best[k] = similarity, distance, a
+
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD
@@ -132,12 +146,15 @@ def contaminated(
     A-Z; items with fewer than ``width`` words are one shingle, found in texts of just that
     sequence. Items without words, with a null id, and documents with a null id or no words make
     no rows; items that repeat an id count once for each text; documents that repeat an id make
-    one row each; empty tables make none; other columns are ignored.
+    one row each; empty tables make none; other columns are ignored. A text of any length is
+    searched whole: about 60 bytes a word of it, and more only around shingles of items.
     """
     session_of(docs)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text <> ''")
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i IS NOT NULL AND trim(t) <> ''").distinct().orderBy("i", "t")
 
+    rows = stored(rows, "benchmark-items").orderBy("i", "t")
+
     def passes() -> Iterator[list[tuple[int, str]]]:
         held: list[tuple[int, str]] = []
         for row in rows.toLocalIterator():  # the benchmark, in groups of fixed size
@@ -148,13 +165,37 @@ def contaminated(
         if held:
             yield held
 
+    total = rows.count()
+    counts = _counted(rows, width) if total > ITEMS_AT_ONCE else None
     out = None
     for group in passes():
-        found = _pass(chosen, Items(group, width), threshold)
+        found = _pass(chosen, Items(group, width, total, _counts_of(counts, group, width)), threshold)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else chosen.sparkSession.createDataFrame([], _SCHEMA)
 
 
+def _counted(items: DataFrame, width: int) -> DataFrame:
+    """(h, n): how many items have each shingle."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sets = [np.unique(x) for x in row_shingles(Words(batch.column("t")), width)]
+                yield record(["h"], [np.concatenate(sets).view(np.int64)])
+
+    return stored(items.select("t").mapInArrow(each, "h long").groupBy("h").agg(F.count("*").alias("n")), "shingle-items")
+
+
+def _counts_of(counts: DataFrame | None, group: list[tuple[int, str]], width: int) -> dict[int, int] | None:
+    """The counts of the shingles of a group, at most ITEMS_AT_ONCE items' worth."""
+    if counts is None:
+        return None
+    words = Words(pa.array([t for _, t in group], pa.string()))
+    own = np.unique(np.concatenate(list(row_shingles(words, width)))).view(np.int64)
+    wanted = counts.sparkSession.createDataFrame([(x,) for x in own.tolist()], "h long")
+    return {r["h"] % (1 << 64): r["n"] for r in counts.join(F.broadcast(wanted), "h").collect()}
+
+
 def _pass(chosen: DataFrame, items: Items, threshold: float) -> DataFrame:
     sent = chosen.sparkSession.sparkContext.broadcast(items)
     width = items.width
@@ -178,6 +219,8 @@ def _pass(chosen: DataFrame, items: Items, threshold: float) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns kept, whose document holds no benchmark item. Rows with a null id stay."""
-    found = stored(contaminated(docs, benchmark, id_col, text_col).select("doc_id").distinct(), "contaminated").select(F.col("doc_id").alias("__found"))
-    return docs.join(small_or_plain(found), F.col(id_col).cast("long") == F.col("__found"), "left_anti")
+    """The rows, all columns kept, whose document holds no benchmark item. Rows with a null id stay;
+    rows that share an id go together if one of them holds an item."""
+    doc = fresh(docs, "found_id")
+    found = stored(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(doc)).distinct(), "contaminated")
+    return docs.join(small_or_plain(found), F.col(id_col).cast("long") == F.col(doc), "left_anti")

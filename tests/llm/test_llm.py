@@ -280,6 +280,53 @@ def test_decontamination_finds_edited_items(spark):
     assert {r["doc_id"] for r in decontaminate.without_contaminated(frame(spark, rows), items).collect()} == {2, 3, 4}
 
 
+def brute_contaminated(rows, items, width=5, threshold=0.8):
+    """All (doc, item) whose best window of the item's words has the threshold's share of its shingles' weight."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = lambda w: {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)}
+    sets = {i: grams(split(t)) for i, t in items}
+    having = {}
+    for own in sets.values():
+        for g in own:
+            having[g] = having.get(g, 0) + 1
+    weight = {g: 1 + math.log(len(items) / n) for g, n in having.items()}
+    out = set()
+    for d, t in rows:
+        w = split(t)
+        for i, text in items:
+            n = len(split(text))
+            for a in range(max(1, len(w) - n + 1)):
+                own = sets[i] & grams(w[a : a + n])
+                if own and sum(weight[g] for g in own) >= threshold * sum(weight[g] for g in sets[i]) - 1e-12:
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_decontamination_matches_brute_force(spark, monkeypatch):
+    rng = random.Random(21)
+    common = words(rng, 12)
+    items = [(k, " ".join([words(rng, rng.randint(4, 40)), *([common] if k % 4 == 0 else [])])) for k in range(30)]
+    rows = []
+    for d in range(150):
+        w = items[rng.randrange(30)][1].split()
+        for _ in range(rng.choice((0, 0, 1, 1, 2, 3))):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(99)}"
+        if rng.random() < 0.3:
+            del w[rng.randrange(len(w))]
+        rows.append((d, " ".join([words(rng, rng.randint(0, 60)), *w, words(rng, rng.randint(0, 60))])))
+    rows.append((900, " ".join(items[k % 30][1] for k in range(3000))))  # a very long text full of items
+    table = spark.createDataFrame(items, "item_id long, text string")
+    run = lambda: {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(frame(spark, rows), table).collect()}
+    got, want = run(), brute_contaminated(rows, items)
+    # The radius may lose pairs just above the threshold: none is wrong, and few are missed.
+    assert got.keys() <= want and len(got) >= 0.95 * len(want) and {i for d, i in got if d == 900} == set(range(30))
+    # Groups of items change nothing.
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 7)
+    again = run()
+    assert again.keys() == got.keys() and all(math.isclose(again[k], got[k]) for k in got)
+
+
 def test_hamming_index_is_complete():
     rng = random.Random(8)
     items = decontaminate.Items([(k, words(rng, 20)) for k in range(50)], 5)
@@ -372,6 +419,42 @@ def test_brown_counts_and_base(spark):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
 
 
+def test_brown_score_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(brown, "FREQUENT", 32)
+    rng = random.Random(31)
+    kinds = [[f"{k}{i}" for i in range(12)] for k in "abc"]
+    rows = [(i, " ".join([*(rng.choice(kinds[k % 3]) for k in range(rng.randint(0, 25))), *([f"once{i}"] if i % 3 else [])])) for i in range(60)] + [(100, None), (101, "never seen a0")]
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 10]
+    model, _, classes = brown.learn(frame(spark, train))
+    other, end = int(model.state[-1]), int(model.state[-1]) + 1
+    of = dict(zip(model.table.to_pylist(), model.state.tolist(), strict=False)) | {r["word"]: r["class"] for r in classes.collect()}
+    counts, pairs, single = {}, np.zeros((end + 1, end + 1)), np.zeros(end + 1)
+    for _, t in train:
+        before = end
+        for w in [*(t or "").split(), None]:
+            c = end if w is None else of.get(w, other)
+            pairs[before, c] += 1
+            single[c] += w is not None
+            before = c
+            if w is not None:
+                counts[w] = counts.get(w, 0) + 1
+    share = (pairs.sum(axis=0) + 0.5) / (pairs.sum(axis=0) + 0.5).sum()
+    step = np.log10((pairs + 5 * share) / (pairs.sum(axis=1, keepdims=True) + 5))
+    once, twice = sum(n == 1 for n in counts.values()), sum(n == 2 for n in counts.values())
+    discount = min(max(once / (once + 2 * twice), 0.05), 0.95)
+    rare = sum(of.get(w, other) == other for w in counts)
+    got = {r["doc_id"]: r["score"] for r in brown.score_texts(frame(spark, rows)).collect()}
+    for i, t in rows:
+        before, want = end, 0.0
+        for w in (t or "").split():
+            c = of.get(w, other)
+            n = counts.get(w, 0)
+            mass = (n - discount if n else discount * rare) if c == other else n
+            want += step[before, c] + math.log10(mass / single[c])
+            before = c
+        assert math.isclose(got[i], want + step[before, end], rel_tol=1e-9), i
+
+
 def test_exchange_finds_alternating_classes():
     pairs = np.zeros((8, 8))
     for a in range(3):
