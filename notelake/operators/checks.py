@@ -11,23 +11,45 @@ REQUIRED = ("type", "title", "description", "tags", "timestamp")
 
 
 def parse_schema(files: DataFrame) -> DataFrame:
-    """(kind, value) of schema files (text): bullets below ``## Types`` and ``## Tags``."""
-    rows = files.select(F.monotonically_increasing_id().alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    section = F.last(F.nullif(F.regexp_extract("line", r"^##\s+(.+?)\s*$", 1), F.lit("")), ignorenulls=True).over(Window.partitionBy("file").orderBy("pos"))
-    bullets = rows.withColumn("section", section).where("line rlike '^\\\\s*[-*]\\\\s+' AND section IN ('Types', 'Tags')")
-    value = F.regexp_replace(F.regexp_extract("line", r"^\s*[-*]\s+(.+?)\s*$", 1), "`", "")
-    return bullets.select(F.when(F.col("section") == "Types", "type").otherwise("tag").alias("kind"), value.alias("value"))
+    """(kind, value) of schema files (text): a profile (custom without one), and the bullets below
+    ``## Types`` and ``## Tags``."""
+    rows = files.withColumn("file", F.monotonically_increasing_id()).select("file", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("line", F.regexp_replace("raw", r"^\s+|\s+$", ""))
+    place = Window.partitionBy("file").orderBy("pos")
+    section = F.last(F.when(F.col("line").isin("## Types", "## Tags"), F.col("line")), ignorenulls=True).over(place)
+    bullets = rows.withColumn("section", section).where("startswith(line, '- ') AND section IS NOT NULL")
+    value = F.regexp_replace(F.substring(F.col("line"), F.lit(3), F.char_length("line")), r"^\s+|\s+$", "")
+    listed = bullets.select(F.when(F.col("section") == "## Types", "type").otherwise("tag").alias("kind"), value.alias("value")).distinct()
+    named = rows.withColumn("profile", F.regexp_replace(F.regexp_extract("line", r"^Profile:\s*`?([^`]+)`?", 1), r"\s+$", "")).groupBy("file").agg(F.max_by("profile", F.when(F.col("profile") != "", F.col("pos"))).alias("profile"))
+    return listed.unionByName(named.select(F.lit("profile").alias("kind"), F.coalesce("profile", F.lit("custom")).alias("value")))
+
+
+#: ISO 8601: a date, and a time with or without seconds and zone.
+_ISO = r"^\d{4}-?\d{2}-?\d{2}([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 
 
 def policy_issues(notes: DataFrame, types: list[str], tags: list[str]) -> DataFrame:
-    """(path, issue) of notes with type, title, description, tags (words) and timestamp columns."""
-    blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
-    issues = [F.when(blank(c), F.concat(F.lit("missing required field: "), F.lit(c))) for c in REQUIRED]
-    issues.append(F.when(~blank("type") & ~F.col("type").isin(*types), F.concat(F.lit("undeclared type: "), F.col("type"))))
-    issues.append(F.when(~blank("timestamp") & ~F.col("timestamp").rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.lit("timestamp is not ISO 8601")))
-    undeclared = F.filter(F.split("tags", " "), lambda t: (t != "") & ~t.isin(*tags))
-    extra = F.transform(undeclared, lambda t: F.concat(F.lit("undeclared tag: "), t))
-    every = F.concat(F.filter(F.array(*issues), lambda x: x.isNotNull()), F.coalesce(extra, F.expr("cast(array() as array<string>)")))
+    """(path, issue) of notes by their frontmatter policy.
+
+    ``notes`` have path, ``fields`` (a map of a field to its list of values) and ``scalars`` (the
+    fields that aren't lists), or plain columns type, title, description, tags (words), timestamp.
+    """
+    if "fields" not in notes.columns:
+        text = lambda c: F.array(F.coalesce(F.col(c), F.lit("")))
+        words = F.filter(F.split(F.coalesce("tags", F.lit("")), " "), lambda t: t != "")
+        pairs = [x for c in REQUIRED for x in (F.lit(c), words if c == "tags" else text(c))]
+        notes = notes.select("path", F.create_map(*pairs).alias("fields"), F.array(*[F.lit(c) for c in REQUIRED if c != "tags"]).alias("scalars"))
+    field = lambda c: F.coalesce(F.col("fields")[c], F.expr("cast(array() as array<string>)"))
+    scalar = lambda c: F.array_contains("scalars", c)
+    missing = lambda c: (F.size(field(c)) == 0) | (scalar(c) & (field(c)[0] == ""))
+    issues = [F.when(missing(c), F.lit(f"missing required field: {c}")) for c in REQUIRED]
+    issues += [F.when(~missing(c) & (~scalar(c) | (F.trim(field(c)[0]) == "")), F.lit(f"{c} must be a non-empty string")) for c in REQUIRED if c != "tags"]
+    kind, stamp = F.get(field("type"), F.lit(0)), F.get(field("timestamp"), F.lit(0))
+    issues.append(F.when(~missing("type") & scalar("type") & ~kind.isin(*types), F.concat(F.lit("type '"), kind, F.lit("' is not declared in SCHEMA.md"))))
+    issues.append(F.when(scalar("tags"), F.lit("tags must be a list")))
+    issues.append(F.when(~missing("timestamp") & scalar("timestamp") & (F.trim(stamp) != "") & ~stamp.rlike(_ISO), F.lit("timestamp must be ISO 8601")))
+    undeclared = F.when(scalar("tags"), F.expr("cast(array() as array<string>)")).otherwise(F.filter(field("tags"), lambda t: ~t.isin(*tags)))
+    extra = F.transform(undeclared, lambda t: F.concat(F.lit("tag '"), t, F.lit("' is not declared in SCHEMA.md")))
+    every = F.concat(F.filter(F.array(*issues), lambda x: x.isNotNull()), extra)
     return notes.select("path", F.explode(every).alias("issue"))
 
 
@@ -38,13 +60,31 @@ def secret_findings(notes: DataFrame, text_col: str = "body") -> DataFrame:
     return lines.select("path", (F.col("pos") + 1).alias("line"), F.explode(kinds).alias("kind"))
 
 
-def vault_issues(parsed: DataFrame, types: list[str], tags: list[str]) -> DataFrame:
-    """(path, issue) of parsed notes: secrets first, then the parse error, else the policy's."""
-    found = secret_findings(parsed, "text").select("path", F.concat(F.lit("secret: "), F.col("kind"), F.lit(" on line "), F.col("line").cast("string")).alias("issue"))
+def vault_issues(parsed: DataFrame, schema: DataFrame | None) -> DataFrame:
+    """(path, issue) of parsed notes: secrets first, then the parse error, else the policy's.
+    ``schema`` is what parse_schema() gives; without one that is the only issue."""
+    if schema is None:
+        return parsed.sparkSession.createDataFrame([("SCHEMA.md", "missing schema file")], "path string, issue string")
+    declared: dict[str, list[str]] = {"type": [], "tag": []}
+    for row in schema.where("kind <> 'profile'").collect():  # one small file
+        declared[row["kind"]].append(row["value"])
+    found = secret_findings(parsed, "text").select("path", F.concat(F.lit("potential secret detected: "), F.col("kind"), F.lit(" on line "), F.col("line").cast("string")).alias("issue"))
     broken = parsed.where("error IS NOT NULL").select("path", F.col("error").alias("issue"))
-    text = lambda k: F.array_join(F.col("frontmatter")[k], " ").alias(k)
-    good = parsed.where("error IS NULL").select("path", *[text(k) for k in REQUIRED])
-    return found.unionByName(broken).unionByName(policy_issues(good, types, tags))
+    good = parsed.where("error IS NULL").select("path", F.col("frontmatter").alias("fields"), "scalars")
+    return found.unionByName(broken).unionByName(policy_issues(good, declared["type"], declared["tag"]))
+
+
+def check_vault(config: list[str], issues: DataFrame, stale: DataFrame) -> DataFrame:
+    """(k, line): the lines of a check in order: settings, notes, index. ``stale`` is what
+    index.staleness() gives."""
+    first = [f"ERROR config: {x}" for x in config] or ["OK config"]
+    spark = issues.sparkSession
+    head = spark.createDataFrame([(k, "", x) for k, x in enumerate(first)], "k int, path string, line string")
+    body = issues.select(F.lit(1000).alias("k"), "path", F.concat(F.lit("ERROR "), "path", F.lit(": "), "issue").alias("line"))
+    fine = issues.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(1000).alias("k"), F.lit("").alias("path"), F.lit("OK validation").alias("line"))
+    told = F.concat(F.lit("STALE index: changed "), F.col("changed").cast("string"), F.lit(", missing "), F.col("missing").cast("string"), F.lit(", removed "), F.col("removed").cast("string"))
+    last = stale.select(F.lit(2000).alias("k"), F.lit("").alias("path"), F.when(F.col("changed") + F.col("missing") + F.col("removed") > 0, told).otherwise("OK index fresh").alias("line"))
+    return head.unionByName(body).unionByName(fine).unionByName(last).select(F.row_number().over(Window.orderBy("k", "path", "line")).alias("k"), "line")
 
 
 def vault_stats(notes: DataFrame) -> DataFrame:

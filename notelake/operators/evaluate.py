@@ -45,10 +45,98 @@ def holders(items: DataFrame, notes: DataFrame) -> DataFrame:
     return pairs.where(F.contains("body", F.col("text"))).select("query_id", "path")
 
 
-def by_slice(metrics: DataFrame, topics: DataFrame) -> DataFrame:
-    """Mean metrics by the topics' category."""
-    mean = lambda c: F.round(F.avg(c), 4).alias(c)
-    return metrics.join(topics.select("query_id", "category"), "query_id").groupBy("category").agg(F.count("*").alias("topics"), mean("recall"), mean("mrr"), mean("ndcg"))
+def by_slice(metrics: DataFrame, topics: DataFrame, full_tokens: DataFrame, packets: DataFrame, budget: int) -> DataFrame:
+    """Metrics of each category of topics (query_id, category).
+
+    ``metrics`` is what per_topic() gives, ``full_tokens`` one row (corpus), ``packets`` has
+    (query_id, used_tokens, source_count). Topics of no_answer should have no sources.
+    """
+    rows = topics.select("query_id", "category").join(metrics, "query_id").join(packets.select("query_id", "used_tokens", "source_count"), "query_id").crossJoin(F.broadcast(full_tokens))
+    mean = lambda c, name: F.round(F.avg(c), 4).alias(name)
+    silent = F.count_if(F.col("category") == "no_answer")
+    wrong = F.count_if((F.col("category") == "no_answer") & (F.col("source_count") > 0))
+    full = F.max("corpus") * F.count("*")
+    return rows.groupBy("category").agg(
+        F.count("*").alias("topics"),
+        mean("recall", "recall"),
+        mean("mrr", "mrr"),
+        mean("ndcg", "ndcg"),
+        F.sum("used_tokens").alias("returned_tokens"),
+        mean("used_tokens", "mean_returned_tokens"),
+        F.when(full > 0, F.round(1 - F.sum("used_tokens") / full, 4)).otherwise(0.0).alias("context_reduction"),
+        F.round(F.avg((F.col("used_tokens") <= budget).cast("int")), 4).alias("budget_compliance_rate"),
+        F.when(silent > 0, F.round(wrong / silent, 4)).otherwise(0.0).alias("false_positive_rate"),
+    )
+
+
+def corpus_metadata(notes: DataFrame, topics: DataFrame, qrels: DataFrame) -> DataFrame:
+    """One row about an evaluation: notes, topics, judgements, answerable topics, mean positives."""
+    positive = qrels.where("relevance > 0").groupBy("query_id").agg(F.count("*").alias("n"))
+    asked = topics.select("query_id", "category").join(positive, "query_id", "left")
+    answerable = F.count_if(F.col("category") != "no_answer")
+    mean = F.round(F.coalesce(F.avg(F.when(F.col("category") != "no_answer", F.coalesce("n", F.lit(0)))), F.lit(0.0)), 4)
+    one = asked.agg(F.count("*").alias("topics"), answerable.alias("answerable_topics"), F.count_if(F.col("category") == "no_answer").alias("no_answer_topics"), mean.alias("mean_positive_qrels"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("slices"))
+    judged = qrels.agg(F.count("*").alias("qrel_rows"), F.count_if(F.col("relevance") > 0).alias("positive_qrels"))
+    return one.crossJoin(judged).crossJoin(notes.agg(F.count("*").alias("notes")))
+
+
+def agent_tasks(tasks: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(query_id, slice, facts, covered, coverage, paths_found, sufficient, abstained, correct_abstention)
+    of tasks (query_id, slice, expected_paths, expected_facts, expect_abstention) by the contexts
+    (query_id, context, sources) that they were given; sources are paths with spaces between."""
+    rows = tasks.join(contexts.select("query_id", "context", "sources"), "query_id", "left")
+    context, found = F.lower(F.coalesce("context", F.lit(""))), F.split(F.coalesce("sources", F.lit("")), " ")
+    empty = F.expr("cast(array() as array<string>)")
+    facts, paths = F.coalesce("expected_facts", empty), F.coalesce("expected_paths", empty)
+    covered = F.size(F.filter(facts, lambda f: F.contains(context, F.lower(f))))
+    coverage = F.round(F.when(F.size(facts) == 0, 1.0).otherwise(covered / F.size(facts)), 4)
+    all_paths = F.size(F.array_except(paths, found)) == 0
+    abstained = context == ""
+    sufficient = F.when(F.col("expect_abstention"), abstained).otherwise(all_paths & (covered == F.size(facts)))
+    return rows.select("query_id", "slice", F.size(facts).alias("facts"), covered.alias("covered"), coverage.alias("coverage"), all_paths.alias("paths_found"), sufficient.alias("sufficient"), abstained.alias("abstained"), (abstained == F.col("expect_abstention")).alias("correct_abstention"))
+
+
+def agent_summary(results: DataFrame) -> DataFrame:
+    """(slice, tasks, sufficiency, abstention_accuracy, mean_coverage, stddev_coverage)."""
+    rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 4)
+    return results.groupBy("slice").agg(F.count("*").alias("tasks"), rate("sufficient").alias("sufficiency"), rate("correct_abstention").alias("abstention_accuracy"), F.round(F.avg("coverage"), 4).alias("mean_coverage"), F.round(F.stddev_pop("coverage"), 4).alias("stddev_coverage"))
+
+
+def writeback_summary(cases: DataFrame) -> DataFrame:
+    """One row of rates over (expected_action, action, expected_path, path, expected_reason, reason,
+    candidates, margin, changed, present): how often decisions, targets and reasons are right, what
+    updates and creations are worth, and whether nothing is written twice or over a conflict. A rate
+    over nothing is 1."""
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    decision, target = same("action", "expected_action"), F.col("expected_path").isNull() | same("path", "expected_path")
+    reason = same("reason", "expected_reason")
+    right = decision & target & reason
+    e, a = F.col("expected_action"), F.col("action")
+
+    def rate(good: Column, among: Column) -> Column:
+        n = F.count_if(among)
+        return F.round(F.when(n > 0, F.count_if(among & good) / n).otherwise(1.0), 4)
+
+    every = F.lit(True)
+    return cases.agg(
+        F.count("*").alias("cases"),
+        rate(decision, every).alias("decision_accuracy"),
+        rate(target, F.col("expected_path").isNotNull()).alias("target_path_accuracy"),
+        rate(reason, F.col("expected_reason").isNotNull()).alias("reason_accuracy"),
+        rate(right, a == "update").alias("update_precision"),
+        rate(right, e == "update").alias("update_recall"),
+        rate(right, a == "create").alias("create_precision"),
+        rate(right, e == "create").alias("create_recall"),
+        rate(right, e == "noop").alias("noop_accuracy"),
+        rate(a == "conflict", e == "conflict").alias("conflict_detection_rate"),
+        rate(~F.col("present"), e == "conflict").alias("conflict_write_block_rate"),
+        rate((a != "create") & target, e != "create").alias("duplicate_avoidance_rate"),
+        rate(a == "update", e == "create").alias("false_update_rate"),
+        rate(a == "create", e != "create").alias("false_create_rate"),
+        rate((a == "noop") & ~F.col("changed"), e == "noop").alias("idempotency_rate"),
+        F.coalesce(F.median("candidates"), F.lit(0.0)).alias("median_candidate_count"),
+        F.round(F.coalesce(F.avg("margin"), F.lit(0.0)), 4).alias("mean_similarity_margin"),
+    )
 
 
 def golden_prefix(run: DataFrame, golden: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions.text import SECRETS, slug
@@ -15,19 +15,35 @@ def _has_secret(text):
     return found
 
 
-def create_notes(requests: DataFrame, notes: DataFrame, folder: str = "knowledge") -> DataFrame:
-    """(title, path, outcome): created, exists or secret. ``requests`` has (title, body)."""
+def create_notes(requests: DataFrame, notes: DataFrame, folder: str = "knowledge", types: list[str] | None = None, tags: list[str] | None = None) -> DataFrame:
+    """(title, path, outcome): secret, policy, exists or created, the first that holds. ``requests``
+    has (title, body); with ``types`` and ``tags`` declared also (type, tags), which must be among them."""
     path = F.concat(F.lit(folder + "/"), slug(F.col("title")), F.lit(".md"))
-    placed = requests.select("title", "body", path.alias("path"))
+    wrong = F.lit(False)
+    if types is not None:
+        wrong = wrong | ~F.coalesce(F.col("type").isin(*types), F.lit(False))
+    if tags is not None:
+        wrong = wrong | (F.size(F.array_except(F.coalesce("tags", F.expr("cast(array() as array<string>)")), F.array(*map(F.lit, tags)))) > 0)
+    placed = requests.select("title", "body", path.alias("path"), wrong.alias("wrong"))
     there = notes.select("path", F.lit(True).alias("there")).distinct()
-    outcome = F.when(_has_secret(F.concat_ws("\n", "title", "body")), "secret").when(F.col("there"), "exists").otherwise("created")
+    outcome = F.when(_has_secret(F.concat_ws("\n", "title", "body")), "secret").when(F.col("wrong"), "policy").when(F.col("there"), "exists").otherwise("created")
     return placed.join(there, "path", "left").select("title", "path", outcome.alias("outcome"))
 
 
-def append_notes(requests: DataFrame, notes: DataFrame) -> DataFrame:
+def stamped(text: Column, timestamp: str) -> Column:
+    """A note's text with the timestamp of its head replaced, or added at the head's end; a text
+    without a head stays as it is."""
+    head = F.regexp_extract(text, r"^(\s*---[ \t]*\r?\n(?:(?!---[ \t]*\r?\n)[^\n]*\n)*?)(---[ \t]*(?:\r?\n|$))", 1)
+    rest = F.substring(text, F.char_length(head) + 1, F.char_length(text))
+    line = f"timestamp: {timestamp}"
+    new = F.when(head.rlike(r"(?m)^timestamp:"), F.regexp_replace(head, r"(?m)^timestamp:[^\r\n]*", line)).otherwise(F.concat(head, F.lit(line + "\n")))
+    return F.when(head == "", text).otherwise(F.concat(new, rest))
+
+
+def append_notes(requests: DataFrame, notes: DataFrame, timestamp: str | None = None) -> DataFrame:
     """(path, outcome, new_text): missing, conflict, empty, secret, noop or update, the first that
     holds. ``requests`` has (path, addition, expected_sha256); a null or empty expectation isn't
-    checked."""
+    checked. With ``timestamp`` the head of an updated note gets it."""
     joined = requests.join(notes.select("path", "body"), "path", "left")
     addition = F.regexp_replace("addition", r"^\s+|\s+$", "")
     outcome = (
@@ -39,4 +55,4 @@ def append_notes(requests: DataFrame, notes: DataFrame) -> DataFrame:
         .otherwise("update")
     )
     gap = F.when(F.endswith("body", F.lit("\n")), "\n").otherwise("\n\n")
-    return joined.select("path", outcome.alias("outcome"), F.when(outcome == "update", F.concat("body", gap, addition, F.lit("\n"))).otherwise(F.col("body")).alias("new_text"))
+    return joined.select("path", outcome.alias("outcome"), F.when(outcome == "update", F.concat(stamped(F.col("body"), timestamp) if timestamp else F.col("body"), gap, addition, F.lit("\n"))).otherwise(F.col("body")).alias("new_text"))

@@ -111,10 +111,14 @@ lex AS (SELECT query_id, path, round(len(list_intersect(qw, tw))::DOUBLE / len(q
 _WRITE = f"""{_SIMILAR}, top1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, path) AS k FROM lex WHERE similarity >= 0.55) WHERE k = 1),
 wb AS (SELECT query_id, path, CASE WHEN NOT coalesce(similarity >= 0.7, false) THEN 'create' WHEN query_id % 9 = 0 THEN 'conflict' WHEN contains(body, trim(text)) THEN 'noop' ELSE 'update' END AS action
     FROM topics LEFT JOIN top1 USING (query_id) LEFT JOIN notes USING (path))"""
-_USAGE = "log AS (SELECT event_id, ts, event_type AS command, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, value AS duration_ms, user_id::VARCHAR AS document FROM events)"
+_USAGE = "log AS (SELECT event_id, ts, event_type AS command, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, value AS duration_ms FROM events)"
 _SLUG = "CASE WHEN trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'untitled' ELSE trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-') END"
 
 
+def _rate(good: str, among: str) -> str:
+    return f"CASE WHEN count(*) FILTER ({among}) > 0 THEN round(count(*) FILTER (({among}) AND ({good})) / count(*) FILTER ({among})::DOUBLE, 4) ELSE 1.0 END"
+
+
 def _redact(text: str) -> str:
     for kind, pattern in SECRETS:
         text = f"regexp_replace({text}, '{pattern}', '[REDACTED:{kind}]', 'g')"
@@ -191,6 +195,7 @@ pk{k} AS (SELECT query_id, nctx AS ctx, stays OR length(nctx) >= {most} OR lengt
 
 _CONTEXTS = "contexts AS (SELECT query_id, body AS context FROM ranked JOIN notes ON row_id = path)"
 _QRELS = "qrels AS (SELECT item_id AS query_id, path FROM notes JOIN benchmark ON contains(body, benchmark.text))"
+_CATEGORIES = "cats AS (SELECT query_id, CASE WHEN query_id NOT IN (SELECT query_id FROM qrels) THEN 'no_answer' WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM topics)"
 _METRICS = f"""{_QRELS}, tot AS (SELECT query_id, count(*) AS total, sum(CASE WHEN r <= 3 THEN 1 / log2(r + 1.0e0) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path) AS r FROM qrels) GROUP BY 1),
 got AS (SELECT query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1.0e0)) AS dcg FROM ranked JOIN qrels ON ranked.query_id = qrels.query_id AND ranked.row_id = qrels.path GROUP BY ALL),
 metrics AS (SELECT t.query_id, round(CASE WHEN coalesce(total, 0) = 0 THEN 1 ELSE coalesce(hits, 0) / total::DOUBLE END, 6) AS recall, round(coalesce(1.0e0 / first, 0), 6) AS mrr, round(CASE WHEN coalesce(idcg, 0) = 0 THEN 0 ELSE coalesce(dcg, 0) / idcg END, 6) AS ndcg
@@ -240,14 +245,14 @@ SQL = {
     + " UNION ALL ".join(f"SELECT path, line, '{k}' AS kind, len(regexp_extract_all(t, '{p}')) AS hits FROM nl" for k, p in SECRETS)
     + ") SELECT path, line, kind, hits FROM f WHERE hits > 0",
     "redacted": f"WITH {_NOTES} SELECT path, sha256({_redact('body')}) AS text_sha256 FROM notes WHERE {_redact('body')} <> body",
-    "schema_validate": f"WITH {_NOTES} SELECT path, 'missing required field: ' || f AS issue FROM (SELECT path, unnest(['type', 'title', 'description', 'tags']) AS f, unnest([type, title, description, tags]) AS v FROM notes) WHERE trim(coalesce(v, '')) = '' UNION ALL SELECT path, 'undeclared type: ' || type FROM notes WHERE trim(type) <> '' AND type NOT IN ("
+    "schema_validate": f"WITH {_NOTES} SELECT path, 'missing required field: ' || f AS issue FROM (SELECT path, unnest(['type', 'title', 'description', 'tags']) AS f, unnest([type, title, description, tags]) AS v FROM notes) WHERE coalesce(v, '') = '' UNION ALL SELECT path, f || ' must be a non-empty string' FROM (SELECT path, unnest(['type', 'title', 'description']) AS f, unnest([type, title, description]) AS v FROM notes) WHERE v <> '' AND trim(v) = '' UNION ALL SELECT path, 'type ' || chr(39) || type || chr(39) || ' is not declared in SCHEMA.md' FROM notes WHERE type <> '' AND type NOT IN ("
     + ", ".join(f"'src{k}'" for k in range(15))
-    + ") UNION ALL SELECT path, 'undeclared tag: ' || tags FROM notes WHERE tags NOT IN ('en', 'de') AND tags <> ''",
+    + ") UNION ALL SELECT path, 'tag ' || chr(39) || tags || chr(39) || ' is not declared in SCHEMA.md' FROM notes WHERE tags NOT IN ('en', 'de') AND tags <> ''",
     "vault_stats": f"WITH {_NOTES} SELECT count(*) AS documents, sum(length(body))::BIGINT AS chars, ceil(sum(length(body)) / 4.0e0)::BIGINT AS estimated_tokens FROM notes",
     "type_counts": "SELECT source AS value, count(*) AS documents FROM documents WHERE source <> '' GROUP BY 1",
     "tag_counts": "SELECT lang AS value, count(*) AS documents FROM documents WHERE lang <> '' GROUP BY 1",
     "glossary_expand": f"WITH {_TOPICS}, {_QWORDS}, {_TGROUPS}, m AS (SELECT query_id, list_sort(list_distinct(flatten(list(members)))) AS more FROM qwords JOIN tgroups ON lower(token) = token_low GROUP BY 1), w AS (SELECT query_id, list(lower(token) ORDER BY pos) AS ws FROM qwords GROUP BY 1) SELECT query_id, array_to_string(list_concat(ws, list_filter(more, lambda x: NOT list_contains(ws, x))), ' ') AS tokens FROM w JOIN m USING (query_id)",
-    "glossary_lookup": f"WITH {_TOPICS}, {_TGROUPS}, fm AS (SELECT title, unnest(list_concat([title], aliases)) AS form FROM terms0 WHERE status = 'approved') SELECT DISTINCT query_id, title FROM topics JOIN fm ON list_has_all({_words('query')}, {_words('form')})",
+    "glossary_lookup": f"WITH {_TOPICS}, {_TGROUPS}, fs AS (SELECT title, list_concat([title], list_filter(aliases, lambda a: a <> title)) AS forms FROM terms0 WHERE status = 'approved'), fm AS (SELECT title, forms, unnest(forms) AS form, generate_subscripts(forms, 1) AS k FROM fs) SELECT query_id, title, array_to_string(list(form ORDER BY k), ' | ') AS matched, array_to_string(any_value(forms), ' | ') AS expansion FROM topics JOIN fm ON list_has_all({_words('query')}, {_words('form')}) GROUP BY query_id, title, forms",
     "glossary_validate": f"WITH {_TGROUPS}, k AS (SELECT *, lower(title) AS k FROM terms0), o AS (SELECT DISTINCT title, k, unnest(list_transform(list_concat([title], aliases), lambda x: lower(x))) AS a FROM k), f AS (SELECT a, min(k) AS owner FROM o GROUP BY a) SELECT DISTINCT title, 'duplicate title' AS issue FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1) UNION ALL SELECT title, 'alias taken: ' || a FROM o JOIN f USING (a) WHERE k <> owner UNION ALL SELECT title, 'unknown status: ' || status FROM k WHERE status NOT IN ('approved', 'proposed', 'deprecated')",
     "explain_matches": _search(
         [("or", 2)],
@@ -259,17 +264,19 @@ SQL = {
     "index_staleness": f"WITH {_NOTES}, d AS (SELECT ends_with(path, '3.md') AS a, ends_with(path, '7.md') AS r, tags = 'de' AS u FROM notes) SELECT count(*) FILTER (NOT a AND NOT r AND u) AS changed, count(*) FILTER (a) AS missing, count(*) FILTER (r) AS removed, count(*) FILTER (NOT a AND NOT r AND NOT u) AS fresh FROM d",
     "create_outcomes": f"WITH {_NOTES}, there AS (SELECT DISTINCT 'knowledge/' || {_SLUG.format("type || ' ' || tags")} || '.md' AS path FROM notes WHERE tags = 'en'), rq AS (SELECT source || ' ' || lang AS title, text FROM documents), p AS (SELECT *, 'knowledge/' || {_SLUG.format('title')} || '.md' AS path FROM rq) SELECT path, CASE WHEN {_secret('text')} THEN 'secret' WHEN path IN (SELECT path FROM there) THEN 'exists' ELSE 'created' END AS outcome, count(*) AS n FROM p GROUP BY 1, 2",
     "append_outcomes": f"WITH {_NOTES}, rq AS (SELECT 'docs/' || lpad((doc_id + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END)::VARCHAR, 8, '0') || '.md' AS path, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS addition, doc_id % 7 = 1 AS wrong FROM documents), oc AS (SELECT rq.path, addition, body, CASE WHEN body IS NULL THEN 'missing' WHEN wrong THEN 'conflict' WHEN coalesce(addition, '') = '' THEN 'empty' WHEN {_secret('addition')} THEN 'secret' WHEN contains(body, addition) THEN 'noop' ELSE 'update' END AS outcome FROM rq LEFT JOIN notes USING (path)) SELECT path, outcome, sha256(CASE WHEN outcome = 'update' THEN body || CASE WHEN ends_with(body, chr(10)) THEN chr(10) ELSE chr(10) || chr(10) END || addition || chr(10) ELSE body END) AS text_sha256 FROM oc",
-    "usage_summary": f"WITH {_USAGE} SELECT count(*) AS events, count(*) FILTER (command = 'view') AS searches, count(*) FILTER (command = 'click') AS retrieves, count(*) FILTER (command IN ('purchase', 'signup')) AS writes, count(*) FILTER (status <> 'ok') AS errors, round(sum(coalesce(duration_ms, 0)) / count(*), 3) AS avg_duration_ms FROM log",
+    "usage_summary": f"WITH {_USAGE} SELECT count(*) AS events, min(ts) AS first_event, max(ts) AS last_event, count(*) FILTER (command = 'view') AS searches, count(*) FILTER (command = 'click') AS retrieves, count(*) FILTER (command IN ('purchase', 'signup')) AS writes, count(*) FILTER (status <> 'ok') AS errors, round(sum(coalesce(duration_ms, 0)) / count(*), 3) AS avg_duration_ms, coalesce(sum(floor(duration_ms)), 0)::BIGINT AS total_estimated_tokens FROM log",
     "usage_by_command": f"WITH {_USAGE} SELECT command, count(*) AS events, count(*) FILTER (status <> 'ok') AS errors FROM log GROUP BY 1",
-    "usage_top_documents": f"WITH {_USAGE} SELECT value, count FROM (SELECT lower(document) AS value, count(*) AS count, min(event_id) AS f FROM log WHERE document IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 10)",
-    "usage_evidence": f"WITH {_USAGE}, c AS (SELECT count(*) AS events, count(*) FILTER (command = 'view') AS searches, count(*) FILTER (command = 'click') AS retrieves, count(*) FILTER (command = 'view' AND duration_ms < 10) AS no_answer_searches, count(*) FILTER (status <> 'ok') AS errors FROM log), r AS (SELECT *, round(errors / events::DOUBLE, 4) AS error_rate, round(no_answer_searches / searches::DOUBLE, 4) AS no_answer_rate FROM c) SELECT *, CASE WHEN events < 30 OR searches < 10 OR retrieves < 5 THEN 'collect_more' WHEN no_answer_rate >= 0.2 THEN 'watch' ELSE 'ready' END AS decision FROM r",
+    "usage_top_documents": f"WITH {_USAGE}, d AS (SELECT event_id, 0 AS k, user_id::VARCHAR AS value FROM events UNION ALL SELECT event_id, 1, 'doc-' || (event_id % 11) FROM events WHERE event_id % 4 = 0) SELECT value, count FROM (SELECT value, count(*) AS count, min(event_id * 10 + k) AS f FROM d GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 10)",
+    "usage_top_terms": "WITH d AS (SELECT event_id, 0 AS k, lower(event_type) AS value FROM events UNION ALL SELECT event_id, 1, 'u' || (user_id % 7) FROM events) SELECT value, count FROM (SELECT value, count(*) AS count, min(event_id * 10 + k) AS f FROM d GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 10)",
+    "usage_evidence": f"WITH {_USAGE}, c AS (SELECT count(*) AS events, count(*) FILTER (command = 'view') AS searches, count(*) FILTER (command = 'click') AS retrieves, count(*) FILTER (command IN ('purchase', 'signup')) AS writes, count(*) FILTER (status <> 'ok') AS errors, count(*) FILTER (command = 'view' AND duration_ms < 10) AS zero_result_searches, count(*) FILTER (command = 'click' AND duration_ms < 20) AS zero_source_retrieves, count(*) FILTER (command = 'click' AND event_id % 2 = 0) AS passage_retrieves, count(*) FILTER (command = 'click' AND event_id % 5 = 0) AS auto_ranker_retrieves, count(*) FILTER (command = 'view' AND event_id % 3 = 0) AS rrf_searches FROM log), r AS (SELECT *, round(zero_result_searches / searches::DOUBLE, 4) AS zero_result_search_rate, round(zero_source_retrieves / retrieves::DOUBLE, 4) AS zero_source_retrieve_rate, round(retrieves / searches::DOUBLE, 4) AS retrieve_per_search_rate, round(passage_retrieves / retrieves::DOUBLE, 4) AS passage_retrieve_rate, round(errors / events::DOUBLE, 4) AS error_rate FROM c) SELECT *, CASE WHEN events >= 30 AND searches >= 10 AND retrieves >= 5 THEN 'ready_for_review' ELSE 'needs_more_usage' END AS ranker_status, CASE WHEN zero_result_search_rate >= 0.2 OR zero_source_retrieve_rate >= 0.2 THEN 'watch' ELSE 'ok' END AS no_answer_status FROM r",
     "ir_metrics": _search([("or", 2)], 3, f", {_METRICS} SELECT * FROM metrics"),
     "agent_sufficiency": _search([("or", 2)], 1, f", {_CONTEXTS}, facts AS (SELECT query_id, unnest([query, text]) AS fact FROM topics) SELECT query_id, count(*) AS facts, count(*) FILTER (contains(lower(context), lower(fact))) AS covered, round(count(*) FILTER (contains(lower(context), lower(fact))) / count(*)::DOUBLE, 4) AS coverage FROM contexts JOIN facts USING (query_id) GROUP BY query_id"),
     "context_reduction": _search([("or", 2)], 1, f", {_CONTEXTS}, corpus AS (SELECT sum(ceil(length(body) / 4.0e0)) AS all_tokens FROM notes) SELECT query_id, ceil(length(context) / 4.0e0)::BIGINT AS returned, round(1 - ceil(length(context) / 4.0e0) / all_tokens, 4) AS reduction FROM contexts, corpus"),
-    "slice_metrics": _search([("or", 2)], 3, f", {_METRICS} SELECT CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, count(*) AS topics, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg FROM metrics GROUP BY 1"),
+    "slice_metrics": _search([*_STAGES, ("or", 4)], 3, f", {_LADDER}, shown AS (SELECT query_id, row_id FROM top3), {_SNIPPETS}, {_packets(3200)}, {_METRICS.replace('FROM ranked JOIN qrels', 'FROM (SELECT * FROM ranked WHERE run = 4) ranked JOIN qrels')}, {_CATEGORIES}, corpus AS (SELECT sum(ceil(length(body) / 4.0e0)) AS corpus FROM notes), used AS (SELECT query_id, ceil(length(ctx) / 4.0e0)::BIGINT AS u, len(ps) AS n FROM pk3) SELECT category, count(*) AS topics, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg, sum(u)::BIGINT AS returned_tokens, round(avg(u), 4) AS mean_returned_tokens, round(1 - sum(u) / (any_value(corpus) * count(*)), 4) AS context_reduction, round(avg((u <= 800)::INT), 4) AS budget_compliance_rate, CASE WHEN category = 'no_answer' THEN round(avg((n > 0)::INT), 4) ELSE 0.0 END AS false_positive_rate FROM cats JOIN metrics USING (query_id) JOIN used USING (query_id) CROSS JOIN corpus GROUP BY category"),
+    "corpus_metadata": f"WITH {_NOTES}, {_TOPICS}, {_QRELS}, {_CATEGORIES}, pos AS (SELECT query_id, count(*) AS n FROM qrels GROUP BY 1) SELECT count(*) AS topics, count(*) FILTER (category <> 'no_answer') AS answerable_topics, count(*) FILTER (category = 'no_answer') AS no_answer_topics, coalesce(round(avg(coalesce(n, 0)) FILTER (category <> 'no_answer'), 4), 0) AS mean_positive_qrels, string_agg(DISTINCT category, ',' ORDER BY category) AS slices, (SELECT count(*) FROM qrels) AS qrel_rows, (SELECT count(*) FROM qrels) AS positive_qrels, (SELECT count(*) FROM notes) AS notes FROM cats LEFT JOIN pos USING (query_id)",
     "golden_prefix_compare": _search([("or", 2), ("strict", 0)], 3, ", m AS (SELECT query_id, list(row_id ORDER BY rank) AS mine FROM ranked WHERE run = 2 GROUP BY 1), g AS (SELECT query_id, list(row_id ORDER BY rank) AS want FROM ranked WHERE run = 0 AND rank <= 1 GROUP BY 1) SELECT query_id, CASE WHEN mine IS NULL THEN 'missing' WHEN want IS NULL THEN 'unexpected' WHEN mine[1:len(want)] = want THEN 'match' ELSE 'differs' END AS verdict FROM m FULL JOIN g USING (query_id)"),
     "latency_percentiles": "WITH p AS (SELECT event_type AS command, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT command, round(min(value), 3) AS min, round(median(value), 3) AS p50, round(max(value) FILTER (i = floor((n - 1) * 0.95e0 + 0.5e0)), 3) AS p95, round(max(value), 3) AS max FROM p GROUP BY 1",
     "metric_deltas": "WITH l AS (SELECT strftime(ts, '%Y-%m-%d') AS date, event_type AS label, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2), d AS (SELECT *, round(value - lag(value) OVER (PARTITION BY label ORDER BY date), 4) AS delta FROM l) SELECT label, date, round(value, 4) AS value, delta, CASE WHEN delta > 0 THEN 'up' WHEN delta < 0 THEN 'down' ELSE 'flat' END AS trend, CASE WHEN delta IS NULL OR delta = 0 THEN 'same' WHEN delta > 0 THEN 'better' ELSE 'worse' END AS verdict FROM d",
     "writeback_decisions": f"WITH {_NOTES}, {_TOPICS}, {_WRITE} SELECT query_id, path, action, CASE action WHEN 'create' THEN 'no_similar_note' WHEN 'noop' THEN 'already_present' WHEN 'conflict' THEN 'sha256_mismatch' ELSE 'similar_note' END AS reason FROM wb",
-    "writeback_summary": f"WITH {_NOTES}, {_TOPICS}, {_WRITE}, c AS (SELECT CASE WHEN path IS NULL THEN 'create' ELSE 'update' END AS e, action AS p FROM wb), a AS (SELECT DISTINCT unnest([e, p]) AS action FROM c), s AS (SELECT a.action, count(*) FILTER (e = a.action) AS expected, count(*) FILTER (p = a.action) AS predicted, count(*) FILTER (p = a.action AND e = a.action) AS correct FROM a CROSS JOIN c GROUP BY 1) SELECT *, CASE WHEN predicted > 0 THEN round(correct / predicted::DOUBLE, 4) ELSE 1.0 END AS precision, CASE WHEN expected > 0 THEN round(correct / expected::DOUBLE, 4) ELSE 1.0 END AS recall FROM s",
+    "writeback_summary": f"WITH {_NOTES}, {_TOPICS}, {_WRITE}, c AS (SELECT wb.action AS a, wb.path, CASE WHEN wb.path IS NULL THEN 'create' WHEN wb.query_id % 9 = 0 THEN 'conflict' WHEN wb.query_id % 2 = 0 THEN 'noop' ELSE 'update' END AS e, CASE WHEN wb.query_id % 3 = 0 THEN wb.path END AS ep, coalesce(top1.similarity, 0) AS margin, coalesce(contains(n.body, trim(t.text)), false) AS present FROM wb JOIN topics t USING (query_id) LEFT JOIN top1 USING (query_id) LEFT JOIN notes n ON n.path = wb.path) SELECT count(*) AS cases, {_rate('a = e', 'true')} AS decision_accuracy, {_rate('path = ep', 'ep IS NOT NULL')} AS target_path_accuracy, {_rate('a = e', 'true')} AS reason_accuracy, {_rate('a = e', "a = 'update'")} AS update_precision, {_rate('a = e', "e = 'update'")} AS update_recall, {_rate('a = e', "a = 'create'")} AS create_precision, {_rate('a = e', "e = 'create'")} AS create_recall, {_rate('a = e', "e = 'noop'")} AS noop_accuracy, {_rate("a = 'conflict'", "e = 'conflict'")} AS conflict_detection_rate, {_rate('NOT present', "e = 'conflict'")} AS conflict_write_block_rate, {_rate("a <> 'create'", "e <> 'create'")} AS duplicate_avoidance_rate, {_rate("a = 'update'", "e = 'create'")} AS false_update_rate, {_rate("a = 'create'", "e <> 'create'")} AS false_create_rate, {_rate("a = 'noop'", "e = 'noop'")} AS idempotency_rate, median(CASE WHEN path IS NULL THEN 0 ELSE 1 END)::DOUBLE AS median_candidate_count, round(avg(margin), 4) AS mean_similarity_margin FROM c",
 }

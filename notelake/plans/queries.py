@@ -297,11 +297,15 @@ def usage_by_command(spark, sf):
 
 
 def usage_top_documents(spark, sf):
-    return usage.top(usage_of_events(_table(spark, sf, "events")), "document", "event_id")
+    return usage.top_documents(usage_of_events(_table(spark, sf, "events")), "event_id")
+
+
+def usage_top_terms(spark, sf):
+    return usage.top_terms(usage_of_events(_table(spark, sf, "events")), "event_id")
 
 
 def usage_evidence(spark, sf):
-    return usage.evidence(usage_of_events(_table(spark, sf, "events")), "duration_ms < 10", "view", "click")
+    return usage.evidence(usage_of_events(_table(spark, sf, "events")), "view", "click", ("purchase", "signup"))
 
 
 def _qrels(spark, sf):
@@ -315,9 +319,22 @@ def ir_metrics(spark, sf):
     return evaluate.per_topic(run, _qrels(spark, sf), _topics(spark, sf), LIMIT)
 
 
+def _categories(spark, sf):
+    """Topics without a relevant note are to have no answer; the others part by their number."""
+    judged = _qrels(spark, sf).select("query_id").distinct().withColumn("judged", F.lit(True))
+    category = F.when(F.col("judged").isNull(), "no_answer").when(F.col("query_id") % 2 == 0, "even").otherwise("odd")
+    return _topics(spark, sf).join(judged, "query_id", "left").withColumn("category", category)
+
+
 def slice_metrics(spark, sf):
-    topics = _topics(spark, sf).withColumn("category", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"))
-    return evaluate.by_slice(ir_metrics(spark, sf), topics)
+    topics, notes = _categories(spark, sf), _notes(spark, sf)
+    full = notes.agg(F.sum(X.approx_tokens(F.col("body"))).alias("corpus"))
+    found = retrieve.retrieve(_topics(spark, sf), _index(spark, sf), notes, LIMIT, 800, _glossary(spark))
+    return evaluate.by_slice(ir_metrics(spark, sf), topics, full, found, 800)
+
+
+def corpus_metadata(spark, sf):
+    return evaluate.corpus_metadata(_notes(spark, sf), _categories(spark, sf), _qrels(spark, sf))
 
 
 def golden_prefix_compare(spark, sf):
@@ -368,14 +385,17 @@ def _writeback(spark, sf):
 
 
 def writeback_summary(spark, sf):
-    cases = _writeback(spark, sf).withColumn("expected_action", F.when(F.col("path").isNull(), "create").otherwise("update"))
-    return evaluate.decision_summary(cases)
+    cases = _writeback(spark, sf)
+    wanted = F.when(F.col("path").isNull(), "create").when(F.col("query_id") % 9 == 0, "conflict").when(F.col("query_id") % 2 == 0, "noop").otherwise("update")
+    right = F.when(wanted == "create", "no_similar_note").when(wanted == "conflict", "sha256_mismatch").when(wanted == "noop", "already_present").otherwise("similar_note")
+    cases = cases.select("action", "path", "reason", wanted.alias("expected_action"), F.when(F.col("query_id") % 3 == 0, F.col("path")).alias("expected_path"), right.alias("expected_reason"), F.col("path").isNotNull().cast("int").alias("candidates"), F.coalesce("similarity", F.lit(0.0)).alias("margin"), (F.col("action") == "update").alias("changed"), F.coalesce(F.contains("body", F.trim("append")), F.lit(False)).alias("present"))
+    return evaluate.writeback_summary(cases)
 
 
 NAMES = (
     token_counts, safe_prefix_stems, slugs, doc_frequency, bm25_strict_docs, bm25_or_docs, bm25_prefix_docs, bm25_glossary_docs, bm25_passages, search_filtered, rrf_docs, rrf_passages, signal_groups, relaxed_search, search_passages, abstain_diagnostics, diagnostics_passages,
     grep_baseline, snippet_window, passage_split, section_extract, line_range, needle_snippet, retrieve_docs_budget, retrieve_docs_auto, retrieve_passages_budget, lexical_pairs, simhash_md5, find_similar, secret_findings, redacted, schema_validate, vault_stats, type_counts, tag_counts,
-    glossary_expand, glossary_lookup, glossary_validate, glossary_suggest, explain_matches, sha256_signatures, manifest_diff, index_staleness, create_outcomes, append_outcomes, usage_summary, usage_by_command, usage_top_documents,
-    usage_evidence, ir_metrics, slice_metrics, golden_prefix_compare, agent_sufficiency, context_reduction, latency_percentiles, metric_deltas, writeback_decisions, writeback_summary,
+    glossary_expand, glossary_lookup, glossary_validate, glossary_suggest, explain_matches, sha256_signatures, manifest_diff, index_staleness, create_outcomes, append_outcomes, usage_summary, usage_by_command, usage_top_documents, usage_top_terms,
+    usage_evidence, ir_metrics, slice_metrics, corpus_metadata, golden_prefix_compare, agent_sufficiency, context_reduction, latency_percentiles, metric_deltas, writeback_decisions, writeback_summary,
 )
 QUERIES = {f.__name__: f for f in NAMES}

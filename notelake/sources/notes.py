@@ -148,8 +148,22 @@ def notes_of_conversations(rows: DataFrame) -> DataFrame:
 
 
 def usage_of_events(events: DataFrame) -> DataFrame:
-    """The events table as a usage log."""
-    return events.select("event_id", "ts", F.col("event_type").alias("command"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.col("value").alias("duration_ms"), F.col("user_id").cast("string").alias("document"), "props")
+    """The events table as a usage log: views search, clicks retrieve, purchases and signups write.
+    The payload's fields follow from the event's number, user and value."""
+    n, value = F.col("event_id"), F.col("value")
+    payload = F.struct(
+        F.col("event_type").alias("query"),
+        F.array("event_type", F.concat(F.lit("U"), (F.col("user_id") % 7).cast("string"))).alias("query_terms"),
+        F.array(F.col("user_id").cast("string")).alias("result_paths"),
+        F.when(n % 4 == 0, F.concat(F.lit("doc-"), (n % 11).cast("string"))).alias("document"),
+        F.floor(value).alias("used_tokens"),
+        F.when(value < 10, 0).otherwise(1).alias("result_count"),
+        F.when(value < 20, 0).otherwise(1).alias("source_count"),
+        F.when(n % 2 == 0, "passages").otherwise("documents").alias("mode"),
+        F.when(n % 3 == 0, "rrf").otherwise("bm25").alias("ranker"),
+        F.when(n % 5 == 0, "auto").otherwise("bm25").alias("requested_ranker"),
+    )
+    return events.select("event_id", "ts", F.col("event_type").alias("command"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.col("value").alias("duration_ms"), F.to_json(payload).alias("data"))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -159,5 +173,10 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Appends events to a JSON-lines log."""
-    events.write.mode("append").json(path)
+    """Appends events to a JSON-lines log, with their payloads cleaned and errors redacted."""
+    from notelake.functions.text import redact
+    from notelake.operators.usage import sanitized
+
+    cleaned = sanitized(events)
+    cleaned = cleaned.withColumn("error", redact(F.col("error"))) if "error" in events.columns else cleaned
+    cleaned.write.mode("append").json(path)
