@@ -351,7 +351,8 @@ def score_texts(docs: DataFrame, train: Column | None = None, id_col: str = "doc
     ``score`` the model's log10 probability; all words never seen count as one type in both.
     Null texts count as empty: the end alone. A null id is never held out and is learned from;
     rows that repeat an id are scored each; without texts to learn from all counts are 0; no
-    documents give no rows; other columns are ignored.
+    documents give no rows; other columns are ignored. A text of any length is counted and scored
+    whole, in one worker (about 100 bytes a word of it).
     """
     spark = session_of(docs)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

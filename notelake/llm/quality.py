@@ -83,7 +83,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
     Learns from a bounded sample (labelled.SAMPLE_ROWS of each class) of the labels outside fold
     ``held`` of ``folds``. Null texts count as empty and get a score like others; a null id is
     never held out; rows that repeat an id are scored each; without both labels every score is
-    the share of good rows (0.5 without any); no documents give no rows; other columns are ignored.
+    the share of good rows (0.5 without any); no documents give no rows; other columns are ignored. A text of any length is
+    compressed whole, block by block.
     """
     spark = session_of(docs)
     model = QualityModel(sample(docs, labels, "quality", fold(F.col("doc_id"), folds) != held))
