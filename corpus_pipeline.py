@@ -1,4 +1,9 @@
-"""The corpus pipeline: toxicity, near copies, repeated passages, contamination, packing."""
+"""The corpus pipeline: toxicity, near copies, repeated passages, contamination, packing.
+
+In every stage null and empty texts stay (they hold nothing to object to), as do rows with a null
+id, which are judged by toxicity alone; rows that share an id are told apart by their texts where a
+stage can, and a table without rows gives one without rows. Ties go to the smaller id.
+"""
 
 from __future__ import annotations
 
@@ -6,34 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.llm import decontaminate, jaccard, packing, substrings, toxicity
-from notelake.llm.common import stored
+from notelake.llm.common import fresh, stored
 from notelake.llm.tokens import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go, each row by its own text. Without labels to learn from all stay."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays."""
+    """Of each class of near copies the document with the smallest id stays; documents without words
+    and rows without an id are in no class and stay."""
     return jaccard.one_of_each(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occurred before are cut out; texts that nothing is left of go."""
-    cut = substrings.without_spans(docs, substrings.repeated_spans(docs))
-    kept = cut.where("text IS NULL OR text = '' OR trim(BOTH ' \t\n\r' FROM text) <> ''")
-    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Passages that occurred before are cut out; texts that nothing is left of go, but for those that
+    were empty before. ``n_chars`` follows the text where there is such a column."""
+    was, blank = fresh(docs, "was_empty"), ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    cut = substrings.without_spans(docs.withColumn(was, blank), substrings.repeated_spans(docs))
+    kept = cut.where(F.col(was) | ~blank).drop(was)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; without items all stay."""
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their ids, placed in sequences of 2048 tokens."""
+    """Pieces with their ids, placed in sequences of 2048 tokens: every row is packed, null and empty
+    texts as the end id alone, a text of any length in as many pieces as it needs."""
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), with_ids=True, slice_mb=2, pieces_kept=200_000)
 
 
