@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; a longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -40,7 +40,7 @@ _SIGN[list(b".,;:!?")] = True
 # --- session and shared folder -------------------------------------------------------
 
 
-def session_of(df: DataFrame, batch_mb: int = 4) -> SparkSession:
+def session_of(df: DataFrame, batch_mb: int = 2) -> SparkSession:
     """The frame's session, with Arrow batches held to a size that fits a Python worker."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_mb << 20))

@@ -38,7 +38,7 @@ LANDMARKS = 128
 POSITIVES = 200
 SHORTEST, LONGEST = 3, 24
 #: Words whose values a worker keeps; about 150 bytes each.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 THRESHOLD = 0.5
 #: Letters: a-z are 1 to 26, others share five more numbers; 0 pads.
 _LETTERS = 32
