@@ -45,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids, placed in sequences of 2048 tokens: every row is packed, null and empty
     texts as the end id alone, a text of any length in as many pieces as it needs."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), with_ids=True, slice_mb=2, pieces_kept=200_000)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), with_ids=True, slice_mb=1, pieces_kept=100_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_copies), ("substring_dedup", drop_repeated_passages), ("decontamination", drop_contaminated), ("packing", pack)]
