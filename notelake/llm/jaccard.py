@@ -178,12 +178,13 @@ def _needed(percent: int) -> Column:
     return F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent)).cast("int")
 
 
-def verified(pairs: DataFrame, live: DataFrame, docs: DataFrame, owners: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of signatures whose sets are similar enough.
+def verified(pairs: DataFrame, live: DataFrame, docs: DataFrame, owners: DataFrame, width: int, percent: int, owner: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of signatures whose sets are similar enough, as a table of ``owner``.
 
     A pair must show its shared prefix shingles in ``live`` first, then pass the bitmaps of
     _bodies(), then the exact sets of hashes. ``owners`` has (sig, least_id).
     """
+    scratch = Scratch(docs.sparkSession)
     pairs = scratch.stored(pairs.select("a", "b").distinct(), "pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     own = scratch.stored(live.select("sig", "n", "depth", "tokens").join(small_or_plain(used), "sig", "left_semi"), "pair-prefixes")
@@ -221,7 +222,9 @@ def verified(pairs: DataFrame, live: DataFrame, docs: DataFrame, owners: DataFra
             yield record(["a", "b"], [batch.column("a").filter(mask), batch.column("b").filter(mask)])
 
     pairs = scratch.stored(joined("bitmap").mapInArrow(close, "a long, b long"), "close-pairs")
-    return joined("hashes").mapInArrow(check, "a long, b long")
+    out = owner.stored(joined("hashes").mapInArrow(check, "a long, b long"), name)
+    scratch.drop()
+    return out
 
 
 def _bodies(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
@@ -266,33 +269,35 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """join_classes() with ``text_key``, a hash of the row's text."""
     scratch = Scratch(session_of(docs))
+    early = Scratch(docs.sparkSession)  # what only the first steps read
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = keyed.withColumn("text_key", F.xxhash64("text"))
     chosen = keyed.select("doc_id", "text")
     counts = _shingle_counts(chosen, width)
-    rows = scratch.stored(prefixes(keyed, counts, width, percent), "prefixes")
-    heads = rows.select("doc_id", "text_key", "sig", "n")
+    rows = early.stored(prefixes(keyed, counts, width, percent), "prefixes")
+    heads = scratch.stored(rows.select("doc_id", "text_key", "sig", "n"), "heads")
     owners = scratch.stored(heads.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least_id")), "set-owners")
     # A set's other documents, so that each set posts once.
     copies = heads.join(owners, "sig").where("doc_id > least_id").select("doc_id", "sig").distinct()
     sets = rows.where("sig IS NOT NULL AND doc_id IS NOT NULL").join(small_or_plain(copies), ["doc_id", "sig"], "left_anti")
     tokens = sets.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    shared = scratch.stored(tokens.where("count > 1").select("token"), "live-shingles")
+    shared = early.stored(tokens.where("count > 1").select("token"), "live-shingles")
     live = scratch.stored(_live(sets, hash_bits(shared, "token", LIVE_BITS)).dropDuplicates(["sig"]), "live-sets")
 
-    posts = scratch.stored(live.select("sig", F.explode("tokens").alias("token")).join(shared, "token").select("token", "sig"), "live-postings")
+    posts = early.stored(live.select("sig", F.explode("tokens").alias("token")).join(shared, "token").select("token", "sig"), "live-postings")
     # Shingles that the same sets have: one of them stands for all.
     lists = posts.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor("sig").alias("h1"), F.bit_xor(F.xxhash64("sig")).alias("h2")).where("c > 1")
     first_of = lists.groupBy("c", "h1", "h2").agg(F.min("token").alias("token")).select("token")
-    lists = scratch.stored(posts.join(first_of, "token", "left_semi"), "posting-lists")
+    lists = early.stored(posts.join(first_of, "token", "left_semi"), "posting-lists")
     unread = F.greatest(F.ceil(F.col("n") * percent / 100).cast("int") - F.col("depth"), F.lit(0))
     placed = lists.join(live.select("sig", "n", "first", F.size("tokens").alias("posted"), unread.alias("unread"), *_WORDS), "sig")
     placed = scratch.stored(placed, "placed-sets")
+    early.drop()
 
-    links = scratch.stored(verified(_centre_pairs(placed, percent), live, chosen, owners, width, percent, scratch), "star-links")
+    links = verified(_centre_pairs(placed, percent), live, chosen, owners, width, percent, scratch, "star-links")
     part = components(links, owner=scratch)
     rest = _cross_pairs(placed.join(part.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root"), percent, scratch)
-    more = scratch.stored(verified(rest, live, chosen, owners, width, percent, scratch), "cross-links")
+    more = verified(rest, live, chosen, owners, width, percent, scratch, "cross-links")
     every = components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), owner=scratch)
 
     classes = owners.join(every.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -340,9 +345,11 @@ def _centre_pairs(placed: DataFrame, percent: int) -> DataFrame:
 def _cross_pairs(placed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """All pairs (a, b) of sets of different components ``comp`` that a list has and the bounds leave."""
     main = placed.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    split = scratch.stored(placed.join(main.drop("comps"), "token"), "open-lists")
+    early = Scratch(placed.sparkSession)
+    split = early.stored(placed.join(main.drop("comps"), "token"), "open-lists")
     head = split.groupBy("sig").agg(F.slice(F.sort_array(F.collect_list("token")), 1, HEAD).alias("head"))
     open_ = scratch.stored(split.join(head, "sig"), "open-heads")
+    early.drop()
     sides = ("sig", "n", "first", "posted", "unread", "comp", "main", "head", *_WORDS)
     x, y = (df.select("token", *[F.col(c).alias(f"{c}_{k}") for c in sides]) for df, k in ((open_.where("comp <> main"), "x"), (open_, "y")))
     met = F.array_min(F.array_intersect("head_x", "head_y"))
