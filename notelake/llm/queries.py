@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from notelake.llm import ann, brown, chat, decontaminate, jaccard, packing, quality, substrings, toxicity, wavelet
+from notelake.llm import ann, brown, chat, clusters, counting, decontaminate, jaccard, packing, quality, runs, substrings, toxicity, wavelet
 from notelake.llm.common import shared_dir
 from notelake.llm.tokens import vocabulary
 
@@ -58,11 +59,45 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_wavelet_output, op4_ngram_jaccard_join, op5_decontamination, op6_nearest_neighbours, op7_toxicity, op8_quality, op9_chat_formatting, op10_lm_scoring)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.repeated_tails(table(spark, sf_dir, "documents"))))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.sha2(F.concat(F.lit("2:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
+    return clusters.with_inertia(clusters.cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256, order=order))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = counting.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_wavelet_output, op4_ngram_jaccard_join, op5_decontamination, op6_nearest_neighbours, op7_toxicity, op8_quality, op9_chat_formatting, op10_lm_scoring, op11_periodic_runs, op12_centroid_clusters, op13_token_counts)}
 
 _ESC = "replace(replace(replace({0}, '\\', '\\e'), '<', '\\l'), '[', '\\b')"
 
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """The centroids of every round, one CTE after another."""
+    steps = [
+        "kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS m FROM kept ORDER BY sha256('2:' || vec_id), v LIMIT {k})",
+    ]
+    nearest = "SELECT r, min({'d': list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT, 'c': c}) AS b FROM kept CROSS JOIN"
+    for t in range(1, rounds + 1):
+        steps.append(f"a{t} AS MATERIALIZED ({nearest} c{t - 1} GROUP BY r)")
+        steps.append(f"s{t} AS (SELECT c, p, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT b.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM kept JOIN a{t} USING (r)) GROUP BY c, p)")
+        steps.append(f"c{t} AS MATERIALIZED (SELECT c, coalesce(w, m) AS m FROM c{t - 1} LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS w FROM s{t} GROUP BY c) USING (c))")
+    last = f"f AS MATERIALIZED ({nearest} c{rounds} GROUP BY r)"
+    return f"""WITH {", ".join([*steps, last])}
+SELECT vec_id, b.c::INT AS cluster, b.d AS distance, sum(b.d) OVER (PARTITION BY b.c)::BIGINT AS cluster_inertia, sum(b.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM kept JOIN f USING (r) JOIN c{rounds} ON c = b.c"""
+
+
 ORACLE_SQL = {
+    "op12_centroid_clusters": _clusters_sql(),
     "op9_chat_formatting": rf"""
 WITH source AS (
     SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
