@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 TERM = r"[\p{L}\p{N}]+"
+#: A query word; marks that stand after a letter belong to it.
+QUERY_WORD = r"[\p{L}\p{N}_][\p{L}\p{N}\p{M}_]*"
+#: What a text is made of, in turn: a term with its marks, and what stands between terms.
+PIECE = r"[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+"
 
 #: Query fields and operators that aren't search words.
 QUERY_FIELDS = ("path", "type", "title", "description", "tags", "extra", "body", "content")
@@ -34,7 +38,7 @@ SECRETS = (
 def query_tokens(query: Column) -> Column:
     """The search words of a query, without field prefixes and operators."""
     bare = F.regexp_replace(query, rf"(?i)\b({'|'.join(QUERY_FIELDS)}):", " ")
-    return F.filter(F.regexp_extract_all(bare, F.lit(WORD), F.lit(0)), lambda t: ~F.upper(t).isin(*QUERY_OPERATORS))
+    return F.filter(F.regexp_extract_all(bare, F.lit(QUERY_WORD), F.lit(0)), lambda t: ~F.upper(t).isin(*QUERY_OPERATORS))
 
 
 def distinct_tokens(tokens: Column) -> Column:
@@ -44,8 +48,8 @@ def distinct_tokens(tokens: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without Latin accents."""
-    return F.translate(F.lower(text), ACCENTED, BARE)
+    """Lower case without accents, whether they are part of a letter or stand after it."""
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, BARE), r"\p{M}+", "")
 
 
 def index_terms(text: Column) -> Column:

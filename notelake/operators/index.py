@@ -1,145 +1,311 @@
 """The full-text index as plain tables, and its incremental upkeep.
 
-An index has postings, one row for each term and row that holds it, with the weighted number of
-its occurrences and their places, and a manifest, one row for each indexed row. On disk postings
-are sorted by term in ranges, so that a batch of queries reads what its terms need. An update
-writes the postings of changed rows alone, under a new version; the manifest says which version of
-a row counts.
+An index has postings, one row for each term and row that holds it, with the weighted number of its
+occurrences, their places and the row's length; a vocabulary, one row for each term, with the number
+of rows that hold it; a manifest, one row for each indexed row, with a digest of all its indexed
+columns; and a list of dead rows. On disk postings and vocabulary lie in folders by a hash of the
+term and are sorted by it, so that a batch of queries opens the folders of its own terms alone.
+
+An update writes what changed as a new run and marks the versions before as dead. Compaction merges
+all runs into one without the dead rows. A one-row state is written last: until it is there, readers
+see the state before. One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions.text import index_terms
+from notelake.operators.lineage import SENT_ROWS, cut, remove
 
 #: How much a match in each column weighs, for notes and for passages.
 NOTE_WEIGHTS = {"path": 0.1, "type": 1.5, "title": 8.0, "description": 4.0, "tags": 6.0, "aliases": 6.0, "systems": 5.0, "signals": 5.0, "body": 0.2, "content": 3.0}
 PASSAGE_WEIGHTS = {"type": 1.5, "title": 8.0, "tags": 6.0, "systems": 5.0, "heading": 4.0, "text": 1.0, "content": 3.0}
 
+#: Folders of a run at least; bytes of text that a folder is made for; rows whose postings of one
+#: term may share a file, so that a term that all rows hold is spread over many.
+BUCKETS, BUCKET_BYTES, FILE_ROWS = 32, 512 << 20, 4_000_000
+
+#: Terms of a batch that are looked up by their values; those of larger batches are joined.
+LOOKED_UP = 5_000
+
+#: Runs, and the share of dead rows, from which repaired() compacts.
+MOST_RUNS, MOST_DEAD = 8, 0.25
+
+_STATE = "version int, runs array<struct<version: int, buckets: int>>, n long, total long, dead long"
+
 
 @dataclass(frozen=True)
 class Index:
-    """``postings`` has (term, row_id, f, places), where f sums the weights of a term's occurrences
-    and places lists (field, weight, pos); ``lengths`` has (row_id, len). With ``live``, (row_id,
-    version), only postings of that version of a row count."""
+    """``postings`` has (term, row_id, f, len, places), where f sums the weights of a term's
+    occurrences, len is the row's number of terms, and places lists (field, weight, pos);
+    ``lengths`` has (row_id, len). A stored index also has ``vocabulary`` (term, df), its runs as
+    (version, buckets), its size, and dead rows (row_id, version) whose postings don't count."""
 
     postings: DataFrame
     lengths: DataFrame
-    live: DataFrame | None = None
+    vocabulary: DataFrame | None = None
+    runs: tuple[tuple[int, int], ...] = ()
+    size: tuple[float, float] | None = None
+    dead: DataFrame | None = None
 
-    def of(self, terms: DataFrame) -> DataFrame:
-        """The postings (term, row_id, f, places) of a few terms (term)."""
-        found = self.postings.join(terms, "term", "left_semi")
-        if self.live is not None:
-            found = found.join(self.live, ["row_id", "version"], "left_semi").drop("version")
-        return found
+    def of(self, terms: DataFrame | list[str]) -> DataFrame:
+        """The postings (term, row_id, f, len, places) of a batch's terms (term)."""
+        return self._living(self._only(self.postings, terms))
 
     def all(self) -> DataFrame:
         """All postings that count."""
-        return self.postings if self.live is None else self.postings.join(self.live, ["row_id", "version"], "left_semi").drop("version")
+        return self._living(self.postings)
+
+    def terms(self) -> DataFrame:
+        """(term) of the vocabulary; of a stored index it is read from its own small table."""
+        return (self.postings if self.vocabulary is None else self.vocabulary).select("term").distinct()
+
+    def frequencies(self, terms: DataFrame | list[str]) -> DataFrame:
+        """(term, df) of a batch's terms: looked up where no row is dead, else counted."""
+        if self.vocabulary is None or self.dead is not None:
+            return self.of(terms).groupBy("term").agg(F.count("*").alias("df"))
+        return self._only(self.vocabulary, terms).groupBy("term").agg(F.sum("df").alias("df"))
+
+    def sized(self, df: DataFrame) -> DataFrame:
+        """The frame with n, the number of indexed rows, and mean, their mean length."""
+        if self.size is not None:
+            return df.withColumns({"n": F.lit(self.size[0]), "mean": F.lit(self.size[1])})
+        return df.crossJoin(F.broadcast(self.lengths.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"))))  # one row
+
+    def _living(self, postings: DataFrame) -> DataFrame:
+        if self.dead is not None:
+            postings = postings.join(self.dead, ["row_id", "version"], "left_anti")
+        return postings.select("term", "row_id", "f", "len", "places")
+
+    def _only(self, table: DataFrame, terms: DataFrame | list[str]) -> DataFrame:
+        """A table's rows of these terms. Few terms are a filter on folders and values; more are joined."""
+        if isinstance(terms, DataFrame):
+            found = [r["term"] for r in terms.distinct().limit(LOOKED_UP + 1).collect()]
+            if len(found) > LOOKED_UP:
+                return table.join(terms.distinct(), "term", "left_semi")
+            terms = found
+        kept = table.where(F.col("term").isin(terms))
+        if not self.runs:
+            return kept
+        folders = [(F.col("version") == v) & F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % b for t in terms})) for v, b in self.runs]
+        place = folders[0]
+        for other in folders[1:]:
+            place = place | other
+        return kept.where(place)
+
+
+def _fields(rows: DataFrame, weights: dict[str, float], key: str) -> DataFrame:
+    """(row_id, len, fields): the terms of every indexed column, and their number."""
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(w).alias("weight"), index_terms(F.col(c)).alias("terms")) for c, w in weights.items()])
+    per_row = rows.select(F.col(key).alias("row_id"), fields.alias("fields"))
+    return per_row.select("row_id", F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["terms"])).alias("len"), "fields")
 
 
 def occurrences(rows: DataFrame, weights: dict[str, float], key: str = "path") -> DataFrame:
-    """(row_id, field, weight, pos, term): every term of every indexed column, one row each."""
-    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(w).alias("weight"), index_terms(F.col(c)).alias("terms")) for c, w in weights.items()])
-    per_field = rows.select(F.col(key).alias("row_id"), F.explode(fields).alias("f"))
-    return per_field.select("row_id", F.col("f.field").alias("field"), F.col("f.weight").alias("weight"), F.posexplode("f.terms").alias("pos", "term"))
+    """(row_id, len, field, weight, pos, term): every term of every indexed column, one row each."""
+    per_field = _fields(rows, weights, key).select("row_id", "len", F.explode("fields").alias("f"))
+    return per_field.select("row_id", "len", F.col("f.field").alias("field"), F.col("f.weight").alias("weight"), F.posexplode("f.terms").alias("pos", "term"))
 
 
 def row_lengths(rows: DataFrame, weights: dict[str, float], key: str = "path") -> DataFrame:
     """(row_id, len): terms over all indexed columns; rows without terms have 0."""
+    return rows.select(F.col(key).alias("row_id"), _length(weights).alias("len"))
+
+
+def _length(weights: dict[str, float]) -> Column:
     total = F.lit(0)
     for c in weights:
         total = total + F.size(index_terms(F.col(c)))
-    return rows.select(F.col(key).alias("row_id"), total.alias("len"))
+    return total
+
+
+def _grouped(found: DataFrame, *by: str) -> DataFrame:
+    return found.groupBy(*by, "term", "row_id").agg(F.sum("weight").alias("f"), F.first("len").alias("len"), F.collect_list(F.struct("field", "weight", "pos")).alias("places"))
 
 
 def built(rows: DataFrame, weights: dict[str, float], key: str = "path") -> Index:
-    """The index of the rows, as plans over them."""
-    places = F.collect_list(F.struct("field", "weight", "pos")).alias("places")
-    postings = occurrences(rows, weights, key).groupBy("term", "row_id").agg(F.sum("weight").alias("f"), places)
-    return Index(postings, row_lengths(rows, weights, key))
+    """The index of the rows, as plans over them. Rows that repeat a key count as one row with all
+    their terms; stored indexes don't take them so, see update()."""
+    return Index(_grouped(occurrences(rows, weights, key)), row_lengths(rows, weights, key))
 
 
-def update(rows: DataFrame, weights: dict[str, float], folder: str, key: str = "path", text_col: str = "body") -> dict[str, int]:
+def update(rows: DataFrame, weights: dict[str, float], folder: str, key: str = "path") -> dict[str, int]:
     """Brings the index in a folder up to date with the rows, and counts what changed.
 
-    Without an index there it is built in full. Only rows whose text's size or digest differ are
-    read again; rows that are gone leave the manifest. Rows that repeat a key count once each.
+    Without an index there it is built in full. A row is read again if any of its indexed columns
+    changed, whichever; rows that are gone become dead. Of rows that repeat a key one counts, that
+    with the smallest digest; rows without a key aren't indexed.
     """
     spark = rows.sparkSession
-    now = signatures(rows, key, text_col)
-    last = _versions(spark, folder)
-    version = last + 1
-    if last < 0:
-        changed, kept = rows, None
-    else:
-        old = spark.read.parquet(f"{folder}/manifest-{last}")
-        diff = manifest_diff(old, now)
-        counts = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}  # four kinds at most
-        if not counts.keys() - {"same"}:
-            return {"version": last, **counts}
-        fresh = diff.where("change IN ('added', 'updated')").select(F.col("path").alias(key))
-        changed = rows.join(fresh, key, "left_semi")
-        kept = old.join(diff.where("change = 'same'").select("path"), "path", "left_semi")
-    index = built(changed, weights, key)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = index.postings.repartitionByRange(parts, "term", "row_id").sortWithinPartitions("term", "row_id")
-    ranged.write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/postings/version={version}")
-    manifest = signatures(changed, key, text_col).join(index.lengths.withColumnRenamed("row_id", "path"), "path").withColumn("version", F.lit(version))
-    manifest = manifest if kept is None else manifest.unionByName(kept)
-    # The manifest comes last: until it is there, readers see the version before.
-    manifest.write.option("compression", "zstd").parquet(f"{folder}/manifest-{version}")
-    return {"version": version, "added": spark.read.parquet(f"{folder}/manifest-{version}").count()} if last < 0 else {"version": version, **counts}
+    state = _state(spark, folder)
+    version = state["version"] + 1 if state else 0
+    signed = rows.where(F.col(key).isNotNull()).withColumn("_sha256", _digest(weights))
+    now = signed.select(F.col(key).alias("path"), F.col("_sha256").alias("sha256"), _bytes(weights).alias("size")).groupBy("path").agg(F.min(F.struct("sha256", "size")).alias("s"), F.count("*").alias("times")).select("path", "s.*", "times")
+    old = _manifest(spark, folder, version - 1) if state else now.select("path", "size", "sha256", F.lit(0).alias("len"), F.lit(0).alias("version")).limit(0)
+    diff = cut(manifest_diff(old, now, "times", was="version"))
+    told = diff.groupBy("change").agg(F.count("*").alias("n"), F.max("times").alias("times"), F.sum("size").alias("bytes")).collect()  # four kinds at most
+    counts = {r["change"]: r["n"] for r in told}
+    if state and not counts.keys() - {"same"}:
+        return {"version": version - 1, **counts}
+    news = [r for r in told if r["change"] in ("added", "updated")]
+    fresh = diff.where("change IN ('added', 'updated')").select(F.col("path").alias(key), F.col("sha256").alias("_sha256"))
+    changed = signed.join(fresh, [key, "_sha256"], "left_semi")
+    if max((r["times"] for r in news), default=1) > 1:
+        changed = changed.dropDuplicates([key])
+    buckets, spread = _layout(sum(r["bytes"] for r in news), sum(r["n"] for r in news))
+    placed = _placed(occurrences(changed, weights, key), buckets, spread)
+    _write_run(_grouped(placed, "bucket", "spread"), folder, version, buckets)
+    manifest = changed.select(F.col(key).alias("path"), _bytes(weights).alias("size"), F.col("_sha256").alias("sha256"), _length(weights).alias("len"), F.lit(version).alias("version"))
+    manifest = manifest.unionByName(old.join(diff.where("change = 'same'").select("path"), "path", "left_semi").select("path", "size", "sha256", "len", "version"))
+    dead = diff.where("change IN ('updated', 'removed')").select(F.col("path").alias("row_id"), F.col("was").alias("version"))
+    if state and state["dead"]:
+        dead = dead.unionByName(spark.read.parquet(f"{folder}/dead-{version - 1}"))
+    runs = [*(state["runs"] if state else []), (version, buckets)]
+    _commit(spark, folder, version, runs, manifest, dead)
+    return {"version": version, **counts}
+
+
+def compact(spark: SparkSession, folder: str) -> int:
+    """Merges the runs of the index in a folder into one without dead rows, and deletes what is no
+    longer read: readers must open the index anew. Returns the version."""
+    state = _known(spark, folder)
+    version = state["version"] + 1
+    if len(state["runs"]) == 1 and not state["dead"]:
+        return state["version"]
+    manifest = _manifest(spark, folder, version - 1)
+    size = manifest.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    buckets, spread = _layout(size["bytes"], size["n"])
+    _write_run(_placed(read(spark, folder).all(), buckets, spread), folder, version, buckets)
+    _commit(spark, folder, version, [(version, buckets)], manifest.withColumn("version", F.lit(version)), None)
+    for run in state["runs"]:
+        for part in ("postings", "terms"):
+            remove(spark, f"{folder}/{part}/version={run['version']}")
+    for v in range(version):
+        for part in ("manifest", "dead", "state"):
+            remove(spark, f"{folder}/{part}-{v}")
+    return version
+
+
+def repaired(rows: DataFrame, weights: dict[str, float], folder: str, key: str = "path") -> Index:
+    """The index in a folder, updated first if it is missing or stale, and compacted if it has many
+    runs or dead rows."""
+    spark = rows.sparkSession
+    update(rows, weights, folder, key)
+    state = _known(spark, folder)
+    if len(state["runs"]) > MOST_RUNS or state["dead"] > MOST_DEAD * max(state["n"], 1):
+        compact(spark, folder)
+    return read(spark, folder)
 
 
 def read(spark: SparkSession, folder: str) -> Index:
-    """The index in a folder, as the last update left it."""
-    version = _versions(spark, folder)
-    if version < 0:
-        raise FileNotFoundError(f"no index in {folder}")
-    manifest = spark.read.parquet(f"{folder}/manifest-{version}")
-    postings = spark.read.parquet(f"{folder}/postings").where(F.col("version") <= version)
-    lengths = manifest.select(F.col("path").alias("row_id"), "len")
-    if version == 0:
-        return Index(postings.drop("version"), lengths)
-    return Index(postings, lengths, manifest.select(F.col("path").alias("row_id"), "version"))
+    """The index in a folder, as the last update or compaction left it."""
+    state = _known(spark, folder)
+    manifest = _manifest(spark, folder, state["version"])
+    dead = None
+    if state["dead"]:
+        dead = spark.read.parquet(f"{folder}/dead-{state['version']}")
+        dead = F.broadcast(dead) if state["dead"] <= SENT_ROWS else dead
+    # Schemas are given, so that a run without postings can be read.
+    run = lambda part, schema: spark.read.schema(schema).option("basePath", f"{folder}/{part}").parquet(*[f"{folder}/{part}/version={r['version']}" for r in state["runs"]])
+    postings = run("postings", f"term string, row_id {manifest.schema['path'].dataType.simpleString()}, f double, len int, places array<struct<field: string, weight: double, pos: int>>, version int, bucket int")
+    size = float(state["n"]), state["total"] / max(state["n"], 1)
+    return Index(postings, manifest.select(F.col("path").alias("row_id"), "len"), run("terms", "term string, df long, version int, bucket int"), tuple((r["version"], r["buckets"]) for r in state["runs"]), size, dead)
+
+
+def _layout(size: int | None, rows: int) -> tuple[int, int]:
+    """(folders, files of each) for so many bytes of text and rows."""
+    return max(BUCKETS, -(-(size or 0) // BUCKET_BYTES)), max(1, -(-rows // FILE_ROWS))
+
 
+def _placed(postings: DataFrame, buckets: int, spread: int) -> DataFrame:
+    """Dealt to tasks by the folder and file that each posting belongs to."""
+    bucket = (F.crc32(F.col("term").cast("binary")) % buckets).cast("int")
+    placed = postings.withColumns({"bucket": bucket, "spread": F.pmod(F.xxhash64("row_id"), F.lit(spread)).cast("int")})
+    return placed.repartition(buckets * spread, "bucket", "spread")
 
-def repaired(rows: DataFrame, weights: dict[str, float], folder: str, key: str = "path", text_col: str = "body") -> Index:
-    """The index in a folder, updated first if it is missing or stale."""
-    update(rows, weights, folder, key, text_col)
-    return read(rows.sparkSession, folder)
 
+def _write_run(placed: DataFrame, folder: str, version: int, buckets: int) -> None:
+    at = f"{folder}/postings/version={version}"
+    rows = placed.select("term", "row_id", "f", "len", "places", "bucket").sortWithinPartitions("bucket", "term", "row_id")
+    rows.write.option("compression", "zstd").partitionBy("bucket").mode("overwrite").parquet(at)
+    terms = placed.sparkSession.read.schema("term string, bucket int").parquet(at).groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    terms.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.option("compression", "zstd").partitionBy("bucket").mode("overwrite").parquet(f"{folder}/terms/version={version}")
 
-def _versions(spark: SparkSession, folder: str) -> int:
-    """The newest version whose manifest is complete; -1 without any."""
+
+def _commit(spark: SparkSession, folder: str, version: int, runs: list, manifest: DataFrame, dead: DataFrame | None) -> None:
+    manifest.write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/manifest-{version}")
+    gone = 0
+    if dead is not None:
+        dead.write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/dead-{version}")
+        gone = spark.read.parquet(f"{folder}/dead-{version}").count()
+    size = _manifest(spark, folder, version).agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).first()
+    row = (version, [(r[0], r[1]) for r in runs], size["n"], size["total"], gone)
+    spark.createDataFrame([row], _STATE).coalesce(1).write.mode("overwrite").parquet(f"{folder}/state-{version}")
+
+
+def _manifest(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    return spark.read.parquet(f"{folder}/manifest-{version}")
+
+
+def _state(spark: SparkSession, folder: str) -> Row | None:
+    """The newest complete state, None without any."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest-*/_SUCCESS")) or []
-    return max([int(f.getPath().getParent().getName().rsplit("-", 1)[1]) for f in done], default=-1)
+    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state-*/_SUCCESS")) or []
+    last = max([int(f.getPath().getParent().getName().rsplit("-", 1)[1]) for f in done], default=-1)
+    return None if last < 0 else spark.read.schema(_STATE).parquet(f"{folder}/state-{last}").first()
+
+
+def _known(spark: SparkSession, folder: str) -> Row:
+    state = _state(spark, folder)
+    if state is None:
+        raise FileNotFoundError(f"no index in {folder}")
+    return state
 
 
 def document_frequency(index: Index) -> DataFrame:
     """(term, df)."""
-    return index.all().groupBy("term").agg(F.count("*").alias("df"))
+    if index.vocabulary is None or index.dead is not None:
+        return index.all().groupBy("term").agg(F.count("*").alias("df"))
+    return index.vocabulary.groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _texts(columns: Iterable[str]) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+
+
+def _digest(columns: Iterable[str]) -> Column:
+    """One digest of all columns' texts, so that a change in any of them shows; a null text is empty."""
+    texts = _texts(columns)
+    return F.sha2(texts[0] if len(texts) == 1 else F.to_json(F.array(*texts)), 256)
+
+
+def _bytes(columns: Iterable[str]) -> Column:
+    total = F.lit(0)
+    for text in _texts(columns):
+        total = total + F.octet_length(text)
+    return total
 
 
-def signatures(rows: DataFrame, key: str = "path", text_col: str = "body") -> DataFrame:
-    """(path, size, sha256) of each text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return rows.select(F.col(key).alias("path"), F.octet_length(text).alias("size"), F.sha2(text, 256).alias("sha256"))
+def signatures(rows: DataFrame, key: str = "path", columns: Iterable[str] = ("body",)) -> DataFrame:
+    """(path, size, sha256) of each row's columns together."""
+    columns = list(columns)
+    return rows.select(F.col(key).alias("path"), _bytes(columns).alias("size"), _digest(columns).alias("sha256"))
 
 
-def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, change) between two signature tables: added, removed, updated or same."""
-    o, n = old.select("path", F.struct("size", "sha256").alias("o")), new.select("path", F.struct("size", "sha256").alias("n"))
+def manifest_diff(old: DataFrame, new: DataFrame, *more: str, was: str | None = None) -> DataFrame:
+    """(path, change) between two signature tables: added, removed, updated or same. ``more`` names
+    columns of the new table to keep, with its size and digest; ``was`` one of the old."""
+    o = old.select("path", F.struct("size", "sha256").alias("o"), *([F.col(was).alias("was")] if was else []))
+    n = new.select("path", F.struct("size", "sha256").alias("n"), *more)
     change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o") != F.col("n"), "updated").otherwise("same")
-    return o.join(n, "path", "full_outer").select("path", change.alias("change"))
+    return o.join(n, "path", "full_outer").select("path", change.alias("change"), *([F.col("n.size").alias("size"), F.col("n.sha256").alias("sha256"), *more] if more else []), *(["was"] if was else []))
 
 
 def staleness(diff: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.text import fold
 
+#: Fixed value: a heading, its level and its words.
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
 
 
@@ -30,7 +34,9 @@ def split_passages(notes: DataFrame, body_col: str = "body", first_line: Column
 
 
 def extract_lines(text: Column, first: int, last: int) -> Column:
-    """Lines first to last, from 1, both included."""
+    """Lines first to last, from 1, both included; what lies beyond the last line is left out."""
+    if first <= 0 or last < first:
+        raise ValueError("lines must be a positive range, the first no greater than the last")
     return F.array_join(F.slice(F.split(text, "\n"), first, last - first + 1), "\n")
 
 
@@ -48,14 +54,20 @@ def extract_section(notes: DataFrame, name: str, body_col: str = "body") -> Data
 
 
 def extract_snippet(notes: DataFrame, needle: str, context: int = 2, body_col: str = "body") -> DataFrame:
-    """(path, line, text): the first line that holds the needle or all its words, and its neighbours."""
+    """(path, line, text): the first line that holds the needle or all its words, in any case and
+    accents, and its neighbours. Signs between the needle's words don't matter."""
+    if context < 0:
+        raise ValueError("context must not be negative")
+    key = "".join(c for c in unicodedata.normalize("NFKD", needle.casefold()) if not unicodedata.combining(c))
+    if not key:
+        raise ValueError("the needle must not be empty")
     rows = lines_of(notes, body_col)
-    low = F.lower("text")
-    words = [w for w in needle.lower().split() if w]
-    hit = F.contains(low, F.lit(needle.lower()))
+    line = fold(F.col("text"))
+    hit = F.contains(line, F.lit(key))
+    words = re.findall(r"\w+", key)
     every = F.lit(bool(words))
     for w in words:
-        every = every & F.contains(low, F.lit(w))
+        every = every & F.contains(line, F.lit(w))
     found = rows.where(hit | every).groupBy("path").agg(F.min("line").alias("at"))
     near = rows.join(found, "path").where(F.abs(F.col("line") - F.col("at")) <= context)
     out = near.groupBy("path").agg(F.min("at").alias("line"), F.array_sort(F.collect_list(F.struct(F.col("line").alias("l"), "text"))).alias("own"))

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.functions.text import distinct_tokens, fold, index_terms, query_tokens, stem
+from notelake.functions.text import PIECE, TERM, distinct_tokens, fold, index_terms, query_tokens, stem
 from notelake.operators.index import Index
-from notelake.operators.lineage import cut, sent
+from notelake.operators.lineage import cut, held, sent
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -98,25 +98,54 @@ def _keyed(phrases: DataFrame) -> DataFrame:
     return phrases.withColumn("key", F.concat(F.array_join("terms", " "), F.when(F.col("prefix"), "*").otherwise("")))
 
 
+def _phrase_parts(phrases: DataFrame, index: Index) -> list[tuple[DataFrame, DataFrame]]:
+    """Pairs of (key, row_id, f, len), the weighted occurrences of each different phrase in each row
+    that has it, and (key, df), in how many rows it is; one pair for each kind of phrase in the batch.
+
+    A prefix phrase sums all terms that begin with its last. Only the batch's terms are read; how
+    many rows hold a term is looked up, not counted, where the index knows.
+    """
+    once = held(_keyed(phrases).select("key", "terms", "prefix").distinct())
+    kind = F.when(F.col("prefix"), "prefix").when(F.size("terms") == 1, "single").otherwise("several")
+    kinds = {r["kind"] for r in once.select(kind.alias("kind")).distinct().collect()}  # three at most
+    out = []
+    if "single" in kinds:
+        single = once.where("NOT prefix AND size(terms) = 1").select("key", F.element_at("terms", 1).alias("term"))
+        rows = index.of(single.select("term")).join(single, "term").select("key", "row_id", "f", "len")
+        out.append((rows, index.frequencies(single.select("term")).join(single, "term").select("key", "df")))
+    if "several" in kinds:
+        keyed = once.where("NOT prefix AND size(terms) > 1").select("key", F.size("terms").alias("m"), F.posexplode("terms").alias("k", "term"))
+        placed = index.of(keyed.select("term")).join(keyed, "term").select("key", "m", "k", "row_id", "len", F.explode("places").alias("p")).withColumn("at", F.col("p.pos") - F.col("k"))
+        whole = placed.groupBy("key", "row_id", F.col("p.field").alias("field"), "at").agg(F.max("m").alias("m"), F.count("*").alias("found"), F.max("p.weight").alias("weight"), F.first("len").alias("len")).where("found = m")
+        out.append(_counted(whole.groupBy("key", "row_id").agg(F.sum("weight").alias("f"), F.first("len").alias("len"))))
+    if "prefix" in kinds:
+        # The vocabulary is matched once for each different stem; a stem has five letters at least, so they join by these.
+        head = lambda c: F.substring(c, 1, 5)
+        stems = once.where("prefix").select("key", F.element_at("terms", -1).alias("stem")).withColumn("head", head("stem"))
+        begins = held(index.terms().withColumn("head", head("term")).join(stems, "head").where(F.startswith("term", F.col("stem"))).select("key", "term"))
+        out.append(_counted(index.of(begins.select("term")).join(begins, "term").groupBy("key", "row_id").agg(F.sum("f").alias("f"), F.first("len").alias("len"))))
+    return out
+
+
+def _counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows computed once, and in how many of them each key is."""
+    rows = cut(rows)
+    return rows, rows.groupBy("key").agg(F.count("*").alias("df"))
+
+
 def phrase_rows(phrases: DataFrame, index: Index) -> DataFrame:
-    """(key, row_id, f): the weighted occurrences of each different phrase in each row that has it.
-    A prefix phrase sums all terms that begin with its last. Only the batch's terms are read."""
-    once = _keyed(phrases).select("key", "terms", "prefix").distinct()
-    words = once.where("NOT prefix").select(F.explode("terms").alias("term"))
-    stems = once.where("prefix").select("key", F.element_at("terms", -1).alias("stem"))
-    postings = index.of(sent(words.distinct()))
-    single = once.where("NOT prefix AND size(terms) = 1").select("key", F.element_at("terms", 1).alias("term")).join(postings, "term").select("key", "row_id", "f")
-    keyed = once.where("NOT prefix AND size(terms) > 1").select("key", F.size("terms").alias("m"), F.posexplode("terms").alias("k", "term"))
-    placed = keyed.join(postings, "term").select("key", "m", "k", "row_id", F.explode("places").alias("p")).withColumn("at", F.col("p.pos") - F.col("k"))
-    whole = placed.groupBy("key", "row_id", F.col("p.field").alias("field"), "at").agg(F.max("m").alias("m"), F.count("*").alias("found"), F.max("p.weight").alias("weight")).where("found = m")
-    several = whole.groupBy("key", "row_id").agg(F.sum("weight").alias("f"))
-    # The vocabulary is matched once for each different stem; a stem has five letters at least, so they join by these.
-    head = lambda c: F.substring(c, 1, 5)
-    vocabulary = index.postings.select("term").distinct().withColumn("head", head("term"))
-    begins = stems.withColumn("head", head("stem")).join(vocabulary, "head").where(F.startswith("term", F.col("stem"))).select("key", "term")
-    begins = cut(begins)
-    grown = begins.join(index.of(sent(begins.select("term").distinct())), "term").groupBy("key", "row_id").agg(F.sum("f").alias("f"))
-    return single.unionByName(several).unionByName(grown)
+    """(key, row_id, f): the weighted occurrences of each different phrase in each row that has it."""
+    return _united([rows.select("key", "row_id", "f") for rows, _ in _phrase_parts(phrases, index)], phrases, "key string, row_id string, f double")
+
+
+def _united(parts: list[DataFrame], like: DataFrame, schema: str) -> DataFrame:
+    """All parts' rows; an empty frame without any part."""
+    if not parts:
+        return like.sparkSession.createDataFrame([], schema)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
@@ -127,14 +156,11 @@ def phrase_hits(phrases: DataFrame, index: Index) -> DataFrame:
 def phrase_scores(phrases: DataFrame, index: Index) -> DataFrame:
     """(key, row_id, part, df): what each different phrase adds to a row's score, and in how many
     rows it is. A phrase that over half of the rows have counts next to nothing."""
-    rows = phrase_rows(phrases, index)
-    stats = index.lengths.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"))  # one row
-    df = rows.groupBy("key").agg(F.count("*").alias("df"))
-    weighed = rows.join(sent(df), "key").join(index.lengths, "row_id").crossJoin(F.broadcast(stats))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, 1e-6).otherwise(raw)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return weighed.select("key", "row_id", part.alias("part"), "df")
+    parts = [index.sized(rows.join(sent(df), "key")).select("key", "row_id", part.alias("part"), "df") for rows, df in _phrase_parts(phrases, index)]
+    return _united(parts, phrases, "key string, row_id string, part double, df long")
 
 
 def scored(phrases: DataFrame, parts: DataFrame) -> DataFrame:
@@ -149,6 +175,7 @@ def scored(phrases: DataFrame, parts: DataFrame) -> DataFrame:
 
 def bm25(phrases: DataFrame, index: Index) -> DataFrame:
     """(query_id, run, row_id, score) of the rows that match the phrases of a batch."""
+    phrases = held(phrases)
     return scored(phrases, phrase_scores(phrases, index))
 
 
@@ -196,10 +223,9 @@ def search_filtered(scores: DataFrame, rows: DataFrame, limit: int, **filters) -
 def signal_groups(groups: DataFrame, index: Index) -> DataFrame:
     """(query_id, group_id, members, df, status, idf) of groups as query_groups() gives them:
     stopword, zero_hit, low_signal or eligible. Stopword groups of widened queries are left out."""
-    phrases = group_run(groups, 0)
+    phrases = held(group_run(groups, 0))
     df = phrase_hits(phrases, index).select("query_id", "group_id", "row_id").distinct().groupBy("query_id", "group_id").agg(F.count("*").alias("df"))
-    n = index.lengths.agg(F.count("*").cast("double").alias("n"))  # one row
-    table = groups.join(df, ["query_id", "group_id"], "left").withColumn("df", F.coalesce("df", F.lit(0))).crossJoin(F.broadcast(n))
+    table = index.sized(groups.join(df, ["query_id", "group_id"], "left").withColumn("df", F.coalesce("df", F.lit(0))))
     low = (F.col("n") >= LOW_SIGNAL_ROWS) & (F.col("df") >= LOW_SIGNAL_DF) & (F.col("df") / F.col("n") >= LOW_SIGNAL_SHARE)
     common = F.forall("members", lambda m: F.lower(m).isin(*STOPWORDS))
     status = F.when(common, "stopword").when(F.col("df") == 0, "zero_hit").when(low, "low_signal").otherwise("eligible")
@@ -212,10 +238,10 @@ def relaxed_groups(groups: DataFrame, index: Index) -> DataFrame:
     row that covers the most signal. ``groups`` is what signal_groups() gives. Queries with too many
     groups, or whose best row covers too little, have none; a single group that is left of several
     isn't ``enough``."""
-    eligible = cut(groups.where("status = 'eligible'"))
+    eligible = held(groups.where("status = 'eligible'"))
     size = groups.groupBy("query_id").agg(F.count_if(F.col("status") == "eligible").alias("eligible"), F.count_if(F.col("status") != "eligible").alias("dropped"), F.sum(F.when(F.col("status") == "eligible", F.col("idf"))).alias("total"))
     size = size.where(f"eligible BETWEEN 1 AND {RELAX_GROUPS}")
-    own = group_run(eligible.join(size.where("eligible > 1").select("query_id"), "query_id", "left_semi"), 0)
+    own = held(group_run(eligible.join(size.where("eligible > 1").select("query_id"), "query_id", "left_semi"), 0))
     parts = cut(phrase_scores(own, index))
     any_ = own.withColumn("group_id", F.lit(0))
     candidates = ranked(scored(any_, parts), RELAX_CANDIDATES).select("query_id", "row_id", "rank")
@@ -248,7 +274,7 @@ def search(queries: DataFrame, index: Index, limit: int, glossary: DataFrame | N
         raise ValueError("filters need rows")
     wide = max(limit * 20, 100)
     if ranker == "rrf":
-        runs = cut(variants(queries, glossary))
+        runs = held(variants(queries, glossary))
         found = rrf(ranked(bm25(runs, index), wide), wide).withColumn("stage", F.lit(0))
     else:
         found = ranked(_first_stage(queries, index, glossary), wide if filtered else limit).withColumnRenamed("run", "stage")
@@ -260,16 +286,16 @@ def search(queries: DataFrame, index: Index, limit: int, glossary: DataFrame | N
 
 def _first_stage(queries: DataFrame, index: Index, glossary: DataFrame | None) -> DataFrame:
     """(query_id, run, row_id, score) of the first stage of each query that finds anything."""
-    groups = cut(query_groups(queries, glossary))
-    state = cut(signal_groups(groups, index))
+    groups = held(query_groups(queries, glossary))
+    state = held(signal_groups(groups, index))
     signal = state.where("status = 'eligible'").select("query_id").distinct()
     strict = strict_run(queries, 2)
-    first = cut((strict if glossary is None else strict.unionByName(group_run(groups.where("grown"), 1))).join(signal, "query_id", "left_semi"))
+    first = held((strict if glossary is None else strict.unionByName(group_run(groups.where("grown"), 1))).join(signal, "query_id", "left_semi"))
     found = cut(bm25(first, index))
     # Only queries that found nothing so far are relaxed.
     open_ = signal.join(found.select("query_id").distinct(), "query_id", "left_anti")
     kept = relaxed_groups(state.join(open_, "query_id", "left_semi"), index).where("enough")
-    relaxed = cut(group_run(state.join(kept, ["query_id", "group_id"], "left_semi"), 3))
+    relaxed = held(group_run(state.join(kept, ["query_id", "group_id"], "left_semi"), 3))
     every = found.unionByName(bm25(relaxed, index))
     least = found.groupBy("query_id").agg(F.min("run").alias("run")).unionByName(relaxed.select("query_id", "run").distinct())
     return every.join(least, ["query_id", "run"], "left_semi")
@@ -290,11 +316,11 @@ def diagnostics(queries: DataFrame, index: Index, glossary: DataFrame | None = N
     the strict query has rows the terms and the relaxed query are empty."""
     tokens = queries.select("query_id", query_tokens(F.col("query")).alias("tokens"))
     strict_text = tokens.select("query_id", F.array_join(F.transform("tokens", lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " ").alias("strict_query"))
-    state = cut(signal_groups(cut(query_groups(queries, glossary)), index))
-    strict = cut(strict_run(queries, 2))
-    found = cut(bm25(strict, index).select("query_id").distinct()).withColumn("found", F.lit(True))
+    state = held(signal_groups(held(query_groups(queries, glossary)), index))
+    strict = held(strict_run(queries, 2))
+    found = held(bm25(strict, index).select("query_id").distinct()).withColumn("found", F.lit(True))
     open_ = state.join(found, "query_id", "left_anti")
-    kept = cut(relaxed_groups(open_, index))
+    kept = held(relaxed_groups(open_, index))
     relaxed = fts_string(state.join(kept, ["query_id", "group_id"], "left_semi"), "relaxed")
     zero = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("group_id", F.when(F.col("status") == "zero_hit", F.col("members")[0]).alias("w")))), lambda x: x["w"]), lambda w: w.isNotNull())
     every = state.groupBy("query_id").agg(F.array_join(zero, " ").alias("zero"), F.count_if(F.col("status") == "eligible").alias("eligible"))
@@ -334,25 +360,46 @@ def grep(queries: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def snippets(results: DataFrame, rows: DataFrame, queries: DataFrame, column: str = "body", width: int = 12) -> DataFrame:
-    """(query_id, row_id, snippet): the earliest window of ``width`` terms with the most distinct
-    query words, these in brackets; dots where it is cut."""
-    terms = F.transform(query_tokens(F.col("query")), lambda t: F.lower(t))
-    wanted = queries.select("query_id", terms.alias("wanted"))
-    shown = results.select("query_id", "row_id").join(wanted, "query_id").join(rows.select(F.col("path").alias("row_id"), index_terms(F.col(column)).alias("terms")), "row_id")
-    n = F.size("terms")
-    last = F.greatest(n - width, F.lit(0))
+#: Stand for the brackets until it is known which column is shown; texts have brackets of their own.
+_OPEN, _CLOSE = "\x01", "\x02"
+
+
+def _windows(results: DataFrame, rows: DataFrame, queries: DataFrame, column: str, width: int) -> DataFrame:
+    """(query_id, row_id, snippet) with _OPEN and _CLOSE for brackets."""
+    wanted = queries.select("query_id", F.flatten(F.transform(query_tokens(F.col("query")), index_terms)).alias("wanted"))
+    pieces = F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(PIECE), F.lit(0))
+    shown = results.select("query_id", "row_id").join(wanted, "query_id").join(rows.select(F.col("path").alias("row_id"), pieces.alias("pieces")), "row_id")
+    # Terms are compared folded, and shown as they stand in the text. ``at`` has the places of terms among the pieces.
+    shown = shown.withColumn("folded", F.transform("pieces", fold))
+    shown = shown.withColumn("at", F.filter(F.transform("folded", lambda t, i: F.when(t.rlike(TERM), i)), lambda i: i.isNotNull()))
+    shown = shown.withColumn("terms", F.filter("folded", lambda t: t.rlike(TERM))).withColumn("n", F.size("at"))
+    last = F.greatest(F.col("n") - width, F.lit(0))
     hits = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((-F.size(F.array_intersect(F.slice("terms", i + 1, F.lit(width)), "wanted"))).alias("hits"), i.alias("start")))
-    best = shown.withColumn("start", F.array_min(hits)["start"]).withColumn("n", n)
-    marked = F.transform(F.slice("terms", F.col("start") + 1, F.lit(width)), lambda t: F.when(F.array_contains("wanted", t), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
-    text = F.concat(F.when(F.col("start") > 0, "...").otherwise(""), F.array_join(marked, " "), F.when(F.col("start") + width < F.col("n"), "...").otherwise(""))
+    best = shown.withColumn("start", F.array_min(hits)["start"])
+    first = F.when(F.col("start") == 0, 0).otherwise(F.get("at", F.col("start")))
+    end = F.when(F.col("start") + width >= F.col("n"), F.size("pieces")).otherwise(F.get("at", F.col("start") + width - 1) + 1)
+    best = best.withColumn("first", first).withColumn("end", end)
+    cut_ = lambda c: F.slice(c, F.col("first") + 1, F.col("end") - F.col("first"))
+    marked = F.zip_with(cut_("pieces"), cut_("folded"), lambda p, t: F.when(F.array_contains("wanted", t), F.concat(F.lit(_OPEN), p, F.lit(_CLOSE))).otherwise(p))
+    text = F.concat(F.when(F.col("start") > 0, "...").otherwise(""), F.array_join(marked, ""), F.when(F.col("start") + width < F.col("n"), "...").otherwise(""))
     return best.select("query_id", "row_id", text.alias("snippet"))
 
 
-def best_snippets(results: DataFrame, rows: DataFrame, queries: DataFrame, body: str = "body") -> DataFrame:
+def _bracketed(snippet: Column) -> Column:
+    return F.translate(snippet, _OPEN + _CLOSE, "[]")
+
+
+def snippets(results: DataFrame, rows: DataFrame, queries: DataFrame, column: str = "body", width: int = 12) -> DataFrame:
+    """(query_id, row_id, snippet): the earliest window of ``width`` terms with the most distinct
+    query words, cut from the text as it stands, its case, accents and signs kept. Words that equal a
+    query word without case and accents are in brackets; dots where it is cut."""
+    return _windows(results, rows, queries, column, width).withColumn("snippet", _bracketed(F.col("snippet")))
+
+
+def best_snippets(results: DataFrame, rows: DataFrame, queries: DataFrame, body: str = "body", width: int = 12) -> DataFrame:
     """(query_id, row_id, snippet): of the content column if it holds a query word, else of the
     body if that does, else of the one that has any text."""
-    both = snippets(results, rows, queries, "content").withColumnRenamed("snippet", "c").join(snippets(results, rows, queries, body).withColumnRenamed("snippet", "b"), ["query_id", "row_id"])
-    marked = lambda c: F.contains(c, F.lit("[")) & F.contains(c, F.lit("]"))
+    both = _windows(results, rows, queries, "content", width).withColumnRenamed("snippet", "c").join(_windows(results, rows, queries, body, width).withColumnRenamed("snippet", "b"), ["query_id", "row_id"])
+    marked = lambda c: F.contains(c, F.lit(_OPEN))
     chosen = F.when(marked(F.col("c")), F.col("c")).when(marked(F.col("b")), F.col("b")).when(F.col("c") != "", F.col("c")).otherwise(F.col("b"))
-    return both.select("query_id", "row_id", chosen.alias("snippet"))
+    return both.select("query_id", "row_id", _bracketed(chosen).alias("snippet"))

@@ -100,6 +100,10 @@ groups AS (SELECT query_id, min(pos) AS group_id, arg_min(members, pos) AS membe
 _BASE = f"WITH {_NOTES}, {_TOPICS}, {_QWORDS}, {_TGROUPS}, {_MEMBERS}, {_occ('notes', 'path', NOTE_WEIGHTS)}"
 
 
+#: The same over the notes whose number doesn't end in 7.
+_LATER = _BASE.replace("FROM documents))", "FROM documents WHERE doc_id % 10 <> 7))")
+
+
 def _search(runs: list[tuple[str, int]], limit: int, out: str = "SELECT query_id, row_id, round(score, 6) AS score, rank FROM ranked", base: str = "") -> str:
     phrases = " UNION ALL ".join(f"SELECT * FROM ({_run(k, r)}) WHERE len(terms) > 0" for k, r in runs)
     names = "query_id, run, group_id, phrase_id, terms, prefix"
@@ -167,17 +171,16 @@ SELECT query_id, strict_query, CASE WHEN strict_query = '' OR rows_ THEN '' ELSE
     CASE WHEN strict_query = '' OR rows_ OR (enough AND NOT silent) THEN '' ELSE 'no_signal' END AS reason FROM dg"""
 
 
-def _snippet(column: str) -> str:
-    """The snippet of a column of d, for words ``wanted``."""
-    ts = _terms(column)
-    start = f"list_position(list_transform(range(0, greatest(len({ts}) - 12, 0) + 1), lambda i: len(list_intersect({ts}[i + 1:i + 12], wanted))), list_max(list_transform(range(0, greatest(len({ts}) - 12, 0) + 1), lambda i: len(list_intersect({ts}[i + 1:i + 12], wanted))))) - 1"
-    return f"(SELECT CASE WHEN s > 0 THEN '...' ELSE '' END || coalesce(array_to_string(list_transform(x[s + 1:s + 12], lambda t: CASE WHEN list_contains(wanted, t) THEN '[' || t || ']' ELSE t END), ' '), '') || CASE WHEN s + 12 < len(x) THEN '...' ELSE '' END FROM (SELECT {ts} AS x, {start} AS s))"
-
-
-#: Snippets of (query_id, row_id) in ``shown``.
-_SNIPPETS = f"""dw AS (SELECT s.query_id, s.row_id, n.content, n.body, list_transform(q.toks, lambda t: lower(t)) AS wanted FROM shown s JOIN notes n ON n.path = s.row_id JOIN qall q USING (query_id)),
-cb AS (SELECT query_id, row_id, {_snippet('content')} AS c, {_snippet('body')} AS b FROM dw),
-snip AS (SELECT query_id, row_id, CASE WHEN contains(c, '[') AND contains(c, ']') THEN c WHEN contains(b, '[') AND contains(b, ']') THEN b WHEN c <> '' THEN c ELSE b END AS snippet FROM cb)"""
+_BITS = r"'[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+'"
+#: Snippets of (query_id, row_id) in ``shown``: twelve terms of the text as it stands, from where most different words are met.
+_SNIPPETS = rf"""dw AS (SELECT s.query_id, s.row_id, unnest(['c', 'b']) AS col, unnest([n.content, n.body]) AS txt, {_terms("array_to_string(q.toks, ' ')")} AS wanted FROM shown s JOIN notes n ON n.path = s.row_id JOIN qall q USING (query_id)),
+sp AS (SELECT *, regexp_extract_all(txt, {_BITS}) AS ps FROM dw),
+so AS (SELECT *, list_filter(range(1, len(ps) + 1), lambda i: regexp_matches(ps[i], '[\p{{L}}\p{{N}}]')) AS tk FROM sp),
+sh AS (SELECT *, list_transform(range(0, greatest(len(tk) - 12, 0) + 1), lambda i: len(list_intersect(list_transform(tk[i + 1:i + 12], lambda j: strip_accents(lower(ps[j]))), wanted))) AS hs FROM so),
+ss AS (SELECT *, list_position(hs, list_max(hs)) - 1 AS s FROM sh),
+sx AS (SELECT query_id, row_id, col, CASE WHEN s > 0 THEN '...' ELSE '' END || array_to_string(list_transform(ps[CASE WHEN s = 0 THEN 1 ELSE tk[s + 1] END:CASE WHEN s + 12 >= len(tk) THEN len(ps) ELSE tk[s + 12] END], lambda p: CASE WHEN list_contains(wanted, strip_accents(lower(p))) THEN chr(1) || p || chr(2) ELSE p END), '') || CASE WHEN s + 12 < len(tk) THEN '...' ELSE '' END AS x FROM ss),
+cb AS (SELECT query_id, row_id, coalesce(max(x) FILTER (col = 'c'), '') AS c, coalesce(max(x) FILTER (col = 'b'), '') AS b FROM sx GROUP BY 1, 2),
+snip AS (SELECT query_id, row_id, replace(replace(CASE WHEN contains(c, chr(1)) THEN c WHEN contains(b, chr(1)) THEN b WHEN c <> '' THEN c ELSE b END, chr(1), '['), chr(2), ']') AS snippet FROM cb)"""
 
 
 def _packets(most: int) -> str:
@@ -262,6 +265,8 @@ SQL = {
     "sha256_signatures": f"WITH {_NOTES} SELECT path, strlen(body) AS size, sha256(body) AS sha256 FROM notes",
     "manifest_diff": f"WITH {_NOTES}, o AS (SELECT path, body FROM notes WHERE NOT ends_with(path, '3.md')), n AS (SELECT path, CASE WHEN tags = 'de' THEN body || '!' ELSE body END AS body FROM notes WHERE NOT ends_with(path, '7.md')) SELECT path, CASE WHEN o.body IS NULL THEN 'added' WHEN n.body IS NULL THEN 'removed' WHEN o.body <> n.body THEN 'updated' ELSE 'same' END AS change FROM o FULL JOIN n USING (path)",
     "index_staleness": f"WITH {_NOTES}, d AS (SELECT ends_with(path, '3.md') AS a, ends_with(path, '7.md') AS r, tags = 'de' AS u FROM notes) SELECT count(*) FILTER (NOT a AND NOT r AND u) AS changed, count(*) FILTER (a) AS missing, count(*) FILTER (r) AS removed, count(*) FILTER (NOT a AND NOT r AND NOT u) AS fresh FROM d",
+    "sync_search": _search([("or", 2)], 3, base=_LATER),
+    "sync_compacted_terms": f"{_LATER} SELECT term, count(DISTINCT row_id) AS df FROM occ GROUP BY term",
     "create_outcomes": f"WITH {_NOTES}, there AS (SELECT DISTINCT 'knowledge/' || {_SLUG.format("type || ' ' || tags")} || '.md' AS path FROM notes WHERE tags = 'en'), rq AS (SELECT source || ' ' || lang AS title, text FROM documents), p AS (SELECT *, 'knowledge/' || {_SLUG.format('title')} || '.md' AS path FROM rq) SELECT path, CASE WHEN {_secret('text')} THEN 'secret' WHEN path IN (SELECT path FROM there) THEN 'exists' ELSE 'created' END AS outcome, count(*) AS n FROM p GROUP BY 1, 2",
     "append_outcomes": f"WITH {_NOTES}, rq AS (SELECT 'docs/' || lpad((doc_id + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END)::VARCHAR, 8, '0') || '.md' AS path, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS addition, doc_id % 7 = 1 AS wrong FROM documents), oc AS (SELECT rq.path, addition, body, CASE WHEN body IS NULL THEN 'missing' WHEN wrong THEN 'conflict' WHEN coalesce(addition, '') = '' THEN 'empty' WHEN {_secret('addition')} THEN 'secret' WHEN contains(body, addition) THEN 'noop' ELSE 'update' END AS outcome FROM rq LEFT JOIN notes USING (path)) SELECT path, outcome, sha256(CASE WHEN outcome = 'update' THEN body || CASE WHEN ends_with(body, chr(10)) THEN chr(10) ELSE chr(10) || chr(10) END || addition || chr(10) ELSE body END) AS text_sha256 FROM oc",
     "usage_summary": f"WITH {_USAGE} SELECT count(*) AS events, min(ts) AS first_event, max(ts) AS last_event, count(*) FILTER (command = 'view') AS searches, count(*) FILTER (command = 'click') AS retrieves, count(*) FILTER (command IN ('purchase', 'signup')) AS writes, count(*) FILTER (status <> 'ok') AS errors, round(sum(coalesce(duration_ms, 0)) / count(*), 3) AS avg_duration_ms, coalesce(sum(floor(duration_ms)), 0)::BIGINT AS total_estimated_tokens FROM log",

@@ -34,26 +34,39 @@ def _topics(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"), F.col("text"))
 
 
-#: Where the indexes of a session's tables are, by application, table and weights.
-_folders: dict[tuple[str, str, str], str] = {}
+#: A session's indexes by application, table and name, each with what its table's files were then.
+_opened: dict[tuple[str, str, str], tuple[str, list, index.Index]] = {}
 
 
-def _stored_index(spark: SparkSession, sf: str, name: str, rows: DataFrame, weights: dict[str, float], key: str) -> index.Index:
-    """The index of a table's rows in the shared folder, written when the session first asks for it."""
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of each file of a table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
+def _stored_index(spark: SparkSession, sf: str, name: str, table: str, rows: DataFrame, weights: dict[str, float], key: str) -> index.Index:
+    """The index of a table's rows in the shared folder: written when the session first asks for it,
+    and brought up to date when the table's files have changed since."""
     known = spark.sparkContext.applicationId, sf, name
-    if known not in _folders:
-        folder = f"{shared_folder(spark)}/index-{name}-{uuid.uuid4().hex}"
-        index.update(rows, weights, folder, key, "text" if key == "passage_id" else "body")
-        _folders[known] = folder
-    return index.read(spark, _folders[known])
+    files = _files(spark, f"{sf}/{table}.parquet")
+    folder, seen, opened = _opened.get(known, (f"{shared_folder(spark)}/index-{name}-{uuid.uuid4().hex}", None, None))
+    if files != seen:
+        opened = index.repaired(rows, weights, folder, key)
+        _opened[known] = folder, files, opened
+    return opened
 
 
 def _index(spark: SparkSession, sf: str) -> index.Index:
-    return _stored_index(spark, sf, "notes", _notes(spark, sf), WEIGHTS, "path")
+    return _stored_index(spark, sf, "notes", "documents", _notes(spark, sf), WEIGHTS, "path")
 
 
 def _passage_index(spark: SparkSession, sf: str) -> index.Index:
-    return _stored_index(spark, sf, "passages", _passages(spark, sf), index.PASSAGE_WEIGHTS, "passage_id")
+    return _stored_index(spark, sf, "passages", "conversations", _passages(spark, sf), index.PASSAGE_WEIGHTS, "passage_id")
 
 
 def _glossary(spark: SparkSession) -> DataFrame:
@@ -275,6 +288,29 @@ def index_staleness(spark, sf):
     return index.staleness(manifest_diff(spark, sf))
 
 
+def _synced(spark, sf):
+    """The folder of an index of earlier notes, brought up to date with later ones: some notes are
+    new, some are gone, and of the German ones the title alone has changed."""
+    notes, folder = _notes(spark, sf), f"{shared_folder(spark)}/synced-{uuid.uuid4().hex}"
+    earlier = notes.withColumn("title", F.when(F.col("tags") == "de", F.concat(F.lit("earlier "), "title")).otherwise(F.col("title")))
+    index.update(earlier.where(~F.col("path").endswith("3.md")), WEIGHTS, folder)
+    index.update(notes.where(~F.col("path").endswith("7.md")), WEIGHTS, folder)
+    return folder
+
+
+def sync_search(spark, sf):
+    """Search of an index of two runs, with dead rows in the first."""
+    opened = index.read(spark, _synced(spark, sf))
+    return _scores(search.ranked(search.bm25(search.or_run(_topics(spark, sf)), opened), LIMIT))
+
+
+def sync_compacted_terms(spark, sf):
+    """The vocabulary of that index once its runs are merged: no term of dead rows alone is left."""
+    folder = _synced(spark, sf)
+    index.compact(spark, folder)
+    return index.document_frequency(index.read(spark, folder))
+
+
 def create_outcomes(spark, sf):
     requests = _table(spark, sf, "documents").select(F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("body"))
     there = _notes(spark, sf).select(F.concat(F.lit("knowledge/"), X.slug(F.concat_ws(" ", "type", "tags")), F.lit(".md")).alias("path"), "tags").where("tags = 'en'")
@@ -395,7 +431,7 @@ def writeback_summary(spark, sf):
 NAMES = (
     token_counts, safe_prefix_stems, slugs, doc_frequency, bm25_strict_docs, bm25_or_docs, bm25_prefix_docs, bm25_glossary_docs, bm25_passages, search_filtered, rrf_docs, rrf_passages, signal_groups, relaxed_search, search_passages, abstain_diagnostics, diagnostics_passages,
     grep_baseline, snippet_window, passage_split, section_extract, line_range, needle_snippet, retrieve_docs_budget, retrieve_docs_auto, retrieve_passages_budget, lexical_pairs, simhash_md5, find_similar, secret_findings, redacted, schema_validate, vault_stats, type_counts, tag_counts,
-    glossary_expand, glossary_lookup, glossary_validate, glossary_suggest, explain_matches, sha256_signatures, manifest_diff, index_staleness, create_outcomes, append_outcomes, usage_summary, usage_by_command, usage_top_documents, usage_top_terms,
+    glossary_expand, glossary_lookup, glossary_validate, glossary_suggest, explain_matches, sha256_signatures, manifest_diff, index_staleness, sync_search, sync_compacted_terms, create_outcomes, append_outcomes, usage_summary, usage_by_command, usage_top_documents, usage_top_terms,
     usage_evidence, ir_metrics, slice_metrics, corpus_metadata, golden_prefix_compare, agent_sufficiency, context_reduction, latency_percentiles, metric_deltas, writeback_decisions, writeback_summary,
 )
 QUERIES = {f.__name__: f for f in NAMES}

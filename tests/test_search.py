@@ -147,6 +147,88 @@ def test_stored_index_follows_its_rows(spark, tmp_path):
     assert {(r["term"], r["df"]) for r in index.document_frequency(index.read(spark, folder)).collect()} == {("alpha", 2), ("beta", 2), ("gamma", 1)}
 
 
+def found_by(spark, index_, *texts):
+    return {(r["query_id"], r["row_id"]) for r in search.bm25(search.or_run(queries(spark, *texts)), index_).collect()}
+
+
+def test_stored_index_sees_edits_of_any_column_and_repeated_keys(spark, tmp_path):
+    weights, folder = {"path": 0.1, "title": 8.0, "body": 1.0}, str(tmp_path / "ix")
+    schema = "path string, title string, body string, term string, version int"  # extra columns with names of the index's own
+    rows = lambda *r: spark.createDataFrame([(*x, "t", 7) for x in r], schema)
+    assert index.update(rows(("a.md", "old title", "same"), ("b.md", None, ""), (None, "no key", "x")), weights, folder) == {"version": 0, "added": 2}
+    later = rows(("a.md", "new zebra", "same"), ("b.md", "", None))
+    assert index.update(later, weights, folder) == {"version": 1, "updated": 1, "same": 1}  # null and empty are the same
+    assert found_by(spark, index.read(spark, folder), "zebra", "old", "same", "key") == {(0, "a.md"), (2, "a.md")}
+    # Of two rows with one key one counts, whatever their order, and equal ones count once.
+    twice = rows(("a.md", "new zebra", "same"), ("c.md", "first", "x"), ("c.md", "second", "x"), ("c.md", "first", "x"))
+    assert index.update(twice, weights, folder) == {"version": 2, "added": 1, "removed": 1, "same": 1}
+    held = index.read(spark, folder)
+    assert len(found_by(spark, held, "first", "second")) == 1 and held.size == (2.0, 4.5) and held.lengths.count() == 2
+    assert index.update(twice, weights, folder) == {"version": 2, "same": 2}
+
+
+def test_compaction_merges_runs_and_drops_dead_rows(spark, tmp_path):
+    weights, folder = {"body": 1.0}, str(tmp_path / "ix")
+    index.update(docs(spark, "alpha gone", "beta", "gamma"), weights, folder)
+    index.update(spark.createDataFrame([("0.md", "alpha"), ("1.md", "beta beta")], "path string, body string"), weights, folder)
+    before = index.read(spark, folder)
+    assert before.dead.count() == 3 and [v for v, _ in before.runs] == [0, 1]
+    scores = lambda held: {(r["query_id"], r["row_id"], round(r["score"], 9)) for r in search.bm25(search.or_run(queries(spark, "alpha", "beta gamma", "gone")), held).collect()}
+    was = scores(before)
+    assert index.compact(spark, folder) == 2
+    after = index.read(spark, folder)
+    assert scores(after) == was and after.dead is None and [v for v, _ in after.runs] == [2]
+    assert {tuple(r) for r in after.vocabulary.select("term", "df").collect()} == {("alpha", 1), ("beta", 1)}
+    assert sorted(p.name for p in (tmp_path / "ix").iterdir() if not p.name.startswith(".")) == ["manifest-2", "postings", "state-2", "terms"]
+    assert index.compact(spark, folder) == 2
+    # Many dead rows: the next repair compacts by itself, down to an empty index.
+    assert index.repaired(spark.createDataFrame([], "path string, body string"), weights, folder).all().count() == 0
+    assert found_by(spark, index.read(spark, folder), "alpha", "beta") == set()
+    assert found_by(spark, index.repaired(docs(spark, "delta"), weights, folder), "delta", "beta") == {(0, "0.md")}
+
+
+def test_a_batch_opens_the_folders_of_its_terms_alone(spark, tmp_path):
+    folder = str(tmp_path / "ix")
+    index.update(docs(spark, *(f"word{k} common" for k in range(300))), {"body": 1.0}, folder)
+    held = index.read(spark, folder)
+    few = held.of(["word7", "word8"])
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "In(term" in plan.split("PushedFilters")[1]
+    assert {r["row_id"] for r in few.collect()} == {"7.md", "8.md"}
+    opened = few.select(index.F.input_file_name().alias("f")).distinct().count()
+    assert opened <= 2 and len(held.postings.inputFiles()) > 20
+    assert {tuple(r) for r in held.frequencies(["word7", "common", "none"]).collect()} == {("word7", 1), ("common", 300)}
+
+
+def test_accents_inside_and_after_letters_are_the_same(spark):
+    rows = docs(spark, "decisa\u0303o e ac\u0327a\u0303o", "decis\u00e3o", "decisao", "deciso")
+    assert found_by(spark, indexed(rows), "DECIS\u00c3O", "decisa\u0303o", "acao") == {(q, f"{k}.md") for q in (0, 1) for k in (0, 1, 2)} | {(2, "0.md")}
+
+
+def test_snippets_are_cut_from_the_text_as_it_stands(spark):
+    long = "Uma Decis\u00e3o [sic], sobre a A\u00c7\u00c3O!\n" + " ".join(f"w{k}," for k in range(40)) + " the Zebra_Crossing (here) a\u0303."
+    rows = spark.createDataFrame([("a.md", long, "plain [text]"), ("b.md", "...", ""), ("c.md", None, "Only content")], "path string, body string, content string")
+    found = spark.createDataFrame([(0, "a.md"), (1, "a.md"), (2, "a.md"), (0, "b.md"), (0, "c.md")], "query_id long, row_id string")
+    asks = queries(spark, "decisao acao", "zebra_crossing \u00e3", "nothing")
+    got = {(r["query_id"], r["row_id"]): r["snippet"] for r in search.best_snippets(found, rows, asks).collect()}
+    assert got[0, "a.md"] == "Uma [Decis\u00e3o] [sic], sobre a [A\u00c7\u00c3O]!\nw0, w1, w2, w3, w4, w5..."
+    assert got[1, "a.md"] == "...w33, w34, w35, w36, w37, w38, w39, the [Zebra]_[Crossing] (here) [a\u0303]."
+    assert got[2, "a.md"] == "plain [text]" and got[0, "b.md"] == "..." and got[0, "c.md"] == "Only content"
+
+
+def test_parts_of_notes(spark):
+    rows = docs(spark, "first\nThe L\u00cdCENSE, and its version 2\nlast", "license: version", "version")
+    found = {r["path"]: (r["line"], r["text"]) for r in passages.extract_snippet(rows, "license, Version", 1).collect()}
+    assert found == {"0.md": (2, "first\nThe L\u00cdCENSE, and its version 2\nlast"), "1.md": (1, "license: version")}
+    for bad in (lambda: passages.extract_snippet(rows, ""), lambda: passages.extract_snippet(rows, "x", -1), lambda: passages.extract_lines(index.F.col("body"), 0, 2), lambda: passages.extract_lines(index.F.col("body"), 3, 2)):
+        try:
+            bad()
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+
+
 def test_lexical_pairs_and_holders_match_all_pairs(spark):
     import random
 
