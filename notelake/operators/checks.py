@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.functions.text import SECRETS, fold
+from notelake.functions.text import SECRETS, fold, query_tokens
+from notelake.operators.glossary import expanded_tokens
+from notelake.operators.lineage import sent
 
 REQUIRED = ("type", "title", "description", "tags", "timestamp")
 
@@ -98,9 +100,26 @@ def counts_by(notes: DataFrame, column: str) -> DataFrame:
     return notes.select("path", F.explode(F.array_distinct(F.split(column, " "))).alias("value")).where("value <> ''").groupBy("value").agg(F.count("*").alias("documents"))
 
 
-def explain_matches(results: DataFrame, queries_words: DataFrame, notes: DataFrame) -> DataFrame:
-    """(query_id, row_id, term, fields): which fields hold each query word, as folded substrings."""
-    fields = ("title", "description", "tags", "aliases", "systems", "signals", "body")
-    hay = notes.select(F.col("path").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), fold(F.coalesce(F.col(f), F.lit(""))).alias("hay")) for f in fields])).alias("f")).select("row_id", "f.field", "f.hay")
-    pairs = results.select("query_id", "row_id").join(queries_words.select("query_id", fold(F.col("token")).alias("term")), "query_id").join(hay, "row_id").where(F.contains("hay", F.col("term")))
-    return pairs.groupBy("query_id", "row_id", "term").agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
+#: Fields in which a match is looked for.
+EXPLAINED = ("title", "description", "tags", "aliases", "systems", "signals", "body", "passage")
+
+
+def explain_matches(results: DataFrame, queries: DataFrame, rows: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
+    """(query_id, row_id, term, fields): which fields of a result hold each query word, and each
+    synonym that the glossary adds, as a substring without case and accents; fields in order.
+
+    ``rows`` has row_id and those of the fields there are, ``passage`` for results that are one. Words
+    come first, then synonyms; of equal ones the first counts. Terms found nowhere are left out.
+    """
+    words = queries.select("query_id", query_tokens(F.col("query")).alias("words"))
+    if glossary is not None:
+        words = words.join(sent(expanded_tokens(queries, glossary)), "query_id", "left").select("query_id", F.concat("words", F.coalesce("tokens", F.expr("cast(array() as array<string>)"))).alias("words"))
+    keys = F.transform("words", fold)
+    terms = words.withColumn("keys", keys).select("query_id", F.filter(F.transform("words", lambda w, i: F.struct(w.alias("term"), F.get("keys", i).alias("key"), i.alias("i"))), lambda t: (F.array_position("keys", t["key"]) == t["i"] + 1) & (t["key"] != "")).alias("terms"))
+    here = [f for f in EXPLAINED if f in rows.columns]
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), fold(F.coalesce(F.col(f), F.lit(""))).alias("text")) for f in sorted(here)])
+    asked = results.select("query_id", "row_id")
+    shown = asked.join(rows.join(sent(asked.select("row_id").distinct()), "row_id", "left_semi").select("row_id", fields.alias("fields")), "row_id").join(terms, "query_id")
+    each = shown.select("query_id", "row_id", "fields", F.explode("terms").alias("t"))
+    holding = F.transform(F.filter("fields", lambda f: F.contains(f["text"], F.col("t.key"))), lambda f: f["field"])
+    return each.select("query_id", "row_id", F.col("t.term").alias("term"), F.array_join(holding, ",").alias("fields")).where("fields <> ''")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.functions.text import words_of
-from notelake.operators.lineage import cut, sent
+from notelake.functions.text import approx_tokens
+from notelake.operators import grams
 
 
 def per_topic(run: DataFrame, qrels: DataFrame, topics: DataFrame, k: int) -> DataFrame:
@@ -26,23 +26,24 @@ def per_topic(run: DataFrame, qrels: DataFrame, topics: DataFrame, k: int) -> Da
     return joined.select("query_id", F.round(recall, 6).alias("recall"), F.round(F.when(F.col("first").isNull(), 0.0).otherwise(1.0 / F.col("first")), 6).alias("mrr"), F.round(F.when(zero("idcg") == 0, 0.0).otherwise(zero("dcg") / F.col("idcg")), 6).alias("ndcg"))
 
 
-def holders(items: DataFrame, notes: DataFrame) -> DataFrame:
+def holders(items: DataFrame, notes: DataFrame, trigrams: grams.Grams | None = None) -> DataFrame:
     """(query_id, path): the notes (path, body) that hold the whole text of an item (query_id, text).
-
-    A note that holds an item has each of its inner words as a word: notes and items meet by the
-    item's rarest inner word, and are then compared. Items with fewer than three words meet all notes.
-    """
-    inner = F.expr("slice(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]+', 0), 2, greatest(size(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}_]+', 0)) - 2, 0))")
-    words = items.select("query_id", F.explode(F.array_distinct(inner)).alias("w"))
-    has = notes.select("path", F.explode(words_of(F.col("body"))).alias("w")).join(sent(words.select("w").distinct()), "w", "left_semi")
-    df = has.groupBy("w").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "w")
-    rarest = cut(words.join(sent(df), "w", "left").withColumn("k", F.row_number().over(order)).where("k = 1").select("query_id", "w"))
-    met = has.join(sent(rarest), "w").select("query_id", "path")
-    short = items.join(rarest, "query_id", "left_anti").select("query_id")
-    met = met.unionByName(short.crossJoin(notes.select("path")))
-    pairs = met.join(items, "query_id").join(notes.select("path", "body"), "path")
-    return pairs.where(F.contains("body", F.col("text"))).select("query_id", "path")
+    ``trigrams`` of the bodies may be kept between calls. Empty items count as held by none."""
+    rows = notes.select(F.col("path").alias("row_id"), F.col("body").alias("hay"))
+    searches = items.where("text <> ''").select("query_id", F.array("text").alias("words"))
+    return grams.holding(searches, rows, trigrams or grams.built(rows)).withColumnRenamed("row_id", "path")
+
+
+def grep_summary(run: DataFrame, qrels: DataFrame, topics: DataFrame, notes: DataFrame, most: int) -> DataFrame:
+    """One row about a baseline that reads every note it finds: topics, mean recall, MRR and nDCG at
+    ``most``, how many topics without an answer (query_id, category) found something, notes read and
+    their tokens, and means of these. ``run`` has (query_id, path, rank)."""
+    read = run.join(notes.select("path", approx_tokens(F.col("body")).alias("tokens")), "path").groupBy("query_id").agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"))
+    rows = per_topic(run, qrels, topics, most).join(topics.select("query_id", "category"), "query_id").join(read, "query_id", "left").fillna(0, ["files", "tokens"])
+    mean = lambda c: F.round(F.avg(c), 4)
+    silent = F.count_if(F.col("category") == "no_answer")
+    wrong = F.round(F.when(silent > 0, F.count_if((F.col("category") == "no_answer") & (F.col("files") > 0)) / silent).otherwise(0.0), 4)
+    return rows.agg(F.count("*").alias("topics"), mean("recall").alias("mean_recall"), mean("mrr").alias("mean_mrr"), mean("ndcg").alias("mean_ndcg"), wrong.alias("false_positive_rate"), F.sum("files").alias("files_read"), mean("files").alias("mean_files_read"), F.sum("tokens").alias("returned_tokens"), mean("tokens").alias("mean_returned_tokens"))
 
 
 def by_slice(metrics: DataFrame, topics: DataFrame, full_tokens: DataFrame, packets: DataFrame, budget: int) -> DataFrame:
@@ -177,12 +178,3 @@ def sufficiency(contexts: DataFrame, facts: DataFrame) -> DataFrame:
     hit = F.count_if(F.contains(F.lower("context"), F.lower("fact")))
     n = F.count("fact")
     return joined.groupBy("query_id").agg(n.alias("facts"), hit.alias("covered"), F.round(F.when(n == 0, 1.0).otherwise(hit / n), 4).alias("coverage"))
-
-
-def decision_summary(cases: DataFrame) -> DataFrame:
-    """(action, expected, predicted, correct, precision, recall) of (expected_action, action) rows."""
-    both = cases.select(F.explode(F.array_distinct(F.array("expected_action", "action"))).alias("act"), "expected_action", "action")
-    e, p = F.count_if(F.col("act") == F.col("expected_action")), F.count_if(F.col("act") == F.col("action"))
-    c = F.count_if((F.col("act") == F.col("action")) & (F.col("act") == F.col("expected_action")))
-    rate = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(1.0), 4)
-    return both.groupBy(F.col("act").alias("action")).agg(e.alias("expected"), p.alias("predicted"), c.alias("correct"), rate(c, p).alias("precision"), rate(c, e).alias("recall"))

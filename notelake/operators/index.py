@@ -135,11 +135,11 @@ def built(rows: DataFrame, weights: dict[str, float], key: str = "path") -> Inde
     return Index(_grouped(occurrences(rows, weights, key)), row_lengths(rows, weights, key))
 
 
-def update(rows: DataFrame, weights: dict[str, float], folder: str, key: str = "path") -> dict[str, int]:
+def update(rows: DataFrame, weights: dict[str, float], folder: str, key: str = "path", whole: bool = True) -> dict[str, int]:
     """Brings the index in a folder up to date with the rows, and counts what changed.
 
     Without an index there it is built in full. A row is read again if any of its indexed columns
-    changed, whichever; rows that are gone become dead. Of rows that repeat a key one counts, that
+    changed, whichever; rows that are gone become dead, unless the rows aren't the ``whole`` table. Of rows that repeat a key one counts, that
     with the smallest digest; rows without a key aren't indexed.
     """
     spark = rows.sparkSession
@@ -148,7 +148,8 @@ def update(rows: DataFrame, weights: dict[str, float], folder: str, key: str = "
     signed = rows.where(F.col(key).isNotNull()).withColumn("_sha256", _digest(weights))
     now = signed.select(F.col(key).alias("path"), F.col("_sha256").alias("sha256"), _bytes(weights).alias("size")).groupBy("path").agg(F.min(F.struct("sha256", "size")).alias("s"), F.count("*").alias("times")).select("path", "s.*", "times")
     old = _manifest(spark, folder, version - 1) if state else now.select("path", "size", "sha256", F.lit(0).alias("len"), F.lit(0).alias("version")).limit(0)
-    diff = cut(manifest_diff(old, now, "times", was="version"))
+    diff = manifest_diff(old, now, "times", was="version")
+    diff = cut(diff if whole else diff.withColumn("change", F.when(F.col("change") == "removed", "same").otherwise(F.col("change"))))
     told = diff.groupBy("change").agg(F.count("*").alias("n"), F.max("times").alias("times"), F.sum("size").alias("bytes")).collect()  # four kinds at most
     counts = {r["change"]: r["n"] for r in told}
     if state and not counts.keys() - {"same"}:
@@ -195,12 +196,16 @@ def compact(spark: SparkSession, folder: str) -> int:
 def repaired(rows: DataFrame, weights: dict[str, float], folder: str, key: str = "path") -> Index:
     """The index in a folder, updated first if it is missing or stale, and compacted if it has many
     runs or dead rows."""
-    spark = rows.sparkSession
     update(rows, weights, folder, key)
-    state = _known(spark, folder)
-    if len(state["runs"]) > MOST_RUNS or state["dead"] > MOST_DEAD * max(state["n"], 1):
+    settle(rows.sparkSession, folder)
+    return read(rows.sparkSession, folder)
+
+
+def settle(spark: SparkSession, folder: str) -> None:
+    """Compacts the index in a folder if it has many runs or dead rows."""
+    state = _state(spark, folder)
+    if state and (len(state["runs"]) > MOST_RUNS or state["dead"] > MOST_DEAD * max(state["n"], 1)):
         compact(spark, folder)
-    return read(spark, folder)
 
 
 def read(spark: SparkSession, folder: str) -> Index:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.text import PIECE, TERM, distinct_tokens, fold, index_terms, query_tokens, stem
+from notelake.operators import grams
 from notelake.operators.index import Index
 from notelake.operators.lineage import cut, held, sent
 
@@ -20,8 +21,6 @@ STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "com", "da", "das", "de", "do", "dos", "e", "em", "for", "from", "in", "into", "is", "it", "na", "nas", "no", "nos", "o", "of", "on", "or", "os", "ou", "para", "por", "que", "sem", "the", "to", "um", "uma", "with",
 )
 RANKERS = ("bm25", "rrf")
-#: Distinct words of a batch that a scan for substrings carries along.
-SENT_WORDS = 20_000
 LOW_SIGNAL_ROWS, LOW_SIGNAL_DF, LOW_SIGNAL_SHARE = 30, 10, 0.8
 RELAX_GROUPS, RELAX_CANDIDATES, RELAX_COVERAGE, RELAX_RATIO, RELAX_RATIO_DROPPED = 8, 20, 0.6, 0.81, 0.65
 
@@ -340,22 +339,17 @@ def diagnostics(queries: DataFrame, index: Index, glossary: DataFrame | None = N
     )
 
 
-def grep(queries: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
-    """(query_id, row_id, rank): rows whose path and text hold all words as substrings, by path.
+def grep_text() -> Column:
+    """What of a note a search for substrings looks at."""
+    return F.lower(F.concat("path", F.lit("\n"), "body"))
 
-    A scan for each batch, which this operator stands for: distinct words are found first, each in
-    every text once; a row has those of them that it holds, and a query meets the rows by one of
-    its words, the first, before the others are compared.
-    """
-    words = queries.select("query_id", F.transform(distinct_tokens(query_tokens(F.col("query"))), F.lower).alias("words")).where(F.size("words") > 0)
-    every = [r["w"] for r in words.select(F.explode("words").alias("w")).distinct().limit(SENT_WORDS + 1).collect()]
-    hay = rows.select(F.col("path").alias("row_id"), F.lower(F.concat("path", F.lit("\n"), "body")).alias("hay"))
-    if len(every) > SENT_WORDS:  # more than is typed: no list to send along
-        hits = hay.join(words, F.forall("words", lambda w: F.contains(F.col("hay"), w))).select("query_id", "row_id")
-    else:
-        held = hay.select("row_id", F.filter(F.array(*map(F.lit, every)) if every else F.expr("cast(array() as array<string>)"), lambda w: F.contains(F.col("hay"), w)).alias("held"))
-        by_first = words.withColumn("w", F.element_at("words", 1))
-        hits = held.select("row_id", "held", F.explode("held").alias("w")).join(sent(by_first), "w").where(F.size(F.array_except("words", "held")) == 0).select("query_id", "row_id")
+
+def grep(queries: DataFrame, rows: DataFrame, limit: int, trigrams: grams.Grams | None = None) -> DataFrame:
+    """(query_id, row_id, rank): rows whose path and text hold all words as substrings, by path.
+    ``trigrams`` of grep_text() may be kept between batches."""
+    words = queries.select("query_id", F.transform(distinct_tokens(query_tokens(F.col("query"))), F.lower).alias("words"))
+    hay = rows.select(F.col("path").alias("row_id"), grep_text().alias("hay"))
+    hits = grams.holding(words, hay, trigrams or grams.built(hay))
     order = Window.partitionBy("query_id").orderBy("row_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 

@@ -5,8 +5,8 @@ Constants are written out here a second time, on purpose: a wrong one in the eng
 
 from __future__ import annotations
 
-from notelake.plans.queries import GLOSSARY
-
+#: Terms of the glossary: title, aliases, status.
+GLOSSARY = [("the of", ["and"], "approved"), ("in", ["que", "der"], "approved"), ("is", ["one"], "proposed"), ("The Of", [], "draft"), ("erst", ["and", "re"], "approved")]
 #: Fixed values.
 NOTE_WEIGHTS = {"path": 0.1, "type": 1.5, "title": 8.0, "description": 4.0, "tags": 6.0, "aliases": 6.0, "systems": 5.0, "signals": 5.0, "body": 0.2, "content": 3.0}
 PASSAGE_WEIGHTS = {"type": 1.5, "title": 8.0, "tags": 6.0, "systems": 5.0, "heading": 4.0, "text": 1.0, "content": 3.0}
@@ -112,9 +112,6 @@ def _search(runs: list[tuple[str, int]], limit: int, out: str = "SELECT query_id
 
 _SIMILAR = f"""tx AS (SELECT path, {_words("body")} AS tw FROM notes), qx AS (SELECT query_id, {_words("text")} AS qw FROM topics),
 lex AS (SELECT query_id, path, round(len(list_intersect(qw, tw))::DOUBLE / len(qw), 4) AS similarity FROM tx CROSS JOIN qx WHERE len(qw) > 0 AND len(tw) > 0)"""
-_WRITE = f"""{_SIMILAR}, top1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, path) AS k FROM lex WHERE similarity >= 0.55) WHERE k = 1),
-wb AS (SELECT query_id, path, CASE WHEN NOT coalesce(similarity >= 0.7, false) THEN 'create' WHEN query_id % 9 = 0 THEN 'conflict' WHEN contains(body, trim(text)) THEN 'noop' ELSE 'update' END AS action
-    FROM topics LEFT JOIN top1 USING (query_id) LEFT JOIN notes USING (path))"""
 _USAGE = "log AS (SELECT event_id, ts, event_type AS command, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, value AS duration_ms FROM events)"
 _SLUG = "CASE WHEN trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'untitled' ELSE trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-') END"
 
@@ -204,12 +201,44 @@ got AS (SELECT query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank
 metrics AS (SELECT t.query_id, round(CASE WHEN coalesce(total, 0) = 0 THEN 1 ELSE coalesce(hits, 0) / total::DOUBLE END, 6) AS recall, round(coalesce(1.0e0 / first, 0), 6) AS mrr, round(CASE WHEN coalesce(idcg, 0) = 0 THEN 0 ELSE coalesce(dcg, 0) / idcg END, 6) AS ndcg
     FROM topics t LEFT JOIN tot USING (query_id) LEFT JOIN got USING (query_id))""".replace("SELECT query_id, count(*) AS hits", "SELECT ranked.query_id, count(*) AS hits")
 
-#: Four-grams of the lowered words with two spaces around them; 60 bits of each one's md5 vote.
-_SIMHASH = f"""WITH {_NOTES}, ln AS (SELECT path, '  ' || array_to_string(ws, ' ') || '  ' AS l FROM (SELECT path, regexp_extract_all(lower(body), {_WORDS}) AS ws FROM notes) WHERE len(ws) > 0),
-gr AS (SELECT path, g, count(*) AS n FROM (SELECT path, unnest(list_transform(range(1, length(l) - 2), lambda i: l[i:i + 3])) AS g FROM ln) GROUP BY ALL),
-hs AS (SELECT g, ('0x' || md5(g)[1:15])::BIGINT AS h FROM (SELECT DISTINCT g FROM gr)),
-vt AS (SELECT path, {", ".join(f"sum(CASE WHEN (h >> {k}) & 1 = 1 THEN n ELSE -n END) AS b{k}" for k in range(60))} FROM gr JOIN hs USING (g) GROUP BY path)
-SELECT path, ({" + ".join(f"CASE WHEN b{k} > 0 THEN {1 << k}::BIGINT ELSE 0 END" for k in range(60))})::BIGINT AS fingerprint FROM vt"""
+def _prints(rows: str, key: str, text: str, tag: str) -> str:
+    """Four-grams of the lowered words with two spaces around them; 60 bits of each one's md5 vote."""
+    return f"""ln{tag} AS (SELECT {key}, '  ' || array_to_string(ws, ' ') || '  ' AS l FROM (SELECT {key}, regexp_extract_all(lower({text}), {_WORDS}) AS ws FROM {rows}) WHERE len(ws) > 0),
+gr{tag} AS (SELECT {key}, g, count(*) AS n FROM (SELECT {key}, unnest(list_transform(range(1, length(l) - 2), lambda i: l[i:i + 3])) AS g FROM ln{tag}) GROUP BY ALL),
+hs{tag} AS (SELECT g, ('0x' || md5(g)[1:15])::BIGINT AS h FROM (SELECT DISTINCT g FROM gr{tag})),
+vt{tag} AS (SELECT {key}, {", ".join(f"sum(CASE WHEN (h >> {k}) & 1 = 1 THEN n ELSE -n END) AS b{k}" for k in range(60))} FROM gr{tag} JOIN hs{tag} USING (g) GROUP BY {key}),
+fp{tag} AS MATERIALIZED (SELECT {key}, ({" + ".join(f"CASE WHEN b{k} > 0 THEN {1 << k}::BIGINT ELSE 0 END" for k in range(60))})::BIGINT AS fingerprint FROM vt{tag})"""
+
+
+_SIMHASH = f"WITH {_NOTES}, {_prints('notes', 'path', 'body', 'n')} SELECT path, fingerprint FROM fpn"
+
+
+def _find(limit: int, tags: str = "") -> str:
+    """All of a search for similar notes up to fs: whole items against all notes and the index's hits,
+    with the first ``limit`` of each. Without a glossary. ``tags``: a condition on the notes."""
+    base = _BASE.replace(_TOPICS, "topics AS (SELECT item_id AS query_id, text AS query, text FROM benchmark)").replace("WHERE status = 'approved'", "WHERE false")
+    hits = "tops AS (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), row_id) AS rk FROM stage), "
+    hits += f"fil AS (SELECT path FROM notes{tags}), "
+    hits += f"tf AS (SELECT query_id, row_id, score FROM tops WHERE rk <= {max(20 * limit, 100) if tags else limit} AND row_id IN (SELECT path FROM fil)), "
+    hits += f"shown AS (SELECT query_id, row_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), row_id) AS k FROM tf) WHERE k <= {limit})"
+    similar = f"""mtx AS (SELECT path, concat_ws(chr(10), title, description, aliases, signals, body) AS txt FROM notes WHERE path IN (SELECT path FROM fil)),
+{_prints("mtx", "path", "txt", "m")}, {_prints("topics", "query_id", "text", "q")},
+tx AS (SELECT path, {_words("txt")} AS tw, fpm.fingerprint AS f FROM mtx LEFT JOIN fpm USING (path)), qx AS (SELECT query_id, {_words("text")} AS qw, fpq.fingerprint AS f FROM topics LEFT JOIN fpq USING (query_id)),
+sm AS (SELECT query_id, path, greatest(CASE WHEN len(qw) = 0 OR len(tw) = 0 THEN 0 ELSE len(list_intersect(qw, tw))::DOUBLE / len(qw) END, coalesce(round_even(1 - bit_count(xor(qx.f, tx.f)) / 60.0e0, 4), 0)) AS sim FROM qx CROSS JOIN tx),
+fa AS (SELECT query_id, path, sim, h.score, h.row_id IS NOT NULL AS hit FROM sm LEFT JOIN shown h ON h.query_id = sm.query_id AND h.row_id = sm.path WHERE sim >= 0.55e0 OR h.row_id IS NOT NULL),
+fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round_even(sim, 4) DESC, path) AS rank FROM fa) WHERE rank <= {limit})""".replace("fa AS (SELECT query_id,", "fa AS (SELECT sm.query_id,")
+    return _search([("groups", 0), ("strict", 2)], 1, f", {_LADDER}, {hits}, {_SNIPPETS}, {similar}", base)
+
+
+_WRITE = f"""{_find(5)}, mg AS (SELECT query_id, max(path) FILTER (rank = 1) AS path, max(round_even(sim, 4)) FILTER (rank = 1) AS sim, count(*) AS candidates, round(max(round_even(sim, 4)) FILTER (rank = 1) - coalesce(max(round_even(sim, 4)) FILTER (rank = 2), 0), 4) AS margin FROM fs GROUP BY query_id),
+tg AS (SELECT t.query_id, CASE WHEN sim >= 0.7e0 THEN mg.path END AS path, coalesce(sim, 0) AS sim, coalesce(candidates, 0) AS candidates, coalesce(margin, 0) AS margin, t.text FROM topics t LEFT JOIN mg USING (query_id)),
+wb AS (SELECT query_id, tg.path, sim, candidates, margin, CASE WHEN tg.path IS NULL THEN 'create' WHEN query_id % 9 = 0 THEN 'conflict' WHEN contains(n.body, trim(text)) THEN 'noop' ELSE 'update' END AS action FROM tg LEFT JOIN notes n ON n.path = tg.path)"""
+_MERGE = f"""{_WRITE}, ad AS (SELECT wb.query_id, wb.path, action, regexp_replace(t.text, '^\\s+|\\s+$', '', 'g') AS addition, array_to_string(string_split(replace(t.text, chr(10), ' '), ' ')[1:5], ' ') AS title FROM wb JOIN topics t USING (query_id)),
+up AS (SELECT path, list(addition ORDER BY query_id) AS adds FROM ad WHERE action = 'update' AND addition <> '' AND NOT ({_secret('addition')}) GROUP BY path),
+un AS (SELECT path, body AS was, list_reduce(list_prepend(body, adds), lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || CASE WHEN ends_with(a, chr(10)) THEN chr(10) ELSE chr(10) || chr(10) END || x || chr(10) END) AS body FROM up JOIN notes USING (path)),
+cr AS (SELECT query_id, addition, 'knowledge/' || {_SLUG.format('title')} || '.md' AS path, CASE WHEN {_secret("title || chr(10) || addition")} THEN 'secret' WHEN trim(title) = '' OR query_id % 20 >= 15 THEN 'policy' END AS bad FROM ad WHERE action = 'create'),
+ck AS (SELECT *, row_number() OVER (PARTITION BY path, bad IS NULL ORDER BY query_id) AS k FROM cr),
+cc AS (SELECT *, coalesce(bad, CASE WHEN k > 1 OR path IN (SELECT path FROM notes) THEN 'exists' END) AS reason FROM ck)"""
 _VARIANTS = [("strict", 0), ("or", 2), ("prefix", 3), ("glossary", 1)]
 _STAGES = [("groups", 0), ("glossary", 1), ("strict", 2)]
 #: Entries of a row in its runs: a later run's replaces one with a worse rank or a worse score.
@@ -217,6 +246,12 @@ _FUSED = """, es AS (SELECT query_id, row_id, list({'k': rank, 's': score} ORDER
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, best_rank, seen, row_id) AS k, list_reduce(e, lambda o, n: CASE WHEN n.k < o.k OR n.s < o.s THEN n ELSE o END) AS w FROM es)
 SELECT query_id, row_id, round(s, 6) AS rrf_score, best_rank, round(w.s, 6) AS score, k AS rank FROM fr WHERE k <= 3"""
 
+#: Query words and what the glossary adds to them, each once, and where they are found.
+_EXPLAIN = """xm AS (SELECT query_id, list_sort(list_distinct(flatten(list(members)))) AS more FROM qwords JOIN tgroups ON lower(token) = token_low GROUP BY 1),
+xw AS (SELECT qall.query_id, list_concat(toks, coalesce((SELECT list_concat(list(lower(token) ORDER BY pos), any_value(more)) FROM qwords JOIN xm USING (query_id) WHERE qwords.query_id = qall.query_id), []::VARCHAR[])) AS ws FROM qall),
+xu AS (SELECT query_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS i FROM xw), xk AS (SELECT query_id, arg_min(term, i) AS term, strip_accents(lower(term)) AS k FROM xu GROUP BY query_id, strip_accents(lower(term)))"""
+_EXPLAINED = "SELECT r.query_id, r.row_id, term, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM ranked r JOIN xk USING (query_id) JOIN hay h ON h.row_id = r.row_id AND contains(hay, k) WHERE k <> '' GROUP BY r.query_id, r.row_id, term"
+
 SQL = {
     "token_counts": f"WITH {_NOTES} SELECT path, len({_tokens('body')}) AS query_words, len({_terms('body')}) AS terms, ceil(length(body) / 4.0e0)::BIGINT AS tokens FROM notes",
     "safe_prefix_stems": f"SELECT token, {_stem('token')} AS stem FROM (SELECT DISTINCT unnest({_tokens('text')}) AS token FROM documents) WHERE {_stem('token')} IS NOT NULL",
@@ -238,12 +273,15 @@ SQL = {
     "snippet_window": _search([("or", 2)], 1, f", shown AS (SELECT query_id, row_id FROM ranked), {_SNIPPETS} SELECT * FROM snip"),
     "retrieve_docs_budget": _search(_STAGES, 1, f", {_LADDER}, shown AS (SELECT query_id, row_id FROM top3), {_SNIPPETS}, {_packets(3200)} SELECT query_id, 'bm25' AS ranker, sha256(ctx) AS context_sha256, ceil(length(ctx) / 4.0e0)::BIGINT AS used_tokens, len(ps) AS source_count, array_to_string(ps, ' ') AS sources FROM pk3"),
     "grep_baseline": f"WITH {_NOTES}, {_TOPICS}, {_QWORDS}, qs AS (SELECT query_id, list(lower(token)) AS ws FROM qwords GROUP BY 1), hit AS (SELECT query_id, path AS row_id FROM notes JOIN qs ON len(list_filter(ws, lambda w: NOT contains(lower(path || chr(10) || body), w))) = 0) SELECT query_id, row_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY row_id) AS rank FROM hit) WHERE rank <= 20",
+    "grep_metrics": f"WITH {_NOTES}, {_TOPICS}, {_QWORDS}, qs AS (SELECT query_id, list(lower(token)) AS ws FROM qwords GROUP BY 1), hit AS (SELECT query_id, path AS row_id FROM notes JOIN qs ON len(list_filter(ws, lambda w: NOT contains(lower(path || chr(10) || body), w))) = 0), ranked AS (SELECT query_id, row_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY row_id) AS rank FROM hit) WHERE rank <= 20), {_METRICS.replace('r <= 3', 'r <= 20')}, {_CATEGORIES}, rd AS (SELECT query_id, count(*) AS f, sum(ceil(length(body) / 4.0e0)) AS t FROM ranked JOIN notes ON path = row_id GROUP BY 1) SELECT count(*) AS topics, round(avg(recall), 4) AS mean_recall, round(avg(mrr), 4) AS mean_mrr, round(avg(ndcg), 4) AS mean_ndcg, coalesce(round(count(*) FILTER (category = 'no_answer' AND f > 0) / nullif(count(*) FILTER (category = 'no_answer'), 0)::DOUBLE, 4), 0) AS false_positive_rate, sum(coalesce(f, 0))::BIGINT AS files_read, round(avg(coalesce(f, 0)), 4) AS mean_files_read, sum(coalesce(t, 0))::BIGINT AS returned_tokens, round(avg(coalesce(t, 0)), 4) AS mean_returned_tokens FROM cats JOIN metrics USING (query_id) LEFT JOIN rd USING (query_id)",
     "passage_split": f"WITH {_SPLIT} SELECT path, heading, start_line, end_line, sha256(text) AS text_sha256 FROM parts",
     "section_extract": f"WITH {_TALK}, s0 AS (SELECT path, min(line) AS a, arg_min(level, line) AS l FROM lv WHERE level > 0 AND strip_accents(lower(heading)) = 'user 2' GROUP BY path), e0 AS (SELECT path, min(line) AS b FROM lv JOIN s0 USING (path) WHERE line > a AND level > 0 AND level <= l GROUP BY path) SELECT path, sha256(string_agg(t, chr(10) ORDER BY line)) AS text_sha256 FROM lv JOIN s0 USING (path) LEFT JOIN e0 USING (path) WHERE line >= a AND (b IS NULL OR line < b) GROUP BY path",
     "line_range": f"WITH {_NOTES} SELECT path, array_to_string(string_split(body, chr(10))[2:3], chr(10)) AS text FROM notes",
     "needle_snippet": f"WITH {_NOTES}, nl AS (SELECT path, unnest(string_split(body, chr(10))) AS t, generate_subscripts(string_split(body, chr(10)), 1) AS line FROM notes), at0 AS (SELECT path, min(line) AS a FROM nl WHERE contains(lower(t), 'license version') OR (contains(lower(t), 'license') AND contains(lower(t), 'version')) GROUP BY path) SELECT path, a AS line, string_agg(t, chr(10) ORDER BY nl.line) AS text FROM nl JOIN at0 USING (path) WHERE abs(nl.line - a) <= 1 GROUP BY path, a",
     "lexical_pairs": f"WITH {_NOTES}, {_TOPICS}, {_SIMILAR} SELECT query_id, path, similarity FROM lex WHERE similarity >= 0.55",
     "simhash_md5": _SIMHASH,
+    "find_similar": _find(3) + " SELECT fs.query_id, fs.path, n.title, n.type, n.tags, round_even(sim, 4) AS similarity, CASE WHEN sim >= 0.8e0 THEN 'duplicate_candidate' ELSE 'related' END AS kind, CASE WHEN hit THEN round(score, 6) ELSE 0 END AS score, CASE WHEN hit THEN snippet ELSE trim(regexp_replace(n.body, '\\s+', ' ', 'g'))[1:160] END AS snippet, rank FROM fs JOIN notes n USING (path) LEFT JOIN snip s ON s.query_id = fs.query_id AND s.row_id = fs.path",
+    "find_similar_filtered": _find(3, " WHERE list_contains(string_split(lower(tags), ' '), 'en')") + " SELECT fs.query_id, fs.path, n.tags, round_even(sim, 4) AS similarity, CASE WHEN sim >= 0.8e0 THEN 'duplicate_candidate' ELSE 'related' END AS kind, rank FROM fs JOIN notes n USING (path)",
     "secret_findings": f"WITH {_NOTES}, nl AS (SELECT path, unnest(string_split(body, chr(10))) AS t, generate_subscripts(string_split(body, chr(10)), 1) AS line FROM notes), f AS ("
     + " UNION ALL ".join(f"SELECT path, line, '{k}' AS kind, len(regexp_extract_all(t, '{p}')) AS hits FROM nl" for k, p in SECRETS)
     + ") SELECT path, line, kind, hits FROM f WHERE hits > 0",
@@ -257,11 +295,9 @@ SQL = {
     "glossary_expand": f"WITH {_TOPICS}, {_QWORDS}, {_TGROUPS}, m AS (SELECT query_id, list_sort(list_distinct(flatten(list(members)))) AS more FROM qwords JOIN tgroups ON lower(token) = token_low GROUP BY 1), w AS (SELECT query_id, list(lower(token) ORDER BY pos) AS ws FROM qwords GROUP BY 1) SELECT query_id, array_to_string(list_concat(ws, list_filter(more, lambda x: NOT list_contains(ws, x))), ' ') AS tokens FROM w JOIN m USING (query_id)",
     "glossary_lookup": f"WITH {_TOPICS}, {_TGROUPS}, fs AS (SELECT title, list_concat([title], list_filter(aliases, lambda a: a <> title)) AS forms FROM terms0 WHERE status = 'approved'), fm AS (SELECT title, forms, unnest(forms) AS form, generate_subscripts(forms, 1) AS k FROM fs) SELECT query_id, title, array_to_string(list(form ORDER BY k), ' | ') AS matched, array_to_string(any_value(forms), ' | ') AS expansion FROM topics JOIN fm ON list_has_all({_words('query')}, {_words('form')}) GROUP BY query_id, title, forms",
     "glossary_validate": f"WITH {_TGROUPS}, k AS (SELECT *, lower(title) AS k FROM terms0), o AS (SELECT DISTINCT title, k, unnest(list_transform(list_concat([title], aliases), lambda x: lower(x))) AS a FROM k), f AS (SELECT a, min(k) AS owner FROM o GROUP BY a) SELECT DISTINCT title, 'duplicate title' AS issue FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1) UNION ALL SELECT title, 'alias taken: ' || a FROM o JOIN f USING (a) WHERE k <> owner UNION ALL SELECT title, 'unknown status: ' || status FROM k WHERE status NOT IN ('approved', 'proposed', 'deprecated')",
-    "explain_matches": _search(
-        [("or", 2)],
-        1,
-        ", hay AS (" + " UNION ALL ".join(f"SELECT path AS row_id, '{f}' AS field, strip_accents(lower({f})) AS hay FROM notes" for f in ("title", "description", "tags", "aliases", "systems", "signals", "body")) + ") SELECT r.query_id, r.row_id, strip_accents(lower(token)) AS term, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM ranked r JOIN qwords q ON r.query_id = q.query_id JOIN hay h ON h.row_id = r.row_id AND contains(hay, strip_accents(lower(token))) GROUP BY ALL",
-    ),
+    "explain_matches": _search([("or", 2)], 1, f", {_EXPLAIN}, hay AS (" + " UNION ALL ".join(f"SELECT path AS row_id, '{f}' AS field, strip_accents(lower({f})) AS hay FROM notes" for f in ("title", "description", "tags", "aliases", "systems", "signals", "body")) + f") {_EXPLAINED}"),
+    "explain_passages": f"WITH {_SPLIT}, topics AS (SELECT conv_id AS query_id, arg_min(text, turn) AS query FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id), {_QWORDS}, {_TGROUPS}, {_occ('parts', 'passage_id', PASSAGE_WEIGHTS)}, phrases AS (SELECT * FROM ({_run('strict', 0)}) WHERE len(terms) > 0), {_BM25}, {_ranked(1)}, {_EXPLAIN}, hay AS (SELECT passage_id AS row_id, unnest(['body', 'passage']) AS field, unnest([strip_accents(lower(talk.body)), strip_accents(lower(text))]) AS hay FROM parts JOIN talk USING (path)) {_EXPLAINED}",
+    "glossary_suggest": f"WITH {_NOTES}, nn AS (SELECT path, title, description, body, array_to_string(list_transform(list_filter(string_split(description, ' '), lambda w: regexp_full_match(w, '\\p{{L}}{{5,9}}')), lambda w: w[1] || (length(w) - 2) || w[-1]), ' ') AS aliases FROM notes), nw AS (SELECT DISTINCT path, strip_accents(lower(t)) AS w FROM (SELECT path, unnest({_tokens("concat_ws(chr(10), title, description, aliases, body)")}) AS t FROM nn)), qw AS (SELECT DISTINCT query_id, strip_accents(lower(t)) AS w FROM (SELECT item_id AS query_id, unnest({_tokens('text')}) AS t FROM benchmark)), sh AS (SELECT query_id, path, count(*) AS shared FROM nw JOIN qw USING (w) GROUP BY 1, 2), al AS (SELECT q.query_id, n.path, q.w AS term, n.w AS alias FROM qw q JOIN nw n ON n.w[1] = q.w[1] AND n.w[-1] = q.w[-1] WHERE length(q.w) >= 5 AND length(n.w) <= 8 AND regexp_matches(n.w, '[0-9]')), ok AS (SELECT al.*, shared FROM al JOIN sh USING (query_id, path) WHERE NOT EXISTS (SELECT 1 FROM nw x WHERE x.path = al.path AND x.w = al.term) AND NOT EXISTS (SELECT 1 FROM qw y WHERE y.query_id = al.query_id AND y.w = al.alias)) SELECT query_id, path, term, alias, shared::INT AS shared, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, term, alias) AS rank FROM (SELECT *, round(0.5e0 + least(shared, 4) * 0.1e0, 4) AS score FROM ok)) WHERE rank <= 5",
     "sha256_signatures": f"WITH {_NOTES} SELECT path, strlen(body) AS size, sha256(body) AS sha256 FROM notes",
     "manifest_diff": f"WITH {_NOTES}, o AS (SELECT path, body FROM notes WHERE NOT ends_with(path, '3.md')), n AS (SELECT path, CASE WHEN tags = 'de' THEN body || '!' ELSE body END AS body FROM notes WHERE NOT ends_with(path, '7.md')) SELECT path, CASE WHEN o.body IS NULL THEN 'added' WHEN n.body IS NULL THEN 'removed' WHEN o.body <> n.body THEN 'updated' ELSE 'same' END AS change FROM o FULL JOIN n USING (path)",
     "index_staleness": f"WITH {_NOTES}, d AS (SELECT ends_with(path, '3.md') AS a, ends_with(path, '7.md') AS r, tags = 'de' AS u FROM notes) SELECT count(*) FILTER (NOT a AND NOT r AND u) AS changed, count(*) FILTER (a) AS missing, count(*) FILTER (r) AS removed, count(*) FILTER (NOT a AND NOT r AND NOT u) AS fresh FROM d",
@@ -282,6 +318,8 @@ SQL = {
     "golden_prefix_compare": _search([("or", 2), ("strict", 0)], 3, ", m AS (SELECT query_id, list(row_id ORDER BY rank) AS mine FROM ranked WHERE run = 2 GROUP BY 1), g AS (SELECT query_id, list(row_id ORDER BY rank) AS want FROM ranked WHERE run = 0 AND rank <= 1 GROUP BY 1) SELECT query_id, CASE WHEN mine IS NULL THEN 'missing' WHEN want IS NULL THEN 'unexpected' WHEN mine[1:len(want)] = want THEN 'match' ELSE 'differs' END AS verdict FROM m FULL JOIN g USING (query_id)"),
     "latency_percentiles": "WITH p AS (SELECT event_type AS command, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT command, round(min(value), 3) AS min, round(median(value), 3) AS p50, round(max(value) FILTER (i = floor((n - 1) * 0.95e0 + 0.5e0)), 3) AS p95, round(max(value), 3) AS max FROM p GROUP BY 1",
     "metric_deltas": "WITH l AS (SELECT strftime(ts, '%Y-%m-%d') AS date, event_type AS label, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2), d AS (SELECT *, round(value - lag(value) OVER (PARTITION BY label ORDER BY date), 4) AS delta FROM l) SELECT label, date, round(value, 4) AS value, delta, CASE WHEN delta > 0 THEN 'up' WHEN delta < 0 THEN 'down' ELSE 'flat' END AS trend, CASE WHEN delta IS NULL OR delta = 0 THEN 'same' WHEN delta > 0 THEN 'better' ELSE 'worse' END AS verdict FROM d",
-    "writeback_decisions": f"WITH {_NOTES}, {_TOPICS}, {_WRITE} SELECT query_id, path, action, CASE action WHEN 'create' THEN 'no_similar_note' WHEN 'noop' THEN 'already_present' WHEN 'conflict' THEN 'sha256_mismatch' ELSE 'similar_note' END AS reason FROM wb",
-    "writeback_summary": f"WITH {_NOTES}, {_TOPICS}, {_WRITE}, c AS (SELECT wb.action AS a, wb.path, CASE WHEN wb.path IS NULL THEN 'create' WHEN wb.query_id % 9 = 0 THEN 'conflict' WHEN wb.query_id % 2 = 0 THEN 'noop' ELSE 'update' END AS e, CASE WHEN wb.query_id % 3 = 0 THEN wb.path END AS ep, coalesce(top1.similarity, 0) AS margin, coalesce(contains(n.body, trim(t.text)), false) AS present FROM wb JOIN topics t USING (query_id) LEFT JOIN top1 USING (query_id) LEFT JOIN notes n ON n.path = wb.path) SELECT count(*) AS cases, {_rate('a = e', 'true')} AS decision_accuracy, {_rate('path = ep', 'ep IS NOT NULL')} AS target_path_accuracy, {_rate('a = e', 'true')} AS reason_accuracy, {_rate('a = e', "a = 'update'")} AS update_precision, {_rate('a = e', "e = 'update'")} AS update_recall, {_rate('a = e', "a = 'create'")} AS create_precision, {_rate('a = e', "e = 'create'")} AS create_recall, {_rate('a = e', "e = 'noop'")} AS noop_accuracy, {_rate("a = 'conflict'", "e = 'conflict'")} AS conflict_detection_rate, {_rate('NOT present', "e = 'conflict'")} AS conflict_write_block_rate, {_rate("a <> 'create'", "e <> 'create'")} AS duplicate_avoidance_rate, {_rate("a = 'update'", "e = 'create'")} AS false_update_rate, {_rate("a = 'create'", "e <> 'create'")} AS false_create_rate, {_rate("a = 'noop'", "e = 'noop'")} AS idempotency_rate, median(CASE WHEN path IS NULL THEN 0 ELSE 1 END)::DOUBLE AS median_candidate_count, round(avg(margin), 4) AS mean_similarity_margin FROM c",
+    "writeback_decisions": f"{_WRITE} SELECT query_id, path, action, CASE action WHEN 'create' THEN 'created' WHEN 'noop' THEN 'already_present' WHEN 'conflict' THEN 'conflict' ELSE 'updated' END AS reason, round_even(sim, 4) AS similarity, candidates, margin FROM wb",
+    "writeback_changes": f"{_MERGE} SELECT path, 'updated' AS change, sha256(body) AS text_sha256 FROM un WHERE body <> was UNION ALL SELECT path, 'created', sha256(addition || chr(10)) FROM cc WHERE reason IS NULL",
+    "writeback_rejects": f"{_MERGE} SELECT query_id, path, reason FROM cc WHERE reason IS NOT NULL UNION ALL SELECT query_id, path, 'conflict' FROM ad WHERE action = 'conflict' UNION ALL SELECT query_id, path, 'secret' FROM ad WHERE action = 'update' AND ({_secret('addition')})",
+    "writeback_summary": f"{_WRITE}, c AS (SELECT wb.action AS a, wb.path, CASE WHEN wb.path IS NULL THEN 'create' WHEN wb.query_id % 9 = 0 THEN 'conflict' WHEN wb.query_id % 2 = 0 THEN 'noop' ELSE 'update' END AS e, CASE WHEN wb.query_id % 3 = 0 THEN wb.path END AS ep, margin, candidates, coalesce(contains(n.body, trim(t.text)), false) AS present FROM wb JOIN topics t USING (query_id) LEFT JOIN notes n ON n.path = wb.path) SELECT count(*) AS cases, {_rate('a = e', 'true')} AS decision_accuracy, {_rate('path = ep', 'ep IS NOT NULL')} AS target_path_accuracy, {_rate('a = e', 'true')} AS reason_accuracy, {_rate('a = e', "a = 'update'")} AS update_precision, {_rate('a = e', "e = 'update'")} AS update_recall, {_rate('a = e', "a = 'create'")} AS create_precision, {_rate('a = e', "e = 'create'")} AS create_recall, {_rate('a = e', "e = 'noop'")} AS noop_accuracy, {_rate("a = 'conflict'", "e = 'conflict'")} AS conflict_detection_rate, {_rate('NOT present', "e = 'conflict'")} AS conflict_write_block_rate, {_rate("a <> 'create'", "e <> 'create'")} AS duplicate_avoidance_rate, {_rate("a = 'update'", "e = 'create'")} AS false_update_rate, {_rate("a = 'create'", "e <> 'create'")} AS false_create_rate, {_rate("a = 'noop'", "e = 'noop'")} AS idempotency_rate, median(candidates)::DOUBLE AS median_candidate_count, round(avg(margin), 4) AS mean_similarity_margin FROM c",
 }

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelake.functions import text as X
-from notelake.functions.fingerprints import lexical_similarity, simhash
-from notelake.operators import checks, evaluate, glossary, index, passages, retrieve, search, similar, usage
+from notelake.functions.fingerprints import simhash
+from notelake.operators import checks, evaluate, glossary, grams, index, passages, retrieve, search, similar, usage
 from notelake.operators import notes as changes
 from notelake.operators.lineage import sent, shared_folder
 from notelake.sources.notes import notes_of_conversations, notes_of_documents, usage_of_events
@@ -34,6 +34,11 @@ def _topics(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"), F.col("text"))
 
 
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, text): whole benchmark items."""
+    return _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 #: A session's indexes by application, table and name, each with what its table's files were then.
 _opened: dict[tuple[str, str, str], tuple[str, list, index.Index]] = {}
 
@@ -169,8 +174,25 @@ def diagnostics_passages(spark, sf):
     return search.diagnostics(_topics(spark, sf), _passage_index(spark, sf), _glossary(spark))
 
 
+#: A session's trigrams, as its indexes.
+_trigrams: dict[tuple[str, str, str], tuple[list, grams.Grams]] = {}
+
+
+def _grams(spark, sf, name: str, text) -> grams.Grams:
+    """The stored trigrams of the notes, written anew when the table's files have changed."""
+    known, files = (spark.sparkContext.applicationId, sf, name), _files(spark, f"{sf}/documents.parquet")
+    if _trigrams.get(known, (None,))[0] != files:
+        _trigrams[known] = files, grams.stored(_notes(spark, sf).select(F.col("path").alias("row_id"), text.alias("hay")))
+    return _trigrams[known][1]
+
+
 def grep_baseline(spark, sf):
-    return search.grep(_topics(spark, sf), _notes(spark, sf), 20)
+    return search.grep(_topics(spark, sf), _notes(spark, sf), 20, _grams(spark, sf, "grep", search.grep_text()))
+
+
+def grep_metrics(spark, sf):
+    run = grep_baseline(spark, sf).withColumnRenamed("row_id", "path")
+    return evaluate.grep_summary(run, _qrels(spark, sf), _categories(spark, sf), _notes(spark, sf), 20)
 
 
 def snippet_window(spark, sf):
@@ -217,14 +239,32 @@ def lexical_pairs(spark, sf):
 
 
 def simhash_md5(spark, sf):
+    return simhash(_notes(spark, sf), "path", "body", "md5")
+
+
+def simhash_blake2b(spark, sf):
     return simhash(_notes(spark, sf), "path", "body")
 
 
+def _similar(spark, sf, limit: int, kind: str, **filters):
+    """Whole benchmark items against all notes. SQL can follow fingerprints of md5."""
+    topics, notes = _items(spark, sf), _notes(spark, sf)
+    asks = topics.select("query_id", F.col("text").alias("query"))
+    found = search.search(asks, _index(spark, sf), limit, rows=notes, **filters)
+    hits = found.join(search.best_snippets(found, notes, asks), ["query_id", "row_id"]).withColumnRenamed("row_id", "path")
+    return similar.find_similar(topics, notes, hits, limit, kind, **filters)
+
+
 def find_similar(spark, sf):
-    topics, notes = _topics(spark, sf).select("query_id", "text"), _notes(spark, sf)
-    found = search.search(topics.withColumnRenamed("text", "query"), _index(spark, sf), LIMIT)
-    hits = similar.hits_with_similarity(found.select("query_id", F.col("row_id").alias("path")), topics, notes)
-    return similar.find_similar(topics, notes, hits, LIMIT)
+    return _similar(spark, sf, LIMIT, "md5").withColumn("score", F.round("score", 6))
+
+
+def find_similar_filtered(spark, sf):
+    return _similar(spark, sf, LIMIT, "md5", tags=["EN"]).select("query_id", "path", "tags", "similarity", "kind", "rank")
+
+
+def find_similar_blake2b(spark, sf):
+    return _similar(spark, sf, LIMIT, "blake2b").withColumn("score", F.round("score", 6))
 
 
 def secret_findings(spark, sf):
@@ -265,13 +305,25 @@ def glossary_validate(spark, sf):
 
 
 def glossary_suggest(spark, sf):
-    return glossary.suggest(_topics(spark, sf), _notes(spark, sf), 5)
+    """Whole items against notes whose aliases are numeronyms of their description's words, such as
+    i6n: the first letter, the number of letters between, the last letter."""
+    long = F.filter(F.split("description", " "), lambda w: w.rlike(r"^\p{L}{5,9}$"))
+    short = F.transform(long, lambda w: F.concat(F.substring(w, 1, 1), (F.char_length(w) - 2).cast("string"), F.substring(w, -1, 1)))
+    return glossary.suggest(_items(spark, sf).withColumnRenamed("text", "query"), _notes(spark, sf).withColumn("aliases", F.array_join(short, " ")), 5)
 
 
 def explain_matches(spark, sf):
     topics = _topics(spark, sf)
     top = search.ranked(search.bm25(search.or_run(topics), _index(spark, sf)), 1)
-    return checks.explain_matches(top, search.query_words(topics), _notes(spark, sf))
+    return checks.explain_matches(top, topics, _notes(spark, sf).withColumnRenamed("path", "row_id"), _glossary(spark))
+
+
+def explain_passages(spark, sf):
+    """Passages as results, with their talk as the body."""
+    topics, talks = _talk_topics(spark, sf), notes_of_conversations(_table(spark, sf, "conversations"))
+    top = search.ranked(search.bm25(search.strict_run(topics), _passage_index(spark, sf)), 1)
+    rows = _passages(spark, sf).withColumnRenamed("text", "passage").join(talks, "path").withColumnRenamed("passage_id", "row_id")
+    return checks.explain_matches(top, topics, rows, _glossary(spark))
 
 
 def sha256_signatures(spark, sf):
@@ -347,7 +399,7 @@ def usage_evidence(spark, sf):
 def _qrels(spark, sf):
     """Notes that hold a whole item are relevant to it."""
     items = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return evaluate.holders(items, _notes(spark, sf)).select("query_id", "path", F.lit(1).alias("relevance"))
+    return evaluate.holders(items, _notes(spark, sf), _grams(spark, sf, "bodies", F.col("body"))).select("query_id", "path", F.lit(1).alias("relevance"))
 
 
 def ir_metrics(spark, sf):
@@ -407,31 +459,42 @@ def metric_deltas(spark, sf):
     return evaluate.deltas(daily)
 
 
+def _writeback(spark, sf):
+    """Whole items as texts to write: they go to the most similar of five notes found."""
+    cases = _items(spark, sf).select("query_id", F.col("text").alias("append"), F.when(F.col("query_id") % 9 == 0, "0").alias("expected_sha256"))
+    return similar.writeback(cases, _similar(spark, sf, 5, "md5").select("query_id", "path", "similarity", "rank"), _notes(spark, sf))
+
+
 def writeback_decisions(spark, sf):
-    return _writeback(spark, sf).select("query_id", "path", "action", "reason")
+    return _writeback(spark, sf).select("query_id", "path", "action", "reason", F.round("similarity", 4).alias("similarity"), "candidates", "margin")
 
 
-def _writeback(spark, sf):
-    topics = _topics(spark, sf)
-    best = lexical_pairs(spark, sf)
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "path"))
-    top = best.withColumn("k", order).where("k = 1").join(_notes(spark, sf).select("path", "body"), "path")
-    rows = topics.select("query_id", F.col("text").alias("append")).join(top, "query_id", "left").withColumn("expected_sha256", F.when(F.col("query_id") % 9 == 0, "0"))
-    return similar.writeback(rows)
+def _merged(spark, sf):
+    """Each item is written at once, as a note named by its first words where none is similar."""
+    items = _topics(spark, sf).select("query_id", F.col("query").alias("title"), F.lit("an item").alias("description"), F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("type"), F.array(F.lit("en")).alias("tags"))
+    return changes.merge_writes(_notes(spark, sf), _writeback(spark, sf).join(items, "query_id"), types=[f"src{k}" for k in range(15)], tags=["en"])
+
+
+def writeback_changes(spark, sf):
+    return _merged(spark, sf)[0].select("path", "change", F.sha2("body", 256).alias("text_sha256"))
+
+
+def writeback_rejects(spark, sf):
+    return _merged(spark, sf)[1]
 
 
 def writeback_summary(spark, sf):
-    cases = _writeback(spark, sf)
+    cases = _writeback(spark, sf).join(_notes(spark, sf).select("path", "body"), "path", "left")
     wanted = F.when(F.col("path").isNull(), "create").when(F.col("query_id") % 9 == 0, "conflict").when(F.col("query_id") % 2 == 0, "noop").otherwise("update")
-    right = F.when(wanted == "create", "no_similar_note").when(wanted == "conflict", "sha256_mismatch").when(wanted == "noop", "already_present").otherwise("similar_note")
-    cases = cases.select("action", "path", "reason", wanted.alias("expected_action"), F.when(F.col("query_id") % 3 == 0, F.col("path")).alias("expected_path"), right.alias("expected_reason"), F.col("path").isNotNull().cast("int").alias("candidates"), F.coalesce("similarity", F.lit(0.0)).alias("margin"), (F.col("action") == "update").alias("changed"), F.coalesce(F.contains("body", F.trim("append")), F.lit(False)).alias("present"))
+    right = F.when(wanted == "create", "created").when(wanted == "conflict", "conflict").when(wanted == "noop", "already_present").otherwise("updated")
+    cases = cases.select("action", "path", "reason", wanted.alias("expected_action"), F.when(F.col("query_id") % 3 == 0, F.col("path")).alias("expected_path"), right.alias("expected_reason"), F.col("candidates").cast("int").alias("candidates"), "margin", (F.col("action") == "update").alias("changed"), F.coalesce(F.contains("body", F.trim("append")), F.lit(False)).alias("present"))
     return evaluate.writeback_summary(cases)
 
 
 NAMES = (
     token_counts, safe_prefix_stems, slugs, doc_frequency, bm25_strict_docs, bm25_or_docs, bm25_prefix_docs, bm25_glossary_docs, bm25_passages, search_filtered, rrf_docs, rrf_passages, signal_groups, relaxed_search, search_passages, abstain_diagnostics, diagnostics_passages,
-    grep_baseline, snippet_window, passage_split, section_extract, line_range, needle_snippet, retrieve_docs_budget, retrieve_docs_auto, retrieve_passages_budget, lexical_pairs, simhash_md5, find_similar, secret_findings, redacted, schema_validate, vault_stats, type_counts, tag_counts,
-    glossary_expand, glossary_lookup, glossary_validate, glossary_suggest, explain_matches, sha256_signatures, manifest_diff, index_staleness, sync_search, sync_compacted_terms, create_outcomes, append_outcomes, usage_summary, usage_by_command, usage_top_documents, usage_top_terms,
-    usage_evidence, ir_metrics, slice_metrics, corpus_metadata, golden_prefix_compare, agent_sufficiency, context_reduction, latency_percentiles, metric_deltas, writeback_decisions, writeback_summary,
+    grep_baseline, grep_metrics, snippet_window, passage_split, section_extract, line_range, needle_snippet, retrieve_docs_budget, retrieve_docs_auto, retrieve_passages_budget, lexical_pairs, simhash_md5, simhash_blake2b, find_similar, find_similar_filtered, find_similar_blake2b, secret_findings, redacted, schema_validate, vault_stats, type_counts, tag_counts,
+    glossary_expand, glossary_lookup, glossary_validate, glossary_suggest, explain_matches, explain_passages, sha256_signatures, manifest_diff, index_staleness, sync_search, sync_compacted_terms, create_outcomes, append_outcomes, usage_summary, usage_by_command, usage_top_documents, usage_top_terms,
+    usage_evidence, ir_metrics, slice_metrics, corpus_metadata, golden_prefix_compare, agent_sufficiency, context_reduction, latency_percentiles, metric_deltas, writeback_decisions, writeback_changes, writeback_rejects, writeback_summary,
 )
 QUERIES = {f.__name__: f for f in NAMES}

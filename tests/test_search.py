@@ -187,6 +187,31 @@ def test_compaction_merges_runs_and_drops_dead_rows(spark, tmp_path):
     assert found_by(spark, index.repaired(docs(spark, "delta"), weights, folder), "delta", "beta") == {(0, "0.md")}
 
 
+def test_an_index_follows_a_stream(spark, tmp_path):
+    from notelake.streaming import sync
+
+    weights, folder = {"body": 1.0}, str(tmp_path / "ix")
+    for k, rows in enumerate((docs(spark, "alpha", "beta"), spark.createDataFrame([("1.md", "gamma"), ("2.md", "alpha")], "path string, body string"), None)):
+        if rows is not None:
+            rows.coalesce(1).write.parquet(str(tmp_path / "in" / f"batch={k}"))
+        stream = spark.readStream.schema("path string, body string").parquet(str(tmp_path / "in" / "*"))
+        sync.follow(stream, weights, folder, str(tmp_path / "cp")).awaitTermination()
+    held = index.read(spark, folder)
+    assert found_by(spark, held, "alpha", "beta", "gamma") == {(0, "0.md"), (0, "2.md"), (2, "1.md")} and held.lengths.count() == 3
+    events = tmp_path / "log"
+    events.mkdir()
+    (events / "a.json").write_text('{"ts": "2024-01-01T00:10:00", "command": "search", "status": "ok"}\n{"ts": "2024-01-01T00:50:00", "command": "search", "status": "error"}\n')
+    query = sync.windowed_usage(sync.usage_stream(spark, str(events))).writeStream.format("memory").queryName("usage_now").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [tuple(r)[1:] for r in spark.table("usage_now").collect()] == [("search", 2, 1)]
+
+
+def test_glossaries_merge_by_title(spark):
+    schema = "title string, aliases array<string>, status string, scope string"
+    old, more = spark.createDataFrame([("Kubernetes", ["k8s"], "approved", "ops")], schema), spark.createDataFrame([("kub\u00e9rnetes", ["kube", "k8s"], "approved", None), ("Zed", [], "draft", "")], schema)
+    assert [tuple(r) for r in glossary.merge_terms(old, more).collect()] == [("Kubernetes", ["k8s", "kube"], "approved", "ops"), ("Zed", [], "draft", "")]
+
+
 def test_a_batch_opens_the_folders_of_its_terms_alone(spark, tmp_path):
     folder = str(tmp_path / "ix")
     index.update(docs(spark, *(f"word{k} common" for k in range(300))), {"body": 1.0}, folder)
