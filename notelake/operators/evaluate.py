@@ -28,10 +28,14 @@ def per_topic(run: DataFrame, qrels: DataFrame, topics: DataFrame, k: int) -> Da
 
 def holders(items: DataFrame, notes: DataFrame, trigrams: grams.Grams | None = None) -> DataFrame:
     """(query_id, path): the notes (path, body) that hold the whole text of an item (query_id, text).
-    ``trigrams`` of the bodies may be kept between calls. Empty items count as held by none."""
+    ``trigrams`` of the bodies may be kept between calls. Every note holds an empty item."""
     rows = notes.select(F.col("path").alias("row_id"), F.col("body").alias("hay"))
     searches = items.where("text <> ''").select("query_id", F.array("text").alias("words"))
-    return grams.holding(searches, rows, trigrams or grams.built(rows)).withColumnRenamed("row_id", "path")
+    found = grams.holding(searches, rows, trigrams or grams.built(rows)).withColumnRenamed("row_id", "path")
+    empty = [r["query_id"] for r in items.where("text = ''").select("query_id").collect()]  # items are few, these are fewer
+    if not empty:
+        return found
+    return found.unionByName(notes.select(F.explode(F.array(*[F.lit(q).cast(items.schema["query_id"].dataType) for q in empty])).alias("query_id"), "path"))
 
 
 def grep_summary(run: DataFrame, qrels: DataFrame, topics: DataFrame, notes: DataFrame, most: int) -> DataFrame:

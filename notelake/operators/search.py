@@ -6,13 +6,14 @@ matches when each group has a phrase that it holds. All queries of a batch run a
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.text import PIECE, TERM, distinct_tokens, fold, index_terms, query_tokens, stem
 from notelake.operators import grams
 from notelake.operators.index import Index
-from notelake.operators.lineage import cut, held, sent
+from notelake.operators.lineage import HELD_BYTES, HELD_ROWS, cut, held, sent
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -97,6 +98,24 @@ def _keyed(phrases: DataFrame) -> DataFrame:
     return phrases.withColumn("key", F.concat(F.array_join("terms", " "), F.when(F.col("prefix"), "*").otherwise("")))
 
 
+def _kinds(phrases: DataFrame) -> dict[str, tuple[DataFrame, list[str] | None]]:
+    """The different phrases (key, terms) of a batch by kind, single, several or prefix, and all their
+    terms. Few phrases become part of the plan, with their terms as a list; more are joined."""
+    every = _keyed(phrases).select("key", "terms", "prefix")
+    kind = lambda prefix, size: "prefix" if prefix else "single" if size == 1 else "several"
+    few = every.limit(HELD_ROWS + 1).toArrow()
+    if few.num_rows > HELD_ROWS or few.nbytes > HELD_BYTES:
+        once = cut(every.distinct())
+        found = once.select("prefix", F.least(F.size("terms"), F.lit(2)).alias("size")).distinct().collect()  # four at most
+        own = F.when(F.col("prefix"), "prefix").when(F.size("terms") == 1, "single").otherwise("several")
+        return {k: (once.where(own == k).select("key", "terms"), None) for k in {kind(r["prefix"], r["size"]) for r in found}}
+    parts: dict[str, dict[str, list[str]]] = {}
+    for r in few.to_pylist():
+        parts.setdefault(kind(r["prefix"], len(r["terms"])), {})[r["key"]] = r["terms"]
+    local = lambda rows: F.broadcast(phrases.sparkSession.createDataFrame(pa.table({"key": list(rows), "terms": list(rows.values())}), schema="key string, terms array<string>"))
+    return {k: (local(rows), sorted({t for terms in rows.values() for t in terms})) for k, rows in parts.items()}
+
+
 def _phrase_parts(phrases: DataFrame, index: Index) -> list[tuple[DataFrame, DataFrame]]:
     """Pairs of (key, row_id, f, len), the weighted occurrences of each different phrase in each row
     that has it, and (key, df), in how many rows it is; one pair for each kind of phrase in the batch.
@@ -104,23 +123,24 @@ def _phrase_parts(phrases: DataFrame, index: Index) -> list[tuple[DataFrame, Dat
     A prefix phrase sums all terms that begin with its last. Only the batch's terms are read; how
     many rows hold a term is looked up, not counted, where the index knows.
     """
-    once = held(_keyed(phrases).select("key", "terms", "prefix").distinct())
-    kind = F.when(F.col("prefix"), "prefix").when(F.size("terms") == 1, "single").otherwise("several")
-    kinds = {r["kind"] for r in once.select(kind.alias("kind")).distinct().collect()}  # three at most
     out = []
+    kinds = _kinds(phrases)
     if "single" in kinds:
-        single = once.where("NOT prefix AND size(terms) = 1").select("key", F.element_at("terms", 1).alias("term"))
-        rows = index.of(single.select("term")).join(single, "term").select("key", "row_id", "f", "len")
-        out.append((rows, index.frequencies(single.select("term")).join(single, "term").select("key", "df")))
+        once, terms = kinds["single"]
+        single = once.select("key", F.element_at("terms", 1).alias("term"))
+        terms = single.select("term") if terms is None else terms
+        df = index.frequencies(terms).join(single, "term").select("key", "df")
+        out.append((index.of(terms).join(single, "term").select("key", "row_id", "f", "len"), F.broadcast(df) if isinstance(terms, list) else df))
     if "several" in kinds:
-        keyed = once.where("NOT prefix AND size(terms) > 1").select("key", F.size("terms").alias("m"), F.posexplode("terms").alias("k", "term"))
-        placed = index.of(keyed.select("term")).join(keyed, "term").select("key", "m", "k", "row_id", "len", F.explode("places").alias("p")).withColumn("at", F.col("p.pos") - F.col("k"))
+        once, terms = kinds["several"]
+        keyed = once.select("key", F.size("terms").alias("m"), F.posexplode("terms").alias("k", "term"))
+        placed = index.of(keyed.select("term") if terms is None else terms).join(keyed, "term").select("key", "m", "k", "row_id", "len", F.explode("places").alias("p")).withColumn("at", F.col("p.pos") - F.col("k"))
         whole = placed.groupBy("key", "row_id", F.col("p.field").alias("field"), "at").agg(F.max("m").alias("m"), F.count("*").alias("found"), F.max("p.weight").alias("weight"), F.first("len").alias("len")).where("found = m")
         out.append(_counted(whole.groupBy("key", "row_id").agg(F.sum("weight").alias("f"), F.first("len").alias("len"))))
     if "prefix" in kinds:
         # The vocabulary is matched once for each different stem; a stem has five letters at least, so they join by these.
         head = lambda c: F.substring(c, 1, 5)
-        stems = once.where("prefix").select("key", F.element_at("terms", -1).alias("stem")).withColumn("head", head("stem"))
+        stems = kinds["prefix"][0].select("key", F.element_at("terms", -1).alias("stem")).withColumn("head", head("stem"))
         begins = held(index.terms().withColumn("head", head("term")).join(stems, "head").where(F.startswith("term", F.col("stem"))).select("key", "term"))
         out.append(_counted(index.of(begins.select("term")).join(begins, "term").groupBy("key", "row_id").agg(F.sum("f").alias("f"), F.first("len").alias("len"))))
     return out
@@ -129,7 +149,7 @@ def _phrase_parts(phrases: DataFrame, index: Index) -> list[tuple[DataFrame, Dat
 def _counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows computed once, and in how many of them each key is."""
     rows = cut(rows)
-    return rows, rows.groupBy("key").agg(F.count("*").alias("df"))
+    return rows, sent(rows.groupBy("key").agg(F.count("*").alias("df")))
 
 
 def phrase_rows(phrases: DataFrame, index: Index) -> DataFrame:
@@ -158,7 +178,7 @@ def phrase_scores(phrases: DataFrame, index: Index) -> DataFrame:
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, 1e-6).otherwise(raw)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    parts = [index.sized(rows.join(sent(df), "key")).select("key", "row_id", part.alias("part"), "df") for rows, df in _phrase_parts(phrases, index)]
+    parts = [index.sized(rows.join(df, "key")).select("key", "row_id", part.alias("part"), "df") for rows, df in _phrase_parts(phrases, index)]
     return _united(parts, phrases, "key string, row_id string, part double, df long")
 
 
