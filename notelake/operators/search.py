@@ -55,8 +55,8 @@ def prefix_run(queries: DataFrame, run: int = 3) -> DataFrame:
 
 def query_groups(queries: DataFrame, terms: DataFrame | None) -> DataFrame:
     """(query_id, group_id, members, grown): each word of a query with its synonyms of the glossary
-    (title, aliases, status), in order; equal groups count once. ``grown`` queries are those that
-    the glossary widens."""
+    (title, aliases, status), in order; equal groups count once, for widened queries also those that
+    are equal without accents. ``grown`` queries are those that the glossary widens."""
     from notelake.operators.glossary import token_groups
 
     words = query_words(queries).withColumn("low", fold(F.col("token")))
@@ -67,7 +67,7 @@ def query_groups(queries: DataFrame, terms: DataFrame | None) -> DataFrame:
     others = F.filter("members", lambda m: fold(m) != F.col("low"))
     grouped = wide.select("query_id", "pos", F.concat(F.array("token"), F.coalesce(others, F.expr("cast(array() as array<string>)"))).alias("members"))
     grouped = grouped.withColumn("grown", F.max(F.size("members") > 1).over(Window.partitionBy("query_id")))
-    key = F.array_join(F.array_sort(F.transform("members", fold)), "\n")
+    key = F.array_join(F.array_sort(F.when(F.col("grown"), F.transform("members", fold)).otherwise(F.transform("members", F.lower))), "\n")
     once = grouped.withColumn("k", F.row_number().over(Window.partitionBy("query_id", key).orderBy("pos"))).where("k = 1")
     return once.select("query_id", F.col("pos").alias("group_id"), "members", "grown")
 

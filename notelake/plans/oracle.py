@@ -40,7 +40,8 @@ def _words(text: str) -> str:
     return f"list_distinct(regexp_extract_all(lower({text}), {_WORDS}))"
 
 
-_TOPICS = "topics AS (SELECT item_id AS query_id, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:5], ' ') AS query, text FROM benchmark)"
+_TOPICS = "topics AS (SELECT item_id AS query_id, text AS query, text FROM benchmark)"
+_TITLES = "topics AS (SELECT page_id AS query_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS query FROM pages)"
 _QWORDS = f"""qall AS (SELECT query_id, {_tokens("query")} AS toks FROM topics),
 qpos AS (SELECT query_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS p FROM qall),
 qwords AS (SELECT query_id, arg_min(token, p) AS token, row_number() OVER (PARTITION BY query_id ORDER BY min(p)) - 1 AS pos FROM qpos GROUP BY query_id, lower(token))"""
@@ -94,8 +95,9 @@ _TGROUPS = f"""terms0 AS (SELECT * FROM (VALUES {_TERM_ROWS}) AS g(title, aliase
 tw AS (SELECT {_words("title || ' ' || array_to_string(aliases, ' ')")} AS members FROM terms0 WHERE status = 'approved'),
 te AS (SELECT unnest(members) AS token_low, members FROM tw),
 tgroups AS (SELECT token_low, list_sort(list_distinct(flatten(list(members)))) AS members FROM te GROUP BY token_low)"""
-_MEMBERS = """gmem AS (SELECT query_id, pos, list_concat([token], list_filter(coalesce(members, []::VARCHAR[]), lambda m: lower(m) <> lower(token))) AS members FROM qwords LEFT JOIN tgroups ON lower(token) = token_low),
-ggrow AS (SELECT *, max((len(members) > 1)::INT) OVER (PARTITION BY query_id) = 1 AS grown, array_to_string(list_sort(list_transform(members, lambda m: lower(m))), chr(10)) AS gkey FROM gmem),
+_MEMBERS = """gmem AS (SELECT query_id, pos, list_concat([token], list_filter(coalesce(members, []::VARCHAR[]), lambda m: strip_accents(lower(m)) <> strip_accents(lower(token)))) AS members FROM qwords LEFT JOIN tgroups ON strip_accents(lower(token)) = token_low),
+ggrow0 AS (SELECT *, max((len(members) > 1)::INT) OVER (PARTITION BY query_id) = 1 AS grown FROM gmem),
+ggrow AS (SELECT *, array_to_string(list_sort(list_transform(members, lambda m: CASE WHEN grown THEN strip_accents(lower(m)) ELSE lower(m) END)), chr(10)) AS gkey FROM ggrow0),
 groups AS (SELECT query_id, min(pos) AS group_id, arg_min(members, pos) AS members, any_value(grown) AS grown FROM ggrow GROUP BY query_id, gkey)"""
 _BASE = f"WITH {_NOTES}, {_TOPICS}, {_QWORDS}, {_TGROUPS}, {_MEMBERS}, {_occ('notes', 'path', NOTE_WEIGHTS)}"
 
@@ -216,7 +218,7 @@ _SIMHASH = f"WITH {_NOTES}, {_prints('notes', 'path', 'body', 'n')} SELECT path,
 def _find(limit: int, tags: str = "") -> str:
     """All of a search for similar notes up to fs: whole items against all notes and the index's hits,
     with the first ``limit`` of each. Without a glossary. ``tags``: a condition on the notes."""
-    base = _BASE.replace(_TOPICS, "topics AS (SELECT item_id AS query_id, text AS query, text FROM benchmark)").replace("WHERE status = 'approved'", "WHERE false")
+    base = _BASE.replace("WHERE status = 'approved'", "WHERE false")
     hits = "tops AS (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), row_id) AS rk FROM stage), "
     hits += f"fil AS (SELECT path FROM notes{tags}), "
     hits += f"tf AS (SELECT query_id, row_id, score FROM tops WHERE rk <= {max(20 * limit, 100) if tags else limit} AND row_id IN (SELECT path FROM fil)), "
@@ -247,7 +249,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, best_
 SELECT query_id, row_id, round(s, 6) AS rrf_score, best_rank, round(w.s, 6) AS score, k AS rank FROM fr WHERE k <= 3"""
 
 #: Query words and what the glossary adds to them, each once, and where they are found.
-_EXPLAIN = """xm AS (SELECT query_id, list_sort(list_distinct(flatten(list(members)))) AS more FROM qwords JOIN tgroups ON lower(token) = token_low GROUP BY 1),
+_EXPLAIN = """xm AS (SELECT query_id, list_sort(list_distinct(flatten(list(members)))) AS more FROM qwords JOIN tgroups ON strip_accents(lower(token)) = token_low GROUP BY 1),
 xw AS (SELECT qall.query_id, list_concat(toks, coalesce((SELECT list_concat(list(lower(token) ORDER BY pos), any_value(more)) FROM qwords JOIN xm USING (query_id) WHERE qwords.query_id = qall.query_id), []::VARCHAR[])) AS ws FROM qall),
 xu AS (SELECT query_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS i FROM xw), xk AS (SELECT query_id, arg_min(term, i) AS term, strip_accents(lower(term)) AS k FROM xu GROUP BY query_id, strip_accents(lower(term)))"""
 _EXPLAINED = "SELECT r.query_id, r.row_id, term, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM ranked r JOIN xk USING (query_id) JOIN hay h ON h.row_id = r.row_id AND contains(hay, k) WHERE k <> '' GROUP BY r.query_id, r.row_id, term"
@@ -267,6 +269,8 @@ SQL = {
     "rrf_passages": _search(_VARIANTS, 100, _FUSED, _PARTS),
     "signal_groups": _search([("groups", 0)], 1, f", {_GROUPS} SELECT query_id, group_id, array_to_string(members, ' ') AS members, df, status, round(idf, 6) AS idf FROM sg"),
     "relaxed_search": _search(_STAGES, 1, f", {_LADDER} SELECT query_id, run AS stage, row_id, round(score, 6) AS score, rk AS rank FROM top3"),
+    "relaxed_titles": _search(_STAGES, 1, f", {_LADDER} SELECT query_id, run AS stage, row_id, round(score, 6) AS score, rk AS rank FROM top3", _BASE.replace(_TOPICS, _TITLES)),
+    "diagnostics_titles": _search(_STAGES, 1, f", {_DIAGNOSE}", _BASE.replace(_TOPICS, _TITLES)),
     "search_passages": _search(_STAGES, 1, f", {_LADDER} SELECT query_id, run AS stage, row_id, round(score, 6) AS score, rk AS rank FROM top3", _PARTS),
     "abstain_diagnostics": _search(_STAGES, 1, f", {_DIAGNOSE}"),
     "diagnostics_passages": _search(_STAGES, 1, f", {_DIAGNOSE}", _PARTS),
@@ -292,7 +296,7 @@ SQL = {
     "vault_stats": f"WITH {_NOTES} SELECT count(*) AS documents, sum(length(body))::BIGINT AS chars, ceil(sum(length(body)) / 4.0e0)::BIGINT AS estimated_tokens FROM notes",
     "type_counts": "SELECT source AS value, count(*) AS documents FROM documents WHERE source <> '' GROUP BY 1",
     "tag_counts": "SELECT lang AS value, count(*) AS documents FROM documents WHERE lang <> '' GROUP BY 1",
-    "glossary_expand": f"WITH {_TOPICS}, {_QWORDS}, {_TGROUPS}, m AS (SELECT query_id, list_sort(list_distinct(flatten(list(members)))) AS more FROM qwords JOIN tgroups ON lower(token) = token_low GROUP BY 1), w AS (SELECT query_id, list(lower(token) ORDER BY pos) AS ws FROM qwords GROUP BY 1) SELECT query_id, array_to_string(list_concat(ws, list_filter(more, lambda x: NOT list_contains(ws, x))), ' ') AS tokens FROM w JOIN m USING (query_id)",
+    "glossary_expand": f"WITH {_TOPICS}, {_QWORDS}, {_TGROUPS}, m AS (SELECT query_id, list_sort(list_distinct(flatten(list(members)))) AS more FROM qwords JOIN tgroups ON strip_accents(lower(token)) = token_low GROUP BY 1), w AS (SELECT query_id, list(lower(token) ORDER BY pos) AS ws FROM qwords GROUP BY 1) SELECT query_id, array_to_string(list_concat(ws, list_filter(more, lambda x: NOT list_contains(ws, x))), ' ') AS tokens FROM w JOIN m USING (query_id)",
     "glossary_lookup": f"WITH {_TOPICS}, {_TGROUPS}, fs AS (SELECT title, list_concat([title], list_filter(aliases, lambda a: a <> title)) AS forms FROM terms0 WHERE status = 'approved'), fm AS (SELECT title, forms, unnest(forms) AS form, generate_subscripts(forms, 1) AS k FROM fs) SELECT query_id, title, array_to_string(list(form ORDER BY k), ' | ') AS matched, array_to_string(any_value(forms), ' | ') AS expansion FROM topics JOIN fm ON list_has_all({_words('query')}, {_words('form')}) GROUP BY query_id, title, forms",
     "glossary_validate": f"WITH {_TGROUPS}, k AS (SELECT *, lower(title) AS k FROM terms0), o AS (SELECT DISTINCT title, k, unnest(list_transform(list_concat([title], aliases), lambda x: lower(x))) AS a FROM k), f AS (SELECT a, min(k) AS owner FROM o GROUP BY a) SELECT DISTINCT title, 'duplicate title' AS issue FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1) UNION ALL SELECT title, 'alias taken: ' || a FROM o JOIN f USING (a) WHERE k <> owner UNION ALL SELECT title, 'unknown status: ' || status FROM k WHERE status NOT IN ('approved', 'proposed', 'deprecated')",
     "explain_matches": _search([("or", 2)], 1, f", {_EXPLAIN}, hay AS (" + " UNION ALL ".join(f"SELECT path AS row_id, '{f}' AS field, strip_accents(lower({f})) AS hay FROM notes" for f in ("title", "description", "tags", "aliases", "systems", "signals", "body")) + f") {_EXPLAINED}"),

@@ -29,9 +29,13 @@ def _notes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _topics(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items as queries: their first five words."""
-    words = F.slice(F.split(F.regexp_replace("text", "\n", " "), " "), 1, 5)
-    return _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"), F.col("text"))
+    """Whole benchmark items as queries."""
+    return _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "text")
+
+
+def _titles(spark: SparkSession, sf: str) -> DataFrame:
+    """The titles of all pages as queries: a few words each, as users type them."""
+    return _table(spark, sf, "pages").select(F.col("page_id").alias("query_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("query"))
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,6 +165,15 @@ def relaxed_search(spark, sf):
     return found.select("query_id", "stage", "row_id", F.round("score", 6).alias("score"), "rank")
 
 
+def relaxed_titles(spark, sf):
+    found = search.search(_titles(spark, sf), _index(spark, sf), LIMIT, _glossary(spark))
+    return found.select("query_id", "stage", "row_id", F.round("score", 6).alias("score"), "rank")
+
+
+def diagnostics_titles(spark, sf):
+    return search.diagnostics(_titles(spark, sf), _index(spark, sf), _glossary(spark))
+
+
 def search_passages(spark, sf):
     found = search.search(_topics(spark, sf), _passage_index(spark, sf), LIMIT, _glossary(spark))
     return found.select("query_id", "stage", "row_id", F.round("score", 6).alias("score"), "rank")
@@ -471,7 +484,8 @@ def writeback_decisions(spark, sf):
 
 def _merged(spark, sf):
     """Each item is written at once, as a note named by its first words where none is similar."""
-    items = _topics(spark, sf).select("query_id", F.col("query").alias("title"), F.lit("an item").alias("description"), F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("type"), F.array(F.lit("en")).alias("tags"))
+    first = F.array_join(F.slice(F.split(F.regexp_replace("text", "\n", " "), " "), 1, 5), " ")
+    items = _items(spark, sf).select("query_id", first.alias("title"), F.lit("an item").alias("description"), F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("type"), F.array(F.lit("en")).alias("tags"))
     return changes.merge_writes(_notes(spark, sf), _writeback(spark, sf).join(items, "query_id"), types=[f"src{k}" for k in range(15)], tags=["en"])
 
 
@@ -492,7 +506,7 @@ def writeback_summary(spark, sf):
 
 
 NAMES = (
-    token_counts, safe_prefix_stems, slugs, doc_frequency, bm25_strict_docs, bm25_or_docs, bm25_prefix_docs, bm25_glossary_docs, bm25_passages, search_filtered, rrf_docs, rrf_passages, signal_groups, relaxed_search, search_passages, abstain_diagnostics, diagnostics_passages,
+    token_counts, safe_prefix_stems, slugs, doc_frequency, bm25_strict_docs, bm25_or_docs, bm25_prefix_docs, bm25_glossary_docs, bm25_passages, search_filtered, rrf_docs, rrf_passages, signal_groups, relaxed_search, relaxed_titles, diagnostics_titles, search_passages, abstain_diagnostics, diagnostics_passages,
     grep_baseline, grep_metrics, snippet_window, passage_split, section_extract, line_range, needle_snippet, retrieve_docs_budget, retrieve_docs_auto, retrieve_passages_budget, lexical_pairs, simhash_md5, simhash_blake2b, find_similar, find_similar_filtered, find_similar_blake2b, secret_findings, redacted, schema_validate, vault_stats, type_counts, tag_counts,
     glossary_expand, glossary_lookup, glossary_validate, glossary_suggest, explain_matches, explain_passages, sha256_signatures, manifest_diff, index_staleness, sync_search, sync_compacted_terms, create_outcomes, append_outcomes, usage_summary, usage_by_command, usage_top_documents, usage_top_terms,
     usage_evidence, ir_metrics, slice_metrics, corpus_metadata, golden_prefix_compare, agent_sufficiency, context_reduction, latency_percentiles, metric_deltas, writeback_decisions, writeback_changes, writeback_rejects, writeback_summary,
