@@ -182,12 +182,14 @@ cb AS (SELECT query_id, row_id, coalesce(max(x) FILTER (col = 'c'), '') AS c, co
 snip AS (SELECT query_id, row_id, replace(replace(CASE WHEN contains(c, chr(1)) THEN c WHEN contains(b, chr(1)) THEN b WHEN c <> '' THEN c ELSE b END, chr(1), '['), chr(2), ']') AS snippet FROM cb)"""
 
 
-def _packets(most: int) -> str:
-    """A context of each query from up to three sources (query_id, row_id, rk) in top3."""
+def _packets(most: int, found: str = "top3", passages: bool = False) -> str:
+    """A context of each query from up to three sources (query_id, row_id, rk)."""
     steps = ["pk0 AS (SELECT query_id, '' AS ctx, false AS over, []::VARCHAR[] AS ps FROM topics)"]
-    prefix = "'path: ' || n.path || chr(10) || 'title: ' || n.title || chr(10) || 'type: ' || n.type || chr(10) || 'tags: ' || array_to_string(list_filter(string_split(n.tags, ' '), lambda t: t <> ''), ', ') || chr(10) || 'snippet: ' || s.snippet || chr(10) || 'content:' || chr(10)"
+    rows, key, body = ("parts", "passage_id", "text") if passages else ("notes", "path", "body")
+    extra = "'heading: ' || n.heading || chr(10) || 'lines: ' || n.start_line || ':' || n.end_line || chr(10) || " if passages else ""
+    prefix = f"'path: ' || n.path || chr(10) || 'title: ' || n.title || chr(10) || 'type: ' || n.type || chr(10) || 'tags: ' || array_to_string(list_filter(string_split(n.tags, ' '), lambda t: t <> ''), ', ') || chr(10) || {extra}'snippet: ' || s.snippet || chr(10) || 'content:' || chr(10)"
     for k in (1, 2, 3):
-        steps.append(f"""a{k} AS (SELECT p.*, {prefix} AS prefix, n.body, CASE WHEN ctx = '' THEN '' ELSE chr(10) || '---' || chr(10) END AS sep FROM pk{k - 1} p LEFT JOIN top3 t ON t.query_id = p.query_id AND t.rk = {k} LEFT JOIN notes n ON n.path = t.row_id LEFT JOIN snip s ON s.query_id = t.query_id AND s.row_id = t.row_id),
+        steps.append(f"""a{k} AS (SELECT p.*, {prefix} AS prefix, n.{body} AS body, CASE WHEN ctx = '' THEN '' ELSE chr(10) || '---' || chr(10) END AS sep FROM pk{k - 1} p LEFT JOIN {found} t ON t.query_id = p.query_id AND t.rk = {k} LEFT JOIN {rows} n ON n.{key} = t.row_id LEFT JOIN snip s ON s.query_id = t.query_id AND s.row_id = t.row_id),
 b{k} AS (SELECT *, {most} - length(ctx) - length(sep) - length(prefix) AS room FROM a{k}),
 c{k} AS (SELECT *, CASE WHEN length(body) <= room THEN body WHEN room <= 13 THEN body[1:greatest(room, 0)] ELSE regexp_replace(body[1:room - 13], '\\s+$', '') || chr(10) || '[truncated]' || chr(10) END AS fitted, over OR prefix IS NULL OR room <= 0 AS stays FROM b{k}),
 e{k} AS (SELECT *, CASE WHEN stays THEN ctx ELSE ctx || {_redact('(sep || prefix || fitted)')} END AS nctx FROM c{k}),
@@ -276,6 +278,8 @@ SQL = {
     "diagnostics_passages": _search(_STAGES, 1, f", {_DIAGNOSE}", _PARTS),
     "snippet_window": _search([("or", 2)], 1, f", shown AS (SELECT query_id, row_id FROM ranked), {_SNIPPETS} SELECT * FROM snip"),
     "retrieve_docs_budget": _search(_STAGES, 1, f", {_LADDER}, shown AS (SELECT query_id, row_id FROM top3), {_SNIPPETS}, {_packets(3200)} SELECT query_id, 'bm25' AS ranker, sha256(ctx) AS context_sha256, ceil(length(ctx) / 4.0e0)::BIGINT AS used_tokens, len(ps) AS source_count, array_to_string(ps, ' ') AS sources FROM pk3"),
+    "retrieve_docs_auto": _search([*_STAGES, ("strict", 10), ("glossary", 11), ("or", 12), ("prefix", 13)], 100, f", {_LADDER}{_FUSED.split('SELECT query_id, row_id, round(s, 6)')[0].rstrip().replace('FROM ranked GROUP', 'FROM (SELECT * FROM ranked WHERE run >= 10) GROUP')}, auto AS (SELECT query_id, row_id, rk FROM top3 UNION ALL SELECT query_id, row_id, k FROM fr WHERE k <= 3 AND query_id NOT IN (SELECT query_id FROM top3)), shown AS (SELECT query_id, row_id FROM auto), {_SNIPPETS}, {_packets(3200, 'auto')} SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM top3) THEN 'bm25' ELSE 'rrf' END AS ranker, sha256(ctx) AS context_sha256, ceil(length(ctx) / 4.0e0)::BIGINT AS used_tokens, len(ps) AS source_count, array_to_string(ps, ' ') AS sources FROM pk3"),
+    "retrieve_passages_budget": _search(_STAGES, 1, f", {_LADDER}, shown AS (SELECT query_id, row_id FROM top3), {_SNIPPETS.replace('JOIN notes n ON n.path = s.row_id', 'JOIN parts n ON n.passage_id = s.row_id').replace('n.body', 'n.text')}, {_packets(3200, passages=True)} SELECT query_id, 'bm25' AS ranker, sha256(ctx) AS context_sha256, ceil(length(ctx) / 4.0e0)::BIGINT AS used_tokens, len(ps) AS source_count, array_to_string(ps, ' ') AS sources FROM pk3", _PARTS.replace(_TOPICS, "topics AS (SELECT conv_id AS query_id, arg_min(text, turn) AS query FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id)")),
     "grep_baseline": f"WITH {_NOTES}, {_TOPICS}, {_QWORDS}, qs AS (SELECT query_id, list(lower(token)) AS ws FROM qwords GROUP BY 1), hit AS (SELECT query_id, path AS row_id FROM notes JOIN qs ON len(list_filter(ws, lambda w: NOT contains(lower(path || chr(10) || body), w))) = 0) SELECT query_id, row_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY row_id) AS rank FROM hit) WHERE rank <= 20",
     "grep_metrics": f"WITH {_NOTES}, {_TOPICS}, {_QWORDS}, qs AS (SELECT query_id, list(lower(token)) AS ws FROM qwords GROUP BY 1), hit AS (SELECT query_id, path AS row_id FROM notes JOIN qs ON len(list_filter(ws, lambda w: NOT contains(lower(path || chr(10) || body), w))) = 0), ranked AS (SELECT query_id, row_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY row_id) AS rank FROM hit) WHERE rank <= 20), {_METRICS.replace('r <= 3', 'r <= 20')}, {_CATEGORIES}, rd AS (SELECT query_id, count(*) AS f, sum(ceil(length(body) / 4.0e0)) AS t FROM ranked JOIN notes ON path = row_id GROUP BY 1) SELECT count(*) AS topics, round(avg(recall), 4) AS mean_recall, round(avg(mrr), 4) AS mean_mrr, round(avg(ndcg), 4) AS mean_ndcg, coalesce(round(count(*) FILTER (category = 'no_answer' AND f > 0) / nullif(count(*) FILTER (category = 'no_answer'), 0)::DOUBLE, 4), 0) AS false_positive_rate, sum(coalesce(f, 0))::BIGINT AS files_read, round(avg(coalesce(f, 0)), 4) AS mean_files_read, sum(coalesce(t, 0))::BIGINT AS returned_tokens, round(avg(coalesce(t, 0)), 4) AS mean_returned_tokens FROM cats JOIN metrics USING (query_id) LEFT JOIN rd USING (query_id)",
     "passage_split": f"WITH {_SPLIT} SELECT path, heading, start_line, end_line, sha256(text) AS text_sha256 FROM parts",
