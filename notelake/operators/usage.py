@@ -77,14 +77,15 @@ def tokens_of(payload: Column) -> Column:
     return F.coalesce(payload["used_tokens"], payload["tokens"], payload["estimated_tokens"], F.lit(0.0)).cast("long")
 
 
-def summary(events: DataFrame, searches: tuple[str, ...] = ("search",), retrieves: tuple[str, ...] = ("retrieve",), writes: tuple[str, ...] = WRITES, time_col: str = "ts") -> DataFrame:
-    """One row: events, first and last event, searches, retrieves, writes, errors, mean duration
+def summary(events: DataFrame, searches: tuple[str, ...] = ("search",), retrieves: tuple[str, ...] = ("retrieve",), writes: tuple[str, ...] = WRITES, time_col: str = "ts", order_col: str | None = None) -> DataFrame:
+    """One row: events, the times of the first and last event in the log's order (``order_col``; by
+    time without one), searches, retrieves, writes, errors, mean duration
     (missing ones count) and estimated tokens."""
     among = lambda names: F.count_if(F.col("command").isin(*names))
     total = F.count("*")
     mean = F.when(total > 0, F.round(F.sum(F.coalesce("duration_ms", F.lit(0.0))) / total, 3)).otherwise(0.0)
     tokens = F.coalesce(F.sum(tokens_of(F.col("payload"))), F.lit(0)).alias("total_estimated_tokens")
-    return parsed(events).agg(total.alias("events"), F.min(time_col).alias("first_event"), F.max(time_col).alias("last_event"), among(searches).alias("searches"), among(retrieves).alias("retrieves"), among(writes).alias("writes"), F.count_if(F.coalesce("status", F.lit("")) != "ok").alias("errors"), mean.alias("avg_duration_ms"), tokens)
+    return parsed(events).agg(total.alias("events"), F.min_by(time_col, order_col or time_col).alias("first_event"), F.max_by(time_col, order_col or time_col).alias("last_event"), among(searches).alias("searches"), among(retrieves).alias("retrieves"), among(writes).alias("writes"), F.count_if(F.coalesce("status", F.lit("")) != "ok").alias("errors"), mean.alias("avg_duration_ms"), tokens)
 
 
 def by_command(events: DataFrame) -> DataFrame:

@@ -256,6 +256,11 @@ xw AS (SELECT qall.query_id, list_concat(toks, coalesce((SELECT list_concat(list
 xu AS (SELECT query_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS i FROM xw), xk AS (SELECT query_id, arg_min(term, i) AS term, strip_accents(lower(term)) AS k FROM xu GROUP BY query_id, strip_accents(lower(term)))"""
 _EXPLAINED = "SELECT r.query_id, r.row_id, term, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM ranked r JOIN xk USING (query_id) JOIN hay h ON h.row_id = r.row_id AND contains(hay, k) WHERE k <> '' GROUP BY r.query_id, r.row_id, term"
 
+_AGENTS = f""", {_LADDER}, shown AS (SELECT query_id, row_id FROM top3), {_SNIPPETS}, {_packets(3200)}, {_QRELS}, want AS (SELECT query_id, list(path) AS want FROM qrels GROUP BY 1),
+tk AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS slice, coalesce(want, []::VARCHAR[]) AS want, want IS NULL AS silent, ctx, ps, contains(lower(ctx), lower(t.text))::INT AS covered FROM topics t JOIN pk3 USING (query_id) LEFT JOIN want USING (query_id)),
+ta AS (SELECT *, len(list_filter(want, lambda p: NOT list_contains(ps, p))) = 0 AS paths_found, ctx = '' AS abstained FROM tk),
+td AS (SELECT query_id, slice, 1 AS facts, covered, covered::DOUBLE AS coverage, paths_found, CASE WHEN silent THEN abstained ELSE paths_found AND covered = 1 END AS sufficient, abstained, abstained = silent AS correct_abstention FROM ta)"""
+
 SQL = {
     "token_counts": f"WITH {_NOTES} SELECT path, len({_tokens('body')}) AS query_words, len({_terms('body')}) AS terms, ceil(length(body) / 4.0e0)::BIGINT AS tokens FROM notes",
     "safe_prefix_stems": f"SELECT token, {_stem('token')} AS stem FROM (SELECT DISTINCT unnest({_tokens('text')}) AS token FROM documents) WHERE {_stem('token')} IS NOT NULL",
@@ -313,18 +318,20 @@ SQL = {
     "sync_compacted_terms": f"{_LATER} SELECT term, count(DISTINCT row_id) AS df FROM occ GROUP BY term",
     "create_outcomes": f"WITH {_NOTES}, there AS (SELECT DISTINCT 'knowledge/' || {_SLUG.format("type || ' ' || tags")} || '.md' AS path FROM notes WHERE tags = 'en'), rq AS (SELECT source || ' ' || lang AS title, text FROM documents), p AS (SELECT *, 'knowledge/' || {_SLUG.format('title')} || '.md' AS path FROM rq) SELECT path, CASE WHEN {_secret('text')} THEN 'secret' WHEN path IN (SELECT path FROM there) THEN 'exists' ELSE 'created' END AS outcome, count(*) AS n FROM p GROUP BY 1, 2",
     "append_outcomes": f"WITH {_NOTES}, rq AS (SELECT 'docs/' || lpad((doc_id + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END)::VARCHAR, 8, '0') || '.md' AS path, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS addition, doc_id % 7 = 1 AS wrong FROM documents), oc AS (SELECT rq.path, addition, body, CASE WHEN body IS NULL THEN 'missing' WHEN wrong THEN 'conflict' WHEN coalesce(addition, '') = '' THEN 'empty' WHEN {_secret('addition')} THEN 'secret' WHEN contains(body, addition) THEN 'noop' ELSE 'update' END AS outcome FROM rq LEFT JOIN notes USING (path)) SELECT path, outcome, sha256(CASE WHEN outcome = 'update' THEN body || CASE WHEN ends_with(body, chr(10)) THEN chr(10) ELSE chr(10) || chr(10) END || addition || chr(10) ELSE body END) AS text_sha256 FROM oc",
-    "usage_summary": f"WITH {_USAGE} SELECT count(*) AS events, min(ts) AS first_event, max(ts) AS last_event, count(*) FILTER (command = 'view') AS searches, count(*) FILTER (command = 'click') AS retrieves, count(*) FILTER (command IN ('purchase', 'signup')) AS writes, count(*) FILTER (status <> 'ok') AS errors, round(sum(coalesce(duration_ms, 0)) / count(*), 3) AS avg_duration_ms, coalesce(sum(floor(duration_ms)), 0)::BIGINT AS total_estimated_tokens FROM log",
+    "usage_summary": f"WITH {_USAGE} SELECT count(*) AS events, arg_min(ts, event_id) AS first_event, arg_max(ts, event_id) AS last_event, count(*) FILTER (command = 'view') AS searches, count(*) FILTER (command = 'click') AS retrieves, count(*) FILTER (command IN ('purchase', 'signup')) AS writes, count(*) FILTER (status <> 'ok') AS errors, round(sum(coalesce(duration_ms, 0)) / count(*), 3) AS avg_duration_ms, coalesce(sum(floor(duration_ms)), 0)::BIGINT AS total_estimated_tokens FROM log",
     "usage_by_command": f"WITH {_USAGE} SELECT command, count(*) AS events, count(*) FILTER (status <> 'ok') AS errors FROM log GROUP BY 1",
     "usage_top_documents": f"WITH {_USAGE}, d AS (SELECT event_id, 0 AS k, user_id::VARCHAR AS value FROM events UNION ALL SELECT event_id, 1, 'doc-' || (event_id % 11) FROM events WHERE event_id % 4 = 0) SELECT value, count FROM (SELECT value, count(*) AS count, min(event_id * 10 + k) AS f FROM d GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 10)",
     "usage_top_terms": "WITH d AS (SELECT event_id, 0 AS k, lower(event_type) AS value FROM events UNION ALL SELECT event_id, 1, 'u' || (user_id % 7) FROM events) SELECT value, count FROM (SELECT value, count(*) AS count, min(event_id * 10 + k) AS f FROM d GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 10)",
     "usage_evidence": f"WITH {_USAGE}, c AS (SELECT count(*) AS events, count(*) FILTER (command = 'view') AS searches, count(*) FILTER (command = 'click') AS retrieves, count(*) FILTER (command IN ('purchase', 'signup')) AS writes, count(*) FILTER (status <> 'ok') AS errors, count(*) FILTER (command = 'view' AND duration_ms < 10) AS zero_result_searches, count(*) FILTER (command = 'click' AND duration_ms < 20) AS zero_source_retrieves, count(*) FILTER (command = 'click' AND event_id % 2 = 0) AS passage_retrieves, count(*) FILTER (command = 'click' AND event_id % 5 = 0) AS auto_ranker_retrieves, count(*) FILTER (command = 'view' AND event_id % 3 = 0) AS rrf_searches FROM log), r AS (SELECT *, round(zero_result_searches / searches::DOUBLE, 4) AS zero_result_search_rate, round(zero_source_retrieves / retrieves::DOUBLE, 4) AS zero_source_retrieve_rate, round(retrieves / searches::DOUBLE, 4) AS retrieve_per_search_rate, round(passage_retrieves / retrieves::DOUBLE, 4) AS passage_retrieve_rate, round(errors / events::DOUBLE, 4) AS error_rate FROM c) SELECT *, CASE WHEN events >= 30 AND searches >= 10 AND retrieves >= 5 THEN 'ready_for_review' ELSE 'needs_more_usage' END AS ranker_status, CASE WHEN zero_result_search_rate >= 0.2 OR zero_source_retrieve_rate >= 0.2 THEN 'watch' ELSE 'ok' END AS no_answer_status FROM r",
     "ir_metrics": _search([("or", 2)], 3, f", {_METRICS} SELECT * FROM metrics"),
     "agent_sufficiency": _search([("or", 2)], 1, f", {_CONTEXTS}, facts AS (SELECT query_id, unnest([query, text]) AS fact FROM topics) SELECT query_id, count(*) AS facts, count(*) FILTER (contains(lower(context), lower(fact))) AS covered, round(count(*) FILTER (contains(lower(context), lower(fact))) / count(*)::DOUBLE, 4) AS coverage FROM contexts JOIN facts USING (query_id) GROUP BY query_id"),
+    "agent_tasks": _search(_STAGES, 1, f"{_AGENTS} SELECT * FROM td"),
+    "agent_summary": _search(_STAGES, 1, f"{_AGENTS} SELECT slice, count(*) AS tasks, round(avg(sufficient::INT), 4) AS sufficiency, round(avg(correct_abstention::INT), 4) AS abstention_accuracy, round(avg(coverage), 4) AS mean_coverage, round(stddev_pop(coverage), 4) AS stddev_coverage FROM td GROUP BY slice"),
     "context_reduction": _search([("or", 2)], 1, f", {_CONTEXTS}, corpus AS (SELECT sum(ceil(length(body) / 4.0e0)) AS all_tokens FROM notes) SELECT query_id, ceil(length(context) / 4.0e0)::BIGINT AS returned, round(1 - ceil(length(context) / 4.0e0) / all_tokens, 4) AS reduction FROM contexts, corpus"),
     "slice_metrics": _search([*_STAGES, ("or", 4)], 3, f", {_LADDER}, shown AS (SELECT query_id, row_id FROM top3), {_SNIPPETS}, {_packets(3200)}, {_METRICS.replace('FROM ranked JOIN qrels', 'FROM (SELECT * FROM ranked WHERE run = 4) ranked JOIN qrels')}, {_CATEGORIES}, corpus AS (SELECT sum(ceil(length(body) / 4.0e0)) AS corpus FROM notes), used AS (SELECT query_id, ceil(length(ctx) / 4.0e0)::BIGINT AS u, len(ps) AS n FROM pk3) SELECT category, count(*) AS topics, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg, sum(u)::BIGINT AS returned_tokens, round(avg(u), 4) AS mean_returned_tokens, round(1 - sum(u) / (any_value(corpus) * count(*)), 4) AS context_reduction, round(avg((u <= 800)::INT), 4) AS budget_compliance_rate, CASE WHEN category = 'no_answer' THEN round(avg((n > 0)::INT), 4) ELSE 0.0 END AS false_positive_rate FROM cats JOIN metrics USING (query_id) JOIN used USING (query_id) CROSS JOIN corpus GROUP BY category"),
     "corpus_metadata": f"WITH {_NOTES}, {_TOPICS}, {_QRELS}, {_CATEGORIES}, pos AS (SELECT query_id, count(*) AS n FROM qrels GROUP BY 1) SELECT count(*) AS topics, count(*) FILTER (category <> 'no_answer') AS answerable_topics, count(*) FILTER (category = 'no_answer') AS no_answer_topics, coalesce(round(avg(coalesce(n, 0)) FILTER (category <> 'no_answer'), 4), 0) AS mean_positive_qrels, string_agg(DISTINCT category, ',' ORDER BY category) AS slices, (SELECT count(*) FROM qrels) AS qrel_rows, (SELECT count(*) FROM qrels) AS positive_qrels, (SELECT count(*) FROM notes) AS notes FROM cats LEFT JOIN pos USING (query_id)",
     "golden_prefix_compare": _search([("or", 2), ("strict", 0)], 3, ", m AS (SELECT query_id, list(row_id ORDER BY rank) AS mine FROM ranked WHERE run = 2 GROUP BY 1), g AS (SELECT query_id, list(row_id ORDER BY rank) AS want FROM ranked WHERE run = 0 AND rank <= 1 GROUP BY 1) SELECT query_id, CASE WHEN mine IS NULL THEN 'missing' WHEN want IS NULL THEN 'unexpected' WHEN mine[1:len(want)] = want THEN 'match' ELSE 'differs' END AS verdict FROM m FULL JOIN g USING (query_id)"),
-    "latency_percentiles": "WITH p AS (SELECT event_type AS command, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT command, round(min(value), 3) AS min, round(median(value), 3) AS p50, round(max(value) FILTER (i = floor((n - 1) * 0.95e0 + 0.5e0)), 3) AS p95, round(max(value), 3) AS max FROM p GROUP BY 1",
+    "latency_percentiles": "WITH p AS (SELECT event_type AS command, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT command, round(min(value), 3) AS min, round(median(value), 3) AS p50, round(max(value) FILTER (i = round_even((n - 1) * 0.95e0, 0)), 3) AS p95, round(max(value), 3) AS max FROM p GROUP BY 1",
     "metric_deltas": "WITH l AS (SELECT strftime(ts, '%Y-%m-%d') AS date, event_type AS label, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2), d AS (SELECT *, round(value - lag(value) OVER (PARTITION BY label ORDER BY date), 4) AS delta FROM l) SELECT label, date, round(value, 4) AS value, delta, CASE WHEN delta > 0 THEN 'up' WHEN delta < 0 THEN 'down' ELSE 'flat' END AS trend, CASE WHEN delta IS NULL OR delta = 0 THEN 'same' WHEN delta > 0 THEN 'better' ELSE 'worse' END AS verdict FROM d",
     "writeback_decisions": f"{_WRITE} SELECT query_id, path, action, CASE action WHEN 'create' THEN 'created' WHEN 'noop' THEN 'already_present' WHEN 'conflict' THEN 'conflict' ELSE 'updated' END AS reason, round_even(sim, 4) AS similarity, candidates, margin FROM wb",
     "writeback_changes": f"{_MERGE} SELECT path, 'updated' AS change, sha256(body) AS text_sha256 FROM un WHERE body <> was UNION ALL SELECT path, 'created', sha256(addition || chr(10)) FROM cc WHERE reason IS NULL",

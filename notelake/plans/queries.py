@@ -390,7 +390,7 @@ def append_outcomes(spark, sf):
 
 
 def usage_summary(spark, sf):
-    return usage.summary(usage_of_events(_table(spark, sf, "events")), ("view",), ("click",), ("purchase", "signup"))
+    return usage.summary(usage_of_events(_table(spark, sf, "events")), ("view",), ("click",), ("purchase", "signup"), order_col="event_id")
 
 
 def usage_by_command(spark, sf):
@@ -456,6 +456,23 @@ def agent_sufficiency(spark, sf):
     return evaluate.sufficiency(_contexts(spark, sf), facts)
 
 
+def _agent_tasks(spark, sf):
+    """Each item as a task: its text must be in the context and its notes among the sources, and
+    where no note has it there should be no context."""
+    paths = _qrels(spark, sf).groupBy("query_id").agg(F.collect_list("path").alias("expected_paths"))
+    slice_ = F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")
+    tasks = _items(spark, sf).join(paths, "query_id", "left").select("query_id", slice_.alias("slice"), "expected_paths", F.array("text").alias("expected_facts"), F.col("expected_paths").isNull().alias("expect_abstention"))
+    return evaluate.agent_tasks(tasks, retrieve.retrieve(_topics(spark, sf), _index(spark, sf), _notes(spark, sf), LIMIT, 800, _glossary(spark)))
+
+
+def agent_tasks(spark, sf):
+    return _agent_tasks(spark, sf)
+
+
+def agent_summary(spark, sf):
+    return evaluate.agent_summary(_agent_tasks(spark, sf))
+
+
 def context_reduction(spark, sf):
     corpus = _notes(spark, sf).agg(F.sum(X.approx_tokens(F.col("body"))).alias("corpus"))
     returned = _contexts(spark, sf).select("query_id", X.approx_tokens(F.col("context")).alias("returned"))
@@ -509,6 +526,6 @@ NAMES = (
     token_counts, safe_prefix_stems, slugs, doc_frequency, bm25_strict_docs, bm25_or_docs, bm25_prefix_docs, bm25_glossary_docs, bm25_passages, search_filtered, rrf_docs, rrf_passages, signal_groups, relaxed_search, relaxed_titles, diagnostics_titles, search_passages, abstain_diagnostics, diagnostics_passages,
     grep_baseline, grep_metrics, snippet_window, passage_split, section_extract, line_range, needle_snippet, retrieve_docs_budget, retrieve_docs_auto, retrieve_passages_budget, lexical_pairs, simhash_md5, simhash_blake2b, find_similar, find_similar_filtered, find_similar_blake2b, secret_findings, redacted, schema_validate, vault_stats, type_counts, tag_counts,
     glossary_expand, glossary_lookup, glossary_validate, glossary_suggest, explain_matches, explain_passages, sha256_signatures, manifest_diff, index_staleness, sync_search, sync_compacted_terms, create_outcomes, append_outcomes, usage_summary, usage_by_command, usage_top_documents, usage_top_terms,
-    usage_evidence, ir_metrics, slice_metrics, corpus_metadata, golden_prefix_compare, agent_sufficiency, context_reduction, latency_percentiles, metric_deltas, writeback_decisions, writeback_changes, writeback_rejects, writeback_summary,
+    usage_evidence, ir_metrics, slice_metrics, corpus_metadata, golden_prefix_compare, agent_sufficiency, agent_tasks, agent_summary, context_reduction, latency_percentiles, metric_deltas, writeback_decisions, writeback_changes, writeback_rejects, writeback_summary,
 )
 QUERIES = {f.__name__: f for f in NAMES}
