@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.llm.common import Words, fresh, mixed, record, row_shingles, session_of, slices, small_or_plain, stored
@@ -33,6 +33,7 @@ _REACH = RADIUS // 4
 _STRETCH = 8192
 
 _SCHEMA = "doc_id long, item_id long, similarity double, distance int, first_word long, n_words long"
+_KEYED = f"{_SCHEMA}, text_key long"
 
 
 def simhash(hashes: np.ndarray, weights: np.ndarray) -> int:
@@ -149,8 +150,18 @@ def contaminated(
     one row each; empty tables make none; other columns are ignored. A text of any length is
     searched whole: about 60 bytes a word of it, and more only around shingles of items.
     """
+    return _found(docs, benchmark, id_col, text_col, item_col, item_text_col, width, threshold).drop("text_key")
+
+
+def _key(text_col: str) -> Column:
+    """Tells rows that share an id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """What contaminated() gives, with a hash of the document's text."""
     session_of(docs)
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text <> ''")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text <> ''")
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i IS NOT NULL AND trim(t) <> ''").distinct().orderBy("i", "t")
 
     rows = stored(rows, "benchmark-items").orderBy("i", "t")
@@ -171,7 +182,7 @@ def contaminated(
     for group in passes():
         found = _pass(chosen, Items(group, width, total, _counts_of(counts, group, width)), threshold)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else chosen.sparkSession.createDataFrame([], _SCHEMA)
+    return out if out is not None else chosen.sparkSession.createDataFrame([], _KEYED)
 
 
 def _counted(items: DataFrame, width: int) -> DataFrame:
@@ -207,20 +218,21 @@ def _pass(chosen: DataFrame, items: Items, threshold: float) -> DataFrame:
                 out = []
                 words = Words(part.column("text"))
                 sizes = np.diff(words.first).tolist()
-                for doc, n, found in zip(part.column("doc_id").to_pylist(), sizes, row_shingles(words, width), strict=True):
+                for doc, key, n, found in zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), sizes, row_shingles(words, width), strict=True):
                     for k, (similarity, distance, first) in index.search(found, n, threshold).items():
-                        out.append((doc, index.ids[k], similarity, distance, first, int(index.lengths[k])))
+                        out.append((doc, index.ids[k], similarity, distance, first, int(index.lengths[k]), key))
                 if out:
                     cols = list(zip(*out, strict=True))
-                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
-                    yield record([x.split()[0] for x in _SCHEMA.split(", ")], [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)])
+                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                    yield record([x.split()[0] for x in _KEYED.split(", ")], [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)])
 
-    return chosen.mapInArrow(scan, _SCHEMA)
+    return chosen.mapInArrow(scan, _KEYED)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns kept, whose document holds no benchmark item. Rows with a null id stay;
-    rows that share an id go together if one of them holds an item."""
+    """The rows, all columns kept, whose text holds no benchmark item. Rows with a null id stay; rows
+    that share an id are told apart by their texts."""
     doc = fresh(docs, "found_id")
-    found = stored(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(doc)).distinct(), "contaminated")
-    return docs.join(small_or_plain(found), F.col(id_col).cast("long") == F.col(doc), "left_anti")
+    key = fresh(docs, "found_key")
+    found = stored(_found(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct(), "contaminated")
+    return docs.join(small_or_plain(found), (F.col(id_col).cast("long") == F.col(doc)) & (_key(text_col) == F.col(key)), "left_anti")

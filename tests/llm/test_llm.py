@@ -280,6 +280,18 @@ def test_decontamination_finds_edited_items(spark):
     assert {r["doc_id"] for r in decontaminate.without_contaminated(frame(spark, rows), items).collect()} == {2, 3, 4}
 
 
+def test_contaminated_rows_that_share_an_id_part_by_text(spark):
+    rng = random.Random(12)
+    item, clean = words(rng, 40), words(rng, 90)
+    rows = [(1, words(rng, 20) + " " + item), (1, clean), (1, clean), (2, item), (None, item), (1, None)]
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    docs = frame(spark, rows).withColumnRenamed("sig", "found_id").withColumnRenamed("token", "text_key")
+    left = decontaminate.without_contaminated(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in left.collect()) == sorted([(1, clean), (1, clean), (0, item), (1, "")])
+    assert "text_key" not in decontaminate.contaminated(docs, items).columns
+
+
 def brute_contaminated(rows, items, width=5, threshold=0.8):
     """All (doc, item) whose best window of the item's words has the threshold's share of its shingles' weight."""
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
