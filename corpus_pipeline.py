@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.llm import decontaminate, jaccard, packing, substrings, toxicity
-from notelake.llm.common import fresh, stored
+from notelake.llm.common import Scratch, fresh
 from notelake.llm.tokens import vocabulary
 
 
@@ -55,10 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in order over ``documents``, each written as Parquet and read again; what a stage
+    has read goes once its own result is written."""
+    docs, last, now = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), Scratch(spark)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
+            docs = now.stored(docs, f"stage-{name}")
+            last.drop()
+            last, now = now, last
     return docs
