@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of each class to learn from, and the longest text (in characters) that is learned from.
+#: Rows of each class to learn from, and how many characters their whole texts may have altogether.
 SAMPLE_ROWS = 3000
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 20_000_000
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -19,17 +19,20 @@ def fold(doc_id: Column, parts: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """At most ``rows`` (text, label) of each class, in order of a hash of the id.
 
-    ``train`` is a condition on ``doc_id``. An id with both labels counts as 1. Texts of over
-    ``chars`` characters aren't learned from (they are scored like all others).
+    ``train`` is a condition on ``doc_id``. An id with both labels counts as 1. Texts of any length
+    are learned from, whole; rows of a class go in the same order until their texts make ``chars``
+    characters, and the first that goes beyond ends the sample (all texts are scored alike).
     """
     clean = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(train)
     one = clean.groupBy("doc_id").agg(F.max("label").alias("label"))
     order = F.xxhash64("doc_id")
     parts = [one.where(F.col("label") == y).orderBy(order, "doc_id").limit(rows) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # 2 * rows pairs at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where((F.col("text") != "") & (F.char_length("text") <= chars))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text") != "")
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    return sorted((r["text"], r["label"]) for r in found.select("text", "label").collect())
+    in_order = Window.partitionBy("label").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = found.withColumn("so_far", F.sum(F.char_length("text")).over(in_order)).where(F.col("so_far") <= chars)
+    return sorted((r["text"], r["label"]) for r in within.select("text", "label").collect())
 
 
 class Logistic:

@@ -4,13 +4,18 @@ The kernel of two letter strings counts the three-letter subsequences they share
 DECAY to the power of the stretch it spans (at most SPAN letters), and is normalised. Gaps and
 inserted letters lower it a little; case, and signs or spaces between letters, not at all.
 
-Learning: sentences of labelled texts give each word the contexts (neighbour pairs) it has in
-toxic and in clean text. Words whose share of toxic contexts is beyond chance are the positive
-examples, together with copies that have a letter inserted; clean words, the most similar ones
-first, are the negative. The machine is trained on Nystroem features of LANDMARKS of them. As the
-kernel is an inner product over subsequences, the machine folds into one weight per subsequence,
-which gives the same decision values without visiting landmarks again. A text's value is that of
-its worst word; a logistic curve turns it into a score.
+Learning: the examples are sentences of labelled texts. A sentence meets a landmark by its window
+(a word, or a stretch of a long run of letters), so that the rest of the sentence doesn't dilute an
+insult. The label belongs to the text: of a toxic text at least one sentence is toxic, of a clean
+one none. So a text's examples are the sentence that the machine before finds worst and all others
+that it finds toxic, in each of ROUNDS machines; those of clean texts stay examples, and those of
+toxic ones also enter with a letter inserted. Of these machines the one that fits the labels of its own texts best is kept. The
+first machine, which chooses the first examples and the landmarks, parts
+windows whose neighbours are toxic beyond chance from common clean ones.
+
+As the kernel is an inner product over subsequences, the machine folds into one weight per
+subsequence, which gives the same decision values without visiting landmarks again. A text's value
+is that of its worst window; a logistic curve turns it into a score.
 """
 
 from __future__ import annotations
@@ -34,8 +39,11 @@ from notelake.llm.tokens import forget
 DECAY = 0.6
 SPAN = 7
 LANDMARKS = 128
-#: Positive words to learn from, those with the most toxic contexts first.
-POSITIVES = 200
+#: Commonest clean windows that the first machine may learn from, how many of those nearest to
+#: toxic ones it does, and one in how many of the rest. They choose landmarks and first examples alone.
+COMMON, NEAREST, ONE_IN = 20_000, 2000, 25
+#: Choices of every text's examples.
+ROUNDS = 5
 SHORTEST, LONGEST = 3, 24
 #: Words whose values a worker keeps; about 150 bytes each.
 REMEMBERED = 100_000
@@ -132,6 +140,74 @@ def _windows(run: str) -> Iterator[str]:
         yield run[a : a + LONGEST]
 
 
+class Sentences:
+    """The sentences of (text, label) pairs as flat arrays of window numbers."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        codes: dict[str, int] = {}
+        window, context, first, owner, label = array("I"), array("I"), array("I"), array("I"), array("b")
+        self.labels = np.array([y for _, y in rows], np.int64)
+        for row, (text, y) in enumerate(rows):
+            for words in _sentence_words(text):
+                start = len(window)
+                for k, w in enumerate(words):
+                    if len(w) < SHORTEST:
+                        continue
+                    around = crc32(f"{words[k - 1] if k else ''} {words[k + 1] if k + 1 < len(words) else ''}".encode())
+                    for part in (w,) if len(w) <= LONGEST else _windows(w):
+                        if len(part) >= SHORTEST:
+                            window.append(codes.setdefault(part, len(codes)))
+                            context.append(around)
+                if len(window) > start:
+                    first.append(start)
+                    owner.append(row)
+                    label.append(y)
+        self.terms = list(codes)
+        self.window, self.first, self.owner = (np.frombuffer(x, np.uint32).astype(np.int64) for x in (window, first, owner))
+        side = np.repeat(np.frombuffer(label, np.int8), np.diff(np.append(self.first, len(window))))
+        self.contexts = [self._distinct(self.window[side == y], np.frombuffer(context, np.uint32)[side == y]) for y in (0, 1)]
+
+    def _distinct(self, window: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """How many different contexts each window has."""
+        pairs = np.unique(window.astype(np.uint64) << np.uint64(32) | context)
+        return np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(self.terms))
+
+    def seeds(self) -> tuple[list[int], list[int]]:
+        """Windows whose share of toxic contexts is beyond chance, and those of clean sentences, commonest first."""
+        clean, toxic = self.contexts
+        if not clean.sum() or not toxic.sum():
+            return [], []
+        n = np.maximum(clean + toxic, 1)
+        base, share = toxic.sum() / (clean.sum() + toxic.sum()), toxic / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = n * (np.where(toxic > 0, share * np.log(share / base), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0))
+        odd = (share > max(base, 0.6)) & (gain > np.log(len(self.terms)) + 3)
+        order = sorted(range(len(self.terms)), key=self.terms.__getitem__)
+        return sorted((k for k in order if odd[k]), key=lambda k: -toxic[k]), sorted((k for k in order if clean[k] and not odd[k]), key=lambda k: -clean[k])
+
+    def loss(self, value: np.ndarray) -> float:
+        """How badly the texts' calibrated worst values fit their labels (mean log loss)."""
+        best = np.full(len(self.labels), value.min())
+        np.maximum.at(best, self.owner, np.maximum.reduceat(value[self.window], self.first))
+        p = np.clip(Logistic(best, self.labels.astype(np.float64))(best), 1e-9, 1 - 1e-9)
+        return float(-np.where(self.labels == 1, np.log(p), np.log(1 - p)).mean())
+
+    def worst(self, value: np.ndarray) -> tuple[dict[int, int], dict[int, int]]:
+        """The windows of the sentences whose value is above 0 and of each text's worst sentence:
+        {window: sentences} of toxic and of clean texts; ties go to what stands first."""
+        of_window, ends = value[self.window], np.append(self.first, len(self.window))
+        best = np.maximum.reduceat(of_window, self.first)
+        order = np.lexsort((self.first, -best, self.owner))
+        out: tuple[dict[int, int], dict[int, int]] = ({}, {})
+        chosen = best > 0
+        chosen[order[np.concatenate([[True], np.diff(self.owner[order]) > 0])]] = True
+        for s in np.flatnonzero(chosen).tolist():
+            k = int(self.window[self.first[s] + np.argmax(of_window[self.first[s] : ends[s + 1]])])
+            side = out[1 - int(self.labels[self.owner[s]])]
+            side[k] = side.get(k, 0) + 1
+        return out
+
+
 class ToxicityModel:
     """Learned from (text, label) pairs."""
 
@@ -140,75 +216,60 @@ class ToxicityModel:
         self.bias = 0.0
         self.prior = (sum(y for _, y in rows) + 1) / (len(rows) + 2)
         self.calibrate: Logistic | None = None
-        positive, negative, seen = self._examples(rows)
-        if not positive or not negative:
+        rows = sorted(set(rows))
+        sentences = Sentences(rows)
+        odd, calm = sentences.seeds()
+        if not odd or not calm:
             return
-        rng = np.random.default_rng(17)
-        plain = [features(w) for w in positive]
-        # Feature maps are large: a thousand words' at a time.
-        near = np.concatenate([kernel([features(w) for w in negative[a : a + 1000]], plain).max(axis=1) for a in range(0, len(negative), 1000)])
-        hard = np.argsort(-near, kind="stable")[:2000].tolist()
-        other = rng.permutation(len(negative))[:800].tolist()
-        chosen = [negative[k] for k in sorted({*hard, *other})]
-        varied = [w[:p] + "abcdefghijklmnopqrstuvwxyz"[rng.integers(26)] + w[p:] for w in positive for p in range(1, len(w)) if len(w) < LONGEST]
-        words = [*positive, *varied, *chosen]
-        y = np.array([1.0] * (len(positive) + len(varied)) + [-1.0] * len(chosen))
-        maps = [features(w) for w in words]
-        half = LANDMARKS // 2
-        marks = spread(maps[: len(positive)], half) + spread(maps[len(positive) + len(varied) :], half)
+        terms, half = sentences.terms, LANDMARKS // 2
+        toxic_marks = spread([features(terms[k]) for k in odd], half)
+        # Feature maps are large: a thousand windows' at a time.
+        calm = calm[:COMMON]
+        near = np.concatenate([kernel([features(terms[k]) for k in calm[a : a + 1000]], toxic_marks).max(axis=1) for a in range(0, len(calm), 1000)])
+        order = np.argsort(-near, kind="stable").tolist()
+        first = [calm[k] for k in [*order[:NEAREST], *order[NEAREST::ONE_IN]]]
+        marks = toxic_marks + spread([features(terms[k]) for k in first], half)
         values, vectors = np.linalg.eigh(kernel(marks, marks))
         root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-        share = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
-        # A word counts by the contexts that it was seen in.
-        share *= np.sqrt([seen.get(w, 1) for w in words])
-        w, self.bias = linear_svm(kernel(maps, marks) @ root, y, share)
-        alpha = root @ w
-        dense = np.zeros(_LETTERS**3)
-        for own, a in zip(marks, alpha.tolist(), strict=True):
-            for u, v in own.items():
-                dense[u] += a * v
-        self.weights = dense
+        self._train(terms, {k: int(sentences.contexts[1][k]) for k in odd}, {k: int(sentences.contexts[0][k]) for k in first}, marks, root)
+        clean: dict[int, int] = {}
+        kept = []
+        value = self.words(terms)
+        for _ in range(ROUNDS):
+            toxic, now = sentences.worst(value)
+            clean = {**dict.fromkeys(clean, 1), **now}
+            self._train(terms, toxic, clean, marks, root)
+            value = self.words(terms)
+            kept.append((sentences.loss(value), self.weights, self.bias))
+        _, self.weights, self.bias = min(kept, key=lambda x: x[0])
         labels = np.array([y for _, y in rows], np.float64)
         texts = record(["text"], [pa.array([t for t, _ in rows], pa.string())])
         self.calibrate = Logistic(np.concatenate([self.texts(part.column("text")) for part in slices(texts, "text")]), labels)
 
-    @classmethod
-    def _examples(cls, rows: list[tuple[str, int]]) -> tuple[list[str], list[str], dict[str, int]]:
-        """Words whose contexts are toxic beyond chance, the commonest 20,000 other words of clean
-        texts, and how many contexts of its own side each has."""
-        codes: dict[str, int] = {}
-        # A word's code and its context, eight bytes for each place: sets of them would take hundreds of MB.
-        word, context = (array("I"), array("I")), (array("I"), array("I"))
-        for text, label in sorted(set(rows)):
-            for words in _sentence_words(text):
-                for k, w in enumerate(words):
-                    if SHORTEST <= len(w) <= LONGEST:
-                        word[label].append(codes.setdefault(w, len(codes)))
-                        context[label].append(crc32(f"{words[k - 1] if k else ''} {words[k + 1] if k + 1 < len(words) else ''}".encode()))
-        clean, toxic = (cls._distinct(word[y], context[y], len(codes)) for y in (0, 1))
-        if not sum(clean) or not sum(toxic):
-            return [], [], {}
-        base = sum(toxic) / (sum(clean) + sum(toxic))
-        positive, negative = [], []
-        for w, code in sorted(codes.items()):
-            n, share = toxic[code] + clean[code], toxic[code] / (toxic[code] + clean[code])
-            if toxic[code] and share > base:
-                against = 0.0 if share == 1 else (1 - share) * np.log((1 - share) / (1 - base))
-                if n * (share * np.log(share / base) + against) > np.log(len(codes)) + 3 and share > 0.6:
-                    positive.append(w)
-                    continue
-            if clean[code]:
-                negative.append(w)
-        positive.sort(key=lambda w: (-toxic[codes[w]], w))
-        negative.sort(key=lambda w: (-clean[codes[w]], w))
-        negative = negative[:20_000]
-        return positive[:POSITIVES], negative, {w: toxic[codes[w]] for w in positive} | {w: clean[codes[w]] for w in negative}
-
-    @staticmethod
-    def _distinct(word: array, context: array, types: int) -> list[int]:
-        """How many different contexts each word code has."""
-        pairs = np.unique(np.frombuffer(word, np.uint32).astype(np.uint64) << np.uint64(32) | np.frombuffer(context, np.uint32))
-        return np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=types).tolist()
+    def _fold(self, marks: list[dict[int, float]], alpha: list[float]) -> None:
+        """One weight per subsequence, from landmarks and their coefficients."""
+        self.weights = np.zeros(_LETTERS**3)
+        for own, a in zip(marks, alpha, strict=True):
+            for u, v in own.items():
+                self.weights[u] += a * v
+
+    def _train(self, terms: list[str], toxic: dict[int, int], clean: dict[int, int], marks: list[dict[int, float]], root: np.ndarray) -> None:
+        """One machine from the examples: a window for each sentence, with the number of these."""
+        words, y, share = [], [], []
+        for sign, side in ((1.0, toxic), (-1.0, clean)):
+            for w, n in sorted((terms[k], n) for k, n in side.items()):
+                forms = [w]
+                if sign > 0 and len(w) < LONGEST:
+                    forms += [w[:p] + "abcdefghijklmnopqrstuvwxyz"[crc32(f"{w}{p}".encode()) % 26] + w[p:] for p in range(1, len(w))]
+                words += forms
+                y += [sign] * len(forms)
+                share += [n / len(forms)] * len(forms)
+        signs, weight = np.array(y), np.array(share)
+        for sign in (1.0, -1.0):  # either side weighs the same altogether
+            weight[signs == sign] *= len(words) / 2 / weight[signs == sign].sum()
+        x = np.concatenate([kernel([features(w) for w in words[a : a + 1000]], marks) for a in range(0, len(words), 1000)]) @ root
+        w, self.bias = linear_svm(x, signs, weight)
+        self._fold(marks, (root @ w).tolist())
 
     def words(self, words: list[str]) -> np.ndarray:
         """Decision values of words of SHORTEST to LONGEST letters; those without a shared gain get the bias."""
@@ -290,8 +351,8 @@ class ToxicityModel:
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document.
 
-    Learns from a bounded sample (labelled.SAMPLE_ROWS of each class) of the labels outside fold
-    ``held`` of ``folds``; all words of all texts are scored. Null texts count as empty and get
+    Learns from a bounded sample (labelled.SAMPLE_ROWS of each class, SAMPLE_CHARS characters) of the
+    labels outside fold ``held`` of ``folds``; all words of all texts are scored. Null texts count as empty and get
     the score of a text without words; a null id is never held out; rows that repeat an id are
     scored each; without anything to learn every score is the share of toxic rows (0.5 without
     any); no documents give no rows; other columns are ignored. A text of any length is scored whole,

@@ -1,5 +1,6 @@
 """Each operator on small fixtures with nulls, empty and long texts, ties, repeats and extra columns."""
 
+import itertools
 import math
 import random
 import re
@@ -8,8 +9,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from notelake.llm import ann, brown, chat, decontaminate, jaccard, packing, quality, substrings, toxicity, wavelet
+from notelake.llm import labelled as labelled_rows
 from notelake.llm.common import components
 from notelake.llm.tokens import encoder, vocabulary
 
@@ -411,6 +415,84 @@ def test_toxicity_learns_and_tolerates_gaps(spark):
     assert got[300]["predicted"] == 0 and got[301]["predicted"] == 1 and got[302]["predicted"] == 1
 
 
+def test_toxic_examples_are_the_worst_sentences_and_all_found_toxic():
+    rows = [("calm day. zqxwor here. kvylum there too", 1), ("calm day again. tea now", 0), ("", 0), ("a b", 0)]
+    own = toxicity.Sentences(rows)
+    value = np.array([{"zqxwor": 0.5, "kvylum": 2.0}.get(w, -1.0) for w in own.terms])
+    toxic, clean = own.worst(value)
+    assert {own.terms[k]: n for k, n in toxic.items()} == {"zqxwor": 1, "kvylum": 1}
+    assert {own.terms[k]: n for k, n in clean.items()} == {"calm": 1}
+    toxic, _ = own.worst(np.full(len(own.terms), -1.0))
+    assert {own.terms[k]: n for k, n in toxic.items()} == {"calm": 1}
+
+
+def test_folded_machine_equals_the_kernel_with_its_landmarks():
+    rng = random.Random(15)
+    names = ["".join(rng.choices("abcdez", k=rng.randrange(3, 12))) for _ in range(40)]
+    marks = [toxicity.features(w) for w in names[:9]]
+    alpha = [rng.uniform(-1, 1) for _ in marks]
+    model = toxicity.ToxicityModel([])
+    model._fold(marks, alpha)
+
+    def brute(a, b):  # every pair of three-letter subsequences, letter by letter
+        def all_of(w):
+            out = {}
+            for i, j, k in itertools.combinations(range(len(w)), 3):
+                if k - i < toxicity.SPAN:
+                    out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + toxicity.DECAY ** (k - i + 1)
+            return out
+
+        x, y = all_of(a), all_of(b)
+        norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return sum(v * y.get(u, 0) for u, v in x.items()) / norm
+
+    want = [sum(a * brute(w, m) for a, m in zip(alpha, names[:9], strict=True)) for w in names]
+    # Windows without a shared gain keep the bias alone.
+    assert np.allclose(model.words(names), [max(v, 0) for v in want], atol=1e-5)
+
+
+def test_samples_hold_long_texts_whole_within_their_characters(spark):
+    docs = frame(spark, [(k, f"{k} " * 30_000 if k == 3 else f"text {k}") for k in range(8)] + [(8, ""), (9, None)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, y int")
+    got = labelled_rows.sample(docs, labels, "y", F.lit(True))
+    assert len(got) == 8 and ("3 " * 30_000, 1) in got
+    few = labelled_rows.sample(docs, labels, "y", F.lit(True), chars=14)
+    assert [y for _, y in few].count(0) == 2 and all(len(t) < 10 for t, _ in few)
+    assert len({y for _, y in labelled_rows.sample(docs, labels, "y", F.lit(True), rows=1)}) == len(labelled_rows.sample(docs, labels, "y", F.lit(True), rows=1))  # at most one of each
+
+
+def test_quality_sizes_match_one_frame_a_block():
+    rng = random.Random(16)
+    rows = [(words(rng, 60) if k % 2 else "".join(rng.choices("#|{}0", k=300)), k % 2) for k in range(120)]
+    model = quality.QualityModel(rows)
+    text = (words(rng, 6000) + " " + "#|" * 900).encode()
+    sizes = []
+    for raw in (model.good, model.bad):
+        # One compressor a block, so nothing can be carried over.
+        blocks = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw), level=quality.LEVEL, write_content_size=False, write_dict_id=False).compress(text[a : a + quality.BLOCK]) for a in range(0, len(text), quality.BLOCK)]
+        plain = [zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)).decompress(b, max_output_size=quality.BLOCK) for b in blocks]
+        assert b"".join(plain) == text
+        sizes.append(sum(map(len, blocks)))
+    want = (sizes[1] - sizes[0]) / len(text), min(sizes) / len(text)
+    assert len(text) > 20_000 and np.allclose(model.features(text), want) and model.features(b"") == (0.0, 0.0)
+    # Rows that no dictionary holds.
+    fresh = [(words(rng, 60) if k % 2 else "".join(rng.choices("#|{}0", k=300)), k % 2) for k in range(60)]
+    score = model.scores(np.array([model.features(t.encode()) for t, _ in fresh]))
+    assert np.mean((score >= 0.5) == np.array([y for _, y in fresh])) > 0.95
+
+
+def test_classifiers_with_repeated_rows_long_texts_and_clashing_columns(spark):
+    docs, labels = labelled(spark, 150)
+    long = ("calm words " * 20_000, "calm words " * 20_000 + "zqxwor kvylum")
+    more = docs.unionByName(frame(spark, [(500, long[0]), (501, long[1]), (501, long[1])]))
+    odd = more.withColumns({"score": F.lit("x"), "label": F.lit(1), "held_out": F.lit(None).cast("string"), "toxic": F.lit(9), "quality": F.lit(9)})
+    plain = sorted(map(tuple, toxicity.score_toxicity(more, labels).collect()), key=str)
+    assert sorted(map(tuple, toxicity.score_toxicity(odd, labels).collect()), key=str) == plain
+    assert [r[3] for r in plain if r[0] == 500] == [0] and [r[3] for r in plain if r[0] == 501] == [1, 1]
+    plain = sorted(map(tuple, quality.score_quality(more, labels).collect()), key=str)
+    assert sorted(map(tuple, quality.score_quality(odd, labels).collect()), key=str) == plain and len([r for r in plain if r[0] == 501]) == 2
+
+
 def test_quality_learns(spark):
     docs, labels = labelled(spark)
     got = [r for r in quality.score_quality(docs, labels).collect() if r["held_out"] and r["doc_id"] < 300]
