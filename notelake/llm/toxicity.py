@@ -47,6 +47,8 @@ ROUNDS = 5
 SHORTEST, LONGEST = 3, 24
 #: Words whose values a worker keeps; about 150 bytes each.
 REMEMBERED = 100_000
+#: Words that are valued in one go; at most 12 kB each.
+WORDS_AT_ONCE = 5000
 THRESHOLD = 0.5
 #: Letters: a-z are 1 to 26, others share five more numbers; 0 pads.
 _LETTERS = 32
@@ -69,6 +71,17 @@ def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (codes[:, i] * _LETTERS + codes[:, j]) * _LETTERS + codes[:, k], np.array([p[3] for p in places])
 
 
+def norms(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The length of each row's feature map, in which equal subsequences add up."""
+    order = np.argsort(ids.astype(np.uint16), axis=1, kind="stable")
+    ids = np.take_along_axis(ids, order, axis=1)
+    new = np.ones(ids.shape, bool)
+    new[:, 1:] = ids[:, 1:] != ids[:, :-1]
+    total = np.add.reduceat(weights[order].ravel(), np.flatnonzero(new))
+    distinct = new.sum(axis=1)
+    return np.sqrt(np.add.reduceat(total * total, np.cumsum(distinct) - distinct))
+
+
 def features(word: str) -> dict[int, float]:
     """The kernel's explicit feature map of one word, normalised."""
     ids, weights = subsequences(letter_codes([word], len(word)))
@@ -131,7 +144,8 @@ def letters_of(words: pa.Array) -> pa.Array:
 def _sentence_words(text: str) -> Iterator[list[str]]:
     """The letters of each sentence's words, as scoring sees them."""
     for sentence in re.split(r"[.!?\n]+\s+|\n+", text):
-        yield [w for w in ("".join(c for c in x if c.isalpha()).lower() for x in sentence.split()) if w]
+        bare = (x if x.isalpha() else "".join(filter(str.isalpha, x)) for x in sentence.split())
+        yield [w.lower() for w in bare if w]
 
 
 def _windows(run: str) -> Iterator[str]:
@@ -277,13 +291,12 @@ class ToxicityModel:
         size = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(size).tolist():
             at = np.flatnonzero(size == n)
-            for part in np.array_split(at, -(-len(at) // 20_000)):
+            for part in np.array_split(at, -(-len(at) // WORDS_AT_ONCE)):
                 ids, weights = subsequences(letter_codes([words[k] for k in part], n))
                 gain = self.weights[ids] @ weights
-                for r in np.flatnonzero(gain > 0):
-                    unique, inverse = np.unique(ids[r], return_inverse=True)
-                    norm = np.sqrt((np.bincount(inverse, weights=weights) ** 2).sum())
-                    out[part[r]] += gain[r] / norm
+                up = np.flatnonzero(gain > 0)
+                if len(up):
+                    out[part[up]] += gain[up] / norms(ids[up], weights)
         return out
 
     def _remembered(self, words: list[str]) -> np.ndarray:
