@@ -210,9 +210,15 @@ def _assign(neighbours: DataFrame, joint: np.ndarray, classes: int) -> DataFrame
     return neighbours.mapInArrow(assign, "word string, c long, class int")
 
 
-def learn(train: DataFrame) -> tuple[BrownModel, DataFrame, DataFrame]:
+def learn(train: DataFrame, exchanged: int | None = None) -> tuple[BrownModel, DataFrame, DataFrame]:
     """The model of the texts of (text), and the tables (word, c) of all words' counts and
-    (word, c, class) of the classes that words other than the most frequent have."""
+    (word, c, class) of the classes that words other than the most frequent have.
+
+    ``exchanged``, a power of two, is how many states the exchange has (FREQUENT if not given):
+    that many words less two."""
+    exchanged = FREQUENT if exchanged is None else exchanged
+    if exchanged < 32 or exchanged & (exchanged - 1):
+        raise ValueError("exchanged must be a power of two, 32 or more")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +246,7 @@ def learn(train: DataFrame) -> tuple[BrownModel, DataFrame, DataFrame]:
         found = vocabulary.where(fits & (F.col("c") >= least)).toArrow()  # TABLE_WORDS rows at most
         found = found.take(pc.sort_indices(found, [("c", "descending"), ("word", "ascending")]))
         words, counts = found["word"].combine_chunks().cast(pa.large_string()), found["c"].to_numpy().astype(np.int64)
-    frequent = min(len(words), FREQUENT - 2)
+    frequent = min(len(words), exchanged - 2)
     states = frequent + 2
     top, top_state = words[:frequent], np.append(np.arange(frequent), frequent)
 
@@ -248,9 +254,9 @@ def learn(train: DataFrame) -> tuple[BrownModel, DataFrame, DataFrame]:
         for part in slices(batch, "text"):
             w = Words(part.column("text"))
             own, _, _ = _laid(w, top_state[_find(w, top)], frequent + 1)
-            table += np.bincount(_shifted(own, frequent + 1) * FREQUENT + own, minlength=FREQUENT * FREQUENT).astype(table.dtype)
+            table += np.bincount(_shifted(own, frequent + 1) * exchanged + own, minlength=exchanged * exchanged).astype(table.dtype)
 
-    wide = hash_counts(train.select("text"), pairs, (FREQUENT * FREQUENT).bit_length() - 1).reshape(FREQUENT, FREQUENT)
+    wide = hash_counts(train.select("text"), pairs, (exchanged * exchanged).bit_length() - 1).reshape(exchanged, exchanged)
     bigrams = wide[:states, :states].astype(np.float64)
     often = sum(r["types"] for r in steps if r["least"] >= LEAST)
     of = exchange_clusters(bigrams, max(CLASSES, 2 * round(often ** (1 / 3))))
@@ -343,12 +349,14 @@ def learn(train: DataFrame) -> tuple[BrownModel, DataFrame, DataFrame]:
     return model, vocabulary, classes
 
 
-def score_texts(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, exchanged: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Learns from the documents outside fold ``held`` of ``folds`` (or where ``train`` holds). A-Z
     are lowered; tokens are words and one end. ``base_score`` is the unigram score with 0.1 added,
     ``score`` the model's log10 probability; all words never seen count as one type in both.
+    ``exchanged`` is how many states the exchange has (see learn()); more cost the driver
+    8 bytes times their square, and its time grows with them.
     Null texts count as empty: the end alone. A null id is never held out and is learned from;
     rows that repeat an id are scored each; without texts to learn from all counts are 0; no
     documents give no rows; other columns are ignored. A text of any length is counted and scored
@@ -357,7 +365,7 @@ def score_texts(docs: DataFrame, train: Column | None = None, id_col: str = "doc
     spark = session_of(docs)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out_of = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
-    model, vocabulary, classes = learn(chosen.where(~out_of if train is None else train))
+    model, vocabulary, classes = learn(chosen.where(~out_of if train is None else train), exchanged)
     sent = spark.sparkContext.broadcast(model)
     numbered = chosen.withColumn("row", F.monotonically_increasing_id())
 

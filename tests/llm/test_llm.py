@@ -513,6 +513,20 @@ def test_brown_counts_and_base(spark):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
 
 
+def test_brown_exchange_size_is_a_parameter(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{(k * j) % 50}" for j in range(1, 60))) for k in range(1, 30)]
+    given = {r["doc_id"]: r for r in brown.score_texts(frame(spark, rows), exchanged=32).collect()}
+    plain = {r["doc_id"]: r for r in brown.score_texts(frame(spark, rows)).collect()}
+    monkeypatch.setattr(brown, "FREQUENT", 32)
+    same = {r["doc_id"]: r for r in brown.score_texts(frame(spark, rows)).collect()}
+    assert all(abs(given[k]["score"] - same[k]["score"]) < 1e-9 for k in given)
+    assert any(abs(given[k]["score"] - plain[k]["score"]) > 1e-6 for k in given)
+    assert all(abs(given[k]["base_score"] - plain[k]["base_score"]) < 1e-9 for k in given)
+    for wrong in (16, 100):
+        with pytest.raises(ValueError, match="power of two"):
+            brown.score_texts(frame(spark, rows), exchanged=wrong)
+
+
 def test_brown_score_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(brown, "FREQUENT", 32)
     rng = random.Random(31)
