@@ -3,7 +3,9 @@
 import random
 
 import pytest
-from notelake.operators import index
+from pyspark.sql import functions as F
+
+from notelake.operators import blocks, index, search
 
 WEIGHTS = {"title": 8.0, "body": 0.2}
 
@@ -28,3 +30,29 @@ def test_a_task_sorts_a_bounded_share_of_the_postings():
     for size in (1 << 20, 1 << 30, 10 << 30, 300 << 30):
         buckets, spread = index._layout(size, 1000)
         assert size / (buckets * spread) <= index.TASK_BYTES
+
+
+@pytest.mark.parametrize("block_rows", [7, 1000])
+def test_best_keeps_what_ranked_keeps(spark, rows, tmp_path, monkeypatch, block_rows):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", block_rows)
+    held = index.repaired(rows, WEIGHTS, str(tmp_path / "i"))
+    asked = [(1, "w1 w2 w40"), (2, "w3 w3_w4"), (3, "same"), (4, "planted words"), (5, "absent w1"), (6, "w1 w2 w40"), (7, ""), (8, "W1 w1 w50")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    runs = search.variants(queries, spark.sql("SELECT 'w2' AS title, array('w9', 'w41') AS aliases, 'approved' AS status"))
+    told = lambda df: sorted((r["query_id"], r["run"], r["rank"], r["row_id"], round(r["score"], 9)) for r in df.collect())
+    for limit in (2, 1000):
+        assert told(search.best(runs, held, limit)) == told(search.ranked(search.bm25(runs, held), limit))
+    words = search.strict_run(queries)
+    some = search.best(words, held, 5, some=True)
+    assert told(some) == told(search.ranked(search.bm25(words.withColumn("group_id", F.lit(0)), held), 5))
+    hits = {tuple(r) for r in search.phrase_hits(words, held).select("query_id", "group_id", "row_id").collect()}
+    for r in some.collect():
+        assert set(r["groups"]) == {g for q, g, row in hits if (q, row) == (r["query_id"], r["row_id"])}
+
+
+def test_groups_count_rows_of_any_member_once(spark, rows, tmp_path):
+    held = index.repaired(rows, WEIGHTS, str(tmp_path / "i"))
+    groups = spark.createDataFrame([(1, 0, ["w1", "w2"], True), (1, 1, ["w3"], True), (2, 0, ["w2", "w1"], True), (2, 1, ["absent"], True), (3, 0, ["w3_w4"], False)], "query_id long, group_id int, members array<string>, grown boolean")
+    hits = search.phrase_hits(search.group_run(groups, 0), held).select("query_id", "group_id", "row_id").distinct().groupBy("query_id", "group_id").count()
+    want = {(r[0], r[1]): r[2] for r in hits.collect()}
+    assert {(r["query_id"], r["group_id"]): r["df"] for r in search.signal_groups(groups, held).collect()} == {**want, (2, 1): 0}
