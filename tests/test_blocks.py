@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from notelake.operators import blocks, index, search
+from notelake.operators import blocks, grams, index, search
 
 WEIGHTS = {"title": 8.0, "body": 0.2}
 
@@ -56,3 +56,10 @@ def test_groups_count_rows_of_any_member_once(spark, rows, tmp_path):
     hits = search.phrase_hits(search.group_run(groups, 0), held).select("query_id", "group_id", "row_id").distinct().groupBy("query_id", "group_id").count()
     want = {(r[0], r[1]): r[2] for r in hits.collect()}
     assert {(r["query_id"], r["group_id"]): r["df"] for r in search.signal_groups(groups, held).collect()} == {**want, (2, 1): 0}
+
+
+def test_trigrams_that_are_not_asked_for_stay_in_their_tasks(spark):
+    texts = spark.createDataFrame([(f"t{k}", f"text number {k} " + "xyz" * (k % 3)) for k in range(40)], "row_id string, hay string")
+    built = grams.built(texts)
+    few = built.held_by(spark.createDataFrame([(int(grams.keys("xyz")[0]),)], "gram long"))
+    assert "Join" not in few._jdf.queryExecution().executedPlan().toString() and few.count() == 26
