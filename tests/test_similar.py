@@ -169,3 +169,24 @@ def test_similarity_counts_equal_bits(spark, kind):
     bits = HASHES[kind][0]
     pair = spark.createDataFrame([(-1 if bits == 64 else (1 << 60) - 1, 0), (5, 5)], "a long, b long")
     assert [r[0] for r in pair.select(fingerprint_similarity(search.F.col("a"), search.F.col("b"), kind)).collect()] == [0.0, 1.0]
+
+
+def test_lexical_pairs_read_the_texts_once_and_shuffle_no_words(spark, monkeypatch):
+    rng = random.Random(9)
+    bodies = [" ".join(rng.choices("a b c d e f g h i j k l".split(), k=rng.randint(0, 9))) for _ in range(120)] + [None]
+    asks = [(k, " ".join(rng.choices("a b c d e f g h x".split(), k=rng.randint(0, 7)))) for k in range(40)] + [(None, "a b")]
+    want = set()
+    for q, ask in asks:
+        for k, body in enumerate(bodies):
+            own, there = set(ask.split()), set((body or "").split())
+            if q is not None and own & there and round(len(own & there) / len(own), 4) >= 0.55:
+                want.add((q, f"{k:03}.md", round(len(own & there) / len(own), 4)))
+    texts = spark.createDataFrame([(f"{k:03}.md", b) for k, b in enumerate(bodies)], "path string, text string").repartition(3)
+    for sent, cells in ((200_000, 8_000_000), (200_000, 900), (50, 300)):  # in one pass, in small parts, in several passes
+        monkeypatch.setattr(similar, "SENT_ROWS", sent)
+        monkeypatch.setattr(similar, "_CELLS", cells)
+        pairs = similar.lexical_pairs(spark.createDataFrame(asks, "query_id long, text string"), texts)
+        assert sorted((r[0], r[1], round(r[2], 4)) for r in pairs.collect()) == sorted(want)
+    monkeypatch.undo()
+    plan = similar.lexical_pairs(spark.createDataFrame(asks, "query_id long, text string"), texts.coalesce(1))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
