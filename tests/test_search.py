@@ -167,6 +167,21 @@ def test_stored_index_sees_edits_of_any_column_and_repeated_keys(spark, tmp_path
     assert index.update(twice, weights, folder) == {"version": 2, "same": 2}
 
 
+def test_texts_are_cut_into_terms_once(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a.md", "x y x"), ("b.md", ""), ("c.md", "é E\u0301 Z"), ("d.md", None)], "path string, body string")
+    want = sorted(map(tuple, index.row_lengths(rows, {"path": 1.0, "body": 2.0}).collect()))
+    monkeypatch.setattr(index, "_length", None)  # a second pass over the texts
+    folder = str(tmp_path / "i")
+    index.update(rows, {"path": 1.0, "body": 2.0}, folder)
+    opened = index.read(spark, folder)
+    assert sorted(map(tuple, opened.lengths.collect())) == want and opened.size == (4.0, sum(n for _, n in want) / 4)
+    assert opened.all().where("term IS NULL").isEmpty() and opened.terms().where("term IS NULL").isEmpty()
+    assert {r["term"] for r in opened.of(["e", "x"]).collect()} == {"e", "x"}
+    bare = spark.createDataFrame([(1, ""), (2, "--")], "path long, body string")  # no terms at all
+    index.update(bare, {"body": 2.0}, str(tmp_path / "j"), "path")
+    assert sorted(map(tuple, index.read(spark, str(tmp_path / "j")).lengths.collect())) == [(1, 0), (2, 0)]
+
+
 def test_compaction_merges_runs_and_drops_dead_rows(spark, tmp_path):
     weights, folder = {"body": 1.0}, str(tmp_path / "ix")
     index.update(docs(spark, "alpha gone", "beta", "gamma"), weights, folder)
