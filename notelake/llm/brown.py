@@ -12,13 +12,16 @@ never seen.
 
 Counts go over all training texts. The table of words that travels is bounded: at most TABLE_WORDS
 words of at most TABLE_BYTES bytes. Every other word meets its count and its class in a shuffled
-join, so all counts, classes and transitions are the same at any size of the table.
+join, so all counts, classes and transitions are the same at any size of the table. That join is
+made once: texts are dealt to groups, each group meets the words outside the table that its texts
+hold, and the texts are written as classes, from which transitions are counted and scored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +41,14 @@ LEAST = 5
 SWEEPS = 6
 TABLE_WORDS = 200_000
 TABLE_BYTES = 40
+#: Bytes of text that a group of texts has, about.
+GROUP_BYTES = 8 << 20
 _BASE = 0.1
 _SMOOTH = 5.0
 
-_PAIRS = "a string, a_class int, b string, b_class int, times long"
-_ROWS = f"row long, doc_id long, n_tokens long, n_known long, base double, score double, word string, {_PAIRS}"
+#: Neighbours of a word that a task holds before it sends them on.
+_HELD_PAIRS = 4_000_000
+_CODED = "doc_id long, learned boolean, n_tokens long, n_known long, base double, emitted double, states binary"
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -109,38 +115,38 @@ class BrownModel:
     """Everything that scoring needs but the counts and classes of words outside the table."""
 
     table: pa.Array  # words with their counts at hand, the frequent ones first
+    least: int | None  # the table has all words that occur so often and have TABLE_BYTES bytes at most
     counts: np.ndarray
     state: np.ndarray  # the class of each word of the table; the last entry is that of rarer words
-    complete: bool  # no word outside the table has a class
-    complete_short: bool  # none of at most TABLE_BYTES bytes has
-    transition: np.ndarray  # log10 by (class before, class)
     in_class: np.ndarray  # tokens of each class's words
-    emission: np.ndarray  # log10 by table word
     tokens: int
     types: int
     ends: int
     other_tokens: float
     other_types: float
     discount: float
+    transition: np.ndarray | None = None  # log10 by (class before, class)
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + _BASE) / (self.tokens + _BASE * (self.types + 1)))
 
+    def emission(self, count: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """log10 of words with these counts and classes; a count of 0 is that of a word never seen."""
+        rest = self.other_tokens or 1.0
+        unseen = max(self.discount * self.other_types / rest, 1e-12) if self.other_tokens else 1.0
+        rarer = np.where(count > 0, np.maximum(count - self.discount, 0) / rest, unseen)
+        return np.log10(np.where(of == self.state[-1], rarer, count / np.maximum(self.in_class[of], 1)))
 
-def _find(words: Words, table: pa.Array) -> np.ndarray:
-    """Where each distinct word is in the table; its length for words outside."""
-    at = pc.index_in(words.distinct, value_set=table) if len(table) else pa.nulls(len(words.distinct), pa.int32())
-    return pc.fill_null(at, len(table)).to_numpy(zero_copy_only=False)
+    def outside(self) -> Column:
+        """Whether a (word, c) isn't in the table."""
+        return F.lit(True) if self.least is None else ~((F.octet_length("word") <= TABLE_BYTES) & (F.col("c") >= self.least))
 
 
-def _open(words: Words, at: np.ndarray, outside: int, complete: bool, complete_short: bool) -> np.ndarray:
-    """The distinct words whose class, or having none, only a join can tell."""
-    out = at == outside
-    if complete:
-        return np.zeros(len(at), bool)
-    if complete_short:
-        out &= pc.binary_length(words.distinct).to_numpy(zero_copy_only=False) > TABLE_BYTES
-    return out
+def _finder(table: pa.Array) -> Callable[[Words], np.ndarray]:
+    """Where each distinct word is in the table; its length for words outside."""
+    n = len(table)
+    at = dict(zip(table.to_numpy(zero_copy_only=False), range(n), strict=True))
+    return lambda words: np.fromiter(map(at.get, words.distinct.to_numpy(zero_copy_only=False), repeat(n)), np.int64, len(words.distinct))
 
 
 def _laid(words: Words, own: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,55 +163,61 @@ def _shifted(x: np.ndarray, first: int) -> np.ndarray:
     return np.concatenate([[first], x[:-1]])
 
 
-def _open_pairs(words: Words, own: np.ndarray, place: np.ndarray, open_: np.ndarray, begin: np.ndarray | None, end: int) -> tuple[np.ndarray, list]:
-    """(which adjacent pairs hold an open word, the columns row and _PAIRS of these, counted for
-    each row, or over all without ``begin``)."""
-    d = len(words.distinct)
-    # A value for each token: its class, or its word behind the classes.
-    word = np.full(len(own), -1, np.int64)
-    word[place] = np.where(open_, np.arange(d), -1)[words.codes] if len(place) else 0
-    value = np.where(word >= 0, end + 1 + word, own)
-    before = _shifted(value, end)
-    pick = (value > end) | (before > end)
-    if begin is None:
-        row = np.zeros(int(pick.sum()), np.int64)
-    else:
-        row = np.searchsorted(begin, np.flatnonzero(pick), side="right") - 1
-    keys, times = np.unique(np.stack([row, before[pick], value[pick]]), axis=1, return_counts=True)
-    columns: list = [keys[0]]
-    for side in keys[1:]:
-        named = side > end
-        at = pa.array(np.where(named, side - end - 1, 0), mask=~named)
-        columns += [words.distinct.take(at).cast(pa.string()), pa.array(np.where(named, 0, side).astype(np.int32), mask=named)]
-    return pick, [*columns, times.astype(np.int64)]
-
-
-def _resolved(pairs: DataFrame, classes: DataFrame, other: int) -> DataFrame:
-    """Open pairs with the classes of their words put in; words without one are in ``other``."""
-    for side in ("a", "b"):
-        named = classes.select(F.col("word").alias(side), F.col("class").alias("__class"))
-        met = pairs.where(F.col(side).isNotNull()).join(named, side, "left").withColumn(f"{side}_class", F.coalesce("__class", F.lit(other))).drop("__class")
-        pairs = pairs.where(F.col(side).isNull()).unionByName(met)
-    return pairs
+def _listed(keys: np.ndarray, times: np.ndarray, slots: int, distinct: pa.Array) -> pa.RecordBatch:
+    """(word, near, c) from ascending keys, word times ``slots`` plus slot: a row for each word."""
+    word = keys // slots
+    heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))[: len(keys)]
+    near = pa.ListArray.from_arrays(pa.array(np.append(heads, len(keys)), pa.int32()), pa.array(keys % slots << 40 | times))
+    return record(["word", "near", "c"], [distinct.take(pa.array(word[heads])).cast(pa.string()), near, pa.nulls(len(heads), pa.int64())])
 
 
 def _assign(neighbours: DataFrame, joint: np.ndarray, classes: int) -> DataFrame:
-    """(word, c, class): for each word of (word, c, near) the class whose bigrams fit its neighbours
-    best. ``near`` lists (slot, n): classes before the word, then, behind these, classes after it."""
+    """(word, c, class): for each word of (word, near, c) the class whose bigrams fit its neighbours
+    best. A word's rows follow each other: the first has its c, if it is to have a class, and the
+    others' ``near`` list neighbours, slot above 40 bits of their number: classes before the word,
+    then, behind these, classes after it."""
     smooth = joint + _SMOOTH * np.outer(joint.sum(axis=1) + 1, joint.sum(axis=0) + 1) / (joint.sum() + 1) ** 2
     before = np.log(smooth / smooth.sum(axis=1, keepdims=True) / smooth.sum(axis=0, keepdims=True))[:, :classes]
     after = np.log(smooth / smooth.sum(axis=1, keepdims=True))[:classes].T
     fit = np.concatenate([before, after])
+    slots = len(fit)
+
+    def chosen(words: pa.Array, c: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        own = counts.any(axis=1)
+        return record(["word", "c", "class"], [words.filter(pa.array(own)), c[own], np.argmax(np.round(counts[own] @ fit, 6), axis=1).astype(np.int32)])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_c, last_counts = None, 0, np.zeros(slots)  # the word that the next batch may go on with
         for batch in batches:
-            if batch.num_rows:
-                near = batch.column("near")
-                row = pc.list_parent_indices(near).to_numpy(zero_copy_only=False)
-                flat = near.flatten()
-                counts = np.zeros((batch.num_rows, len(fit)))
-                counts[row, flat.field("slot").to_numpy(zero_copy_only=False)] = flat.field("n").to_numpy(zero_copy_only=False)
-                yield record(["word", "c", "class"], [batch.column("word"), batch.column("c"), np.argmax(np.round(counts @ fit, 6), axis=1).astype(np.int32)])
+            if not batch.num_rows:
+                continue
+            coded = batch.column("word").dictionary_encode()
+            of, words = coded.indices.to_numpy(), coded.dictionary
+            c = np.zeros(len(words), np.int64)
+            np.maximum.at(c, of, pc.fill_null(batch.column("c"), 0).to_numpy())
+            goes_on = words[0].as_py() == last
+            if goes_on:
+                c[0] = max(c[0], last_c)
+            elif last_c:
+                yield chosen(pa.array([last]), np.array([last_c]), last_counts[None])
+            kept = np.flatnonzero(c)
+            at = np.full(len(words), -1)
+            at[kept] = np.arange(len(kept))
+            near = batch.column("near")
+            flat = near.flatten().to_numpy()
+            row = at[of[pc.list_parent_indices(near).to_numpy()]]
+            flat, row = flat[row >= 0], row[row >= 0]
+            counts = np.bincount(row * slots + (flat >> 40), flat & (1 << 40) - 1, len(kept) * slots).reshape(-1, slots)
+            if goes_on and last_c:
+                counts[0] += last_counts
+            last, last_c = words[-1].as_py(), int(c[-1])
+            if last_c:
+                last_counts = counts[-1].copy()
+                kept, counts = kept[:-1], counts[:-1]
+            if len(kept):
+                yield chosen(words.take(pa.array(kept)), c[kept], counts)
+        if last_c:
+            yield chosen(pa.array([last]), np.array([last_c]), last_counts[None])
 
     return neighbours.mapInArrow(assign, "word string, c long, class int")
 
@@ -216,6 +228,14 @@ def learn(train: DataFrame, exchanged: int | None = None) -> tuple[BrownModel, D
 
     ``exchanged``, a power of two, is how many states the exchange has (FREQUENT if not given):
     that many words less two."""
+    model, vocabulary, classes = _classed(train, exchanged)
+    coded = _coded(train.select(F.lit(None).cast("long").alias("doc_id"), F.lit(True).alias("learned"), "text"), model, vocabulary, classes)
+    model.transition = _transition(coded, len(model.in_class))
+    return model, vocabulary, classes
+
+
+def _classed(train: DataFrame, exchanged: int | None) -> tuple[BrownModel, DataFrame, DataFrame]:
+    """What learn() gives, but for the transitions."""
     exchanged = FREQUENT if exchanged is None else exchanged
     if exchanged < 32 or exchanged & (exchanged - 1):
         raise ValueError("exchanged must be a power of two, 32 or more")
@@ -253,7 +273,8 @@ def learn(train: DataFrame, exchanged: int | None = None) -> tuple[BrownModel, D
     def pairs(table: np.ndarray, batch: pa.RecordBatch) -> None:
         for part in slices(batch, "text"):
             w = Words(part.column("text"))
-            own, _, _ = _laid(w, top_state[_find(w, top)], frequent + 1)
+            at = pc.index_in(w.distinct, value_set=top) if frequent else pa.nulls(len(w.distinct), pa.int32())
+            own, _, _ = _laid(w, top_state[pc.fill_null(at, frequent).to_numpy(zero_copy_only=False)], frequent + 1)
             table += np.bincount(_shifted(own, frequent + 1) * exchanged + own, minlength=exchanged * exchanged).astype(table.dtype)
 
     wide = hash_counts(train.select("text"), pairs, (exchanged * exchanged).bit_length() - 1).reshape(exchanged, exchanged)
@@ -266,29 +287,46 @@ def learn(train: DataFrame, exchanged: int | None = None) -> tuple[BrownModel, D
     member[np.arange(states), of] = 1
 
     # Further words: the classes next to them, of the frequent words.
-    complete = often <= int((counts >= LEAST).sum())
-    complete_short = least is not None and least <= LEAST or held <= TABLE_WORDS
     top_class = of[top_state]
     rare = np.append(counts < LEAST, False)
     rare[:frequent] = True
+    slots = 2 * n_classes
 
     def next_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(words)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # keys and numbers of words of the table
+        many = 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            return keys, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64)
+
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(part.column("text"))
-                at = _find(w, words)
-                wanted = ~rare[at]
-                wanted[at == len(words)] = _open(w, at, len(words), complete, complete_short)[at == len(words)]
+                at = find(w)
                 own, place, _ = _laid(w, top_class[np.minimum(at, frequent)], end)
-                pick = wanted[w.codes]
+                pick = ~rare[at][w.codes]
                 code, where = w.codes[pick].astype(np.int64), place[pick]
                 slot = np.concatenate([_shifted(own, end)[where], n_classes + own[where + 1]])
-                pair, n = np.unique(np.tile(code, 2) * (2 * n_classes) + slot, return_counts=True)
-                yield record(["word", "slot", "n"], [w.distinct.take(pa.array(pair // (2 * n_classes))).cast(pa.string()), (pair % (2 * n_classes)).astype(np.int32), n.astype(np.int64)])
-
-    near = train.select("text").mapInArrow(next_to, "word string, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
-    near = near.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("near")).join(vocabulary.where(F.col("c") >= LEAST), "word").select("word", "c", "near")
-    classes = stored(_assign(near, member.T @ bigrams @ member, n_classes - 2), "word-classes")
+                known = np.tile(at[code] < len(words), 2)
+                parts.append(np.unique(np.tile(at[code], 2)[known] * slots + slot[known], return_counts=True))
+                many += len(parts[-1][0])
+                if not known.all():
+                    yield _listed(*np.unique(np.tile(code, 2)[~known] * slots + slot[~known], return_counts=True), slots, w.distinct)
+            if many > _HELD_PAIRS:
+                parts = [summed()]
+                many = len(parts[0][0])
+                if many > _HELD_PAIRS // 2:
+                    yield _listed(*parts.pop(), slots, words)
+                    many = 0
+        if many:
+            yield _listed(*summed(), slots, words)
+
+    near = train.select("text").mapInArrow(next_to, "word string, near array<bigint>, c long")
+    named = vocabulary.where(F.col("c") >= LEAST).select("word", F.expr("cast(array() as array<bigint>)").alias("near"), "c")
+    together = near.unionByName(named).repartition("word").sortWithinPartitions("word", F.desc_nulls_last("c"))
+    classes = stored(_assign(together, member.T @ bigrams @ member, n_classes - 2), "word-classes")
     state = np.full(len(words) + 1, other, np.int64)
     state[:frequent] = of[:frequent]
     if len(words) > frequent:
@@ -296,39 +334,6 @@ def learn(train: DataFrame, exchanged: int | None = None) -> tuple[BrownModel, D
         at = pc.index_in(given["word"].combine_chunks().cast(pa.large_string()), value_set=words).to_numpy(zero_copy_only=False)
         state[at.astype(np.int64)] = given["class"].to_numpy()
 
-    # The bigrams of all classes; pairs with a word that isn't in the table are joined.
-    bits = max(10, int(n_classes * n_classes - 1).bit_length())
-
-    def closed(table: np.ndarray, batch: pa.RecordBatch) -> None:
-        for part in slices(batch, "text"):
-            w = Words(part.column("text"))
-            at = _find(w, words)
-            own, place, _ = _laid(w, state[at], end)
-            keep = np.ones(len(own), bool)
-            if not complete:
-                open_ = np.zeros(len(own), bool)
-                open_[place] = _open(w, at, len(words), complete, complete_short)[w.codes]
-                keep = ~open_ & ~_shifted(open_, False)
-            table += np.bincount((_shifted(own, end) * n_classes + own)[keep], minlength=1 << bits).astype(table.dtype)
-
-    joint = hash_counts(train.select("text"), closed, bits)[: n_classes * n_classes].reshape(n_classes, n_classes).astype(np.float64)
-    if not complete:
-
-        def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    w = Words(part.column("text"))
-                    at = _find(w, words)
-                    own, place, _ = _laid(w, state[at], end)
-                    _, columns = _open_pairs(w, own, place, _open(w, at, len(words), complete, complete_short), None, end)
-                    yield record([x.split()[0] for x in _PAIRS.split(", ")], columns[1:])
-
-        met = _resolved(stored(train.select("text").mapInArrow(opened, _PAIRS), "open-pairs"), classes, other)
-        for r in met.groupBy("a_class", "b_class").agg(F.sum("times").alias("n")).collect():  # a row for each pair of classes
-            joint[r["a_class"], r["b_class"]] += r["n"]
-    single = joint.sum(axis=0) + 0.5
-    transition = np.log10((joint + _SMOOTH * single / single.sum()) / (joint.sum(axis=1, keepdims=True) + _SMOOTH))
-
     in_class = np.bincount(of[:frequent], weights=counts[:frequent].astype(np.float64), minlength=n_classes)
     joined = 0
     for r in classes.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
@@ -339,14 +344,81 @@ def learn(train: DataFrame, exchanged: int | None = None) -> tuple[BrownModel, D
     seen = {r["least"]: r["types"] for r in steps}
     once, twice = seen.get(1, 0), seen.get(2, 0)
     discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95)
-    own = state[: len(words)]
-    emission = np.zeros(len(words))
-    has = own != other
-    emission[has] = np.log10(counts[has] / in_class[own[has]])
-    if other_tokens:
-        emission[~has] = np.log10((counts[~has] - discount) / other_tokens)
-    model = BrownModel(words, counts, state, complete, complete_short, transition, in_class, emission, int(tokens), int(types), int(ends), other_tokens, other_types, discount)
-    return model, vocabulary, classes
+    return BrownModel(words, least, counts, state, in_class, int(tokens), int(types), int(ends), other_tokens, other_types, discount), vocabulary, classes
+
+
+def _coded(docs: DataFrame, model: BrownModel, vocabulary: DataFrame, classes: DataFrame) -> DataFrame:
+    """_CODED of each of (doc_id, learned, text), written once: the sums of its words' base scores and
+    emissions, and the classes of its tokens as little-endian 16-bit integers."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    grouped = docs.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // GROUP_BYTES)))))
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value.table
+        find = _finder(table)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = Words(part.column("text"))
+                pick = (find(w) == len(table))[w.codes]
+                if pick.any():
+                    group = np.repeat(part.column("group").to_numpy(), np.diff(w.first))[pick]
+                    pair = np.unique(group * len(w.distinct) + w.codes[pick])
+                    yield record(["group", "word"], [pair // len(w.distinct), w.distinct.take(pa.array(pair % len(w.distinct))).cast(pa.string())])
+
+    known = vocabulary.where(model.outside()).join(classes.where(model.outside()).select("word", "class"), "word", "left")
+    met = grouped.select("group", "text").mapInArrow(outside, "group long, word string").join(known, "word")
+    names = [x.split()[0] for x in _CODED.split(", ")]
+
+    def code(texts: pa.Table, met: pa.Table) -> pa.Table:
+        m = sent.value
+        n_table, other = len(m.table), int(m.state[-1])
+        find = _finder(m.table)
+        own = dict(zip(met.column("word").to_numpy(), range(met.num_rows), strict=True))
+        count = np.concatenate([m.counts, met.column("c").to_numpy(), [0]])
+        of = np.concatenate([m.state[:-1], pc.fill_null(met.column("class"), other).to_numpy(), [other]]).astype(np.int64)
+        base, emission = m.base(count), m.emission(count, of)
+        base_end = float(m.base(np.array([m.ends]))[0])
+        out = []
+        for batch in texts.to_batches():
+            for part in slices(batch, "text"):
+                w = Words(part.column("text"))
+                at = find(w)
+                new = np.flatnonzero(at == n_table)
+                at[new] += np.fromiter(map(own.get, w.distinct.take(pa.array(new)).to_numpy(zero_copy_only=False), repeat(met.num_rows)), np.int64, len(new))
+                states, _, begin = _laid(w, of[at], other + 1)
+                sums = lambda x, w=w, at=at: np.diff(np.concatenate([[0], np.cumsum(x[at][w.codes])])[w.first])
+                places = pa.py_buffer(np.append(begin, len(states)).astype(np.int32) * 2)
+                coded = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, places, pa.py_buffer(states.astype("<u2"))])
+                n_known = sums((count > 0).astype(np.int64)) + (m.ends > 0)
+                out.append(record(names, [part.column("doc_id"), part.column("learned"), np.diff(w.first) + 1, n_known, sums(base) + base_end, sums(emission), coded]))
+        return pa.Table.from_batches(out) if out else pa.table({n: pa.nulls(0, t) for n, t in zip(names, _KINDS, strict=True)})
+
+    return stored(grouped.groupBy("group").cogroup(met.groupBy("group")).applyInArrow(code, _CODED), "coded-texts")
+
+
+_KINDS = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+
+
+def _states(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the classes of all rows' tokens on end, where each row begins)."""
+    column = column.cast(pa.large_binary())
+    places = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[places[0] : places[-1]].view("<u2")
+    return flat.astype(np.int64), (places[:-1] - places[0]) // 2
+
+
+def _transition(coded: DataFrame, n_classes: int) -> np.ndarray:
+    """log10 by (class before, class) over _CODED texts; every text ends with the last class."""
+
+    def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
+        states, _ = _states(batch.column("states"))
+        table += np.bincount(_shifted(states, n_classes - 1) * n_classes + states, minlength=len(table)).astype(table.dtype)
+
+    bits = max(10, int(n_classes * n_classes - 1).bit_length())
+    joint = hash_counts(coded.where("learned").select("states"), fill, bits)[: n_classes * n_classes].reshape(n_classes, n_classes).astype(np.float64)
+    single = joint.sum(axis=0) + 0.5
+    return np.log10((joint + _SMOOTH * single / single.sum()) / (joint.sum(axis=1, keepdims=True) + _SMOOTH))
 
 
 def score_texts(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, exchanged: int | None = None) -> DataFrame:
@@ -362,80 +434,22 @@ def score_texts(docs: DataFrame, train: Column | None = None, id_col: str = "doc
     documents give no rows; other columns are ignored. A text of any length is counted and scored
     whole, in one worker (about 100 bytes a word of it).
     """
-    spark = session_of(docs)
+    session_of(docs)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out_of = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
-    model, vocabulary, classes = learn(chosen.where(~out_of if train is None else train), exchanged)
-    sent = spark.sparkContext.broadcast(model)
-    numbered = chosen.withColumn("row", F.monotonically_increasing_id())
+    learned = ~out_of if train is None else F.coalesce(train, F.lit(False))
+    chosen = chosen.withColumn("learned", learned)
+    model, vocabulary, classes = _classed(chosen.where("learned").select("text"), exchanged)
+    coded = _coded(chosen, model, vocabulary, classes)
+    transition = model.transition = _transition(coded, len(model.in_class))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        names = [x.split()[0] for x in _ROWS.split(", ")]
-        end = int(m.state[-1]) + 1
-        tail_kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64())
-        base_of = m.base(m.counts)
-        base_end = float(m.base(np.array([m.ends]))[0])
+        names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
         for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part.column("text"))
-                n = part.num_rows
-                at = _find(words, m.table)
-                known = at < len(m.table)
-                own, place, begin = _laid(words, m.state[at], end)
-                steps = m.transition[_shifted(own, end), own]
-                open_ = _open(words, at, len(m.table), m.complete, m.complete_short)
-                if open_.any():
-                    pick, columns = _open_pairs(words, own, place, open_, begin, end)
-                    steps[pick] = 0.0
-                token_base = np.append(base_of, 0.0)[at][words.codes]
-                token_emit = np.append(m.emission, 0.0)[at][words.codes]
-                sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[words.first])
-                n_words = np.diff(words.first)
-                total = np.add.reduceat(steps, begin) + sums(token_emit)
-                rows = part.column("row").to_numpy(zero_copy_only=False)
-                n_known = sums(known[words.codes].astype(np.int64)) + (m.ends > 0)
-                nulls = lambda kind, k: pa.nulls(k, kind)
-                yield record(names, [rows, part.column("doc_id"), n_words + 1, n_known, sums(token_base) + base_end, total, *[nulls(kind, n) for kind in tail_kinds]])
-                if open_.any():
-                    k = len(columns[0])
-                    yield record(names, [rows[columns[0]], *[nulls(kind, k) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string())], *columns[1:]])
-                rare = ~known[words.codes]
-                if rare.any():
-                    which = np.repeat(np.arange(n), n_words)[rare].astype(np.int64)
-                    pair, times = np.unique(which * len(words.distinct) + words.codes[rare], return_counts=True)
-                    k = len(pair)
-                    text = words.distinct.take(pa.array(pair % len(words.distinct)))
-                    yield record(names, [rows[pair // len(words.distinct)], nulls(pa.int64(), k), nulls(pa.int64(), k), nulls(pa.int64(), k), nulls(pa.float64(), k), nulls(pa.float64(), k), text.cast(pa.string()), *[nulls(kind, k) for kind in tail_kinds[1:-1]], times.astype(np.int64)])
-
-    local = stored(numbered.mapInArrow(score, _ROWS), "lm-rows")
-    c = F.coalesce(F.col("c"), F.lit(0)).cast("double")
-    floor = float(model.tokens + _BASE * (model.types + 1))
-    unseen = model.discount * model.other_types / model.other_tokens if model.other_tokens else 1.0
-    emitted = F.when(c > 0, (c - model.discount) / (model.other_tokens or 1.0)).otherwise(F.lit(max(unseen, 1e-12)))
-    tail = local.where("word IS NOT NULL").select("row", "word", "times").join(vocabulary, "word", "left")
-    if not model.complete:
-        tail = tail.join(classes.select("word", "class"), "word", "left")
-        emitted = F.when(F.col("class").isNotNull(), c / F.element_at(F.array(*[F.lit(float(x)) for x in model.in_class]), F.col("class") + 1)).otherwise(emitted)
-    tail = tail.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((c + _BASE) / floor)).alias("tail_base"), F.sum(F.col("times") * F.log10(emitted)).alias("tail_score"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("tail_known")
-    )
-    heads = local.where("n_tokens IS NOT NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "score").join(tail, "row", "left")
-    if model.complete:
-        heads = heads.withColumn("tail_steps", F.lit(0.0))
-    else:
-        size = len(model.transition)
-        steps = spark.createDataFrame([(k // size, k % size, float(x)) for k, x in enumerate(model.transition.ravel())], "a_class int, b_class int, step double")
-        opened = local.where("n_tokens IS NULL AND word IS NULL").select("row", *[x.split()[0] for x in _PAIRS.split(", ")])
-        met = _resolved(opened, classes, size - 2).join(F.broadcast(steps), ["a_class", "b_class"])
-        heads = heads.join(met.groupBy("row").agg(F.sum(F.col("times") * F.col("step")).alias("tail_steps")), "row", "left")
-    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    return heads.select(
-        "doc_id",
-        out_of.alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + zero("tail_known")).cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("tail_base")).alias("base_score"),
-        (F.col("score") + zero("tail_score") + zero("tail_steps")).alias("score"),
-    )
+            if batch.num_rows:
+                states, begin = _states(batch.column("states"))
+                steps = np.add.reduceat(transition[_shifted(states, len(transition) - 1), states], begin)
+                yield record(names, [*[batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "base")], batch.column("emitted").to_numpy() + steps])
+
+    scored = coded.mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

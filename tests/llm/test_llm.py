@@ -604,3 +604,44 @@ def test_brown_gives_words_behind_the_frequent_ones_classes(spark, monkeypatch):
     monkeypatch.setattr(brown, "TABLE_WORDS", 40)
     joined = scores()
     assert all(math.isclose(whole[i], joined[i], rel_tol=1e-9) for i in whole)
+
+
+def test_brown_writes_one_row_for_each_text(spark, monkeypatch):
+    written = {}
+    stored = brown.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(brown, "stored", counted)
+    monkeypatch.setattr(brown, "FREQUENT", 32)
+    monkeypatch.setattr(brown, "TABLE_WORDS", 40)
+    rows = [(i, " ".join(f"w{(i * j) % 90}" for j in range(1, 40))) for i in range(1, 40)]
+    brown.score_texts(frame(spark, rows))
+    # Words outside the table meet their classes before texts are written, so no pair of words is.
+    assert set(written) == {"word-counts", "word-classes", "coded-texts"} and written["coded-texts"] == len(rows)
+
+
+def test_brown_assigns_words_whose_rows_lie_in_several_batches(spark):
+    rng = random.Random(8)
+    joint = np.array([[rng.randint(0, 90) for _ in range(6)] for _ in range(6)], float)
+    rows, want = [], {}
+    for k in range(12):
+        counts = np.zeros(12)
+        near = [[(s := rng.randrange(12), n := rng.randint(1, 9), counts.__setitem__(s, counts[s] + n))[:2] for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 9))]
+        known = k % 4 != 3
+        rows += ([(f"w{k:02}", [], 5 + k)] if known else []) + [(f"w{k:02}", [s << 40 | n for s, n in some], None) for some in near]
+        smooth = joint + 5 * np.outer(joint.sum(axis=1) + 1, joint.sum(axis=0) + 1) / (joint.sum() + 1) ** 2
+        fit = np.concatenate([np.log(smooth / smooth.sum(axis=1, keepdims=True) / smooth.sum(axis=0, keepdims=True))[:, :4], np.log(smooth / smooth.sum(axis=1, keepdims=True))[:4].T])
+        if known:
+            want[f"w{k:02}"] = (5 + k, int(np.argmax(np.round(counts @ fit, 6))))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        frame_ = spark.createDataFrame(rows, "word string, near array<bigint>, c long").coalesce(1)
+        got = {r["word"]: (r["c"], r["class"]) for r in brown._assign(frame_, joint, 4).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want
