@@ -63,3 +63,16 @@ def test_trigrams_that_are_not_asked_for_stay_in_their_tasks(spark):
     built = grams.built(texts)
     few = built.held_by(spark.createDataFrame([(int(grams.keys("xyz")[0]),)], "gram long"))
     assert "Join" not in few._jdf.queryExecution().executedPlan().toString() and few.count() == 26
+
+
+def test_postings_of_a_term_are_packed_into_one_row_and_unpacked_whole(rows):
+    rows = rows.coalesce(1)
+    packed = index._postings(rows, WEIGHTS, "path", packed=True).cache()
+    want = {(r["term"], r["row_id"]): (round(r["f"], 9), r["len"], sorted(r["places"])) for r in index.built(rows, WEIGHTS).postings.collect()}
+    # One row for each term, and one with all rows' lengths.
+    assert packed.count() == len({t for t, _ in want}) + 1 and packed.agg({"n": "sum"}).first()[0] == len(want) + rows.count()
+    got = index._unpacked(packed.withColumn("version", F.lit(4))).collect()
+    assert {(r["term"], r["row_id"]): (round(r["f"], 9), r["len"], sorted(r["places"])) for r in got if r["term"] is not None} == want
+    assert {r["row_id"]: r["len"] for r in got if r["term"] is None} == {r["row_id"]: r["len"] for r in index.row_lengths(rows, WEIGHTS).collect()} and {r["version"] for r in got} == {4}
+    assert all(r["places"] is None for r in index._unpacked(packed.withColumn("version", F.lit(4)), places=False).collect())
+    packed.unpersist()
