@@ -12,6 +12,14 @@ def test_query_tokens_drop_fields_and_operators(spark):
     assert one(spark, "title:deploy AND token body:rotation", X.query_tokens) == ["deploy", "token", "rotation"]
 
 
+def test_distinct_tokens_cut_a_query_into_words_once(spark):
+    words = lambda c: X.distinct_tokens(X.query_tokens(c))
+    assert one(spark, "b A a B c A title:C Ä ä", words) == ["b", "A", "c", "Ä"]
+    assert one(spark, "", words) == [] and one(spark, None, words) is None
+    plan = spark.sql("SELECT 'x' AS x FROM range(2)").select(words(F.col("x")).alias("y"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_stems_are_safe(spark):
     rows = spark.createDataFrame([(w,) for w in ("ci", "JWT", "403", "db", "rotating", "tokens")], "t string")
     assert [r["s"] for r in rows.select(X.stem(F.col("t")).alias("s")).collect()] == [None, None, None, None, "rotat", "token"]
