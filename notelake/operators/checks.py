@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions.text import SECRETS, fold, query_tokens
 from notelake.operators.glossary import expanded_tokens
-from notelake.operators.lineage import sent
+from notelake.operators.lineage import cut, sent
 
 REQUIRED = ("type", "title", "description", "tags", "timestamp")
 
@@ -118,7 +118,7 @@ def explain_matches(results: DataFrame, queries: DataFrame, rows: DataFrame, glo
     terms = words.withColumn("keys", keys).select("query_id", F.filter(F.transform("words", lambda w, i: F.struct(w.alias("term"), F.get("keys", i).alias("key"), i.alias("i"))), lambda t: (F.array_position("keys", t["key"]) == t["i"] + 1) & (t["key"] != "")).alias("terms"))
     here = [f for f in EXPLAINED if f in rows.columns]
     fields = F.array(*[F.struct(F.lit(f).alias("field"), fold(F.coalesce(F.col(f), F.lit(""))).alias("text")) for f in sorted(here)])
-    asked = results.select("query_id", "row_id")
+    asked = cut(results.select("query_id", "row_id"))
     shown = asked.join(rows.join(sent(asked.select("row_id").distinct()), "row_id", "left_semi").select("row_id", fields.alias("fields")), "row_id").join(terms, "query_id")
     each = shown.select("query_id", "row_id", "fields", F.explode("terms").alias("t"))
     holding = F.transform(F.filter("fields", lambda f: F.contains(f["text"], F.col("t.key"))), lambda f: f["field"])

@@ -168,6 +168,20 @@ def test_explanations_name_synonyms_and_passages(spark):
     assert {(r["term"], r["fields"]) for r in checks.explain_matches(found, asks, rows, terms).collect()} == {("DECISION", "title"), ("k8s", "passage"), ("kubernetes", "body")}
 
 
+def test_explanations_find_their_results_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("a", "one text"), ("b", "other text")], "row_id string, body string")
+    asks = spark.createDataFrame([(1, "text")], "query_id long, query string")
+    found = spark.createDataFrame([(1, "a"), (1, "b")], "query_id long, row_id string").mapInArrow(counted, "query_id long, row_id string")
+    assert checks.explain_matches(found, asks, rows).count() == 2 and seen.value == 2
+
+
 def test_writeback_decides_by_the_best_and_its_lead(spark):
     rows = notes(spark, "have this text", "other")
     found = spark.createDataFrame([(1, "000.md", 0.9, 1), (1, "001.md", 0.6, 2), (2, "000.md", 0.9, 1), (3, "000.md", 0.9, 1), (4, "001.md", 0.69, 1)], "query_id long, path string, similarity double, rank int")
