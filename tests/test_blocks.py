@@ -76,3 +76,38 @@ def test_postings_of_a_term_are_packed_into_one_row_and_unpacked_whole(rows):
     assert {r["row_id"]: r["len"] for r in got if r["term"] is None} == {r["row_id"]: r["len"] for r in index.row_lengths(rows, WEIGHTS).collect()} and {r["version"] for r in got} == {4}
     assert all(r["places"] is None for r in index._unpacked(packed.withColumn("version", F.lit(4)), places=False).collect())
     packed.unpersist()
+
+
+def _written(plan, name):
+    """The largest of a metric among the shuffles of a plan that has run."""
+    kind = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply(name).value()] if kind == "ShuffleExchangeExec" else []
+    return max([*own, *(_written(p, name) for p in below)], default=0)
+
+
+def _asked_and_parts(spark):
+    """60 queries of three phrases each, and the parts of 400 rows."""
+    phrases = spark.range(60).selectExpr("id AS query_id", "0 AS run", "explode(array(0, 1, 2)) AS group_id").selectExpr("*", "concat('k', (query_id * (group_id + 1) + group_id) % 50) AS key")
+    parts = spark.range(400).selectExpr("concat('r', id) AS row_id", "explode(sequence(0, 49, 1 + cast(id % 3 AS int))) AS k").selectExpr("concat('k', k) AS key", "row_id", "(1 + hash(k, row_id) % 97 / 100) AS part")
+    return phrases, parts
+
+
+@pytest.mark.parametrize("some", [False, True])
+def test_what_is_shuffled_does_not_grow_with_queries_times_blocks(spark, monkeypatch, some):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(blocks, "TASKS", 2, raising=False)
+    phrases, parts = _asked_and_parts(spark)
+    found = blocks.best(phrases, parts, 3, 400, some)
+    assert len(found.collect()) == 60 * 3
+    # 60 queries and 40 blocks: no row for each pair of them, before blocks are scored or after.
+    assert _written(found._jdf.queryExecution().executedPlan(), "shuffleRecordsWritten") < 60 * 40 / 2
+
+
+def test_chunks_and_spans_change_nothing(spark, monkeypatch):
+    phrases, parts = _asked_and_parts(spark)
+    told = lambda some: sorted((r["query_id"], r["rank"], r["row_id"], round(r["score"], 9), tuple(r["groups"])) for r in blocks.best(phrases, parts, 4, 400, some).collect())
+    want = [told(some) for some in (False, True)]
+    for name, value in {"BLOCK_ROWS": 30, "CHUNK_ASKS": 7, "TASKS": 20, "_PACKED": 900, "_KEPT": 10}.items():
+        monkeypatch.setattr(blocks, name, value)
+    assert [told(some) for some in (False, True)] == want
