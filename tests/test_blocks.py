@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from notelake.operators import blocks, grams, index, search
+from notelake.operators import blocks, grams, index, lineage, search
 
 WEIGHTS = {"title": 8.0, "body": 0.2}
 
@@ -111,3 +111,23 @@ def test_chunks_and_spans_change_nothing(spark, monkeypatch):
     for name, value in {"BLOCK_ROWS": 30, "CHUNK_ASKS": 7, "TASKS": 20, "_PACKED": 900, "_KEPT": 10}.items():
         monkeypatch.setattr(blocks, name, value)
     assert [told(some) for some in (False, True)] == want
+
+
+@pytest.mark.parametrize("buckets", [2, 32])
+def test_postings_stay_where_they_are_however_many_terms_a_batch_has(spark, rows, tmp_path, monkeypatch, buckets):
+    monkeypatch.setattr(index, "BUCKETS", buckets)
+    held = index.repaired(rows, WEIGHTS, str(tmp_path / "i"))
+    queries = spark.createDataFrame([(k, f"w{k} w{k % 7} absent{k}") for k in range(40)], "query_id long, query string")
+    words = search.or_run(queries)
+    told = lambda df: sorted((r["key"], r["row_id"], round(r["part"], 9), r["df"]) for r in df.collect())
+    want = told(search.phrase_scores(words, held))
+    for module, name, value in ((lineage, "SENT_ROWS", 10), (index, "SENT_ROWS", 10), (lineage, "HELD_ROWS", 5), (search, "HELD_ROWS", 5), (index, "LOOKED_UP", 5), (search, "LOOKED_UP", 5)):
+        monkeypatch.setattr(module, name, value)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = search.phrase_scores(words, held)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and told(found) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
